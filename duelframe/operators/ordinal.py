@@ -48,7 +48,8 @@ def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
     w_local = Window.partitionBy(*group, *sl).orderBy(*order)
     local = d.withColumn("_local", F.row_number().over(w_local) - 1)
     sizes = d.groupBy(*group, *sl).agg(F.count(F.lit(1)).alias("_n"))
-    w_off = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(*sl) \
+    # the offset window runs over the slice-size table (one row per slice)
+    w_off = (Window.partitionBy(*group).orderBy(*sl) if group else Window.orderBy(*sl)) \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, *sl, F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
     return (local.join(offsets, [*group, *sl], "inner")
