@@ -840,3 +840,72 @@ def matchup_features(spark, sf):
         return state.select(F.col("league"), F.col("team_id").alias(f"team_{k}"),
                             *[F.col(c).alias(f"{c}_{k}") for c in STATE_COLS])
     return req.join(side("1"), ["league", "team_1"]).join(side("2"), ["league", "team_2"])
+
+
+# --------------------------------------------------------------------------
+# Model jobs (M1-M17). Iterative, so no SQL oracle: the driver checks rows.
+
+def _model_rows(spark, sf) -> DataFrame:
+    """Paired features with a seeded exact 70/30 split per league. The
+    table is checkpointed into the shared checkpoint folder so the many
+    passes of fitting do not recompute the feature plan."""
+    checkpoint_dir(spark)
+    gf = game_features(_team_games(spark, sf))
+    return stratified_split(gf, "league", "game_key").checkpoint(eager=True)
+
+
+def _train_test(spark, sf):
+    d = _model_rows(spark, sf)
+    return d.where(F.col("is_train") == 1), d.where(F.col("is_train") == 0)
+
+
+@register("train_logistic_score")
+def train_logistic_score(spark, sf):
+    """L2 logistic regression at the deployed strength, scored on the
+    held-out rows."""
+    from duelframe.plans import model as M
+    train, test = _train_test(spark, sf)
+    spec = M.contest_spec(train)
+    fitted = M.fit(train, spec, M.logistic(train, spec, M.DEPLOYED_C, "l2", max_iter=100))
+    return M.scored(fitted, test, ["league", "game_key"], spec)
+
+
+@register("soft_vote")
+def soft_vote(spark, sf):
+    """Random forest + logistic regression, soft-voted probabilities."""
+    from duelframe.plans import model as M
+    train, test = _train_test(spark, sf)
+    spec = M.contest_spec(train)
+    rf = M.fit(train, spec, M.forest(spec, n_trees=40, min_split=4))
+    lr = M.fit(train, spec, M.logistic(train, spec, 0.05, "l2", max_iter=100))
+    return M.soft_vote([rf, lr], test, ["league", "game_key"], spec)
+
+
+@register("search_trials")
+def search_trials(spark, sf):
+    """Seeded random search over the L2 logistic strength, one row per
+    trial with its held-out Brier score."""
+    from duelframe.plans import model as M
+    train, test = _train_test(spark, sf)
+    spec = M.contest_spec(train)
+    return M.search(train, test, spec, "logistic_l2", n_trials=6, parallelism=3, max_iter=50)
+
+
+@register("matchup_scores")
+def matchup_scores(spark, sf):
+    """Bulk scoring: every contest pairing scored as a neutral-court game
+    from both teams' latest serving state, by a model fitted on the
+    paired pre-game features."""
+    from duelframe.plans import model as M
+    from duelframe.plans import scoring as S
+    train, _ = _train_test(spark, sf)
+    spec = M.contest_spec(train)
+    fitted = M.fit(train, spec, M.logistic(train, spec, M.DEPLOYED_C, "l2", max_iter=100))
+    games = C.contest(Tables(spark, sf).events)
+    req = games.select("league", "game_key", F.col("w_id").alias("team_1"), F.col("l_id").alias("team_2"))
+    rows = S.contest_matchup_rows(req, S.contest_state(C.team_game(games)))
+    out = fitted.transform(rows)
+    return out.select("league", "game_key", "team_1", "team_2",
+                      M.prob1().alias("p_team_1"),
+                      F.when(F.col("prediction") == 1, F.col("team_1")).otherwise(F.col("team_2"))
+                      .alias("winner"))
