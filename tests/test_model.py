@@ -20,7 +20,7 @@ def pairs(fx):
 def test_sports_model_fit_score_reload(spark, pairs, tmp_path):
     fp, tg = pairs
     spec = M.sports_spec(fp)
-    assert len(spec.scale) == 8 and len(spec.ratios) == 32
+    assert len(spec.scale) == 16 and len(spec.ratios) == 32 and len(spec.onehot) == 24
     model = M.fit(fp, spec, M.logistic(fp, spec, M.DEPLOYED_C, "l2", max_iter=50))
     out = M.scored(model, fp, ["Season"], spec)
     b = M.brier(out)

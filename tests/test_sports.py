@@ -61,8 +61,10 @@ def test_seeds_and_ranks(stages):
     assert tg.where("NCAATourneyFlag = 0 AND NCAATourneySeed IS NOT NULL").count() == 0
     # team 1105 is never in the AP list: unranked everywhere after the fill
     assert {r[0] for r in md.where("TeamID = 1105").select("ActiveAPRank").collect()} == {SP.UNRANKED}
-    # AP ranks are not carried after a season's last list expires (file scope)
-    assert tg.where("DayNum > 120 AND DayNum < 136 AND ActiveAPRank IS NOT NULL").count() == 0
+    # AP ranks are not carried after a season's last list expires (file
+    # scope); only the final season's last list stays active to day 200
+    assert tg.where("Season < 2025 AND DayNum > 120 AND ActiveAPRank IS NOT NULL").count() == 0
+    assert tg.where("Season = 2025 AND DayNum > 120 AND ActiveAPRank IS NOT NULL").count() > 0
 
 
 def test_model_features(stages):
