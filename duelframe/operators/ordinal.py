@@ -35,12 +35,16 @@ def time_slice(ts: str | Column, seconds: int) -> Column:
 
 
 def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                   slices: Column | Sequence[Column], name: str = "ordinal") -> DataFrame:
+                   slices: Column | Sequence[Column], name: str = "ordinal",
+                   keep_slices: bool = False) -> DataFrame:
     """Add ``name``: 0-based position of the row in its group under ``order``.
 
     ``slices`` (one column or several, compared in order) must be
     non-decreasing along ``order`` within a group; the largest single sort
     is then the largest slice. ``group`` may be empty (one global order).
+    With ``keep_slices`` the slice columns ``_slice0..`` and the slice's
+    first position ``_off`` and size ``_n`` stay on the rows; the result is
+    hash-partitioned by ``group + slices`` for a following operator.
     """
     slices = [slices] if isinstance(slices, Column) else list(slices)
     sl = [f"_slice{i}" for i in range(len(slices))]
@@ -51,7 +55,48 @@ def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
     # the offset window runs over the slice-size table (one row per slice)
     w_off = (Window.partitionBy(*group).orderBy(*sl) if group else Window.orderBy(*sl)) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, *sl, F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    return (local.join(offsets, [*group, *sl], "inner")
-                 .withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
-                 .drop(*sl, "_local", "_off"))
+    offsets = sizes.select(*group, *sl, "_n", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    out = (local.join(offsets, [*group, *sl], "inner")
+                .withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
+                .drop("_local"))
+    return out if keep_slices else out.drop(*sl, "_off", "_n")
+
+
+def pair_consecutive(df: DataFrame, group: Sequence[str], order: Sequence[str],
+                     slices: Column | Sequence[Column], cols: Sequence[str]) -> DataFrame:
+    """Pair positions (0, 1), (2, 3), ... of each group under ``order``:
+    one row per pair with ``a_<c>`` / ``b_<c>`` for every column in
+    ``cols``; a trailing unpaired row is dropped.
+
+    The log is shuffled once, by ``group + slices``. Inside a slice the
+    partner is read with ``lead`` in the same window that numbers the rows.
+    A pair that straddles two slices is made of the previous slice's last
+    row and this slice's first row; both come from the per-slice summary
+    (``min_by`` / ``max_by`` with map-side partial aggregation), so those
+    pairs are formed from a table with one row per slice.
+    """
+    slices = [slices] if isinstance(slices, Column) else list(slices)
+    sl = [f"_slice{i}" for i in range(len(slices))]
+    d = df.withColumns(dict(zip(sl, slices)))
+    row = F.struct(*[F.col(c) for c in cols])
+    key = F.struct(*[F.col(c) for c in order])
+    sizes = d.groupBy(*group, *sl).agg(F.count(F.lit(1)).alias("_n"),
+                                       F.min_by(row, key).alias("_first"),
+                                       F.max_by(row, key).alias("_last"))
+    w_s = Window.partitionBy(*group).orderBy(*sl) if group else Window.orderBy(*sl)
+    offs = sizes.select(*group, *sl, "_n", "_first",
+                        F.coalesce(F.sum("_n").over(w_s.rowsBetween(Window.unboundedPreceding, -1)),
+                                   F.lit(0)).alias("_off"),
+                        F.lag("_last", 1).over(w_s).alias("_prev_last"))
+    w = Window.partitionBy(*group, *sl).orderBy(*order)
+    local = d.select(*group, *sl, *cols, (F.row_number().over(w) - 1).alias("_local"),
+                     *[F.lead(c, 1).over(w).alias(f"_b_{c}") for c in cols])
+    j = local.join(offs.select(*group, *sl, "_n", "_off"), [*group, *sl], "inner")
+    even = ((F.col("_off") + F.col("_local")) % 2) == 0
+    inner = j.where(even & (F.col("_local") + 1 < F.col("_n"))).select(
+        *group, *[F.col(c).alias(f"a_{c}") for c in cols],
+        *[F.col(f"_b_{c}").alias(f"b_{c}") for c in cols])
+    edge = offs.where(((F.col("_off") % 2) == 1) & F.col("_prev_last").isNotNull()).select(
+        *group, *[F.col("_prev_last")[c].alias(f"a_{c}") for c in cols],
+        *[F.col("_first")[c].alias(f"b_{c}") for c in cols])
+    return inner.unionByName(edge)

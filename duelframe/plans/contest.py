@@ -9,10 +9,9 @@
 
 Scale notes. Position inside an event type is computed by
 ``ordinal_within`` over time slices, so a type holding a third of the log
-is numbered by many tasks. Pairs are formed by one hash aggregation on
-``(type, position div 2)`` with fixed-width buffers (partial aggregation
-halves the rows before the shuffle because both members of a pair almost
-always sit in the same slice).
+is numbered by many tasks, and pairs come out of the same single shuffle
+(``pair_consecutive``): partners inside a slice are read with ``lead``,
+pairs that straddle two slices are formed from the per-slice summary.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.operators.mirror import mirror
-from duelframe.operators.ordinal import ordinal_within, time_slice
+from duelframe.operators.ordinal import pair_consecutive, time_slice
 
 # Fixed values of the contest view.
 LOCATION_BY_KEY_MOD5 = {0: "N", 4: "A"}  # any other remainder: "H"
@@ -37,29 +36,19 @@ def day_index(ts: str) -> F.Column:
 
 def contest(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     ev = events.select("event_type", "ts", "event_id", "user_id", "value")
-    numbered = ordinal_within(ev, ["event_type"], ["ts", "event_id"],
-                              time_slice("ts", slice_seconds), "rn")
-    first = (F.col("rn") % 2) == 0
-
-    def pick(c: str, want_first: bool) -> F.Column:
-        return F.max(F.when(first if want_first else ~first, F.col(c)))
-
-    pairs = (numbered.groupBy("event_type", (F.col("rn") / 2).cast("bigint").alias("pair_no"))
-             .agg(pick("user_id", True).alias("a_user"), pick("value", True).alias("a_value"),
-                  pick("user_id", False).alias("b_user"), pick("value", False).alias("b_value"),
-                  pick("event_id", False).alias("b_event"), pick("ts", False).alias("b_ts"))
-             .where(F.col("b_event").isNotNull() & F.col("a_user").isNotNull()))
+    pairs = pair_consecutive(ev, ["event_type"], ["ts", "event_id"], time_slice("ts", slice_seconds),
+                             ["user_id", "value", "event_id", "ts"])
     a_wins = F.col("a_value") > F.col("b_value")
-    key = F.col("b_event")
+    key = F.col("b_event_id")
     loc = (F.when(key % 5 == 0, F.lit(LOCATION_BY_KEY_MOD5[0]))
             .when(key % 5 == 4, F.lit(LOCATION_BY_KEY_MOD5[4]))
             .otherwise(F.lit("H")))
-    return (pairs.where((F.col("a_user") != F.col("b_user")) & (F.col("a_value") != F.col("b_value")))
+    return (pairs.where((F.col("a_user_id") != F.col("b_user_id")) & (F.col("a_value") != F.col("b_value")))
             .select(F.col("event_type").alias("league"),
                     key.alias("game_key"),
                     day_index("b_ts").alias("day_num"),
-                    F.when(a_wins, F.col("a_user")).otherwise(F.col("b_user")).alias("w_id"),
-                    F.when(a_wins, F.col("b_user")).otherwise(F.col("a_user")).alias("l_id"),
+                    F.when(a_wins, F.col("a_user_id")).otherwise(F.col("b_user_id")).alias("w_id"),
+                    F.when(a_wins, F.col("b_user_id")).otherwise(F.col("a_user_id")).alias("l_id"),
                     F.greatest("a_value", "b_value").alias("w_score"),
                     F.least("a_value", "b_value").alias("l_score"),
                     loc.alias("w_loc")))

@@ -20,7 +20,7 @@ from duelframe.functions.scalar import (code_number, concat_key, day_range, fill
 from duelframe.operators import sequence as seq
 from duelframe.operators.joins import band_lookup, dim_lookup, interval_join, mark_join
 from duelframe.operators.mirror import mirror_compact
-from duelframe.operators.ordinal import ordinal_within
+from duelframe.operators.ordinal import ordinal_within, pair_consecutive
 from duelframe.operators.pairing import assign_sides, pair_sides_join
 from duelframe.operators.ranks import active_rank, rank_periods, ranked_periods
 from duelframe.operators.split import recency_weight, stratified_split
@@ -166,17 +166,12 @@ SELECT a.s_nationkey, a.s_suppkey AS s_suppkey_A, a.s_name AS s_name_A, a.s_acct
 FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND b.pos = a.pos + 1 AND a.pos % 2 = 0""")
 def suffix_rename_pair(spark, sf):
     """Consecutive suppliers of a nation paired into one row, every
-    non-key column suffixed by its side."""
+    non-key column suffixed by its side (positions 0-1, 2-3, ...)."""
     s = Tables(spark, sf).supplier.select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
-    numbered = ordinal_within(s, ["s_nationkey"], ["s_suppkey"],
-                              F.floor(F.col("s_suppkey") / 4096), "pos")
-    w = Window.partitionBy("s_nationkey", (F.col("pos") / 2).cast("bigint")).orderBy("pos")
     cols = ["s_suppkey", "s_name", "s_acctbal"]
-    return (numbered.select("s_nationkey", "pos",
-                            *[F.col(c).alias(c + "_A") for c in cols],
-                            *[F.lead(c, 1).over(w).alias(c + "_B") for c in cols])
-            .where(((F.col("pos") % 2) == 0) & F.col("s_suppkey_B").isNotNull())
-            .drop("pos"))
+    p = pair_consecutive(s, ["s_nationkey"], ["s_suppkey"], F.floor(F.col("s_suppkey") / 4096), cols)
+    return p.select("s_nationkey", *[F.col(f"a_{c}").alias(f"{c}_A") for c in cols],
+                    *[F.col(f"b_{c}").alias(f"{c}_B") for c in cols])
 
 
 @register("union_with_source_flag", """
