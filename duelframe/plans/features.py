@@ -15,35 +15,44 @@ from pyspark.sql import functions as F
 from duelframe.functions.scalar import fill_numeric, rounded
 from duelframe.operators import sequence as seq
 from duelframe.operators.pairing import pair_sides
+from duelframe.operators.sliced import Feat, sliced_window
 
 WARMUP_GAMES = 5
 LAST_N = 5
 
 
-def contest_feature_columns(w, include_current: bool = False, n: int = LAST_N) -> dict[str, Column]:
-    """Running and last-n features of a mirrored contest (``team_game``)."""
-    lose = 1 - F.col("win")
-    return {
-        "win_pct_prior": seq.ratio_of_sums("win", lose, w, None, include_current),
-        "win_pct_last5": seq.ratio_of_sums("win", lose, w, n, include_current),
-        "points_mean_prior": seq.expanding_mean("points", w, include_current),
-        "points_mean_last5": seq.rolling_mean("points", w, n, include_current),
-        "allowed_mean_prior": seq.expanding_mean("allowed", w, include_current),
-        "allowed_mean_last5": seq.rolling_mean("allowed", w, n, include_current),
-    }
-
-
 ENTITY = ("league", "team_id")
 ORDER = ("day_num", "game_key")
 GAME = ("league", "game_key", "day_num")
 
 
+def team_slices() -> list[Column]:
+    """Slices of a team's ordered games: the day, split further by blocks
+    of game keys (monotone in the ``(day_num, game_key)`` order)."""
+    return [F.col("day_num"), F.floor(F.col("game_key") / 65536).cast("bigint")]
+
+
+def team_window(tg: DataFrame, feats: Sequence[Feat]) -> DataFrame:
+    """Team-sequence features, sorted per (team, slice): a team with a
+    huge share of the games is spread over many tasks."""
+    return sliced_window(tg, list(ENTITY), list(ORDER), team_slices(), feats)
+
+
+def contest_feats(include_current: bool = False, n: int = LAST_N) -> list[Feat]:
+    """Running and last-n features of a mirrored contest (``team_game``).
+    A win share W / (W + L) is the mean of the 0/1 win flag."""
+    cur = include_current
+    return [Feat("win_pct_prior", "mean", "win", None, cur), Feat("win_pct_last5", "mean", "win", n, cur),
+            Feat("points_mean_prior", "mean", "points", None, cur),
+            Feat("points_mean_last5", "mean", "points", n, cur),
+            Feat("allowed_mean_prior", "mean", "allowed", None, cur),
+            Feat("allowed_mean_last5", "mean", "allowed", n, cur)]
+
+
 def team_features(tg: DataFrame, include_current: bool = False) -> DataFrame:
-    w = seq.entity_window(ENTITY, ORDER)
-    cols = contest_feature_columns(w, include_current)
-    cols["game_number"] = seq.sequence_number(w)
-    return tg.select("league", "game_key", "day_num", "team_id", "loc", "win",
-                     *[c.alias(k) for k, c in cols.items()])
+    base = tg.select("league", "game_key", "day_num", "team_id", "loc", "win", "points", "allowed")
+    feats = contest_feats(include_current) + [Feat("game_number", "rownum")]
+    return team_window(base, feats).drop("points", "allowed")
 
 
 def game_features(tg: DataFrame, warmup: int = WARMUP_GAMES, places: int | None = 6) -> DataFrame:
@@ -60,4 +69,4 @@ def game_features(tg: DataFrame, warmup: int = WARMUP_GAMES, places: int | None
 
 
 def feature_names() -> Sequence[str]:
-    return list(contest_feature_columns(seq.entity_window(ENTITY, ORDER)).keys())
+    return [f.name for f in contest_feats()]

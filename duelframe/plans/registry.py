@@ -26,7 +26,9 @@ from duelframe.operators.ranks import active_rank, rank_periods, ranked_periods
 from duelframe.operators.split import recency_weight, stratified_split
 from duelframe.operators.stats import brier_score, exact_medians, global_min_max, mean_std
 from duelframe.plans import contest as C
-from duelframe.plans.features import game_features
+from duelframe.operators.ordinal import time_slice
+from duelframe.operators.sliced import Feat, sliced_window
+from duelframe.plans.features import game_features, team_window
 from duelframe.plans.oracle_views import (ACTIVE_RANK, CONF, GAME_VIEWS, PERIODS_FILE,
                                           PERIODS_SEASON, PUBLICATION, RANKED, TEAM_VIEWS,
                                           TENURE, with_views)
@@ -259,8 +261,9 @@ NEUTRAL_WINS = """tw AS (
 def _neutral_wins(tg: DataFrame) -> DataFrame:
     """Sparse fact: wins coming in, counted over neutral-site games only
     (the "tournament" games)."""
-    n = tg.where(F.col("loc") == "N")
-    return n.select(*ENTITY, *ORDER, seq.exclusive_running_sum("win", _w()).cast("bigint").alias("wins_in"))
+    n = tg.where(F.col("loc") == "N").select(*ENTITY, *ORDER, "win")
+    w = team_window(n, [Feat("wins_in", "sum", "win")])
+    return w.select(*ENTITY, *ORDER, F.coalesce("wins_in", F.lit(0)).cast("bigint").alias("wins_in"))
 
 
 @register("sparse_fact_left_join", with_views(*TEAM_VIEWS, NEUTRAL_WINS, body="""
@@ -288,10 +291,10 @@ def wins_coming_in_filled(spark, sf):
     back-filled from its next neutral game, then 0."""
     tg = _team_games(spark, sf)
     j = tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg), [*ENTITY, *ORDER], "left")
-    w = _w()
-    f = j.withColumn("ff", seq.forward_fill("wins_in", w))
-    return f.select("league", "game_key", "team_id", "day_num",
-                    F.coalesce("ff", seq.backward_fill("ff", w), F.lit(0).cast("bigint")).alias("wins_in"))
+    f = team_window(j, [Feat("ff", "ffill", "wins_in")])
+    b = team_window(f, [Feat("bf", "bfill", "ff")])
+    return b.select("league", "game_key", "team_id", "day_num",
+                    F.coalesce("ff", "bf", F.lit(0).cast("bigint")).alias("wins_in"))
 
 
 # --------------------------------------------------------------------------
@@ -357,10 +360,10 @@ SELECT league, game_key, team_id, COALESCE(ordinal, 9999) AS active_rank,
          AS season_best
 FROM active"""))
 def season_best_rank(spark, sf):
-    a = _active(spark, sf, "season")
+    a = team_window(_active(spark, sf, "season"), [Feat("best", "min", "ordinal", None, True)])
     return a.select("league", "game_key", "team_id",
                     F.coalesce("ordinal", F.lit(9999).cast("bigint")).alias("active_rank"),
-                    F.coalesce(seq.running_min("ordinal", _w()), F.lit(9999).cast("bigint")).alias("season_best"))
+                    F.coalesce("best", F.lit(9999).cast("bigint")).alias("season_best"))
 
 
 @register("fill_constants", with_views(*TEAM_VIEWS, PUBLICATION, PERIODS_SEASON, RANKED, ACTIVE_RANK, body="""
@@ -487,9 +490,8 @@ SELECT league, game_key, team_id,
          AS win_pct_prior
 FROM team_game"""))
 def expanding_win_pct(spark, sf):
-    tg = _team_games(spark, sf)
-    return tg.select("league", "game_key", "team_id",
-                     rounded(seq.ratio_of_sums("win", 1 - F.col("win"), _w())).alias("win_pct_prior"))
+    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win")])
+    return tg.select("league", "game_key", "team_id", rounded("pct").alias("win_pct_prior"))
 
 
 @register("rolling5_win_pct", with_views(*TEAM_VIEWS, body=f"""
@@ -499,21 +501,15 @@ SELECT league, game_key, team_id,
          AS win_pct_last5
 FROM team_game"""))
 def rolling5_win_pct(spark, sf):
-    tg = _team_games(spark, sf)
-    return tg.select("league", "game_key", "team_id",
-                     rounded(seq.ratio_of_sums("win", 1 - F.col("win"), _w(), 5)).alias("win_pct_last5"))
+    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win", 5)])
+    return tg.select("league", "game_key", "team_id", rounded("pct").alias("win_pct_last5"))
 
 
 def _means(spark, sf, include_current: bool, n: int | None):
-    tg = _team_games(spark, sf)
-    w = _w()
-    if n is None:
-        p, a = seq.expanding_mean("points", w, include_current), seq.expanding_mean("allowed", w, include_current)
-    else:
-        p, a = (seq.rolling_mean("points", w, n, include_current),
-                seq.rolling_mean("allowed", w, n, include_current))
-    return tg.select("league", "game_key", "team_id", rounded(p).alias("points_mean"),
-                     rounded(a).alias("allowed_mean"))
+    tg = team_window(_team_games(spark, sf), [Feat("p", "mean", "points", n, include_current),
+                                               Feat("a", "mean", "allowed", n, include_current)])
+    return tg.select("league", "game_key", "team_id", rounded("p").alias("points_mean"),
+                     rounded("a").alias("allowed_mean"))
 
 
 def _mean_sql(frame: str, full: int | None) -> str:
@@ -550,15 +546,21 @@ def rolling5_mean_inclusive(spark, sf):
 USER_W = "PARTITION BY user_id ORDER BY ts, event_id"
 
 
+def _user_fill(spark, sf, kind: str, name: str) -> DataFrame:
+    """Purchase value carried along a user's events; the user's sequence
+    is sliced by hour so a very active user is not one sort task."""
+    ev = Tables(spark, sf).events.select(
+        "event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.col("value")).alias("pv"))
+    out = sliced_window(ev, ["user_id"], ["ts", "event_id"], time_slice("ts", 3600), [Feat(name, kind, "pv")])
+    return out.select("event_id", "user_id", name)
+
+
 @register("forward_fill", f"""
 SELECT event_id, user_id, LAST_VALUE(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS)
   OVER ({USER_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase
 FROM events""")
 def forward_fill(spark, sf):
-    ev = Tables(spark, sf).events
-    pv = F.when(F.col("event_type") == "purchase", F.col("value"))
-    w = seq.entity_window(["user_id"], ["ts", "event_id"])
-    return ev.select("event_id", "user_id", seq.forward_fill(pv, w).alias("last_purchase"))
+    return _user_fill(spark, sf, "ffill", "last_purchase")
 
 
 @register("backward_fill", f"""
@@ -566,19 +568,16 @@ SELECT event_id, user_id, FIRST_VALUE(CASE WHEN event_type = 'purchase' THEN val
   OVER ({USER_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_purchase
 FROM events""")
 def backward_fill(spark, sf):
-    ev = Tables(spark, sf).events
-    pv = F.when(F.col("event_type") == "purchase", F.col("value"))
-    w = seq.entity_window(["user_id"], ["ts", "event_id"])
-    return ev.select("event_id", "user_id", seq.backward_fill(pv, w).alias("next_purchase"))
+    return _user_fill(spark, sf, "bfill", "next_purchase")
 
 
 @register("exclusive_running_wins", with_views(*TEAM_VIEWS, body=f"""
 SELECT league, game_key, team_id,
        CAST(SUM(win) OVER {INCL} - win AS BIGINT) AS wins_before FROM team_game"""))
 def exclusive_running_wins(spark, sf):
-    tg = _team_games(spark, sf)
+    tg = team_window(_team_games(spark, sf), [Feat("w", "sum", "win")])
     return tg.select("league", "game_key", "team_id",
-                     seq.exclusive_running_sum("win", _w()).cast("bigint").alias("wins_before"))
+                     F.coalesce("w", F.lit(0)).cast("bigint").alias("wins_before"))
 
 
 @register("skip_first_n", """
@@ -619,17 +618,20 @@ def surrogate_key(spark, sf):
 SELECT l_orderkey, l_linenumber, l_partkey, COUNT(l_partkey) OVER (PARTITION BY l_orderkey) AS n_lines
 FROM lineitem""")
 def partition_count(spark, sf):
-    li = Tables(spark, sf).lineitem
-    return li.select("l_orderkey", "l_linenumber", "l_partkey",
-                     seq.partition_count("l_partkey", ["l_orderkey"]).alias("n_lines"))
+    """Per-order non-null count attached to every line. Written as a
+    partial aggregation joined back rather than an unordered window, so a
+    very large order is counted map-side and its join is split by AQE."""
+    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    counts = li.groupBy("l_orderkey").agg(F.count("l_partkey").alias("n_lines"))
+    return li.join(counts, "l_orderkey")
 
 
 @register("days_since_previous", with_views(*TEAM_VIEWS, body=f"""
 SELECT league, game_key, team_id, CAST(day_num - LAG(day_num) OVER ({W_TEAM}) AS BIGINT) AS rest_days
 FROM team_game"""))
 def days_since_previous(spark, sf):
-    tg = _team_games(spark, sf)
-    return tg.select("league", "game_key", "team_id", seq.days_since_previous("day_num", _w()).alias("rest_days"))
+    tg = team_window(_team_games(spark, sf), [Feat("prev", "lag", "day_num")])
+    return tg.select("league", "game_key", "team_id", (F.col("day_num") - F.col("prev")).alias("rest_days"))
 
 
 @register("streak_length", with_views(*TEAM_VIEWS, body=f"""
@@ -798,12 +800,11 @@ STATE_COLS = ("win_pct", "points_mean", "points_mean_last5", "allowed_mean")
 def latest_team_state(tg: DataFrame) -> DataFrame:
     """Post-game state of each team after its latest game (serving
     features: inclusive windows, then the last row by day and key)."""
-    w = _w()
-    s = tg.select(*ENTITY, *ORDER,
-                  rounded(seq.ratio_of_sums("win", 1 - F.col("win"), w, None, True)).alias("win_pct"),
-                  rounded(seq.expanding_mean("points", w, True)).alias("points_mean"),
-                  rounded(seq.rolling_mean("points", w, 5, True)).alias("points_mean_last5"),
-                  rounded(seq.expanding_mean("allowed", w, True)).alias("allowed_mean"))
+    f = team_window(tg.select(*ENTITY, *ORDER, "win", "points", "allowed"),
+                    [Feat("win_pct", "mean", "win", None, True), Feat("points_mean", "mean", "points", None, True),
+                     Feat("points_mean_last5", "mean", "points", 5, True),
+                     Feat("allowed_mean", "mean", "allowed", None, True)])
+    s = f.select(*ENTITY, *ORDER, *[rounded(c).alias(c) for c in STATE_COLS])
     return fill_numeric(seq.latest(s, ENTITY, ORDER).drop(*ORDER), 0)
 
 

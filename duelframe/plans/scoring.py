@@ -70,15 +70,10 @@ CONTEST_ORDER = ["day_num", "game_key"]
 def contest_state(tg) -> DataFrame:
     """Post-game features of each team's latest game, named like the
     pre-game training features so one model serves both."""
-    w = seq.entity_window(CONTEST_ENTITY, CONTEST_ORDER)
-    lose = 1 - F.col("win")
-    s = tg.select(*CONTEST_ENTITY, *CONTEST_ORDER,
-                  rounded(seq.ratio_of_sums("win", lose, w, None, True)).alias("win_pct_prior"),
-                  rounded(seq.ratio_of_sums("win", lose, w, 5, True)).alias("win_pct_last5"),
-                  rounded(seq.expanding_mean("points", w, True)).alias("points_mean_prior"),
-                  rounded(seq.rolling_mean("points", w, 5, True)).alias("points_mean_last5"),
-                  rounded(seq.expanding_mean("allowed", w, True)).alias("allowed_mean_prior"),
-                  rounded(seq.rolling_mean("allowed", w, 5, True)).alias("allowed_mean_last5"))
+    from duelframe.plans.features import contest_feats, team_window
+    feats = contest_feats(include_current=True)
+    f = team_window(tg.select(*CONTEST_ENTITY, *CONTEST_ORDER, "win", "points", "allowed"), feats)
+    s = f.select(*CONTEST_ENTITY, *CONTEST_ORDER, *[rounded(x.name).alias(x.name) for x in feats])
     return fill_numeric(seq.latest(s, CONTEST_ENTITY, CONTEST_ORDER).drop(*CONTEST_ORDER), 0)
 
 
