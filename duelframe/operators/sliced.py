@@ -18,6 +18,12 @@ comes from two small tables:
 The full data is shuffled once, by ``(entity, slice)``; both helper
 tables join back on that key, so only they move. Results equal the plain
 window functions of ``sequence`` (up to floating-point summation order).
+
+Slicing costs a few extra small stages. ``sliced_window`` therefore takes
+an upper bound on the rows of the largest entity (``max_entity_rows``,
+see ``largest_group``); at or under ``SLICE_THRESHOLD`` rows every entity
+fits one task and the plain window plan (one Exchange + Sort + Window) is
+used instead. Without a bound the sliced plan is always used.
 """
 
 from __future__ import annotations
@@ -29,6 +35,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UP, UF, CUR = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
+
+# Largest entity (rows) that one task sorts with a plain window.
+SLICE_THRESHOLD = 2_000_000
 EXPANDING = ("sum", "count", "mean", "min", "max")
 
 
@@ -55,8 +64,48 @@ def _combine_sum(a: Column, b: Column) -> Column:
         F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows in the largest group of ``keys``: one partial aggregation (a
+    hot key collapses map-side), a single number back to the driver."""
+    got = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return int(got or 0)
+
+
+def plain_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
+                 feats: Sequence[Feat]) -> DataFrame:
+    """The same features with ordinary window functions over ``entity``."""
+    w = Window.partitionBy(*entity).orderBy(*order)
+    cols = {}
+    for f in feats:
+        c, cur = f.col, f.include_current
+        if f.kind in EXPANDING and f.n is None:
+            fr = w.rowsBetween(UP, CUR if cur else -1)
+            agg = {"sum": F.sum, "count": F.count, "mean": F.avg, "min": F.min, "max": F.max}[f.kind]
+            cols[f.name] = agg(c).over(fr)
+        elif f.n is not None:
+            fr = w.rowsBetween(-(f.n - 1), CUR) if cur else w.rowsBetween(-f.n, -1)
+            n = F.count(c).over(fr)
+            cols[f.name] = {"sum": F.when(n == f.n, F.sum(c).over(fr)), "count": n,
+                            "mean": F.when(n == f.n, F.sum(c).over(fr) / f.n)}[f.kind]
+        elif f.kind == "ffill":
+            cols[f.name] = F.last(c, ignorenulls=True).over(w.rowsBetween(UP, CUR))
+        elif f.kind == "bfill":
+            cols[f.name] = F.first(c, ignorenulls=True).over(w.rowsBetween(CUR, UF))
+        elif f.kind == "lag":
+            cols[f.name] = F.lag(c, 1).over(w)
+        elif f.kind == "rownum":
+            cols[f.name] = F.row_number().over(w).cast("bigint")
+        else:
+            raise ValueError(f"unsupported feature {f}")
+    return df.withColumns(cols)
+
+
 def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
-                  slices: Column | Sequence[Column], feats: Sequence[Feat]) -> DataFrame:
+                  slices: Column | Sequence[Column], feats: Sequence[Feat],
+                  max_entity_rows: int | None = None,
+                  threshold: int = SLICE_THRESHOLD) -> DataFrame:
+    if max_entity_rows is not None and max_entity_rows <= threshold:
+        return plain_window(df, entity, order, feats)
     slices = [slices] if isinstance(slices, Column) else list(slices)
     sl = [f"_sl{i}" for i in range(len(slices))]
     keys = [*entity, *sl]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from duelframe.functions.scalar import fill_numeric, rounded
 from duelframe.operators import sequence as seq
 from duelframe.operators.pairing import pair_sides
-from duelframe.operators.sliced import Feat, sliced_window
+from duelframe.operators.sliced import Feat, largest_group, sliced_window
 
 WARMUP_GAMES = 5
 LAST_N = 5
@@ -32,10 +32,18 @@ def team_slices() -> list[Column]:
     return [F.col("day_num"), F.floor(F.col("game_key") / 65536).cast("bigint")]
 
 
-def team_window(tg: DataFrame, feats: Sequence[Feat]) -> DataFrame:
-    """Team-sequence features, sorted per (team, slice): a team with a
-    huge share of the games is spread over many tasks."""
-    return sliced_window(tg, list(ENTITY), list(ORDER), team_slices(), feats)
+def team_window(tg: DataFrame, feats: Sequence[Feat], bound: int | None = None) -> DataFrame:
+    """Team-sequence features. With no ``bound`` on the games of the
+    busiest team, or a bound above the slicing threshold, rows are sorted
+    per (team, slice) so a team with a huge share of the games is spread
+    over many tasks; under it, one plain window per team."""
+    return sliced_window(tg, list(ENTITY), list(ORDER), team_slices(), feats, bound)
+
+
+def team_bound(events: DataFrame) -> int:
+    """Upper bound on one team's games in one league: its events of that
+    type (every game consumes one of them). One partial aggregation."""
+    return largest_group(events, ["event_type", "user_id"])
 
 
 def contest_feats(include_current: bool = False, n: int = LAST_N) -> list[Feat]:
@@ -49,17 +57,18 @@ def contest_feats(include_current: bool = False, n: int = LAST_N) -> list[Feat]:
             Feat("allowed_mean_last5", "mean", "allowed", n, cur)]
 
 
-def team_features(tg: DataFrame, include_current: bool = False) -> DataFrame:
+def team_features(tg: DataFrame, include_current: bool = False, bound: int | None = None) -> DataFrame:
     base = tg.select("league", "game_key", "day_num", "team_id", "loc", "win", "points", "allowed")
     feats = contest_feats(include_current) + [Feat("game_number", "rownum")]
-    return team_window(base, feats).drop("points", "allowed")
+    return team_window(base, feats, bound).drop("points", "allowed")
 
 
-def game_features(tg: DataFrame, warmup: int = WARMUP_GAMES, places: int | None = 6) -> DataFrame:
+def game_features(tg: DataFrame, warmup: int = WARMUP_GAMES, places: int | None = 6,
+                  bound: int | None = None) -> DataFrame:
     """Flagship: pre-game features of both sides of every game in which
     both teams are past their warm-up games; one row per game, side A =
     away team (or first id on a neutral court), label ``win_A``."""
-    feats = team_features(tg).where(F.col("game_number") > warmup)
+    feats = team_features(tg, bound=bound).where(F.col("game_number") > warmup)
     feats = fill_numeric(feats, 0)
     if places is not None:
         feats = feats.withColumns({c: rounded(c, places) for c in

@@ -27,8 +27,8 @@ from duelframe.operators.split import recency_weight, stratified_split
 from duelframe.operators.stats import brier_score, exact_medians, global_min_max, mean_std
 from duelframe.plans import contest as C
 from duelframe.operators.ordinal import time_slice
-from duelframe.operators.sliced import Feat, sliced_window
-from duelframe.plans.features import game_features, team_window
+from duelframe.operators.sliced import Feat, largest_group, sliced_window
+from duelframe.plans.features import game_features, team_bound, team_window
 from duelframe.plans.oracle_views import (ACTIVE_RANK, CONF, GAME_VIEWS, PERIODS_FILE,
                                           PERIODS_SEASON, PUBLICATION, RANKED, TEAM_VIEWS,
                                           TENURE, with_views)
@@ -58,6 +58,11 @@ def _team_games(spark, sf) -> DataFrame:
     return C.team_game(C.contest(Tables(spark, sf).events))
 
 
+def _bound(spark, sf) -> int:
+    """Largest possible team sequence, decides plain vs sliced windows."""
+    return team_bound(Tables(spark, sf).events)
+
+
 def _w():
     return seq.entity_window(ENTITY, ORDER)
 
@@ -258,11 +263,11 @@ NEUTRAL_WINS = """tw AS (
   FROM team_game WHERE loc = 'N')"""
 
 
-def _neutral_wins(tg: DataFrame) -> DataFrame:
+def _neutral_wins(tg: DataFrame, bound: int | None) -> DataFrame:
     """Sparse fact: wins coming in, counted over neutral-site games only
     (the "tournament" games)."""
     n = tg.where(F.col("loc") == "N").select(*ENTITY, *ORDER, "win")
-    w = team_window(n, [Feat("wins_in", "sum", "win")])
+    w = team_window(n, [Feat("wins_in", "sum", "win")], bound)
     return w.select(*ENTITY, *ORDER, F.coalesce("wins_in", F.lit(0)).cast("bigint").alias("wins_in"))
 
 
@@ -272,7 +277,7 @@ FROM team_game t LEFT JOIN tw ON t.league = tw.league AND t.team_id = tw.team_id
  AND t.day_num = tw.day_num AND t.game_key = tw.game_key"""))
 def sparse_fact_left_join(spark, sf):
     tg = _team_games(spark, sf)
-    return (tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg), [*ENTITY, *ORDER], "left")
+    return (tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg, _bound(spark, sf)), [*ENTITY, *ORDER], "left")
               .select("league", "game_key", "team_id", "day_num", "wins_in"))
 
 
@@ -290,9 +295,9 @@ def wins_coming_in_filled(spark, sf):
     """Sparse wins, forward-filled along the team's games, then
     back-filled from its next neutral game, then 0."""
     tg = _team_games(spark, sf)
-    j = tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg), [*ENTITY, *ORDER], "left")
-    f = team_window(j, [Feat("ff", "ffill", "wins_in")])
-    b = team_window(f, [Feat("bf", "bfill", "ff")])
+    j = tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg, _bound(spark, sf)), [*ENTITY, *ORDER], "left")
+    f = team_window(j, [Feat("ff", "ffill", "wins_in")], _bound(spark, sf))
+    b = team_window(f, [Feat("bf", "bfill", "ff")], _bound(spark, sf))
     return b.select("league", "game_key", "team_id", "day_num",
                     F.coalesce("ff", "bf", F.lit(0).cast("bigint")).alias("wins_in"))
 
@@ -360,7 +365,7 @@ SELECT league, game_key, team_id, COALESCE(ordinal, 9999) AS active_rank,
          AS season_best
 FROM active"""))
 def season_best_rank(spark, sf):
-    a = team_window(_active(spark, sf, "season"), [Feat("best", "min", "ordinal", None, True)])
+    a = team_window(_active(spark, sf, "season"), [Feat("best", "min", "ordinal", None, True)], _bound(spark, sf))
     return a.select("league", "game_key", "team_id",
                     F.coalesce("ordinal", F.lit(9999).cast("bigint")).alias("active_rank"),
                     F.coalesce("best", F.lit(9999).cast("bigint")).alias("season_best"))
@@ -490,7 +495,7 @@ SELECT league, game_key, team_id,
          AS win_pct_prior
 FROM team_game"""))
 def expanding_win_pct(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win")])
+    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win")], _bound(spark, sf))
     return tg.select("league", "game_key", "team_id", rounded("pct").alias("win_pct_prior"))
 
 
@@ -501,13 +506,13 @@ SELECT league, game_key, team_id,
          AS win_pct_last5
 FROM team_game"""))
 def rolling5_win_pct(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win", 5)])
+    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win", 5)], _bound(spark, sf))
     return tg.select("league", "game_key", "team_id", rounded("pct").alias("win_pct_last5"))
 
 
 def _means(spark, sf, include_current: bool, n: int | None):
     tg = team_window(_team_games(spark, sf), [Feat("p", "mean", "points", n, include_current),
-                                               Feat("a", "mean", "allowed", n, include_current)])
+                                               Feat("a", "mean", "allowed", n, include_current)], _bound(spark, sf))
     return tg.select("league", "game_key", "team_id", rounded("p").alias("points_mean"),
                      rounded("a").alias("allowed_mean"))
 
@@ -551,7 +556,8 @@ def _user_fill(spark, sf, kind: str, name: str) -> DataFrame:
     is sliced by hour so a very active user is not one sort task."""
     ev = Tables(spark, sf).events.select(
         "event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.col("value")).alias("pv"))
-    out = sliced_window(ev, ["user_id"], ["ts", "event_id"], time_slice("ts", 3600), [Feat(name, kind, "pv")])
+    out = sliced_window(ev, ["user_id"], ["ts", "event_id"], time_slice("ts", 3600), [Feat(name, kind, "pv")],
+                        largest_group(ev, ["user_id"]))
     return out.select("event_id", "user_id", name)
 
 
@@ -575,7 +581,7 @@ def backward_fill(spark, sf):
 SELECT league, game_key, team_id,
        CAST(SUM(win) OVER {INCL} - win AS BIGINT) AS wins_before FROM team_game"""))
 def exclusive_running_wins(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("w", "sum", "win")])
+    tg = team_window(_team_games(spark, sf), [Feat("w", "sum", "win")], _bound(spark, sf))
     return tg.select("league", "game_key", "team_id",
                      F.coalesce("w", F.lit(0)).cast("bigint").alias("wins_before"))
 
@@ -630,7 +636,7 @@ def partition_count(spark, sf):
 SELECT league, game_key, team_id, CAST(day_num - LAG(day_num) OVER ({W_TEAM}) AS BIGINT) AS rest_days
 FROM team_game"""))
 def days_since_previous(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("prev", "lag", "day_num")])
+    tg = team_window(_team_games(spark, sf), [Feat("prev", "lag", "day_num")], _bound(spark, sf))
     return tg.select("league", "game_key", "team_id", (F.col("day_num") - F.col("prev")).alias("rest_days"))
 
 
@@ -791,19 +797,19 @@ FROM s a JOIN s b ON a.league = b.league AND a.game_key = b.game_key AND a.day_n
 
 @register("game_features", _flagship_sql())
 def game_features_q(spark, sf):
-    return game_features(_team_games(spark, sf))
+    return game_features(_team_games(spark, sf), bound=_bound(spark, sf))
 
 
 STATE_COLS = ("win_pct", "points_mean", "points_mean_last5", "allowed_mean")
 
 
-def latest_team_state(tg: DataFrame) -> DataFrame:
+def latest_team_state(tg: DataFrame, bound: int | None = None) -> DataFrame:
     """Post-game state of each team after its latest game (serving
     features: inclusive windows, then the last row by day and key)."""
     f = team_window(tg.select(*ENTITY, *ORDER, "win", "points", "allowed"),
                     [Feat("win_pct", "mean", "win", None, True), Feat("points_mean", "mean", "points", None, True),
                      Feat("points_mean_last5", "mean", "points", 5, True),
-                     Feat("allowed_mean", "mean", "allowed", None, True)])
+                     Feat("allowed_mean", "mean", "allowed", None, True)], bound)
     s = f.select(*ENTITY, *ORDER, *[rounded(c).alias(c) for c in STATE_COLS])
     return fill_numeric(seq.latest(s, ENTITY, ORDER).drop(*ORDER), 0)
 
@@ -828,7 +834,7 @@ def matchup_features(spark, sf):
     """Bulk scoring input: every requested pairing (here: each contest's
     two teams) joined twice to the latest serving state."""
     games = C.contest(Tables(spark, sf).events)
-    state = latest_team_state(C.team_game(games))
+    state = latest_team_state(C.team_game(games), _bound(spark, sf))
     req = games.select("league", "game_key", F.col("w_id").alias("team_1"), F.col("l_id").alias("team_2")) \
                .dropna()
 
@@ -899,7 +905,7 @@ def matchup_scores(spark, sf):
     fitted = M.fit(train, spec, M.logistic(train, spec, M.DEPLOYED_C, "l2", max_iter=100))
     games = C.contest(Tables(spark, sf).events)
     req = games.select("league", "game_key", F.col("w_id").alias("team_1"), F.col("l_id").alias("team_2"))
-    rows = S.contest_matchup_rows(req, S.contest_state(C.team_game(games)))
+    rows = S.contest_matchup_rows(req, S.contest_state(C.team_game(games), _bound(spark, sf)))
     out = fitted.transform(rows)
     return out.select("league", "game_key", "team_1", "team_2",
                       M.prob1().alias("p_team_1"),

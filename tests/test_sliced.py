@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelframe.operators import sequence as seq
-from duelframe.operators.sliced import Feat, sliced_window
+from duelframe.operators.sliced import Feat, largest_group, sliced_window
 
 FEATS = [
     Feat("sum_pre", "sum", "v"), Feat("mean_pre", "mean", "v"), Feat("mean_post", "mean", "v", None, True),
@@ -55,3 +55,17 @@ def test_sliced_equals_plain(spark, seed, width):
             assert same(r[f.name], ref[r["id"]][f.name]), (f.name, r["id"], r[f.name], ref[r["id"]][f.name])
         n += 1
     assert n == 600
+
+
+def test_plain_path_under_threshold(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("ab"), rng.randint(0, 50), float(rng.randint(0, 9)), rng.randint(1, 9), 1)
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, e string, t int, v double, r int, w int")
+    bound = largest_group(df, ["e"])
+    got = sliced_window(df, ["e"], ["t", "id"], F.floor(F.col("t") / 5), FEATS, max_entity_rows=bound)
+    assert "_sl0" not in got._jdf.queryExecution().executedPlan().toString()  # plain plan chosen
+    ref = {r["id"]: r for r in plain(df).collect()}
+    for r in got.collect():
+        for f in FEATS:
+            assert same(r[f.name], ref[r["id"]][f.name]), f.name
