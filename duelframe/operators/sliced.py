@@ -64,11 +64,24 @@ def _combine_sum(a: Column, b: Column) -> Column:
         F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
 
 
+_BOUNDS: dict[tuple, int] = {}
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows in the largest group of ``keys``: one partial aggregation (a
-    hot key collapses map-side), a single number back to the driver."""
-    got = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(got or 0)
+    hot key collapses map-side), a single number back to the driver.
+
+    The number only chooses between two plans with equal results, so it is
+    remembered per (input files, keys) like a table statistic; new or
+    changed files give a new key."""
+    files = tuple(sorted(df.inputFiles()))
+    memo = (files, df.semanticHash(), tuple(keys)) if files else None
+    if memo in _BOUNDS:
+        return _BOUNDS[memo]
+    got = int(df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
+    if memo is not None:
+        _BOUNDS[memo] = got
+    return got
 
 
 def plain_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],

@@ -1,0 +1,5 @@
+"""Streaming: the serving state kept current from a stream of results.
+
+The reference is batch-only; this package applies the batch operators to
+micro-batches (``foreachBatch``) and adds no operator of its own.
+"""

@@ -1,0 +1,87 @@
+"""Keep the serving state current from a stream of game results.
+
+The serving state of a team (post-game features after its latest game:
+win share, mean points, mean allowed, mean points of the last five games)
+is kept as two small tables per version:
+
+- ``totals``: one row per (league, team) with games, wins and sums;
+- ``recent``: the team's five latest games as rows.
+
+Each micro-batch mirrors its new games, adds their per-team sums to the
+totals (an aggregation) and re-takes the five latest rows of old + new
+(a ``row_number`` filter, planned as a partial ``WindowGroupLimit``). Sums
+do not depend on arrival order and the five latest rows are re-selected
+by (day, key), so late games land where they belong.
+
+Versions are written to ``<state_dir>/v=<batch_id>`` and each batch reads
+the newest earlier version, so a replayed batch rewrites the same folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from duelframe.plans.contest import team_game
+
+KEY = ["league", "team_id"]
+ORDER = ["day_num", "game_key"]
+RECENT_N = 5
+
+
+def _versions(spark: SparkSession, state_dir: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    out = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS_STATE")):
+            out.append(int(name[2:]))
+    return sorted(out)
+
+
+def merge_batch(spark: SparkSession, games: DataFrame, state_dir: str, batch_id: int) -> None:
+    """Fold one micro-batch of contest rows into the next state version."""
+    tg = team_game(games).select(*KEY, *ORDER, "points", "allowed", "win")
+    prev = [v for v in _versions(spark, state_dir) if v < batch_id]
+    add = tg.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("win").alias("wins"),
+                               F.sum("points").alias("sum_points"), F.sum("allowed").alias("sum_allowed"))
+    recent = tg
+    if prev:
+        base = f"{state_dir}/v={prev[-1]}"
+        add = (spark.read.parquet(f"{base}/totals").unionByName(add).groupBy(*KEY)
+               .agg(F.sum("n").alias("n"), F.sum("wins").alias("wins"),
+                    F.sum("sum_points").alias("sum_points"), F.sum("sum_allowed").alias("sum_allowed")))
+        recent = spark.read.parquet(f"{base}/recent").unionByName(tg)
+    w = Window.partitionBy(*KEY).orderBy(*[F.col(c).desc() for c in ORDER])
+    recent = recent.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= RECENT_N).drop("_r")
+    out = f"{state_dir}/v={batch_id}"
+    add.write.mode("overwrite").parquet(f"{out}/totals")
+    recent.write.mode("overwrite").parquet(f"{out}/recent")
+    spark.createDataFrame([(batch_id,)], "v long").write.mode("overwrite").parquet(f"{out}/_SUCCESS_STATE")
+
+
+def current_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    """Serving features of the newest version, one row per (league, team)."""
+    v = _versions(spark, state_dir)[-1]
+    totals = spark.read.parquet(f"{state_dir}/v={v}/totals")
+    recent = (spark.read.parquet(f"{state_dir}/v={v}/recent").groupBy(*KEY)
+              .agg(F.count("points").alias("k"), F.sum("points").alias("s5")))
+    j = totals.join(recent, KEY, "left")
+    return j.select(*KEY, (F.col("wins") / F.col("n")).alias("win_pct"),
+                    (F.col("sum_points") / F.col("n")).alias("points_mean"),
+                    F.when(F.col("k") == RECENT_N, F.col("s5") / RECENT_N).alias("points_mean_last5"),
+                    (F.col("sum_allowed") / F.col("n")).alias("allowed_mean"))
+
+
+def start(spark: SparkSession, source_dir: str, schema, state_dir: str, checkpoint: str,
+          max_files_per_trigger: int = 1):
+    """Stream contest result files (Parquet, contest schema) into the state."""
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+              .parquet(source_dir))
+    return (stream.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(lambda df, bid: merge_batch(spark, df, state_dir, bid)).start())
+
