@@ -145,17 +145,16 @@ def brier(df: DataFrame, label: str = "label", prob: str = "p1") -> float:
 def soft_vote(models: Sequence[Transformer], df: DataFrame, keep: Sequence[str], spec: ModelSpec,
               weights: Sequence[float] | None = None) -> DataFrame:
     """Weighted mean of the class-1 probabilities of several fitted
-    pipelines; prediction = mean > 0.5 (ties go to class 0)."""
+    pipelines; prediction = mean > 0.5 (ties go to class 0). The models
+    are applied one after the other to the same rows (each keeps only its
+    probability), so scoring is one pass with no join."""
     weights = list(weights or [1.0] * len(models))
-    parts = [m.transform(df).select(*keep, prob1().alias(f"_p{i}")) for i, m in enumerate(models)]
-    j = parts[0]
-    for p in parts[1:]:
-        j = j.join(p, list(keep))
-    tot = sum(weights)
-    p = sum(F.col(f"_p{i}") * w for i, w in enumerate(weights)) / tot
-    lab = df.select(*keep, F.col(spec.label).alias("label"))
-    return (j.select(*keep, p.alias("p1")).join(lab, list(keep))
-             .withColumn("prediction", (F.col("p1") > 0.5).cast("int")))
+    cur = df
+    for i, m in enumerate(models):
+        cur = m.transform(cur).select(*cur.columns, prob1().alias(f"_p{i}"))
+    p = sum(F.col(f"_p{i}") * w for i, w in enumerate(weights)) / sum(weights)
+    return cur.select(*keep, F.col(spec.label).alias("label"), p.alias("p1"),
+                      (p > 0.5).cast("int").alias("prediction"))
 
 
 # Search spaces: (name, low, high, kind) with kind in {"log", "uniform", "int"}.
@@ -213,7 +212,8 @@ def search(train: DataFrame, test: DataFrame, spec: ModelSpec, family: str, n_tr
     tr.unpersist()
     te.unpersist()
     spark = train.sparkSession
-    return spark.createDataFrame(rows, "trial int, family string, params string, brier double")
+    return (spark.createDataFrame(rows, "trial int, family string, params string, brier double")
+            .orderBy("brier", "trial"))
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -911,3 +911,55 @@ def matchup_scores(spark, sf):
                       M.prob1().alias("p_team_1"),
                       F.when(F.col("prediction") == 1, F.col("team_1")).otherwise(F.col("team_2"))
                       .alias("winner"))
+
+
+# --------------------------------------------------------------------------
+# Declared-but-unexecuted ideas of the reference
+
+LAST10 = _frame("10 PRECEDING")
+
+
+@register("rolling10_mean_prior", _mean_sql(LAST10, 10))
+def rolling10_mean_prior(spark, sf):
+    """Last-10 variant of the last-n means (a window parameter)."""
+    return _means(spark, sf, False, 10)
+
+
+@register("win_pct_by_opp_conf", with_views(*TEAM_VIEWS, CONF, body="""
+, t AS (SELECT g.*, c.n_name AS opp_conf FROM team_game g LEFT JOIN conf c ON g.opp_id = c.c_custkey)
+SELECT league, game_key, team_id, opp_conf,
+       ROUND(CAST(SUM(win) OVER (PARTITION BY league, team_id, opp_conf ORDER BY day_num, game_key
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE)
+             / COUNT(win) OVER (PARTITION BY league, team_id, opp_conf ORDER BY day_num, game_key
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS win_pct_vs_conf
+FROM t""").replace("\n, t AS", ", t AS", 1))
+def win_pct_by_opp_conf(spark, sf):
+    """Win share coming in against each opponent conference (the
+    opponent's nation): the entity window gains the conference key."""
+    t = Tables(spark, sf)
+    conf = (t.customer.select("c_custkey", "c_nationkey")
+            .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"))
+    tg = dim_lookup(_team_games(spark, sf), conf, ["opp_id"], ["c_custkey"], {"n_name": "opp_conf"})
+    out = sliced_window(tg, ["league", "team_id", "opp_conf"], ORDER,
+                        [F.col("day_num"), F.floor(F.col("game_key") / 65536)],
+                        [Feat("pct", "mean", "win")], _bound(spark, sf))
+    return out.select("league", "game_key", "team_id", "opp_conf", rounded("pct").alias("win_pct_vs_conf"))
+
+
+@register("prior_season_status", """
+WITH s AS (SELECT o_custkey AS ck, CAST(year(o_orderdate) AS BIGINT) AS season,
+                  MAX(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS urgent
+           FROM orders GROUP BY o_custkey, CAST(year(o_orderdate) AS BIGINT))
+SELECT o.o_orderkey, o.o_custkey, CAST(year(o.o_orderdate) AS BIGINT) AS season,
+       COALESCE(s.urgent, 0) AS prior_urgent
+FROM orders o LEFT JOIN s ON o.o_custkey = s.ck AND CAST(year(o.o_orderdate) AS BIGINT) - 1 = s.season""")
+def prior_season_status(spark, sf):
+    """Status of the previous season attached by a left join on
+    ``season - 1`` (here: whether the customer placed an urgent order)."""
+    o = Tables(spark, sf).orders.select("o_orderkey", "o_custkey", "o_orderpriority",
+                                         F.year("o_orderdate").cast("bigint").alias("season"))
+    status = (o.groupBy("o_custkey", "season")
+               .agg(F.max(flag(F.col("o_orderpriority") == "1-URGENT")).alias("urgent"))
+               .select("o_custkey", (F.col("season") + 1).alias("season"), "urgent"))
+    return (o.join(status, ["o_custkey", "season"], "left")
+             .select("o_orderkey", "o_custkey", "season", F.coalesce("urgent", F.lit(0)).alias("prior_urgent")))

@@ -58,3 +58,11 @@ def test_weighted_forest_vote_and_search(spark, pairs):
     assert len(res) == 3 and all(math.isfinite(r["brier"]) for r in res)
     res2 = M.search(rows, rows, spec, "logistic_l1", n_trials=3, parallelism=1, max_iter=20).collect()
     assert sorted(r["params"] for r in res) == sorted(r["params"] for r in res2)
+
+
+def test_network_search(spark, pairs):
+    fp, _ = pairs
+    spec = M.sports_spec(fp)
+    res = M.search(fp, fp, spec, "network", n_trials=2, parallelism=2, max_iter=5).collect()
+    assert len(res) == 2 and all(math.isfinite(r["brier"]) for r in res)
+    assert res[0]["brier"] <= res[1]["brier"]  # best first
