@@ -16,6 +16,10 @@ a fixed-width time slice of the timestamp):
 
 All steps are deterministic (the order key must be total), so a lost
 executor recomputes exactly the same numbers.
+
+Given an upper bound on the largest group (``max_group_rows``) at or under
+``SLICE_THRESHOLD``, both operators use one plain window per group instead
+- a single Exchange + Sort, same results.
 """
 
 from __future__ import annotations
@@ -25,6 +29,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.operators.sliced import SLICE_THRESHOLD
+
+
+def _small(bound: int | None) -> bool:
+    return bound is not None and bound <= SLICE_THRESHOLD
+
+
+def _group_window(group: Sequence[str], order: Sequence[str]):
+    return (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(*order)
+
 
 def time_slice(ts: str | Column, seconds: int) -> Column:
     """Fixed-width slice number of a timestamp (monotone in ``ts``).
@@ -36,7 +50,7 @@ def time_slice(ts: str | Column, seconds: int) -> Column:
 
 def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
                    slices: Column | Sequence[Column], name: str = "ordinal",
-                   keep_slices: bool = False) -> DataFrame:
+                   keep_slices: bool = False, max_group_rows: int | None = None) -> DataFrame:
     """Add ``name``: 0-based position of the row in its group under ``order``.
 
     ``slices`` (one column or several, compared in order) must be
@@ -46,6 +60,8 @@ def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
     first position ``_off`` and size ``_n`` stay on the rows; the result is
     hash-partitioned by ``group + slices`` for a following operator.
     """
+    if _small(max_group_rows) and not keep_slices:
+        return df.withColumn(name, (F.row_number().over(_group_window(group, order)) - 1).cast("bigint"))
     slices = [slices] if isinstance(slices, Column) else list(slices)
     sl = [f"_slice{i}" for i in range(len(slices))]
     d = df.withColumns(dict(zip(sl, slices)))
@@ -63,7 +79,8 @@ def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
 
 
 def pair_consecutive(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                     slices: Column | Sequence[Column], cols: Sequence[str]) -> DataFrame:
+                     slices: Column | Sequence[Column], cols: Sequence[str],
+                     max_group_rows: int | None = None) -> DataFrame:
     """Pair positions (0, 1), (2, 3), ... of each group under ``order``:
     one row per pair with ``a_<c>`` / ``b_<c>`` for every column in
     ``cols``; a trailing unpaired row is dropped.
@@ -75,6 +92,14 @@ def pair_consecutive(df: DataFrame, group: Sequence[str], order: Sequence[str],
     (``min_by`` / ``max_by`` with map-side partial aggregation), so those
     pairs are formed from a table with one row per slice.
     """
+    if _small(max_group_rows):
+        w = _group_window(group, order)
+        p = df.select(*group, *cols, (F.row_number().over(w) - 1).alias("_rn"),
+                      *[F.lead(c, 1).over(w).alias(f"_b_{c}") for c in cols],
+                      F.lead(F.lit(1), 1).over(w).alias("_has_b"))
+        return p.where(((F.col("_rn") % 2) == 0) & F.col("_has_b").isNotNull()).select(
+            *group, *[F.col(c).alias(f"a_{c}") for c in cols],
+            *[F.col(f"_b_{c}").alias(f"b_{c}") for c in cols])
     slices = [slices] if isinstance(slices, Column) else list(slices)
     sl = [f"_slice{i}" for i in range(len(slices))]
     d = df.withColumns(dict(zip(sl, slices)))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from duelframe.operators.mirror import mirror
 from duelframe.operators.ordinal import pair_consecutive, time_slice
+from duelframe.operators.sliced import largest_group
 
 # Fixed values of the contest view.
 LOCATION_BY_KEY_MOD5 = {0: "N", 4: "A"}  # any other remainder: "H"
@@ -34,10 +35,13 @@ def day_index(ts: str) -> F.Column:
     return (F.dayofyear(F.col(ts)) - 1).cast("bigint")
 
 
-def contest(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def contest(events: DataFrame, slice_seconds: int = SLICE_SECONDS, sliced: bool | None = None) -> DataFrame:
+    """``sliced``: force the sliced (True) or plain (False) numbering; by
+    default the size of the largest event type decides."""
     ev = events.select("event_type", "ts", "event_id", "user_id", "value")
+    bound = None if sliced else (0 if sliced is False else largest_group(ev, ["event_type"]))
     pairs = pair_consecutive(ev, ["event_type"], ["ts", "event_id"], time_slice("ts", slice_seconds),
-                             ["user_id", "value", "event_id", "ts"])
+                             ["user_id", "value", "event_id", "ts"], bound)
     a_wins = F.col("a_value") > F.col("b_value")
     key = F.col("b_event_id")
     loc = (F.when(key % 5 == 0, F.lit(LOCATION_BY_KEY_MOD5[0]))

@@ -176,7 +176,8 @@ def suffix_rename_pair(spark, sf):
     non-key column suffixed by its side (positions 0-1, 2-3, ...)."""
     s = Tables(spark, sf).supplier.select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
     cols = ["s_suppkey", "s_name", "s_acctbal"]
-    p = pair_consecutive(s, ["s_nationkey"], ["s_suppkey"], F.floor(F.col("s_suppkey") / 4096), cols)
+    p = pair_consecutive(s, ["s_nationkey"], ["s_suppkey"], F.floor(F.col("s_suppkey") / 4096), cols,
+                         largest_group(s, ["s_nationkey"]))
     return p.select("s_nationkey", *[F.col(f"a_{c}").alias(f"{c}_A") for c in cols],
                     *[F.col(f"b_{c}").alias(f"{c}_B") for c in cols])
 
@@ -615,9 +616,11 @@ FROM contest"""))
 def surrogate_key(spark, sf):
     """Dense 0-based game id in (league, day, key) order, numbered per
     (league, day) slice rather than in one global sort."""
-    g = C.contest(Tables(spark, sf).events).select("league", "game_key", "day_num")
+    ev = Tables(spark, sf).events
+    g = C.contest(ev).select("league", "game_key", "day_num")
     return ordinal_within(g, [], ["league", "day_num", "game_key"],
-                          [F.col("league"), F.col("day_num")], "game_id")
+                          [F.col("league"), F.col("day_num")], "game_id",
+                          max_group_rows=largest_group(ev, []))  # games <= events
 
 
 @register("partition_count", """

@@ -36,6 +36,7 @@ from duelframe.operators.mirror import mirror, mirror_compact
 from duelframe.operators.ordinal import ordinal_within
 from duelframe.operators.pairing import pair_sides
 from duelframe.operators.ranks import active_rank, ranked_periods
+from duelframe.operators.sliced import largest_group
 from duelframe.sources.schemas import BOX_STEMS
 
 # Output names of the mirrored box-score columns, by stem.
@@ -98,7 +99,9 @@ def game_table(regular: DataFrame, tourney: DataFrame, conf_games: DataFrame,
     games = dim_lookup(games, team_confs, ["Season", "LTeamID"], ["Season", "TeamID"],
                        {"ConfAbbrev": "LConf"})
     # dense game id in (season, day, winner, loser) order, numbered per day
-    return ordinal_within(games, [], GAME_KEY, [F.col("Season"), F.col("DayNum")], "GameID")
+    # (one plain window when the whole table fits one task)
+    return ordinal_within(games, [], GAME_KEY, [F.col("Season"), F.col("DayNum")], "GameID",
+                          max_group_rows=largest_group(reg.unionByName(post), []))
 
 
 def winner_id_range(games: DataFrame) -> DataFrame:

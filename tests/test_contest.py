@@ -27,8 +27,10 @@ def views(request, spark):
     return request.param, ev, games, C.team_game(games)
 
 
-def test_contest_goldens(views):
-    sf, _, games, _ = views
+@pytest.mark.parametrize("sliced", [True, False])
+def test_contest_goldens(views, sliced):
+    sf, ev, _, _ = views
+    games = C.contest(ev, sliced=sliced)
     r = games.agg(F.count("*"), F.sum("w_id"), F.sum("l_id"), F.round(F.sum("w_score"), 2),
                   F.sum("day_num")).first()
     assert tuple(r) == GOLD[sf]["contest"]

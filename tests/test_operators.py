@@ -188,3 +188,18 @@ def test_stratified_split_exact(spark):
         assert t == (total * 7) // 10
     again = stratified_split(df.repartition(7), "s", "k")
     assert rows(out, "k") == rows(again.select(out.columns), "k")  # independent of partitioning
+
+
+def test_pair_consecutive_plain_equals_sliced(spark):
+    from duelframe.operators.ordinal import pair_consecutive
+    rng = random.Random(5)
+    data = [(rng.choice("xyz"), rng.randint(0, 300), i, rng.randint(0, 9)) for i in range(900)]
+    df = spark.createDataFrame(data, "g string, t int, id int, u int")
+    sl = F.floor(F.col("t") / 13)
+    a = pair_consecutive(df, ["g"], ["t", "id"], sl, ["id", "u"], None)
+    b = pair_consecutive(df, ["g"], ["t", "id"], sl, ["id", "u"], 0)
+    assert rows(a, "g", "a_id") == rows(b.select(a.columns), "g", "a_id")
+    assert a.count() == sum(n // 2 for n in [sum(1 for r in data if r[0] == g) for g in "xyz"])
+    c = ordinal_within(df, ["g"], ["t", "id"], sl, "pos", max_group_rows=0)
+    d = ordinal_within(df, ["g"], ["t", "id"], sl, "pos")
+    assert rows(c.select("id", "pos"), "id") == rows(d.select("id", "pos"), "id")
