@@ -18,7 +18,7 @@ All steps are deterministic (the order key must be total), so a lost
 executor recomputes exactly the same numbers.
 
 Given an upper bound on the largest group (``max_group_rows``) at or under
-``SLICE_THRESHOLD``, both operators use one plain window per group instead
+the slicing threshold, both operators use one plain window per group instead
 - a single Exchange + Sort, same results.
 """
 
@@ -29,11 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.operators.sliced import SLICE_THRESHOLD
-
-
-def _small(bound: int | None) -> bool:
-    return bound is not None and bound <= SLICE_THRESHOLD
+from duelframe.operators.sliced import fits_one_task
 
 
 def _group_window(group: Sequence[str], order: Sequence[str]):
@@ -60,7 +56,7 @@ def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
     first position ``_off`` and size ``_n`` stay on the rows; the result is
     hash-partitioned by ``group + slices`` for a following operator.
     """
-    if _small(max_group_rows) and not keep_slices:
+    if fits_one_task(max_group_rows, df.sparkSession) and not keep_slices:
         return df.withColumn(name, (F.row_number().over(_group_window(group, order)) - 1).cast("bigint"))
     slices = [slices] if isinstance(slices, Column) else list(slices)
     sl = [f"_slice{i}" for i in range(len(slices))]
@@ -92,7 +88,7 @@ def pair_consecutive(df: DataFrame, group: Sequence[str], order: Sequence[str],
     (``min_by`` / ``max_by`` with map-side partial aggregation), so those
     pairs are formed from a table with one row per slice.
     """
-    if _small(max_group_rows):
+    if fits_one_task(max_group_rows, df.sparkSession):
         w = _group_window(group, order)
         p = df.select(*group, *cols, (F.row_number().over(w) - 1).alias("_rn"),
                       *[F.lead(c, 1).over(w).alias(f"_b_{c}") for c in cols],

@@ -142,3 +142,14 @@ def with_streak(df: DataFrame, partition: Sequence[str], order: Sequence[str | C
     if not include_current:
         out = out.withColumn(name, F.coalesce(F.lag(name, 1).over(w), F.lit(0).cast("bigint")))
     return out.drop("_island")
+
+
+def dense_rank_of(df: DataFrame, entity: Sequence[str], key: str, name: str) -> DataFrame:
+    """``dense_rank`` of ``key`` inside each entity without sorting rows:
+    the distinct (entity, key) pairs are ranked (one row per pair) and the
+    rank is joined back, so an entity with a huge share of the rows costs a
+    partial aggregation and a join that AQE can split, not a single sort."""
+    keys = df.select(*entity, key).distinct()
+    ranked = keys.withColumn(name, F.row_number().over(
+        Window.partitionBy(*entity).orderBy(key)).cast("bigint"))
+    return df.join(ranked, [*entity, key], "inner")

@@ -36,8 +36,20 @@ from pyspark.sql import functions as F
 
 UP, UF, CUR = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
 
-# Largest entity (rows) that one task sorts with a plain window.
+# Largest entity (rows) that one task sorts with a plain window; a session
+# can change it with spark.duelframe.sliceThreshold (-1: always slice).
 SLICE_THRESHOLD = 2_000_000
+THRESHOLD_CONF = "spark.duelframe.sliceThreshold"
+
+
+def slice_threshold(spark) -> int:
+    return int(spark.conf.get(THRESHOLD_CONF, str(SLICE_THRESHOLD)))
+
+
+def fits_one_task(bound: int | None, spark) -> bool:
+    """True when a bound on the largest group is known and small enough
+    for one task to sort it."""
+    return bound is not None and bound <= slice_threshold(spark)
 EXPANDING = ("sum", "count", "mean", "min", "max")
 
 
@@ -115,9 +127,8 @@ def plain_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
 
 def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
                   slices: Column | Sequence[Column], feats: Sequence[Feat],
-                  max_entity_rows: int | None = None,
-                  threshold: int = SLICE_THRESHOLD) -> DataFrame:
-    if max_entity_rows is not None and max_entity_rows <= threshold:
+                  max_entity_rows: int | None = None) -> DataFrame:
+    if fits_one_task(max_entity_rows, df.sparkSession):
         return plain_window(df, entity, order, feats)
     slices = [slices] if isinstance(slices, Column) else list(slices)
     sl = [f"_sl{i}" for i in range(len(slices))]

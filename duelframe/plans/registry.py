@@ -452,7 +452,8 @@ MEDIAN_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenu
     f"SELECT '{c}' AS col_name, ROUND(MEDIAN(CAST({c} AS DOUBLE)), 6) AS median FROM lineitem"
     for c in MEDIAN_COLS))
 def global_medians(spark, sf):
-    m = exact_medians(Tables(spark, sf).lineitem, MEDIAN_COLS)
+    li = Tables(spark, sf).lineitem
+    m = exact_medians(li, MEDIAN_COLS, max_rows=largest_group(li, []))
     return m.select(F.col("column").alias("col_name"), rounded("median").alias("median"))
 
 
@@ -594,10 +595,9 @@ SELECT o_orderkey, o_custkey, game_number FROM (
 def skip_first_n(spark, sf):
     """Warm-up cut by dense rank of the day, as the reference ranks games
     (two orders of one day share a number)."""
-    o = Tables(spark, sf).orders
-    w = seq.entity_window(["o_custkey"], ["o_orderdate"])
-    return (o.select("o_orderkey", "o_custkey", seq.sequence_number(w, dense=True).alias("game_number"))
-             .where(F.col("game_number") > 5))
+    o = Tables(spark, sf).orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    return (seq.dense_rank_of(o, ["o_custkey"], "o_orderdate", "game_number")
+            .where(F.col("game_number") > 5).select("o_orderkey", "o_custkey", "game_number"))
 
 
 @register("latest_state", """
@@ -650,10 +650,18 @@ def days_since_previous(spark, sf):
 SELECT league, game_key, team_id, CAST(COALESCE(LAG(s) OVER ({W_TEAM}), 0) AS BIGINT) AS win_streak
 FROM inc""").replace("\n, isl AS", ", isl AS", 1))
 def streak_length(spark, sf):
-    """Win streak coming into each game."""
+    """Win streak coming into each game: position minus the position of
+    the last loss so far, taken from the previous row. Three sliced passes
+    (row number, carried loss position, lag)."""
     tg = _team_games(spark, sf).select("league", "game_key", "team_id", "day_num", "win")
-    return seq.with_streak(tg, ENTITY, ORDER, "win", "win_streak").select(
-        "league", "game_key", "team_id", "win_streak")
+    b = _bound(spark, sf)
+    a = team_window(tg, [Feat("pos", "rownum")], b)
+    a = a.withColumn("loss_pos", F.when(F.col("win") == 0, F.col("pos")))
+    a = team_window(a, [Feat("last_loss", "ffill", "loss_pos")], b)
+    a = a.withColumn("run", F.col("pos") - F.coalesce("last_loss", F.lit(0).cast("bigint")))
+    a = team_window(a, [Feat("prev_run", "lag", "run")], b)
+    return a.select("league", "game_key", "team_id",
+                    F.coalesce("prev_run", F.lit(0).cast("bigint")).cast("bigint").alias("win_streak"))
 
 
 # --------------------------------------------------------------------------

@@ -33,14 +33,19 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_partitioned(df: DataFrame, key: str, path: str, key_copy: str | None = None,
-                      fmt: str = "parquet", mode: str = "overwrite") -> None:
+                      fmt: str = "parquet", mode: str = "overwrite", spread: int = 16) -> None:
     """One folder per value of ``key``. ``partitionBy`` removes the
     partition column from the files, so with ``key_copy`` a copy of the
     key is partitioned on and the original column stays in every file.
-    Rows are clustered by the key first so each task writes few files."""
+
+    Rows are clustered by (key, salt) before writing: each key is written
+    by at most ``spread`` tasks (so a key holding a third of the rows is
+    not one task) and each task writes few files. The salt is a hash of
+    the row, so a retried task sees exactly the same rows."""
     part = key_copy or key
     d = df.withColumn(part, F.col(key)) if key_copy else df
-    w = d.repartition(part).write.mode(mode).partitionBy(part)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(spread))
+    w = d.repartition(part, salt).write.mode(mode).partitionBy(part)
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:

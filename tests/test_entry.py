@@ -90,3 +90,19 @@ def test_scan_prunes_and_pushes(spark):
     plan = _plan(E.queries()["scan_filter_project"](spark, SF0001))
     assert "PushedFilters: [IsNotNull(l_returnflag), IsNotNull(l_quantity)" in plan
     assert "l_shipdate" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+SLICED_SENSITIVE = ["mirror_two_sided", "game_features", "streak_length", "surrogate_key",
+                    "stratified_split", "global_medians", "forward_fill", "wins_coming_in_filled",
+                    "season_best_rank", "rolling5_mean_prior", "suffix_rename_pair",
+                    "days_since_previous", "matchup_features"]
+
+
+@pytest.mark.parametrize("name", SLICED_SENSITIVE)
+def test_differential_sliced_plans(spark, duck, name):
+    """The many-task plans for hot groups give the oracle's rows too."""
+    spark.conf.set("spark.duelframe.sliceThreshold", "-1")
+    try:
+        test_differential_sf0001(spark, duck, name)
+    finally:
+        spark.conf.unset("spark.duelframe.sliceThreshold")
