@@ -36,7 +36,7 @@ from duelframe.operators.mirror import mirror, mirror_compact
 from duelframe.operators.ordinal import ordinal_within
 from duelframe.operators.pairing import pair_sides
 from duelframe.operators.ranks import active_rank, ranked_periods
-from duelframe.operators.sliced import largest_group
+from duelframe.operators.sliced import Feat, largest_group, sliced_window
 from duelframe.sources.schemas import BOX_STEMS
 
 # Output names of the mirrored box-score columns, by stem.
@@ -267,31 +267,61 @@ def team_games(regular, tourney, compact, conf_games, team_confs, coaches, seeds
 
 # ---------------------------------------------------------------- features
 
-def feature_columns(include_current: bool = False, last_n: int = 5) -> dict[str, F.Column]:
-    """All 50 window features of a team-season (plus the filled rank, seed
-    and wins columns), computed from the raw input columns."""
-    w = seq.entity_window(TEAM_SEASON, TEAM_ORDER)
+def team_season_bound(regular: DataFrame, tourney: DataFrame) -> int:
+    """Upper bound on one team's games in one season, from the raw result
+    files: its appearances as winner plus as loser (one aggregation)."""
+    g = regular.select("Season", "WTeamID", "LTeamID").unionByName(
+        tourney.select("Season", "WTeamID", "LTeamID"))
+    ids = g.select("Season", F.explode(F.array("WTeamID", "LTeamID")).alias("TeamID"))
+    return largest_group(ids, TEAM_SEASON)
+
+
+def _ratio(w: str, l: str, zero_as_nan: bool = True) -> F.Column:
+    """W / (W + L) from two window sums; 0/0 -> NaN (filled with 0 later)."""
+    tot = F.col(w) + F.col(l)
+    share = F.try_divide(F.col(w).cast("double"), tot.cast("double"))
+    return F.when(tot == 0, F.lit(float("nan"))).otherwise(share) if zero_as_nan else share
+
+
+def with_features(df: DataFrame, include_current: bool = False, bound: int | None = None,
+                  last_n: int = 5) -> DataFrame:
+    """Input columns plus all 50 features of a team-season.
+
+    The window features run through ``sliced_window``: with ``bound`` (see
+    ``team_season_bound``) under the slicing threshold they are one plain
+    window over (Season, TeamID); otherwise per (team-season, day), so a
+    team with a huge schedule still spreads over many tasks. Season bests
+    and fills read the raw (unfilled) rank columns.
+    """
     cur = include_current
-    cols = {
+    feats = [
+        Feat("_pom_ff", "ffill", "ActivePOMRank"), Feat("_net_ff", "ffill", "ActiveNETRank"),
+        Feat("_best_ap", "min", "ActiveAPRank", None, True), Feat("_best_pom", "min", "ActivePOMRank", None, True),
+        Feat("_w", "sum", "WinFlag", None, cur), Feat("_l", "sum", "LoseFlag", None, cur),
+        Feat("_w5", "sum", "WinFlag", last_n, cur), Feat("_l5", "sum", "LoseFlag", last_n, cur),
+        Feat("_pw", "sum", "Power5WinFlag", None, cur), Feat("_pl", "sum", "Power5LoseFlag", None, cur),
+        Feat("_nw", "sum", "NonPower5WinFlag", None, cur), Feat("_nl", "sum", "NonPower5LoseFlag", None, cur),
+    ]
+    for stem, src in STAT_FEATURES:
+        feats += [Feat(f"{stem}_Overall", "mean", src, None, cur),
+                  Feat(f"{stem}_Last{last_n}", "mean", src, last_n, cur)]
+    out = sliced_window(df, TEAM_SEASON, TEAM_ORDER, F.col("DayNum"), feats, bound)
+    final = {
         "ActiveAPRank": F.coalesce("ActiveAPRank", F.lit(UNRANKED)),
-        "ActivePOMRank": F.coalesce(seq.forward_fill("ActivePOMRank", w), F.lit(UNRANKED)),
-        "ActiveNETRank": F.coalesce(seq.forward_fill("ActiveNETRank", w), F.lit(UNRANKED)),
+        "ActivePOMRank": F.coalesce("_pom_ff", F.lit(UNRANKED)),
+        "ActiveNETRank": F.coalesce("_net_ff", F.lit(UNRANKED)),
         "NCAATourneySeed": F.coalesce("NCAATourneySeed", F.lit(NO_SEED)),
         "ActiveTourneyWins_School": F.coalesce("ActiveTourneyWins_School", F.lit(0)),
         "ActiveTourneyWins_Coach": F.coalesce("ActiveTourneyWins_Coach", F.lit(0)),
-        # season bests read the raw (unfilled) ranks
-        "SeasonBestAPRank": F.coalesce(seq.running_min("ActiveAPRank", w), F.lit(UNRANKED)),
-        "SeasonBestPOMRank": F.coalesce(seq.running_min("ActivePOMRank", w), F.lit(UNRANKED)),
-        "RollingWinPct_Overall": seq.ratio_of_sums("WinFlag", "LoseFlag", w, None, cur),
-        "RollingWinPct_Last5": seq.ratio_of_sums("WinFlag", "LoseFlag", w, last_n, cur),
-        "RollingP5WinPct_Overall": seq.ratio_of_sums("Power5WinFlag", "Power5LoseFlag", w, None, cur),
-        "RollingNP5WinPct_Overall": seq.ratio_of_sums("NonPower5WinFlag", "NonPower5LoseFlag", w,
-                                                      None, cur),
+        "SeasonBestAPRank": F.coalesce("_best_ap", F.lit(UNRANKED)),
+        "SeasonBestPOMRank": F.coalesce("_best_pom", F.lit(UNRANKED)),
+        "RollingWinPct_Overall": _ratio("_w", "_l"),
+        f"RollingWinPct_Last{last_n}": _ratio("_w5", "_l5"),
+        "RollingP5WinPct_Overall": _ratio("_pw", "_pl"),
+        "RollingNP5WinPct_Overall": _ratio("_nw", "_nl"),
     }
-    for stem, src in STAT_FEATURES:
-        cols[f"{stem}_Overall"] = seq.expanding_mean(src, w, cur)
-        cols[f"{stem}_Last{last_n}"] = seq.rolling_mean(src, w, last_n, cur)
-    return cols
+    helpers = [f.name for f in feats if f.name.startswith("_")]
+    return out.withColumns(final).drop(*helpers)
 
 
 MODEL_COLUMNS = (["WinFlag", "Season", "GameID", "DayNum", "TeamID", "RollingWinPct_Overall",
@@ -303,18 +333,12 @@ MODEL_COLUMNS = (["WinFlag", "Season", "GameID", "DayNum", "TeamID", "RollingWin
                  + [f"{s}_{k}" for s in KEPT_STATS for k in ("Overall", "Last5")])
 
 
-def with_features(df: DataFrame, include_current: bool = False) -> DataFrame:
-    """Input columns plus all 50 features, in one projection."""
-    feats = feature_columns(include_current)
-    base = [c for c in df.columns if c not in feats]
-    return df.select(*base, *[c.alias(n) for n, c in feats.items()])
-
-
-def model_features(df: DataFrame, warmup: int = WARMUP_GAMES) -> DataFrame:
+def model_features(df: DataFrame, warmup: int = WARMUP_GAMES, bound: int | None = None) -> DataFrame:
     """Pre-game features, kept columns, warm-up cut (dense rank of the day
-    > ``warmup``), then null and NaN -> 0 in numeric columns."""
-    w = seq.entity_window(TEAM_SEASON, ["DayNum"])
-    f = with_features(df).select(*MODEL_COLUMNS, seq.sequence_number(w, dense=True).alias("GameNumber"))
+    > ``warmup``, joined from the distinct days - no row sort), then null
+    and NaN -> 0 in numeric columns."""
+    f = with_features(df, bound=bound).select(*MODEL_COLUMNS)
+    f = seq.dense_rank_of(f, TEAM_SEASON, "DayNum", "GameNumber").select(*MODEL_COLUMNS, "GameNumber")
     return fill_numeric(f.where(F.col("GameNumber") > warmup), 0)
 
 
@@ -330,10 +354,10 @@ def final_pairs(model_data: DataFrame) -> DataFrame:
                       shared=["Season", "DayNum"], drop=DROP_AFTER_PAIRING)
 
 
-def serving_state(df: DataFrame) -> DataFrame:
+def serving_state(df: DataFrame, bound: int | None = None) -> DataFrame:
     """Post-game features after each team's latest game (one row per team;
     a team with two games on its last day keeps the later GameID)."""
-    f = with_features(df, include_current=True).select(*MODEL_COLUMNS)
+    f = with_features(df, include_current=True, bound=bound).select(*MODEL_COLUMNS)
     return fill_numeric(seq.latest(f, ["TeamID"], ["Season", "DayNum", "GameID"]), 0)
 
 

@@ -21,6 +21,9 @@ BASE_CONF = {
 }
 
 
+LOCAL_DRIVER_MEMORY = "12g"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "duelframe") -> SparkSession:
     """Build (or reuse) a session. ``master`` is only applied when given,
@@ -28,6 +31,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode runs every task inside the driver JVM
+            builder = builder.config("spark.driver.memory", LOCAL_DRIVER_MEMORY)
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:

@@ -14,7 +14,8 @@ from duelframe.plans import sports as SP
 def pairs(fx):
     tg = SP.team_games(fx["regular"], fx["tourney"], fx["compact"], fx["conf_games"], fx["team_confs"],
                        fx["coaches"], fx["seeds"], fx["systems"])
-    return SP.final_pairs(SP.model_features(tg)).cache(), tg
+    bound = SP.team_season_bound(fx["regular"], fx["tourney"])
+    return SP.final_pairs(SP.model_features(tg, bound=bound)).cache(), tg
 
 
 def test_sports_model_fit_score_reload(spark, pairs, tmp_path):

@@ -131,3 +131,16 @@ def test_split_rankings(spark, fx, tmp_path):
     ap = read_partition(spark, root, "System", "AP", fmt="csv")
     assert ap.count() == fx["systems"]["AP"].count()
     assert set(ap.columns) >= {"Season", "RankingDayNum", "SystemName", "TeamID", "OrdinalRank"}
+
+
+def test_sliced_and_plain_features_agree(stages, fx):
+    _, tg, md = stages  # md was built without a bound: sliced plan
+    bound = SP.team_season_bound(fx["regular"], fx["tourney"])
+    assert 0 < bound < 100
+    plain = SP.model_features(tg, bound=bound)
+    cols = SP.MODEL_COLUMNS + ["GameNumber"]
+    def norm(r):
+        return tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+    a = sorted(norm(r) for r in md.select(cols).collect())
+    b = sorted(norm(r) for r in plain.select(cols).collect())
+    assert a == b
