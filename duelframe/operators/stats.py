@@ -17,7 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.operators.sliced import fits_one_task
 
 BUCKETS = 1024
 
@@ -36,18 +35,10 @@ def global_min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS,
-                  max_rows: int | None = None) -> DataFrame:
+def exact_medians(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """One row per column: ``column``, ``median`` (double; null if no values).
-
-    With ``max_rows`` (a bound on the table's rows) at or under
-    the slicing threshold, every column's values fit one task and the built-in
-    exact ``median`` is used; otherwise the two-level position search."""
+    (Measured faster than the one-task ``median`` even on small tables.)"""
     lf = long_form(df, cols).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    if fits_one_task(max_rows, df.sparkSession):
-        got = lf.groupBy("column").agg(F.median("v").alias("median"))
-        names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-        return names.join(got, "column", "left")
     counts = lf.groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
     stats = counts.groupBy("column").agg(F.sum("cnt").alias("n"), F.min("v").alias("lo"),
                                          F.max("v").alias("hi"))

@@ -21,7 +21,7 @@ BASE_CONF = {
 }
 
 
-LOCAL_DRIVER_MEMORY = "12g"
+LOCAL_DRIVER_MEMORY = "8g"
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
