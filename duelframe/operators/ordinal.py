@@ -36,12 +36,20 @@ def _group_window(group: Sequence[str], order: Sequence[str]):
     return (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(*order)
 
 
-def time_slice(ts: str | Column, seconds: int) -> Column:
-    """Fixed-width slice number of a timestamp (monotone in ``ts``).
-    Works for ``TIMESTAMP`` and ``TIMESTAMP_NTZ``; the cast of the latter
-    reads the wall clock in the session zone, which is monotone in UTC."""
+def time_slice(ts: str | Column, seconds: int, wall_clock: bool = True) -> Column:
+    """Fixed-width slice number of a timestamp, monotone in ``ts``.
+
+    ``wall_clock=True`` (for ``TIMESTAMP_NTZ``) counts seconds from the
+    date and time fields, independent of the session time zone - a cast to
+    a zoned timestamp would map daylight-saving gaps out of order.
+    ``False`` (for zoned ``TIMESTAMP``) uses the instant itself."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
+    if wall_clock:
+        secs = (F.unix_date(F.to_date(c)).cast("bigint") * 86400 + F.hour(c) * 3600
+                + F.minute(c) * 60 + F.second(c))
+    else:
+        secs = F.floor(F.unix_micros(c) / 1_000_000)
+    return F.floor(secs / F.lit(seconds)).cast("bigint")
 
 
 def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],

@@ -40,7 +40,8 @@ def contest(events: DataFrame, slice_seconds: int = SLICE_SECONDS, sliced: bool
     default the size of the largest event type decides."""
     ev = events.select("event_type", "ts", "event_id", "user_id", "value")
     bound = None if sliced else (0 if sliced is False else largest_group(ev, ["event_type"]))
-    pairs = pair_consecutive(ev, ["event_type"], ["ts", "event_id"], time_slice("ts", slice_seconds),
+    ntz = dict(ev.dtypes)["ts"] == "timestamp_ntz"
+    pairs = pair_consecutive(ev, ["event_type"], ["ts", "event_id"], time_slice("ts", slice_seconds, ntz),
                              ["user_id", "value", "event_id", "ts"], bound)
     a_wins = F.col("a_value") > F.col("b_value")
     key = F.col("b_event_id")

@@ -557,7 +557,8 @@ def _user_fill(spark, sf, kind: str, name: str) -> DataFrame:
     is sliced by hour so a very active user is not one sort task."""
     ev = Tables(spark, sf).events.select(
         "event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.col("value")).alias("pv"))
-    out = sliced_window(ev, ["user_id"], ["ts", "event_id"], time_slice("ts", 3600), [Feat(name, kind, "pv")],
+    out = sliced_window(ev, ["user_id"], ["ts", "event_id"],
+                        time_slice("ts", 3600, dict(ev.dtypes)["ts"] == "timestamp_ntz"), [Feat(name, kind, "pv")],
                         largest_group(ev, ["user_id"]))
     return out.select("event_id", "user_id", name)
 

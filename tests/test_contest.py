@@ -75,3 +75,15 @@ def test_flagship(views):
     r = g.agg(F.count("*"), F.sum("win_A"), F.sum(F.when(F.col("loc_A") == "A", 1).otherwise(0)),
               F.round(F.sum("points_mean_prior_A"), 4), F.round(F.sum("points_mean_last5_B"), 4)).first()
     assert tuple(r) == GOLD[sf]["flag"]
+
+
+def test_contest_independent_of_session_zone(spark):
+    """Slices come from wall-clock fields, so a daylight-saving session
+    zone gives the same games."""
+    ev = Tables(spark, SF0001).events
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        r = C.contest(ev, sliced=True).agg(F.count("*"), F.sum("w_id"), F.sum("day_num")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert (r[0], r[1], r[2]) == (462, 3269, 6537)
