@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions.scalar import fill_numeric, rounded
-from duelframe.operators import sequence as seq
 from duelframe.operators.pairing import pair_sides
 from duelframe.operators.sliced import Feat, largest_group, sliced_window
 

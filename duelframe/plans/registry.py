@@ -11,10 +11,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.functions.scalar import (code_number, concat_key, day_range, fill_constants,
+from duelframe.functions.scalar import (code_number, day_range, fill_constants,
                                         fill_numeric, flag, half_open, in_set_flag, nan_ratio,
                                         rounded, safe_ratio)
 from duelframe.operators import sequence as seq
@@ -63,10 +63,6 @@ def _bound(spark, sf) -> int:
     return team_bound(Tables(spark, sf).events)
 
 
-def _w():
-    return seq.entity_window(ENTITY, ORDER)
-
-
 # --------------------------------------------------------------------------
 # Scans, projections, predicates (S, P)
 
