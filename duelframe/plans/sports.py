@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions.scalar import (code_number, fill_numeric, in_set_flag, nan_ratio,
@@ -173,25 +173,47 @@ def tourney_history(compact: DataFrame, coaches: DataFrame) -> DataFrame:
     return attach_coach(m, coaches)
 
 
-def school_wins(history: DataFrame) -> DataFrame:
+def career_bound(compact: DataFrame, regular: DataFrame | None = None,
+                 tourney: DataFrame | None = None) -> int:
+    """Upper bound on the rows of one school's career sequence: its
+    appearances in the given result files (one aggregation). Used for the
+    career-long windows below; a coach's sequence is bounded the same way
+    only if coaches do not pool many schools, so pass it knowingly."""
+    parts = [d.select("WTeamID", "LTeamID") for d in (compact, regular, tourney) if d is not None]
+    g = parts[0]
+    for p in parts[1:]:
+        g = g.unionByName(p)
+    return largest_group(g.select(F.explode(F.array("WTeamID", "LTeamID")).alias("TeamID")), ["TeamID"])
+
+
+def _carried(df: DataFrame, entity: str, order: list[str], slices: list, col: str, kind: str,
+             bound: int | None) -> DataFrame:
+    """Replace ``col`` by its forward (``ffill``) or backward (``bfill``)
+    fill along ``entity`` - sliced by season unless ``bound`` is small."""
+    out = sliced_window(df, [entity], order, slices, [Feat("_carry", kind, col)], bound)
+    return out.withColumn(col, F.col("_carry")).drop("_carry")
+
+
+def school_wins(history: DataFrame, bound: int | None = None) -> DataFrame:
     """Tournament wins of the school before each of its tournament games
-    (career-long, across seasons)."""
-    w = Window.partitionBy("TeamID").orderBy("Season", "DayNum")
-    return history.select("Season", "TeamID", "DayNum",
-                          seq.exclusive_running_sum("TourneyWinFlag", w)
-                          .alias("ActiveTourneyWins_School"))
+    (career-long, across seasons; a team plays once a day)."""
+    out = sliced_window(history, ["TeamID"], ["Season", "DayNum"], [F.col("Season")],
+                        [Feat("_w", "sum", "TourneyWinFlag")], bound)
+    return out.select("Season", "TeamID", "DayNum",
+                      F.coalesce("_w", F.lit(0)).cast("bigint").alias("ActiveTourneyWins_School"))
 
 
-def coach_wins(history: DataFrame) -> DataFrame:
-    w = Window.partitionBy("CoachName").orderBy("Season", "DayNum", "TeamID")
-    return history.select("Season", "CoachName", "DayNum",
-                          seq.exclusive_running_sum("TourneyWinFlag", w)
-                          .alias("ActiveTourneyWins_Coach"))
+def coach_wins(history: DataFrame, bound: int | None = None) -> DataFrame:
+    out = sliced_window(history, ["CoachName"], ["Season", "DayNum", "TeamID"], [F.col("Season")],
+                        [Feat("_w", "sum", "TourneyWinFlag")], bound)
+    return out.select("Season", "CoachName", "DayNum",
+                      F.coalesce("_w", F.lit(0)).cast("bigint").alias("ActiveTourneyWins_Coach"))
 
 
 def attach_tourney_wins(df: DataFrame, school: DataFrame, coach: DataFrame,
                         backfill: str = "next", coach_order: str = "chronological",
-                        history_seasons: tuple[int, int] = (1989, 2003)) -> DataFrame:
+                        history_seasons: tuple[int, int] = (1989, 2003),
+                        bound: int | None = None) -> DataFrame:
     """Sparse wins-coming-in joined on the game day, then carried.
 
     Forward fill along the school's (coach's) games keeps the last known
@@ -200,21 +222,23 @@ def attach_tourney_wins(df: DataFrame, school: DataFrame, coach: DataFrame,
     as the original does); ``"history"`` uses the maximum from the
     ``history_seasons`` half-open range instead (leak-free), then 0.
     ``coach_order="team"`` carries coach values in team order (the
-    original's sort), ``"chronological"`` in time order.
+    original's sort), ``"chronological"`` in time order. The carries are
+    career-long, so they run sliced by season unless ``bound`` (rows of the
+    longest school or coach sequence) fits one task.
     """
     j = (df.join(school, ["Season", "TeamID", "DayNum"], "left")
            .join(coach, ["Season", "CoachName", "DayNum"], "left"))
-    w_team = seq.entity_window(["TeamID"], ["Season", "DayNum", "GameID"])
-    c_order = (["TeamID", "Season", "DayNum", "GameID"] if coach_order == "team"
-               else ["Season", "DayNum", "TeamID", "GameID"])
-    w_coach = seq.entity_window(["CoachName"], c_order)
-    j = j.withColumns({
-        "ActiveTourneyWins_School": seq.forward_fill("ActiveTourneyWins_School", w_team),
-        "ActiveTourneyWins_Coach": seq.forward_fill("ActiveTourneyWins_Coach", w_coach)})
+    t_order, t_slices = ["Season", "DayNum", "GameID"], [F.col("Season")]
+    if coach_order == "team":
+        c_order, c_slices = ["TeamID", "Season", "DayNum", "GameID"], [F.col("TeamID"), F.col("Season")]
+    else:
+        c_order, c_slices = ["Season", "DayNum", "TeamID", "GameID"], [F.col("Season")]
+    kinds = ["ffill", "bfill"] if backfill == "next" else ["ffill"]
+    for kind in kinds:
+        j = _carried(j, "TeamID", t_order, t_slices, "ActiveTourneyWins_School", kind, bound)
+        j = _carried(j, "CoachName", c_order, c_slices, "ActiveTourneyWins_Coach", kind, bound)
     if backfill == "next":
-        return j.withColumns({
-            "ActiveTourneyWins_School": seq.backward_fill("ActiveTourneyWins_School", w_team),
-            "ActiveTourneyWins_Coach": seq.backward_fill("ActiveTourneyWins_Coach", w_coach)})
+        return j
     lo, hi = history_seasons
     old_s = (school.where((F.col("Season") >= lo) & (F.col("Season") < hi)).groupBy("TeamID")
              .agg(F.max("ActiveTourneyWins_School").alias("_hs")))
@@ -254,13 +278,17 @@ def attach_ranks(df: DataFrame, systems: Mapping[str, DataFrame], scope: str = "
 def team_games(regular, tourney, compact, conf_games, team_confs, coaches, seeds,
                systems: Mapping[str, DataFrame], zero_attempts: str = "skip",
                backfill: str = "next", coach_order: str = "chronological",
-               rank_scope: str = "file") -> DataFrame:
-    """All enrichment stages: the per team-game table before features."""
+               rank_scope: str = "file", career_rows_known: bool = False) -> DataFrame:
+    """All enrichment stages: the per team-game table before features.
+    ``career_rows_known``: schools' appearance counts bound the career
+    windows (true when each coach stays with few schools); otherwise the
+    career windows are sliced by season."""
     g = game_table(regular, tourney, conf_games, team_confs)
     t = derived_columns(mirror_games(g), zero_attempts)
     t = attach_coach(t, coaches)
     hist = tourney_history(compact, coaches)
-    t = attach_tourney_wins(t, school_wins(hist), coach_wins(hist), backfill, coach_order)
+    cb = career_bound(compact, regular, tourney) if career_rows_known else None
+    t = attach_tourney_wins(t, school_wins(hist, cb), coach_wins(hist, cb), backfill, coach_order, bound=cb)
     t = attach_seeds(t, seeds)
     return attach_ranks(t, systems, rank_scope)
 

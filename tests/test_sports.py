@@ -144,3 +144,12 @@ def test_sliced_and_plain_features_agree(stages, fx):
     a = sorted(norm(r) for r in md.select(cols).collect())
     b = sorted(norm(r) for r in plain.select(cols).collect())
     assert a == b
+
+
+def test_career_windows_plain_equals_sliced(stages, fx):
+    _, tg, _ = stages  # built with sliced career windows
+    plain = SP.team_games(fx["regular"], fx["tourney"], fx["compact"], fx["conf_games"], fx["team_confs"],
+                          fx["coaches"], fx["seeds"], fx["systems"], career_rows_known=True)
+    cols = ["GameID", "TeamID", "ActiveTourneyWins_School", "ActiveTourneyWins_Coach"]
+    assert sorted(tg.select(cols).collect()) == sorted(plain.select(cols).collect())
+    assert SP.career_bound(fx["compact"], fx["regular"], fx["tourney"]) > 0
