@@ -47,10 +47,15 @@ def rank_periods(pubs: DataFrame, season: str, day: str, scope: str = "season",
 def ranked_periods(ranks: DataFrame, season: str, day: str, scope: str = "season",
                    open_end: int = OPEN_END) -> DataFrame:
     """Period table joined to the ranking rows published at its start:
-    one row per (season, team, period) with the rank."""
+    one row per (season, team, period) with the rank.
+
+    Every period starts on a publication day of ``ranks``, so the join is
+    inner with the period table (one row per distinct publication day,
+    bounded by the calendar) as the build side: the ranking rows stream
+    through a broadcast hash join instead of being shuffled."""
     periods = rank_periods(ranks, season, day, scope, open_end)
     r = ranks.withColumnRenamed(day, "period_start")
-    return periods.join(r, [season, "period_start"], "left")
+    return r.join(periods, [season, "period_start"], "inner")
 
 
 def active_rank(games: DataFrame, ranked: DataFrame, season: str, team: str, day: str,
