@@ -77,7 +77,7 @@ def scan_filter_project(spark, sf):
 
 
 @register("partition_split_counts", """
-SELECT p_brand, COUNT(*) AS n, SUM(CASE WHEN p_brand = 'Brand#1' THEN 1 ELSE 0 END) AS n_pruned
+SELECT p_brand, COUNT(*) AS n, CAST(SUM(CASE WHEN p_brand = 'Brand#1' THEN 1 ELSE 0 END) AS BIGINT) AS n_pruned
 FROM part GROUP BY p_brand""")
 def partition_split_counts(spark, sf):
     """Split ``part`` by brand in one partitioned write, read it back; the

@@ -52,6 +52,19 @@ def test_differential_sf0001(spark, duck, name):
     assert s == d
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+
+
+@pytest.mark.parametrize("name", sorted(set(E.oracle_sql())))
+def test_oracle_types_match(spark, duck, name):
+    """Column types agree too (e.g. integer sums cast to BIGINT on the SQL side)."""
+    df = E.queries()[name](spark, SF0001)
+    rel = duck.sql(E.oracle_sql()[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for c, t in df.dtypes:
+        assert SPARK_TO_DUCK.get(t, t) == duck_types[c], (c, t, duck_types[c])
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
