@@ -74,7 +74,9 @@ CONF = """conf AS (
 
 
 def with_views(*ctes: str, body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    """``WITH`` the given views, then ``body``. A body that starts with
+    ``, name AS (...)`` continues the view list before its ``SELECT``."""
+    return "WITH " + ",\n".join(ctes) + "\n" + body.lstrip("\n")
 
 
 GAME_VIEWS = (NUMBERED, CONTEST)

@@ -287,7 +287,7 @@ def sparse_fact_left_join(spark, sf):
 SELECT league, game_key, team_id, day_num,
        COALESCE(ff, FIRST_VALUE(ff IGNORE NULLS) OVER (""" + W_TEAM + """
           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS wins_in
-FROM f""").replace("\n, j AS", ", j AS", 1))
+FROM f"""))
 def wins_coming_in_filled(spark, sf):
     """Sparse wins, forward-filled along the team's games, then
     back-filled from its next neutral game, then 0."""
@@ -644,7 +644,7 @@ def days_since_previous(spark, sf):
 , inc AS (SELECT *, SUM(win) OVER (PARTITION BY league, team_id, island ORDER BY day_num, game_key
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM isl)
 SELECT league, game_key, team_id, CAST(COALESCE(LAG(s) OVER ({W_TEAM}), 0) AS BIGINT) AS win_streak
-FROM inc""").replace("\n, isl AS", ", isl AS", 1))
+FROM inc"""))
 def streak_length(spark, sf):
     """Win streak coming into each game: position minus the position of
     the last loss so far, taken from the previous row. Three sliced passes
@@ -758,7 +758,7 @@ def _bands_sql() -> str:
            AND r.period_start <= t.day_num AND t.day_num <= r.period_end)
 SELECT o.league, o.game_key, o.team_id, o.loc, o.opp_rank, b.quad
 FROM opp o LEFT JOIN bands b ON o.loc = b.band_loc AND o.opp_rank >= b.lo
- AND (b.hi IS NULL OR o.opp_rank <= b.hi)""").replace("\n, opp AS", ", opp AS", 1))
+ AND (b.hi IS NULL OR o.opp_rank <= b.hi)"""))
 def band_lookup_q(spark, sf):
     """Opponent's active rank classified into location-dependent bands."""
     ev = Tables(spark, sf).events
@@ -799,7 +799,7 @@ def _flagship_sql() -> str:
         FROM f WHERE game_number > 5)
 SELECT a.league, a.game_key, a.day_num, {a}, {b}
 FROM s a JOIN s b ON a.league = b.league AND a.game_key = b.game_key AND a.day_num = b.day_num
- AND a.side = 1 AND b.side = 2""").replace("\n, f AS", ", f AS", 1)
+ AND a.side = 1 AND b.side = 2""")
 
 
 @register("game_features", _flagship_sql())
@@ -836,7 +836,7 @@ SELECT c.league, c.game_key, c.w_id AS team_1, c.l_id AS team_2,
        s2.win_pct AS win_pct_2, s2.points_mean AS points_mean_2, s2.points_mean_last5 AS points_mean_last5_2,
        s2.allowed_mean AS allowed_mean_2
 FROM contest c JOIN st s1 ON c.league = s1.league AND c.w_id = s1.team_id AND s1.rk = 1
-JOIN st s2 ON c.league = s2.league AND c.l_id = s2.team_id AND s2.rk = 1""").replace("\n, st AS", ", st AS", 1))
+JOIN st s2 ON c.league = s2.league AND c.l_id = s2.team_id AND s2.rk = 1"""))
 def matchup_features(spark, sf):
     """Bulk scoring input: every requested pairing (here: each contest's
     two teams) joined twice to the latest serving state."""
@@ -939,7 +939,7 @@ SELECT league, game_key, team_id, opp_conf,
                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE)
              / COUNT(win) OVER (PARTITION BY league, team_id, opp_conf ORDER BY day_num, game_key
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS win_pct_vs_conf
-FROM t""").replace("\n, t AS", ", t AS", 1))
+FROM t"""))
 def win_pct_by_opp_conf(spark, sf):
     """Win share coming in against each opponent conference (the
     opponent's nation): the entity window gains the conference key."""
