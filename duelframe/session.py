@@ -43,6 +43,42 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+# Target bytes per shuffle partition and per scan split on a cluster.
+SHUFFLE_TARGET_BYTES = 256 * 1024 * 1024
+SCAN_SPLIT_BYTES = 512 * 1024 * 1024
+
+
+def scale_conf(shuffle_bytes: int, executor_cores: int | None = None) -> dict[str, str]:
+    """Shuffle and scan sizing for a job whose largest shuffle moves about
+    ``shuffle_bytes``: enough initial partitions that each holds ~256 MB
+    (so sorts and hash aggregations stay in memory rather than spill), at
+    least two waves of the available cores, and AQE left on to coalesce
+    the small ones and split skewed ones at run time. 100 TB of shuffle
+    gives ~400k initial partitions, coalesced by AQE as stages finish."""
+    parts = max(1, -(-shuffle_bytes // SHUFFLE_TARGET_BYTES))
+    if executor_cores:
+        parts = max(parts, 2 * executor_cores)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SHUFFLE_TARGET_BYTES // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(SHUFFLE_TARGET_BYTES * 2),
+        "spark.sql.files.maxPartitionBytes": str(SCAN_SPLIT_BYTES),
+    }
+
+
+def apply_scale(spark: SparkSession, shuffle_bytes: int, executor_cores: int | None = None) -> dict:
+    """Apply ``scale_conf``, except for keys the operator set explicitly at
+    launch (those win). Returns what was set."""
+    launch = spark.sparkContext.getConf()
+    done = {}
+    for k, v in scale_conf(shuffle_bytes, executor_cores).items():
+        if not launch.contains(k):
+            spark.conf.set(k, v)
+            done[k] = v
+    return done
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -59,3 +59,12 @@ def test_split_keeps_key_and_spreads_hot_key(spark, tmp_path):
     assert set(hot.columns) == {"sys", "x", "part"}
     files = [f for f in (tmp_path / "split" / "part=hot").iterdir() if f.name.endswith(".parquet")]
     assert 1 < len(files) <= 4  # the hot key was written by several tasks
+
+
+def test_scale_conf_sizes_partitions():
+    from duelframe.session import scale_conf
+    big = scale_conf(100 * 2**40, executor_cores=8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600  # ~256 MB each
+    small = scale_conf(10 * 2**20, executor_cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16    # two waves of the cores
+    assert big["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == big["spark.sql.shuffle.partitions"]
