@@ -52,6 +52,25 @@ def time_slice(ts: str | Column, seconds: int, wall_clock: bool = True) -> Colum
     return F.floor(secs / F.lit(seconds)).cast("bigint")
 
 
+SLICE_TARGET_ROWS = 1_000_000
+
+
+def adaptive_slice_seconds(df: DataFrame, ts: str, group_rows: int | None,
+                           default: int = 60, target: int = SLICE_TARGET_ROWS) -> int:
+    """Time-slice width for ordering a group of ``group_rows`` rows by ``ts``:
+    at most ``default`` seconds, narrowed so that a group spread evenly
+    over the data's time span puts about ``target`` rows in a slice (one
+    min/max aggregation). Dense groups get fine slices; the floor is one
+    second."""
+    if not group_rows or group_rows <= target:
+        return default
+    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    if lo is None or hi is None:
+        return default
+    span = max(1, int((hi - lo).total_seconds()))
+    return max(1, min(default, span * target // group_rows))
+
+
 def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
                    slices: Column | Sequence[Column], name: str = "ordinal",
                    keep_slices: bool = False, max_group_rows: int | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.operators.mirror import mirror
-from duelframe.operators.ordinal import pair_consecutive, time_slice
+from duelframe.operators.ordinal import adaptive_slice_seconds, pair_consecutive, time_slice
 from duelframe.operators.sliced import largest_group
 
 # Fixed values of the contest view.
@@ -39,9 +39,11 @@ def contest(events: DataFrame, slice_seconds: int = SLICE_SECONDS, sliced: bool
     """``sliced``: force the sliced (True) or plain (False) numbering; by
     default the size of the largest event type decides."""
     ev = events.select("event_type", "ts", "event_id", "user_id", "value")
-    bound = None if sliced else (0 if sliced is False else largest_group(ev, ["event_type"]))
+    biggest = largest_group(ev, ["event_type"])
+    bound = None if sliced else (0 if sliced is False else biggest)
     ntz = dict(ev.dtypes)["ts"] == "timestamp_ntz"
-    pairs = pair_consecutive(ev, ["event_type"], ["ts", "event_id"], time_slice("ts", slice_seconds, ntz),
+    width = adaptive_slice_seconds(ev, "ts", biggest, slice_seconds)
+    pairs = pair_consecutive(ev, ["event_type"], ["ts", "event_id"], time_slice("ts", width, ntz),
                              ["user_id", "value", "event_id", "ts"], bound)
     a_wins = F.col("a_value") > F.col("b_value")
     key = F.col("b_event_id")

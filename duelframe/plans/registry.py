@@ -26,7 +26,7 @@ from duelframe.operators.ranks import active_rank, rank_periods, ranked_periods
 from duelframe.operators.split import recency_weight, stratified_split
 from duelframe.operators.stats import brier_score, exact_medians, global_min_max, mean_std
 from duelframe.plans import contest as C
-from duelframe.operators.ordinal import time_slice
+from duelframe.operators.ordinal import adaptive_slice_seconds, time_slice
 from duelframe.operators.sliced import Feat, largest_group, sliced_window
 from duelframe.plans.features import game_features, team_bound, team_window
 from duelframe.plans.oracle_views import (ACTIVE_RANK, CONF, GAME_VIEWS, PERIODS_FILE,
@@ -553,9 +553,11 @@ def _user_fill(spark, sf, kind: str, name: str) -> DataFrame:
     is sliced by hour so a very active user is not one sort task."""
     ev = Tables(spark, sf).events.select(
         "event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.col("value")).alias("pv"))
+    biggest = largest_group(ev, ["user_id"])
+    width = adaptive_slice_seconds(ev, "ts", biggest, 3600)
     out = sliced_window(ev, ["user_id"], ["ts", "event_id"],
-                        time_slice("ts", 3600, dict(ev.dtypes)["ts"] == "timestamp_ntz"), [Feat(name, kind, "pv")],
-                        largest_group(ev, ["user_id"]))
+                        time_slice("ts", width, dict(ev.dtypes)["ts"] == "timestamp_ntz"), [Feat(name, kind, "pv")],
+                        biggest)
     return out.select("event_id", "user_id", name)
 
 

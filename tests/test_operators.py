@@ -203,3 +203,13 @@ def test_pair_consecutive_plain_equals_sliced(spark):
     c = ordinal_within(df, ["g"], ["t", "id"], sl, "pos", max_group_rows=0)
     d = ordinal_within(df, ["g"], ["t", "id"], sl, "pos")
     assert rows(c.select("id", "pos"), "id") == rows(d.select("id", "pos"), "id")
+
+
+def test_adaptive_slice_seconds(spark):
+    import datetime as dt
+    from duelframe.operators.ordinal import adaptive_slice_seconds
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t0 + dt.timedelta(seconds=s),) for s in (0, 40, 100)], "ts timestamp_ntz")
+    assert adaptive_slice_seconds(df, "ts", 500) == 60                   # small group: default width
+    assert adaptive_slice_seconds(df, "ts", 2_000_000) == 50             # 100 s span * 1M / 2M rows
+    assert adaptive_slice_seconds(df, "ts", 10**12) == 1                 # floor of one second
