@@ -29,6 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.operators.keys import nonnull_keys
 from duelframe.operators.sliced import fits_one_task
 
 
@@ -87,17 +88,19 @@ def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
         return df.withColumn(name, (F.row_number().over(_group_window(group, order)) - 1).cast("bigint"))
     slices = [slices] if isinstance(slices, Column) else list(slices)
     sl = [f"_slice{i}" for i in range(len(slices))]
-    d = df.withColumns(dict(zip(sl, slices)))
-    w_local = Window.partitionBy(*group, *sl).orderBy(*order)
+    # never-null stand-ins for the group keys keep one partitioning from
+    # the window through the join (null groups included)
+    d, ik = nonnull_keys(df.withColumns(dict(zip(sl, slices))), group)
+    w_local = Window.partitionBy(*ik, *sl).orderBy(*order)
     local = d.withColumn("_local", F.row_number().over(w_local) - 1)
-    sizes = d.groupBy(*group, *sl).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = d.groupBy(*ik, *sl).agg(F.count(F.lit(1)).alias("_n"))
     # the offset window runs over the slice-size table (one row per slice)
-    w_off = (Window.partitionBy(*group).orderBy(*sl) if group else Window.orderBy(*sl)) \
+    w_off = (Window.partitionBy(*ik).orderBy(*sl) if ik else Window.orderBy(*sl)) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, *sl, "_n", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    out = (local.join(offsets, [*group, *sl], "inner")
+    offsets = sizes.select(*ik, *sl, "_n", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    out = (local.join(offsets, [*ik, *sl], "inner")
                 .withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
-                .drop("_local"))
+                .drop("_local", *ik))
     return out if keep_slices else out.drop(*sl, "_off", "_n")
 
 
@@ -125,21 +128,21 @@ def pair_consecutive(df: DataFrame, group: Sequence[str], order: Sequence[str],
             *[F.col(f"_b_{c}").alias(f"b_{c}") for c in cols])
     slices = [slices] if isinstance(slices, Column) else list(slices)
     sl = [f"_slice{i}" for i in range(len(slices))]
-    d = df.withColumns(dict(zip(sl, slices)))
+    d, ik = nonnull_keys(df.withColumns(dict(zip(sl, slices))), group)
     row = F.struct(*[F.col(c) for c in cols])
     key = F.struct(*[F.col(c) for c in order])
-    sizes = d.groupBy(*group, *sl).agg(F.count(F.lit(1)).alias("_n"),
-                                       F.min_by(row, key).alias("_first"),
-                                       F.max_by(row, key).alias("_last"))
-    w_s = Window.partitionBy(*group).orderBy(*sl) if group else Window.orderBy(*sl)
-    offs = sizes.select(*group, *sl, "_n", "_first",
+    sizes = d.groupBy(*ik, *group, *sl).agg(F.count(F.lit(1)).alias("_n"),
+                                            F.min_by(row, key).alias("_first"),
+                                            F.max_by(row, key).alias("_last"))
+    w_s = Window.partitionBy(*ik).orderBy(*sl) if ik else Window.orderBy(*sl)
+    offs = sizes.select(*ik, *group, *sl, "_n", "_first",
                         F.coalesce(F.sum("_n").over(w_s.rowsBetween(Window.unboundedPreceding, -1)),
                                    F.lit(0)).alias("_off"),
                         F.lag("_last", 1).over(w_s).alias("_prev_last"))
-    w = Window.partitionBy(*group, *sl).orderBy(*order)
-    local = d.select(*group, *sl, *cols, (F.row_number().over(w) - 1).alias("_local"),
+    w = Window.partitionBy(*ik, *sl).orderBy(*order)
+    local = d.select(*ik, *group, *sl, *cols, (F.row_number().over(w) - 1).alias("_local"),
                      *[F.lead(c, 1).over(w).alias(f"_b_{c}") for c in cols])
-    j = local.join(offs.select(*group, *sl, "_n", "_off"), [*group, *sl], "inner")
+    j = local.join(offs.select(*ik, *sl, "_n", "_off"), [*ik, *sl], "inner")
     even = ((F.col("_off") + F.col("_local")) % 2) == 0
     inner = j.where(even & (F.col("_local") + 1 < F.col("_n"))).select(
         *group, *[F.col(c).alias(f"a_{c}") for c in cols],

@@ -152,4 +152,5 @@ def dense_rank_of(df: DataFrame, entity: Sequence[str], key: str, name: str) ->
     keys = df.select(*entity, key).distinct()
     ranked = keys.withColumn(name, F.row_number().over(
         Window.partitionBy(*entity).orderBy(key)).cast("bigint"))
-    return df.join(ranked, [*entity, key], "inner")
+    from duelframe.operators.keys import join_on_keys
+    return join_on_keys(df, ranked, [*entity, key], "inner")

@@ -34,6 +34,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.operators.keys import nonnull_keys
+
 UP, UF, CUR = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
 
 # Largest entity (rows) that one task sorts with a plain window; a session
@@ -132,8 +134,8 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
         return plain_window(df, entity, order, feats)
     slices = [slices] if isinstance(slices, Column) else list(slices)
     sl = [f"_sl{i}" for i in range(len(slices))]
+    d, entity = nonnull_keys(df.withColumns(dict(zip(sl, slices))), entity)
     keys = [*entity, *sl]
-    d = df.withColumns(dict(zip(sl, slices)))
     okey = F.struct(*[F.col(c) for c in order])
 
     expanding = [f for f in feats if f.kind in EXPANDING and f.n is None]

@@ -69,3 +69,19 @@ def test_plain_path_under_threshold(spark):
     for r in got.collect():
         for f in FEATS:
             assert same(r[f.name], ref[r["id"]][f.name]), f.name
+
+
+def test_null_entity_rows_are_kept(spark):
+    from duelframe.operators.ordinal import ordinal_within, pair_consecutive
+    from duelframe.operators.sequence import dense_rank_of
+    rows = [(None if i % 4 == 0 else "a", i % 37, i, float(i % 5), i % 3, 1) for i in range(160)]
+    df = spark.createDataFrame(rows, "e string, t int, id int, v double, r int, w int")
+    got = sliced_window(df, ["e"], ["t", "id"], F.floor(F.col("t") / 4), FEATS)
+    assert got.count() == 160
+    ref = {r["id"]: r for r in plain(df).collect()}
+    for r in got.collect():
+        for f in FEATS:
+            assert same(r[f.name], ref[r["id"]][f.name]), f.name
+    assert ordinal_within(df, ["e"], ["t", "id"], F.floor(F.col("t") / 4), "pos").count() == 160
+    assert pair_consecutive(df, ["e"], ["t", "id"], F.floor(F.col("t") / 4), ["id"]).count() == 80
+    assert dense_rank_of(df.withColumn("e", F.lit(None).cast("string")), ["e"], "t", "dr").count() == 160
