@@ -87,7 +87,7 @@ def test_feature_select_is_one_window_stage(spark):
     passes = []
     for line in plan.split("\n"):
         m = re.search(r"Window \[.*\], \[(.*)\], \[(.*)\]$", line.strip(" :+-"))
-        if m and "_sl0" in m.group(1) and "team_id" in m.group(1):
+        if m and "_sl0" in m.group(1) and "_nk1v" in m.group(1):  # (league, team) stand-ins
             passes.append(m.group(2))
     main = [p for p in passes if p.startswith("day_num") and "DESC" not in p]
     assert len(main) == 1, passes
