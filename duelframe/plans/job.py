@@ -9,7 +9,8 @@ ranking file by system in one partitioned write and read the AP / POM /
 NET partitions back (pruned); enrich the per team-game table; write it
 partitioned by season (a later season slice is a pruned read); build the
 paired model rows and write them; optionally fit the deployed logistic
-model on the tournament games plus the latest season and save it.
+model on the tournament games plus the latest season and save it, and
+score a file of requested pairings with it in one batch.
 """
 
 from __future__ import annotations
@@ -56,6 +57,25 @@ def run(spark: SparkSession, paths: dict[str, str], out: str, season: int = 2025
     return written
 
 
+REQUESTS = "team_1_name string, team_1_seed int, team_2_name string, team_2_seed int"
+
+
+def score(spark: SparkSession, out: str, requests_path: str, teams_path: str, season: int = 2025) -> str:
+    """Score a CSV of requested pairings (team names and seeds) as neutral
+    tournament games with the saved model and the serving state of the
+    season; write (pairing, winner) rows. Incomplete requests and unknown
+    names are dropped, as the interactive form ignores them."""
+    from duelframe.plans import model as M
+    from duelframe.plans import scoring as SC
+    requests = spark.read.schema(REQUESTS).option("header", True).csv(requests_path)
+    teams = read_csv(spark, teams_path, S.TEAMS)
+    state = SP.serving_state(season_slice(spark, out, season))
+    rows = SC.sports_matchup_rows(requests, teams, state, season)
+    path = f"{out}/predictions"
+    write_parquet(SC.predict_winner(M.load(f"{out}/model"), rows), path)
+    return path
+
+
 def season_slice(spark: SparkSession, out: str, season: int):
     """The per team-game rows of one season (partition-pruned read)."""
     return spark.read.parquet(f"{out}/team_games").where(F.col("Season") == season)
@@ -69,10 +89,14 @@ def main(argv=None) -> None:
     ap.add_argument("--season", type=int, default=2025)
     ap.add_argument("--train", action="store_true")
     ap.add_argument("--rank-scope", choices=("file", "season"), default="file")
+    ap.add_argument("--requests", help="CSV of pairings to score (needs --teams and --train)")
+    ap.add_argument("--teams", help="team dimension CSV (TeamID, TeamName, ...)")
     a = ap.parse_args(argv)
     from duelframe.session import get_session
     spark = get_session()
     written = run(spark, {k: getattr(a, k) for k in INPUTS}, a.out, a.season, a.train, a.rank_scope)
+    if a.requests and a.teams:
+        written["predictions"] = score(spark, a.out, a.requests, a.teams, a.season)
     for k, v in written.items():
         print(k, v)
 

@@ -23,3 +23,14 @@ def test_job_from_csv(spark, fx, tmp_path):
     s25 = job.season_slice(spark, out, 2025)
     plan = s25._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and s25.count() == tg.where(F.col("Season") == 2025).count()
+    # score requested pairings with the saved model, in one batch
+    teams = str(tmp_path / "in" / "teams")
+    fx["teams"].coalesce(1).write.option("header", True).csv(teams)
+    req = str(tmp_path / "in" / "requests.csv")
+    with open(req, "w") as f:
+        f.write("team_1_name,team_1_seed,team_2_name,team_2_seed\n"
+                "Team 1101,1,Team 1102,8\nTeam 1103,4,Nobody,5\nTeam 1104,,Team 1105,3\n"
+                "Team 1106,2,Team 1107,7\n")
+    pred = spark.read.parquet(job.score(spark, out, req, teams, 2025)).collect()
+    assert len(pred) == 2
+    assert all(r["winner"] in (r["team_1_name"], r["team_2_name"]) for r in pred)
