@@ -68,3 +68,22 @@ def test_scale_conf_sizes_partitions():
     small = scale_conf(10 * 2**20, executor_cores=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16    # two waves of the cores
     assert big["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == big["spark.sql.shuffle.partitions"]
+
+
+def test_apply_scale_keeps_launch_settings(spark):
+    from duelframe.session import apply_scale, scale_conf
+    keys = list(scale_conf(1).keys())
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        done = apply_scale(spark, 10 * 2**30, executor_cores=8)
+        # the test session was launched with 8 shuffle partitions: that wins
+        assert "spark.sql.shuffle.partitions" not in done
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(512 * 1024 * 1024)
+        assert done["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "40"
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
