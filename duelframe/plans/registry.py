@@ -27,7 +27,7 @@ from duelframe.operators.split import recency_weight, stratified_split
 from duelframe.operators.stats import brier_score, exact_medians, global_min_max, mean_std
 from duelframe.plans import contest as C
 from duelframe.operators.ordinal import adaptive_slice_seconds, time_slice
-from duelframe.operators.sliced import Feat, largest_group, sliced_window
+from duelframe.operators.sliced import Feat, fits_one_task, largest_group, sliced_window
 from duelframe.plans.features import game_features, team_bound, team_window
 from duelframe.plans.oracle_views import (ACTIVE_RANK, CONF, GAME_VIEWS, PERIODS_FILE,
                                           PERIODS_SEASON, PUBLICATION, RANKED, TEAM_VIEWS,
@@ -58,6 +58,20 @@ def _team_games(spark, sf) -> DataFrame:
     return C.team_game(C.contest(Tables(spark, sf).events))
 
 
+def _pubs(spark, sf) -> DataFrame:
+    """The published ranking lists (top-40 per league and day: small).
+    The period table and the ranking rows both read them, and a pruned
+    plan rebuilds them from the event log for each use. Over a large log
+    they are therefore checkpointed once into the shared folder; over a
+    log small enough for one task, rebuilding is cheaper than the write."""
+    ev = Tables(spark, sf).events
+    pubs = C.publication(ev)
+    if fits_one_task(largest_group(ev, []), spark):
+        return pubs
+    checkpoint_dir(spark)
+    return pubs.checkpoint(eager=True)
+
+
 def _bound(spark, sf) -> int:
     """Largest possible team sequence, decides plain vs sliced windows."""
     return team_bound(Tables(spark, sf).events)
@@ -309,17 +323,17 @@ def distinct_periods(spark, sf):
 
 @register("rank_period_season_lead", with_views(PUBLICATION, PERIODS_SEASON, body="SELECT * FROM periods"))
 def rank_period_season_lead(spark, sf):
-    return rank_periods(C.publication(Tables(spark, sf).events), "league", "pub_day", "season")
+    return rank_periods(_pubs(spark, sf), "league", "pub_day", "season")
 
 
 @register("rank_period_global_lead", with_views(PUBLICATION, PERIODS_FILE, body="SELECT * FROM periods"))
 def rank_period_global_lead(spark, sf):
-    return rank_periods(C.publication(Tables(spark, sf).events), "league", "pub_day", "file")
+    return rank_periods(_pubs(spark, sf), "league", "pub_day", "file")
 
 
 @register("rank_period_table", with_views(PUBLICATION, PERIODS_SEASON, RANKED, body="SELECT * FROM ranked"))
 def rank_period_table(spark, sf):
-    pubs = C.publication(Tables(spark, sf).events)
+    pubs = _pubs(spark, sf)
     return ranked_periods(pubs, "league", "pub_day", "season").select(
         "league", "period_start", "period_end", "team_id", "ordinal")
 
@@ -327,7 +341,7 @@ def rank_period_table(spark, sf):
 def _active(spark, sf, scope: str) -> DataFrame:
     ev = Tables(spark, sf).events
     tg = C.team_game(C.contest(ev)).select("league", "game_key", "team_id", "day_num")
-    ranked = ranked_periods(C.publication(ev), "league", "pub_day", scope)
+    ranked = ranked_periods(_pubs(spark, sf), "league", "pub_day", scope)
     return active_rank(tg, ranked, "league", "team_id", "day_num", "ordinal", "ordinal")
 
 
@@ -351,7 +365,7 @@ FROM periods"""))
 def range_explode(spark, sf):
     """Periods expanded to one row per covered day; an empty period keeps
     one row with a null day (``explode_outer``)."""
-    p = rank_periods(C.publication(Tables(spark, sf).events), "league", "pub_day", "file")
+    p = rank_periods(_pubs(spark, sf), "league", "pub_day", "file")
     return p.select("league", "period_start", "period_end",
                     F.explode_outer(day_range("period_start", "period_end")).alias("day_num"))
 
@@ -765,7 +779,7 @@ def band_lookup_q(spark, sf):
     """Opponent's active rank classified into location-dependent bands."""
     ev = Tables(spark, sf).events
     tg = C.team_game(C.contest(ev)).select("league", "game_key", "team_id", "opp_id", "loc", "day_num")
-    ranked = ranked_periods(C.publication(ev), "league", "pub_day", "season")
+    ranked = ranked_periods(_pubs(spark, sf), "league", "pub_day", "season")
     opp = active_rank(tg, ranked, "league", "opp_id", "day_num", "ordinal", "opp_rank")
     bands = spark.createDataFrame(QUAD_BANDS, "quad string, band_loc string, lo int, hi int")
     return band_lookup(opp, bands, "loc", "opp_rank", "band_loc", "lo", "hi", "quad").select(
