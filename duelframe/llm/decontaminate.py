@@ -3,8 +3,9 @@
 Texts are cut into normalised words (ASCII letters lower-cased; letters, digits
 and everything beyond ASCII are word characters). Every window of ``window``
 consecutive item words, and every shorter item as one window, is hashed into a
-set that is broadcast. One scan of the documents hashes the windows of each text,
-looks them up, and verifies a hit word by word, so a hash collision does no harm.
+set that travels with the plan. One scan of the documents hashes the windows of
+each text inside its row and looks them up; the few that are found are joined
+with the windows themselves, word by word, so a hash collision does no harm.
 
 The set is broadcast only while it holds at most ``MAX_BROADCAST`` windows. A
 larger benchmark is dealt into blocks of that size and the documents are scanned
@@ -24,7 +25,7 @@ from duelframe.llm.tables import saved
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_BROADCAST = 500_000  # windows of at most ``window`` words
+MAX_BROADCAST = 50_000  # windows of at most ``window`` words
 
 
 def raw_words(text: Column) -> Column:
@@ -42,12 +43,17 @@ def lowered(words: Column) -> Column:
     return F.transform(words, lower_ascii)
 
 
-def windows_of(words: Column, length: int) -> Column:
-    """Array of (at, h, len) of every window; empty where there are fewer words."""
-    starts = F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(
-        i.alias("at"), F.xxhash64(F.slice(words, i + 1, length)).alias("h"), F.lit(length).alias("len")))
+def windows_found(words: str, length: int, hashes: list[int]) -> Column:
+    """Windows of ``length`` words of the array column ``words`` whose hash is in the
+    set (Spark looks up a literal IN list of more than a few numbers by hash): array
+    of (at, gram)."""
+    hash_set = ", ".join(f"{h}L" for h in hashes)
+    return F.expr(f"""
+        transform(filter(
+            CASE WHEN size({words}) >= {length} THEN sequence(0, size({words}) - {length})
+                 ELSE cast(array() AS array<int>) END,
+            i -> xxhash64(slice({words}, i + 1, {length})) IN ({hash_set})),
+          i -> struct(i AS at, slice({words}, i + 1, {length}) AS gram))""")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, item: str, text: str) -> DataFrame:
@@ -75,36 +81,30 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str
     no harm whatever their names.
     """
     grams, _ = saved(benchmark_windows(benchmark, window, item, item_text), "grams")
-    lengths = [r[0] for r in grams.select("len").distinct().orderBy("len").collect()]  # at most ``window``
     blocks = max(1, math.ceil(grams.count() / max_broadcast))
-    base = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)],
-                       F.coalesce(raw_words(F.col(text)), F.array().cast("array<string>")).alias("_raw"),
-                       F.monotonically_increasing_id().alias("_row"))
-    base = base.select("*", lowered(F.col("_raw")).alias("_w")).drop("_raw")
-    # Every document gives its windows and one mark (length 0) that keeps its row
-    # and carries its word count, so one scan yields documents and hits alike.
-    mark = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("len")))
+    ks = [f"_k{i}" for i in range(len(keep))]
+    base = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, ks)], F.monotonically_increasing_id().alias("_row"),
+                       F.coalesce(raw_words(F.col(text)), F.array().cast("array<string>")).alias("_raw"))
+    base = base.select("_row", *ks, lowered(F.col("_raw")).alias("_w"))
     found = None
     for block in range(blocks):
         part = grams if blocks == 1 else grams.where(F.pmod(F.xxhash64(F.col("h")), F.lit(blocks)) == block)
-        if block == 0:
-            spark = docs.sparkSession
-            part = part.unionByName(spark.range(1).select(
-                F.lit(0).cast("long").alias("h"), F.lit(0).alias("len"),
-                F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items")))
-        lists = [windows_of(F.col("_w"), n) for n in lengths]
-        every = F.concat(*lists, *([mark] if block == 0 else []))
-        probes = base.select("*", F.explode(every).alias("_p"))
-        hits = (probes.join(F.broadcast(part), (F.col("_p.h") == F.col("h")) & (F.col("_p.len") == F.col("len")))
-                .where((F.col("len") == 0)
-                       | (F.slice("_w", F.col("_p.at") + 1, F.col("len")) == F.col("gram")))
-                .select("_row", *[f"_k{i}" for i in range(len(keep))],
-                        F.when(F.col("len") == 0, F.size("_w")).alias("_n"),
-                        F.when(F.col("len") > 0, F.struct(F.col("_p.at").alias("start"),
-                               (F.col("_p.at") + F.col("len")).alias("end"))).alias("_span"), "items"))
-        found = hits if found is None else found.unionByName(hits)
-    per = found.groupBy("_row", *[f"_k{i}" for i in range(len(keep))]).agg(
-        F.max("_n").cast("long").alias("n_words"), F.array_sort(F.collect_set("_span")).alias("spans"),
+        by_length: dict[int, list[int]] = {}
+        for h, n in part.select("h", "len").collect():  # about ``max_broadcast`` numbers
+            by_length.setdefault(n, []).append(h)
+        lists = [windows_found("_w", n, hashes) for n, hashes in sorted(by_length.items())]
+        none = F.array().cast("array<struct<at:int,gram:array<string>>>")
+        probes = base.select("_row", *ks, F.size("_w").cast("long").alias("_n"),
+                             F.concat(none, *lists).alias("_found"))
+        # the words stay behind: explode copies every column it hands on
+        rows = probes.select("_row", *ks, "_n", F.explode_outer("_found").alias("_f"))
+        hits = (rows.join(F.broadcast(part.select("gram", "items", "len")), F.col("_f.gram") == F.col("gram"), "left")
+                .select("_row", *ks, "_n", F.when(F.col("gram").isNotNull(), F.struct(
+                    F.col("_f.at").alias("start"), (F.col("_f.at") + F.col("len")).alias("end"))).alias("_span"),
+                    "items"))
+        found = hits if found is None else found.unionByName(hits.where("_span is not null"))
+    per = found.groupBy("_row", *ks).agg(
+        F.max("_n").alias("n_words"), F.array_sort(F.collect_set("_span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("spans", zero, lambda s, x: F.struct(
