@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from duelframe.llm.decontaminate import find_hits
 from duelframe.llm.mixing import mix_sources
+from duelframe.llm.ngram_join import jaccard_components
+from duelframe.llm.quality import fit_quality, held_out, score_quality
 from duelframe.llm.sharding import shard_documents
 
 
@@ -16,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -28,6 +35,14 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_documents(_table(spark, sf_dir, "documents"), shards=40, grown=41)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
@@ -35,8 +50,10 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op4_source_mixing": op4_source_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_jump_sharding": op10_jump_sharding,
 }
 
