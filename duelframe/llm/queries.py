@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ from duelframe.llm.mixing import mix_sources
 from duelframe.llm.ngram_join import jaccard_components
 from duelframe.llm.quality import fit_quality, held_out, score_quality
 from duelframe.llm.sharding import shard_documents
+from duelframe.llm.tables import new_path
+from duelframe.llm.token_binary import read_token_files, write_token_files
+from duelframe.llm.token_counts import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +28,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -36,6 +45,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_files(_table(spark, sf_dir, "documents"), new_path(spark, "tokens"),
+                                 public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, manifest)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, _table(spark, sf_dir, "labels"))
@@ -61,8 +76,10 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_source_mixing": op4_source_mixing,
+    "op6_token_binary": op6_token_binary,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_jump_sharding": op10_jump_sharding,
