@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from duelframe.llm.chat import format_conversations, read_back
 from duelframe.llm.decontaminate import find_hits
+from duelframe.llm.edits import compare_with_edits
+from duelframe.llm.imatch import build_lexicon
 from duelframe.llm.mixing import mix_sources
 from duelframe.llm.ngram_join import jaccard_components
 from duelframe.llm.quality import fit_quality, held_out, score_quality
@@ -51,6 +53,11 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest)
 
 
+def op7_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compare_with_edits(docs, build_lexicon(docs))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, _table(spark, sf_dir, "labels"))
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_source_mixing": op4_source_mixing,
     "op6_token_binary": op6_token_binary,
+    "op7_imatch_fingerprints": op7_imatch_fingerprints,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_jump_sharding": op10_jump_sharding,
