@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from duelframe.llm.words import COEFFICIENTS, LOWER, WHITE, mix, text_bytes, word_hashes
 
-RATES = (16, 64, 256, 1024)  # a subset holds one of so many lexicon terms
-SUBSETS = 32  # random subsets, by turns of the rates; the whole lexicon comes before them
+RATES = (32, 128, 512, 1024)  # a subset holds one of so many lexicon terms
+SUBSETS = 64  # random subsets, by turns of the rates; the whole lexicon comes before them
 NONE = np.uint32(0)  # hash of a subset without terms
 
 

@@ -8,12 +8,8 @@ filter, the positional filter (what can still follow the shared n-gram) and the
 suffix filter (how many n-grams fall into each of 64 ranges of the hash), each
 pair once, and what is left is compared set by set.
 
-Equal sets are one node from the start. Groups of near copies are not expanded
-into all pairs: linking rounds pair each posting with one neighbour and one leader
-of its n-gram only, in another random order each round, and components are taken
-over the links so far. The last round is complete: it pairs all postings whose
-nodes are still in different components. No link between components is lost, as a
-pair that the rounds skip lies inside one component already.
+Equal sets are one node from the start, and groups of near copies are not expanded
+into all pairs; see ``linking``. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,18 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.llm.components import components
-from duelframe.llm.tables import drop, saved
+from duelframe.llm.linking import linked_components
+from duelframe.llm.tables import bounded, drop, pick, saved, text_hash
 from duelframe.llm.words import WHITE, shingle_hashes, text_bytes, word_hashes
 
 SKETCH_BITS = 22  # counters of the n-gram counts; raise it with the corpus
 SKETCH_PARTS = 64
 SIGNATURE = 64  # ranges of the suffix filter
-LINK_ROUNDS = 2
 MAX_BROADCAST = 1_000_000  # document ids
 SEEN = 1_000_000  # sets that a task remembers to post equal ones once
 
@@ -61,7 +56,8 @@ def _signature(grams: np.ndarray) -> bytes:
 def _profiles(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """Of each row its key, set size, node and signature; and each task's part of the n-gram counts."""
     schema = T.StructType([
-        T.StructField("id", docs.schema[key].dataType), T.StructField("n", T.LongType()),
+        T.StructField("id", docs.schema[key].dataType), T.StructField("th", T.LongType()),
+        T.StructField("n", T.LongType()),
         T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType()),
         T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
@@ -78,17 +74,17 @@ def _profiles(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 counts[np.unique(grams & mask)] += np.uint32(1)
             m = len(n)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()),
+                [ids, batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()),
                  pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=schema.names)
         if id_type is not None:
             m = SKETCH_PARTS
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
+                [pa.nulls(m, id_type), *[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.binary()),
                  pa.array(range(m), pa.int32()),
                  pa.array([zlib.compress(c.tobytes(), 1) for c in np.split(counts, m)], pa.binary())],
                 names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, text_hash(text).alias("th")).mapInArrow(run, schema)
 
 
 def _levels(profiles: DataFrame) -> np.ndarray:
@@ -154,26 +150,6 @@ def _fits(percent: int) -> str:
             f"{100 + percent}L * least(x.n - x.pos, y.n - y.pos) >= {percent}L * (x.n + y.n)")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-
-def _round_pairs(postings: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each posting with the leader and the previous one of its n-gram in this round's order."""
-    order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-    rows = postings.select("token", F.struct("node", "n", "pos", "comp").alias("x"), "node")
-    near = rows.select("x", F.array(F.first("x").over(order), F.lag("x").over(order)).alias("near"))
-    near = near.select("x", F.explode("near").alias("y"))
-    return _pairs(near.where("x.node <> y.node and x.comp <> y.comp").where(_fits(percent)))
-
-
-def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """All postings of an n-gram whose nodes are in different components."""
-    x = postings.select("token", F.struct("node", "n", "pos", "comp").alias("x"))
-    y = postings.select("token", F.struct("node", "n", "pos", "comp").alias("y"))
-    return _pairs(x.join(y, "token").where("x.node < y.node and x.comp <> y.comp").where(_fits(percent)))
-
-
 def _after_suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose n-grams fall similarly enough into the ranges of the hash: the differences
     of the counts bound the symmetric difference of the sets from below."""
@@ -199,9 +175,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, tex
               percent: int) -> DataFrame:
     """The pairs whose sets reach the similarity, compared n-gram by n-gram."""
     needed, needed_path = saved(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), "needed")
-    ids = nodes.join(needed, "node").select(F.col("rep").alias("_rep")).distinct()
-    if needed.count() <= MAX_BROADCAST:
-        ids = F.broadcast(ids)
+    ids, ids_path = saved(nodes.join(needed, "node").select(F.col("rep").alias("_rep")).distinct(), "ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +187,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, tex
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(blob, pa.binary())],
                                              names=["node", "grams"])
 
-    texts = docs.join(ids, F.col(key).eqNullSafe(F.col("_rep")), "left_semi").select(text)
+    texts = docs.join(bounded(ids, MAX_BROADCAST), F.col(key).eqNullSafe(F.col("_rep")), "left_semi").select(text)
     grams, grams_path = saved(texts.mapInArrow(sets, "node long, grams binary").join(needed, "node", "left_semi")
                               .dropDuplicates(["node"]), "sets")
 
@@ -228,14 +202,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, tex
 
     both = (pairs.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b").select("a", "b", "ga", "gb"))
     links, _ = saved(both.mapInArrow(compare, "a long, b long"), "links")
-    drop(docs.sparkSession, needed_path, grams_path)
+    drop(docs.sparkSession, needed_path, ids_path, grams_path)
     return links
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
                        text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``key``, ``n_shingles``, ``node`` (the class of equal
-    sets; null without words) and ``component_id``, the smallest key that links reach.
+    """One row per row of ``docs``: ``key``, ``_th`` (the hash of its text), ``n_shingles``,
+    ``node`` (the class of equal sets; null without words) and ``component_id``, the
+    smallest key that links reach.
 
     Sets are the distinct ``k``-word shingles of the whole text, words being runs
     other than space and \\t..\\r with A-Z lower-cased; a text of fewer words is one
@@ -249,35 +224,38 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str
     rows = profiles.where("part is null")
     nodes, _ = saved(rows.where("node is not null").groupBy("node").agg(
         F.min("n").cast("int").alias("n"), F.min("id").alias("rep"), F.first("sig").alias("sig")), "nodes")
-    every = _postings(docs, text, k, percent, _levels(profiles))
-    same = Window.partitionBy("token")
-    postings, postings_path = saved(
-        every.withColumns({"_lo": F.min("node").over(same), "_hi": F.max("node").over(same)})
-        .where("_lo <> _hi").drop("_lo", "_hi"), "postings")
-
-    links, comps = None, None
-    for turn in range(LINK_ROUNDS + 1):
-        if comps is None:
-            labelled = postings.withColumn("comp", F.col("node"))
-        else:
-            labelled = (postings.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-                        .withColumns({"_lo": F.min("comp").over(same), "_hi": F.max("comp").over(same)})
-                        .where("_lo <> _hi").drop("_lo", "_hi"))
-        found = _round_pairs(labelled, turn, percent) if turn < LINK_ROUNDS else _all_pairs(labelled, percent)
-        pairs, pairs_path = saved(_after_suffix_filter(found, nodes, percent), "pairs")
-        if not pairs.isEmpty():
-            new = _verified(pairs, docs, nodes, key, text, k, percent)
-            links = new if links is None else links.union(new)
-            comps, _ = saved(components(links), "components")
-        drop(spark, pairs_path)
-    drop(spark, postings_path)
+    postings = _postings(docs, text, k, percent, _levels(profiles))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        close, _ = saved(_after_suffix_filter(pairs, nodes, percent), "close")
+        return _verified(close, docs, nodes, key, text, k, percent)
+
+    comps = linked_components(postings, _fits(percent), verify)
 
     if comps is None:
         comps = nodes.select("node", F.col("node").alias("comp")).limit(0)
     joined = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
     labels = joined.join(least, "comp").select("node", "component_id")
-    with_set = rows.where("node is not null").join(labels, "node").select("id", "n", "node", "component_id")
-    without = rows.where("node is null").select("id", "n", "node", F.col("id").alias("component_id"))
-    return with_set.union(without).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "node",
-                                          "component_id")
+    with_set = rows.where("node is not null").join(labels, "node").select("id", "th", "n", "node", "component_id")
+    without = rows.where("node is null").select("id", "th", "n", "node", F.col("id").alias("component_id"))
+    return with_set.union(without).select(F.col("id").alias(key), F.col("th").alias("_th"),
+                                          F.col("n").alias("n_shingles"), "node", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are the first of their component, by key (null last) and
+    hash of the text; all columns. Rows without words stay, each of them, but for rows
+    that repeat both key and text, of which one stays.
+    """
+    groups = jaccard_components(docs, k, percent, key, text)
+    named = F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), F.col("_th").alias("th"))
+    counted = groups.groupBy(key, "_th", "node", "component_id").agg(F.count(F.lit(1)).alias("_rows"))
+    # a component: its label and, for null labels, its class
+    group = (F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("node")).alias("_class"))
+    first = counted.where("node is not null").groupBy(*group).agg(
+        F.min(F.struct(named.alias("name"), F.col("_rows").alias("rows"))).alias("_first"))
+    kept = first.select(F.col("_first.name.key").alias(key), F.col("_first.name.th").alias("_th"),
+                        F.lit(1).alias("_copies"), F.col("_first.rows").alias("_rows"))
+    blank = counted.where("node is null").select(key, "_th", F.lit(1).alias("_copies"), "_rows")
+    return pick(docs, kept.union(blank), key, text).drop("_copies")

@@ -12,6 +12,7 @@ from duelframe.llm.chat import format_conversations, read_back
 from duelframe.llm.decontaminate import find_hits
 from duelframe.llm.edits import compare_with_edits
 from duelframe.llm.imatch import build_lexicon
+from duelframe.llm.line_dedup import dedup_lines
 from duelframe.llm.mixing import mix_sources
 from duelframe.llm.ngram_join import jaccard_components
 from duelframe.llm.quality import fit_quality, held_out, score_quality
@@ -47,6 +48,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.char_length("kept_text").cast("long").alias("kept_chars"),
+                          F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_token_files(_table(spark, sf_dir, "documents"), new_path(spark, "tokens"),
                                  public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_source_mixing": op4_source_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_binary": op6_token_binary,
     "op7_imatch_fingerprints": op7_imatch_fingerprints,
     "op8_quality_classifier": op8_quality_classifier,

@@ -59,3 +59,36 @@ def running_totals(df: DataFrame, order: list[Column], values: dict[str, Column]
     inside = Window.partitionBy("_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     return (ranged.join(F.broadcast(before), "_p")  # a row for each part
             .select(*carry, *[(F.sum(f"_v_{n}").over(inside) + F.col(f"_b_{n}")).alias(n) for n in values]))
+
+
+MAX_BROADCAST = 300_000  # rows of a few numbers each
+
+
+def bounded(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is, so that
+    the join shuffles. ``df`` should be a written table, as its rows are counted."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def text_hash(text: str) -> Column:
+    """Tells rows that share a key by their texts; no hash of a text is null."""
+    return F.xxhash64(F.col(text))
+
+
+def pick(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``docs`` and ``_copies``, for the rows that ``chosen`` names by ``key``
+    and ``_th``, the hash of the text. ``chosen`` has distinct names, ``_copies`` and
+    ``_rows``, the number of rows of that name; of rows that repeat a name one is given.
+    """
+    chosen, _ = saved(chosen.select(F.col(key).alias("_key"), "_th", "_copies", "_rows"), "chosen")
+    named = docs.withColumn("_hash", text_hash(text))
+    on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_th"))
+
+    def joined(part: DataFrame) -> DataFrame:
+        return named.join(part, on).select(*docs.columns, "_copies", "_th")
+
+    once, often = chosen.where("_rows = 1"), chosen.where("_rows > 1")
+    out = joined(bounded(once, 1_000_000))
+    if not often.isEmpty():
+        out = out.unionByName(joined(bounded(often)).dropDuplicates([key, "_th"]))
+    return out.drop("_th")
