@@ -113,4 +113,4 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     total = words[:n - m + 1] * COEFFICIENTS[1]
     for j in range(1, m):
         total = total + words[j:n - m + 1 + j] * COEFFICIENTS[1 + j]
-    return mix(total + U(m) * COEFFICIENTS[0])
+    return mix(total + COEFFICIENTS[:1] * U(m))
