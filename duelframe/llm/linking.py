@@ -2,11 +2,12 @@
 
 Items come as postings (``token``, ``node``, ``x``): an item is a candidate partner of
 every other item of one of its tokens. Linking rounds pair each posting with the
-leader of its token and with the posting before it, in another random order each
-round; components over the verified links then rule out most other pairs, as two
-items of one component need no link of their own. The last round pairs all postings
-of a token that are still in different components, so no link between two components
-is missed, whatever the rounds before skipped.
+leader of its token and with a few postings before it: first in one random order for
+all tokens, then in an order of each token's own, which gives an item other partners
+under each of its tokens. Components over the verified links then rule out most other pairs, as
+two items of one component need no link of their own. The last round pairs all
+postings of a token that are still in different components, so no link between two
+components is missed, whatever the rounds before skipped.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from duelframe.llm.components import components
 from duelframe.llm.tables import drop, saved
 
-ROUNDS = 2
+# Linking rounds: postings before each one that it is paired with, beside the leader.
+ROUNDS = (1, 8, 16)
 
 
 def shared_tokens(postings: DataFrame, column: str = "node") -> DataFrame:
@@ -34,9 +36,11 @@ def _pairs(rows: DataFrame, fits: str) -> DataFrame:
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
-def _near_pairs(postings: DataFrame, turn: int, fits: str) -> DataFrame:
-    order = Window.partitionBy("token").orderBy(F.xxhash64("x.node", F.lit(turn)), "x.node")
-    near = postings.select("x", F.array(F.first("x").over(order), F.lag("x").over(order)).alias("near"))
+def _near_pairs(postings: DataFrame, turn: int, before: int, fits: str) -> DataFrame:
+    own = [F.col("token")] if turn else []
+    order = Window.partitionBy("token").orderBy(F.xxhash64("x.node", F.lit(turn), *own), "x.node")
+    near = postings.select("x", F.array(
+        F.first("x").over(order), *[F.lag("x", i).over(order) for i in range(1, before + 1)]).alias("near"))
     return _pairs(near.select("x", F.explode("near").alias("y")).where("y is not null"), fits)
 
 
@@ -46,7 +50,7 @@ def _all_pairs(postings: DataFrame, fits: str) -> DataFrame:
 
 
 def linked_components(postings: DataFrame, fits: str, verify: Callable[[DataFrame], DataFrame],
-                      rounds: int = ROUNDS) -> DataFrame | None:
+                      rounds: tuple[int, ...] = ROUNDS) -> DataFrame | None:
     """(``node``, ``comp``) of all nodes with a link; None without any link.
 
     ``postings``: ``token``, ``node`` (long) and any columns that ``fits`` looks at.
@@ -58,14 +62,15 @@ def linked_components(postings: DataFrame, fits: str, verify: Callable[[DataFram
     extra = [c for c in postings.columns if c != "token"]
     table, table_path = saved(shared_tokens(postings), "postings")
     links, comps = None, None
-    for turn in range(rounds + 1):
+    for turn in range(len(rounds) + 1):
         if comps is None:
             labelled = table.withColumn("comp", F.col("node"))
         else:
             labelled = shared_tokens(table.join(comps, "node", "left")
                                      .withColumn("comp", F.coalesce("comp", "node")), "comp")
         labelled = labelled.select("token", F.struct(*extra, "comp").alias("x"))
-        found = _near_pairs(labelled, turn, fits) if turn < rounds else _all_pairs(labelled, fits)
+        found = (_near_pairs(labelled, turn, rounds[turn], fits) if turn < len(rounds)
+                 else _all_pairs(labelled, fits))
         if links is not None and not tried.isEmpty():
             found = found.join(tried, ["a", "b"], "left_anti")
         pairs, _ = saved(found, "pairs")
