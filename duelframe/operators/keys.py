@@ -17,7 +17,7 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     """``left.join(right, keys, how)`` with null-safe key equality; the
     key columns appear once, taken from ``left``."""
     if not keys:
-        return left.crossJoin(right) if how == "inner" else left.join(right, how=how)
+        raise ValueError("join_on_keys needs at least one key")
     alias = {k: f"_rk_{i}" for i, k in enumerate(keys)}
     r = right.withColumnsRenamed(alias)
     cond = None
@@ -32,10 +32,13 @@ def nonnull_keys(df: DataFrame, keys: Sequence[str], prefix: str = "_nk") -> tup
     that group exactly like ``k`` (one group for nulls). Partitioning,
     aggregating and joining on these keeps a single hash partitioning
     through a plan - a null-safe join condition would hash other
-    expressions and re-shuffle the large side."""
+    expressions and re-shuffle the large side. Without keys all rows get one
+    and the same stand-in."""
     from pyspark.sql import functions as F
     from pyspark.sql.types import BooleanType, NumericType, StringType
     types = {f.name: f.dataType for f in df.schema.fields}
+    if not keys:
+        return df.withColumn(f"{prefix}0v", F.lit(0)), [f"{prefix}0v"]
     cols, names = {}, []
     for i, k in enumerate(keys):
         t = types[k]

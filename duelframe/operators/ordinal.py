@@ -1,25 +1,19 @@
-"""Position of each row inside a very large group, without one task per group.
+"""Position of each row inside a group, whatever the group's size.
 
 ``ROW_NUMBER() OVER (PARTITION BY g ORDER BY k)`` sorts each group in a
 single task. When a group holds a large share of the data (five event
-types for a whole event log) that task is the job. Here the order is cut
-into *slices* that are monotone in the order key (for a time-ordered log:
-a fixed-width time slice of the timestamp):
+types for a whole event log) that task is the job. Here a hot group's order
+is cut into slices at quantiles of the data (``hot``):
 
 1. local position: ``row_number`` over ``(g, slice)`` - each sort is one slice;
-2. slice sizes: ``count`` per ``(g, slice)`` with map-side partial aggregation;
+2. sizes of hot groups' slices: ``count`` with map-side partial aggregation;
 3. slice offsets: running sum of the sizes over ``g`` ordered by slice -
    a window over the small count table (one row per slice, not per row);
-4. position = offset + local position. The join is on ``(g, slice)``, the
-   key the step-1 output is already hash-partitioned by, so only the small
-   offset table moves.
+4. position = offset + local position; groups that are not hot have one
+   slice and no offset.
 
 All steps are deterministic (the order key must be total), so a lost
 executor recomputes exactly the same numbers.
-
-Given an upper bound on the largest group (``max_group_rows``) at or under
-the slicing threshold, both operators use one plain window per group instead
-- a single Exchange + Sort, same results.
 """
 
 from __future__ import annotations
@@ -29,122 +23,79 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.operators.hot import hot_cuts, sliced
 from duelframe.operators.keys import nonnull_keys
-from duelframe.operators.sliced import fits_one_task
-
 
-def _group_window(group: Sequence[str], order: Sequence[str]):
-    return (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy(*order)
 
+def time_axis(ts: str | Column, wall_clock: bool = True) -> Column:
+    """Seconds of a timestamp with their fraction, as a double.
 
-def time_slice(ts: str | Column, seconds: int, wall_clock: bool = True) -> Column:
-    """Fixed-width slice number of a timestamp, monotone in ``ts``.
-
-    ``wall_clock=True`` (for ``TIMESTAMP_NTZ``) counts seconds from the
-    date and time fields, independent of the session time zone - a cast to
-    a zoned timestamp would map daylight-saving gaps out of order.
-    ``False`` (for zoned ``TIMESTAMP``) uses the instant itself."""
+    ``wall_clock=True`` (for ``TIMESTAMP_NTZ``) counts from the date and time
+    fields, independent of the session time zone - a cast to a zoned timestamp
+    would map daylight-saving gaps out of order. ``False`` (for zoned
+    ``TIMESTAMP``) uses the instant itself."""
     c = F.col(ts) if isinstance(ts, str) else ts
     if wall_clock:
-        secs = (F.unix_date(F.to_date(c)).cast("bigint") * 86400 + F.hour(c) * 3600
-                + F.minute(c) * 60 + F.second(c))
-    else:
-        secs = F.floor(F.unix_micros(c) / 1_000_000)
-    return F.floor(secs / F.lit(seconds)).cast("bigint")
-
-
-SLICE_TARGET_ROWS = 1_000_000
-
-
-def adaptive_slice_seconds(df: DataFrame, ts: str, group_rows: int | None,
-                           default: int = 60, target: int = SLICE_TARGET_ROWS) -> int:
-    """Time-slice width for ordering a group of ``group_rows`` rows by ``ts``:
-    at most ``default`` seconds, narrowed so that a group spread evenly
-    over the data's time span puts about ``target`` rows in a slice (one
-    min/max aggregation). Dense groups get fine slices; the floor is one
-    second."""
-    if not group_rows or group_rows <= target:
-        return default
-    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
-    if lo is None or hi is None:
-        return default
-    span = max(1, int((hi - lo).total_seconds()))
-    return max(1, min(default, span * target // group_rows))
+        return (F.unix_date(F.to_date(c)).cast("double") * 86400 + F.hour(c) * 3600
+                + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double"))
+    return F.unix_micros(c) / 1_000_000
 
 
 def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                   slices: Column | Sequence[Column], name: str = "ordinal",
-                   keep_slices: bool = False, max_group_rows: int | None = None) -> DataFrame:
+                   along: Column, name: str = "ordinal") -> DataFrame:
     """Add ``name``: 0-based position of the row in its group under ``order``.
 
-    ``slices`` (one column or several, compared in order) must be
-    non-decreasing along ``order`` within a group; the largest single sort
-    is then the largest slice. ``group`` may be empty (one global order).
-    With ``keep_slices`` the slice columns ``_slice0..`` and the slice's
-    first position ``_off`` and size ``_n`` stay on the rows; the result is
-    hash-partitioned by ``group + slices`` for a following operator.
-    """
-    if fits_one_task(max_group_rows, df.sparkSession) and not keep_slices:
-        return df.withColumn(name, (F.row_number().over(_group_window(group, order)) - 1).cast("bigint"))
-    slices = [slices] if isinstance(slices, Column) else list(slices)
-    sl = [f"_slice{i}" for i in range(len(slices))]
-    # never-null stand-ins for the group keys keep one partitioning from
-    # the window through the join (null groups included)
-    d, ik = nonnull_keys(df.withColumns(dict(zip(sl, slices))), group)
-    w_local = Window.partitionBy(*ik, *sl).orderBy(*order)
+    ``along`` is a number that never falls along ``order`` within a group. ``group``
+    may be empty (one global order)."""
+    base, ik = nonnull_keys(df, group)
+    cuts = hot_cuts(base, ik, along)
+    d = sliced(base, ik, along, cuts)
+    hot = sliced(base, ik, along, cuts, hot_only=True)
+    w_local = Window.partitionBy(*ik, "_sl").orderBy(*order)
     local = d.withColumn("_local", F.row_number().over(w_local) - 1)
-    sizes = d.groupBy(*ik, *sl).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = hot.groupBy(*ik, "_sl").agg(F.count(F.lit(1)).alias("_n"))
     # the offset window runs over the slice-size table (one row per slice)
-    w_off = (Window.partitionBy(*ik).orderBy(*sl) if ik else Window.orderBy(*sl)) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*ik, *sl, "_n", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    out = (local.join(offsets, [*ik, *sl], "inner")
-                .withColumn(name, (F.col("_off") + F.col("_local")).cast("bigint"))
-                .drop("_local", *ik))
-    return out if keep_slices else out.drop(*sl, "_off", "_n")
+    w_off = Window.partitionBy(*ik).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*ik, "_sl", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    return (local.join(offsets, [*ik, "_sl"], "left")
+            .withColumn(name, (F.coalesce("_off", F.lit(0)) + F.col("_local")).cast("bigint"))
+            .select(*df.columns, name))
 
 
 def pair_consecutive(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                     slices: Column | Sequence[Column], cols: Sequence[str],
-                     max_group_rows: int | None = None) -> DataFrame:
+                     along: Column, cols: Sequence[str]) -> DataFrame:
     """Pair positions (0, 1), (2, 3), ... of each group under ``order``:
     one row per pair with ``a_<c>`` / ``b_<c>`` for every column in
     ``cols``; a trailing unpaired row is dropped.
 
-    The log is shuffled once, by ``group + slices``. Inside a slice the
+    The log is shuffled once, by group and slice. Inside a slice the
     partner is read with ``lead`` in the same window that numbers the rows.
-    A pair that straddles two slices is made of the previous slice's last
-    row and this slice's first row; both come from the per-slice summary
-    (``min_by`` / ``max_by`` with map-side partial aggregation), so those
-    pairs are formed from a table with one row per slice.
+    A pair that straddles two slices of a hot group is made of the previous
+    slice's last row and this slice's first row; both come from the per-slice
+    summary (``min_by`` / ``max_by`` with map-side partial aggregation), so
+    those pairs are formed from a table with one row per slice.
     """
-    if fits_one_task(max_group_rows, df.sparkSession):
-        w = _group_window(group, order)
-        p = df.select(*group, *cols, (F.row_number().over(w) - 1).alias("_rn"),
-                      *[F.lead(c, 1).over(w).alias(f"_b_{c}") for c in cols],
-                      F.lead(F.lit(1), 1).over(w).alias("_has_b"))
-        return p.where(((F.col("_rn") % 2) == 0) & F.col("_has_b").isNotNull()).select(
-            *group, *[F.col(c).alias(f"a_{c}") for c in cols],
-            *[F.col(f"_b_{c}").alias(f"b_{c}") for c in cols])
-    slices = [slices] if isinstance(slices, Column) else list(slices)
-    sl = [f"_slice{i}" for i in range(len(slices))]
-    d, ik = nonnull_keys(df.withColumns(dict(zip(sl, slices))), group)
+    base, ik = nonnull_keys(df, group)
+    cuts = hot_cuts(base, ik, along)
+    d = sliced(base, ik, along, cuts)
+    hot = sliced(base, ik, along, cuts, hot_only=True)
     row = F.struct(*[F.col(c) for c in cols])
     key = F.struct(*[F.col(c) for c in order])
-    sizes = d.groupBy(*ik, *group, *sl).agg(F.count(F.lit(1)).alias("_n"),
-                                            F.min_by(row, key).alias("_first"),
-                                            F.max_by(row, key).alias("_last"))
-    w_s = Window.partitionBy(*ik).orderBy(*sl) if ik else Window.orderBy(*sl)
-    offs = sizes.select(*ik, *group, *sl, "_n", "_first",
+    sizes = hot.groupBy(*ik, *group, "_sl").agg(F.count(F.lit(1)).alias("_n"),
+                                                F.min_by(row, key).alias("_first"),
+                                                F.max_by(row, key).alias("_last"))
+    w_s = Window.partitionBy(*ik).orderBy("_sl")
+    offs = sizes.select(*ik, *group, "_sl", "_n", "_first",
                         F.coalesce(F.sum("_n").over(w_s.rowsBetween(Window.unboundedPreceding, -1)),
                                    F.lit(0)).alias("_off"),
                         F.lag("_last", 1).over(w_s).alias("_prev_last"))
-    w = Window.partitionBy(*ik, *sl).orderBy(*order)
-    local = d.select(*ik, *group, *sl, *cols, (F.row_number().over(w) - 1).alias("_local"),
-                     *[F.lead(c, 1).over(w).alias(f"_b_{c}") for c in cols])
-    j = local.join(offs.select(*ik, *sl, "_n", "_off"), [*ik, *sl], "inner")
-    even = ((F.col("_off") + F.col("_local")) % 2) == 0
-    inner = j.where(even & (F.col("_local") + 1 < F.col("_n"))).select(
+    w = Window.partitionBy(*ik, "_sl").orderBy(*order)
+    local = d.select(*ik, *group, "_sl", *cols, (F.row_number().over(w) - 1).alias("_local"),
+                     *[F.lead(c, 1).over(w).alias(f"_b_{c}") for c in cols],
+                     F.lead(F.lit(1), 1).over(w).alias("_has_b"))
+    j = local.join(offs.select(*ik, "_sl", "_off"), [*ik, "_sl"], "left")
+    even = ((F.coalesce("_off", F.lit(0)) + F.col("_local")) % 2) == 0
+    inner = j.where(even & F.col("_has_b").isNotNull()).select(
         *group, *[F.col(c).alias(f"a_{c}") for c in cols],
         *[F.col(f"_b_{c}").alias(f"b_{c}") for c in cols])
     edge = offs.where(((F.col("_off") % 2) == 1) & F.col("_prev_last").isNotNull()).select(

@@ -32,24 +32,27 @@ def suffixed(df: DataFrame, suffix: str, keep: Sequence[str]) -> list[Column]:
 
 def pair_sides(df: DataFrame, game: Sequence[str], loc: str, entity: str,
                shared: Sequence[str] = (), drop: Sequence[str] = ()) -> DataFrame:
-    """One row per game: side 1 columns with suffix ``_A``, side 2 columns
-    with suffix ``_B``; a game where only one side survived an earlier
-    filter disappears (inner-join semantics).
+    """One row per pair of a side-1 and a side-2 row of a game: side 1 columns
+    with suffix ``_A``, side 2 columns with suffix ``_B``; a game where only one
+    side survived an earlier filter disappears (inner-join semantics), and rows
+    that repeat a participant multiply as in a join. Rows with a null in
+    ``game`` match nothing.
 
-    Requires one row per (game, entity), which the mirror guarantees. The
-    side-2 values are read with ``lead`` over the side-assignment window,
-    so the whole pairing is one Exchange + Sort + Window on the game key:
-    no self-join, and the input plan is evaluated once.
+    The sides are ranked and gathered on the game key, so the pairing is one
+    Exchange and the input plan is evaluated once; a game holds its
+    participants' rows only.
     """
-    key = concat_key(loc, entity)
-    w = Window.partitionBy(*game).orderBy(key)
     keep = list(game) + list(shared)
-    b_cols = [c for c in df.columns if c not in keep]
-    cols = [F.col(c) for c in keep]
-    cols += [F.col(c).alias(c + "_A") for c in b_cols]
-    cols += [F.lead(c, 1).over(w).alias(c + "_B") for c in b_cols]
-    cols += [F.row_number().over(w).alias("_pos"), F.lead(key, 1).over(w).alias("_next")]
-    out = df.select(*cols).where((F.col("_pos") == 1) & F.col("_next").isNotNull()).drop("_pos", "_next")
+    cols = [c for c in df.columns if c not in keep]
+    row = F.struct(*[F.col(c) for c in df.columns if c not in game])
+    sided = assign_sides(df.where(F.concat(*[F.col(c).cast("string") for c in game]).isNotNull()),
+                         game, loc, entity, "_side")
+    both = sided.groupBy(*game).agg(F.collect_list(F.when(F.col("_side") == 1, row)).alias("_a"),
+                                    F.collect_list(F.when(F.col("_side") == 2, row)).alias("_b"))
+    pairs = both.select(*game, F.explode("_a").alias("_a"), "_b").select(*game, "_a", F.explode("_b").alias("_b"))
+    out = pairs.select(*game, *[F.col("_a")[c].alias(c) for c in shared],
+                       *[F.col("_a")[c].alias(c + "_A") for c in cols],
+                       *[F.col("_b")[c].alias(c + "_B") for c in cols])
     return out.drop(*drop) if drop else out
 
 

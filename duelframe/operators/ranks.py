@@ -16,14 +16,14 @@ bounded by the calendar, not by the number of ranked teams.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OPEN_END = 200
+OPEN_END = 200  # of the sports season; a column of the start for other calendars
 
 
 def rank_periods(pubs: DataFrame, season: str, day: str, scope: str = "season",
-                 open_end: int = OPEN_END, start: str = "period_start",
+                 open_end: int | Column = OPEN_END, start: str = "period_start",
                  end: str = "period_end") -> DataFrame:
     if scope not in ("season", "file"):
         raise ValueError("scope must be 'season' or 'file'")
@@ -45,7 +45,7 @@ def rank_periods(pubs: DataFrame, season: str, day: str, scope: str = "season",
 
 
 def ranked_periods(ranks: DataFrame, season: str, day: str, scope: str = "season",
-                   open_end: int = OPEN_END) -> DataFrame:
+                   open_end: int | Column = OPEN_END) -> DataFrame:
     """Period table joined to the ranking rows published at its start:
     one row per (season, team, period) with the rank.
 

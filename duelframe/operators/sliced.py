@@ -1,29 +1,22 @@
 """Entity windows that stay parallel when one entity holds most of the rows.
 
-``Window.partitionBy(entity)`` sorts each entity in one task, and AQE
-cannot split a window partition. Here the entity's ordered rows are cut
-into slices (a column monotone in the order, e.g. the day) and every
-window runs per ``(entity, slice)``. What a row needs from earlier slices
-comes from two small tables:
-
-* the **slice summary** (one row per slice: sums, counts, extremes, last
-  and first non-null values, row count) accumulated over earlier / later
-  slices with a window on the summary itself - for expanding aggregates,
-  forward / backward fills and row numbers;
-* the **carry table**: the last ``n`` rows of every slice, taken with a
-  partial ``WindowGroupLimit`` (at most ``n`` rows per slice and map task
-  cross the shuffle), positioned inside the entity and matched to the
-  slice they precede with an equi-join - for last-``n`` frames and ``lag``.
-
-The full data is shuffled once, by ``(entity, slice)``; both helper
-tables join back on that key, so only they move. Results equal the plain
-window functions of ``sequence`` (up to floating-point summation order).
-
-Slicing costs a few extra small stages. ``sliced_window`` therefore takes
-an upper bound on the rows of the largest entity (``max_entity_rows``,
-see ``largest_group``); at or under ``SLICE_THRESHOLD`` rows every entity
-fits one task and the plain window plan (one Exchange + Sort + Window) is
-used instead. Without a bound the sliced plan is always used.
+Windows run per ``(entity, slice)``; see ``hot`` for what a slice is. All rows of
+an entity that is not hot are slice 0, so for them this is the plain window with
+one Exchange. What a row of a hot entity needs from other slices comes from two
+tables over hot entities alone:
+
+* the **slice summary** (one row per slice: sums, counts, extremes, last and
+  first non-null values, row count) accumulated over earlier / later slices with
+  a window on the summary itself - for expanding aggregates, forward / backward
+  fills and row numbers;
+* the **carry table**: the last ``n`` rows of every slice, taken with a partial
+  ``WindowGroupLimit`` (at most ``n`` rows per slice and map task cross the
+  shuffle), positioned inside the entity and matched to the slice they precede -
+  for last-``n`` frames and ``lag``. A hot entity has ``HOT_ROWS / SLICES``
+  thousands of rows to a slice, so the carried rows are a small part of them.
+
+The full data is shuffled once, by ``(entity, slice)``; both helper tables join
+back on that key. No job runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -34,24 +27,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.operators.hot import hot_cuts, sliced
 from duelframe.operators.keys import nonnull_keys
 
 UP, UF, CUR = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
 
-# Largest entity (rows) that one task sorts with a plain window; a session
-# can change it with spark.duelframe.sliceThreshold (-1: always slice).
-SLICE_THRESHOLD = 2_000_000
-THRESHOLD_CONF = "spark.duelframe.sliceThreshold"
-
-
-def slice_threshold(spark) -> int:
-    return int(spark.conf.get(THRESHOLD_CONF, str(SLICE_THRESHOLD)))
-
-
-def fits_one_task(bound: int | None, spark) -> bool:
-    """True when a bound on the largest group is known and small enough
-    for one task to sort it."""
-    return bound is not None and bound <= slice_threshold(spark)
 EXPANDING = ("sum", "count", "mean", "min", "max")
 
 
@@ -63,7 +43,8 @@ class Feat:
     over the last ``n`` rows, null unless all ``n`` values are present -
     only ``sum``/``mean``/``count`` take ``n``), ``ffill`` (last non-null
     up to the row), ``bfill`` (first non-null from the row on), ``rownum``
-    (1-based position), ``lag`` (previous row's value).
+    (1-based position), ``lag`` (previous row's value), ``run`` (rows with
+    the value 1 in a row right before the row; up to it if inclusive).
     """
     name: str
     kind: str
@@ -78,63 +59,18 @@ def _combine_sum(a: Column, b: Column) -> Column:
         F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
 
 
-_BOUNDS: dict[tuple, int] = {}
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group of ``keys``: one partial aggregation (a
-    hot key collapses map-side), a single number back to the driver.
-
-    The number only chooses between two plans with equal results, so it is
-    remembered per (input files, keys) like a table statistic; new or
-    changed files give a new key."""
-    files = tuple(sorted(df.inputFiles()))
-    memo = (files, df.semanticHash(), tuple(keys)) if files else None
-    if memo in _BOUNDS:
-        return _BOUNDS[memo]
-    got = int(df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
-    if memo is not None:
-        _BOUNDS[memo] = got
-    return got
-
-
-def plain_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
-                 feats: Sequence[Feat]) -> DataFrame:
-    """The same features with ordinary window functions over ``entity``."""
-    w = Window.partitionBy(*entity).orderBy(*order)
-    cols = {}
-    for f in feats:
-        c, cur = f.col, f.include_current
-        if f.kind in EXPANDING and f.n is None:
-            fr = w.rowsBetween(UP, CUR if cur else -1)
-            agg = {"sum": F.sum, "count": F.count, "mean": F.avg, "min": F.min, "max": F.max}[f.kind]
-            cols[f.name] = agg(c).over(fr)
-        elif f.n is not None:
-            fr = w.rowsBetween(-(f.n - 1), CUR) if cur else w.rowsBetween(-f.n, -1)
-            n = F.count(c).over(fr)
-            cols[f.name] = {"sum": F.when(n == f.n, F.sum(c).over(fr)), "count": n,
-                            "mean": F.when(n == f.n, F.sum(c).over(fr) / f.n)}[f.kind]
-        elif f.kind == "ffill":
-            cols[f.name] = F.last(c, ignorenulls=True).over(w.rowsBetween(UP, CUR))
-        elif f.kind == "bfill":
-            cols[f.name] = F.first(c, ignorenulls=True).over(w.rowsBetween(CUR, UF))
-        elif f.kind == "lag":
-            cols[f.name] = F.lag(c, 1).over(w)
-        elif f.kind == "rownum":
-            cols[f.name] = F.row_number().over(w).cast("bigint")
-        else:
-            raise ValueError(f"unsupported feature {f}")
-    return df.withColumns(cols)
-
-
 def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
-                  slices: Column | Sequence[Column], feats: Sequence[Feat],
-                  max_entity_rows: int | None = None) -> DataFrame:
-    if fits_one_task(max_entity_rows, df.sparkSession):
-        return plain_window(df, entity, order, feats)
-    slices = [slices] if isinstance(slices, Column) else list(slices)
-    sl = [f"_sl{i}" for i in range(len(slices))]
-    d, entity = nonnull_keys(df.withColumns(dict(zip(sl, slices))), entity)
+                  along: Column, feats: Sequence[Feat], source: DataFrame | None = None) -> DataFrame:
+    """Add ``feats`` over the rows of ``entity`` in ``order``. ``along`` is a number that
+    never falls along ``order``; hot entities are cut by it. They are looked for in
+    ``source``, a table of ``entity`` and ``along`` columns that is cheaper than ``df`` and
+    has about as many rows of each entity; by default in ``df`` itself."""
+    table, _ = nonnull_keys(df if source is None else source, entity)
+    base, entity = nonnull_keys(df, entity)
+    cuts = hot_cuts(table, entity, along if source is None else F.col("along"))
+    sl = ["_sl"]
+    d = sliced(base, entity, along, cuts)
+    hot = sliced(base, entity, along, cuts, hot_only=True)
     keys = [*entity, *sl]
     okey = F.struct(*[F.col(c) for c in order])
 
@@ -143,6 +79,12 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
     lags = [f for f in feats if f.kind == "lag"]
     ffills = [f for f in feats if f.kind == "ffill"]
     bfills = [f for f in feats if f.kind == "bfill"]
+    runs = [f for f in feats if f.kind == "run"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+
+    def broken(c: str) -> Column:
+        """Position of the row in its slice if it ends a run of ``c``."""
+        return F.when(F.coalesce(F.col(c) != 1, F.lit(True)), F.col("_k") + 1)
 
     # ---- slice summary and its accumulation over earlier / later slices
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -156,8 +98,12 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
         aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"_last_{c}"))
     for c in sorted({f.col for f in bfills}):
         aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"_first_{c}"))
-    summary = d.groupBy(*keys).agg(*aggs)
-    ws = Window.partitionBy(*entity).orderBy(*sl) if entity else Window.orderBy(*sl)
+    if runs:
+        hot = hot.withColumn("_k", F.row_number().over(w) - 1)
+    for c in sorted({f.col for f in runs}):
+        aggs.append(F.max(broken(c)).alias(f"_brk_{c}"))
+    summary = hot.groupBy(*keys).agg(*aggs)
+    ws = Window.partitionBy(*entity).orderBy(*sl)
     before, after = ws.rowsBetween(UP, -1), ws.rowsBetween(1, UF)
     acc = [F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_o_rows")]
     for name in summary.columns:
@@ -173,6 +119,10 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
             acc.append(F.last(name, ignorenulls=True).over(before).alias("_o" + name))
         elif name.startswith("_first_"):
             acc.append(F.first(name, ignorenulls=True).over(after).alias("_o" + name))
+    cut = [f"_brk_{f.col}" for f in runs]
+    if cut:  # positions in the entity: of the rows before a slice, and of the last break before it
+        summary = summary.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        acc += [F.max(F.col("_base") + F.col(c)).over(before).alias("_o" + c) for c in set(cut)]
     offsets = summary.select(*keys, *acc)
 
     # ---- carry table: the rows just before each slice
@@ -181,9 +131,9 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
     carry_cols = sorted({f.col for f in rolling + lags})
     if n_max:
         w_rev = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-        tail = (d.select(*keys, *order, *carry_cols, F.row_number().over(w_rev).alias("_r"))
+        tail = (hot.select(*keys, *order, *carry_cols, F.row_number().over(w_rev).alias("_r"))
                  .where(F.col("_r") <= n_max).drop("_r"))
-        wt = (Window.partitionBy(*entity) if entity else Window.partitionBy()).orderBy(*sl, *order)
+        wt = Window.partitionBy(*entity).orderBy(*sl, *order)
         tail = tail.withColumn("_p", F.row_number().over(wt))
         first_pos = tail.groupBy(*keys).agg(F.min("_p").alias("_fp"))
         reach = tail.select(*entity, *carry_cols, "_p",
@@ -200,8 +150,8 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
         carry = matched.groupBy(*keys).agg(*caggs)
 
     # ---- one window pass per (entity, slice)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    loc = {"_k": F.row_number().over(w) - 1}
+    d = d.withColumn("_k", F.row_number().over(w) - 1)
+    loc = {}
     for f in feats:
         c, cur = f.col, f.include_current
         if f.kind in EXPANDING and f.n is None:
@@ -221,7 +171,9 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
             loc[f"_lf_{f.name}"] = F.first(c, ignorenulls=True).over(w.rowsBetween(CUR, UF))
         elif f.kind == "lag":
             loc[f"_lf_{f.name}"] = F.lag(c, 1).over(w)
-    out = d.withColumns(loc).join(offsets, keys, "inner")
+        elif f.kind == "run":
+            loc[f"_lb_{f.name}"] = F.max(broken(c)).over(w.rowsBetween(UP, CUR if cur else -1))
+    out = d.withColumns(loc).join(offsets, keys, "left")
     if carry is not None:
         out = out.join(carry, keys, "left")
 
@@ -235,7 +187,7 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
                 final[nm] = pick(F.col(f"_lm_{nm}"), F.col(f"_o_{f.kind}_{c}"))
                 continue
             s = _combine_sum(F.col(f"_ls_{nm}"), F.col(f"_o_sum_{c}"))
-            n = F.col(f"_lc_{nm}") + F.col(f"_o_cnt_{c}")
+            n = F.col(f"_lc_{nm}") + F.coalesce(F.col(f"_o_cnt_{c}"), F.lit(0))
             final[nm] = {"sum": s, "count": n,
                          "mean": F.when(n > 0, s / n)}[f.kind]
         elif f.n is not None:
@@ -254,8 +206,12 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
             final[nm] = F.coalesce(F.col(f"_lf_{nm}"), F.col(f"_o_first_{c}"))
         elif f.kind == "lag":
             final[nm] = F.when(k > 0, F.col(f"_lf_{nm}")).otherwise(F.col(f"_clag_{c}"))
+        elif f.kind == "run":
+            base = F.coalesce(F.col("_o_rows"), F.lit(0))
+            last = F.coalesce(base + F.col(f"_lb_{nm}"), F.col(f"_o_brk_{c}"), F.lit(0))
+            final[nm] = (base + k + (1 if f.include_current else 0) - last).cast("bigint")
         elif f.kind == "rownum":
-            final[nm] = (k + 1 + F.col("_o_rows")).cast("bigint")
+            final[nm] = (k + 1 + F.coalesce(F.col("_o_rows"), F.lit(0))).cast("bigint")
         else:
             raise ValueError(f"unsupported feature {f}")
     helper = [x for x in out.columns if x.startswith("_") and x not in df.columns]

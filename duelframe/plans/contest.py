@@ -5,46 +5,39 @@
   The event type plays the role of the season / league.
 - ``team_game``: the mirror of ``contest``, one row per participant.
 - ``tenure``: a manager validity table per team (interval dimension).
-- ``publication``: a top-40 ranking list published on fixed days.
+- ``publication``: a ranking list of all teams, published every week.
 
-Scale notes. Position inside an event type is computed by
-``ordinal_within`` over time slices, so a type holding a third of the log
-is numbered by many tasks, and pairs come out of the same single shuffle
-(``pair_consecutive``): partners inside a slice are read with ``lead``,
-pairs that straddle two slices are formed from the per-slice summary.
+Scale notes. An event type that holds a third of the log is numbered by many
+tasks, and pairs come out of the same single shuffle (``pair_consecutive``):
+partners inside a slice are read with ``lead``, pairs that straddle two
+slices are formed from the per-slice summary.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.operators.mirror import mirror
-from duelframe.operators.ordinal import adaptive_slice_seconds, pair_consecutive, time_slice
-from duelframe.operators.sliced import largest_group
+from duelframe.operators.ordinal import ordinal_within, pair_consecutive, time_axis
 
 # Fixed values of the contest view.
 LOCATION_BY_KEY_MOD5 = {0: "N", 4: "A"}  # any other remainder: "H"
-PUBLICATION_DAYS = (7, 14, 21)
-PUBLICATION_DEPTH = 40
-SLICE_SECONDS = 60
+FIRST_DAY = "2024-01-01"  # day 0 of the calendar; other years count on from it
+WEEK = 7  # days between two publications
+OPEN_DAY = 2_147_483_647  # last day of a tenure that has not ended
 
 
 def day_index(ts: str) -> F.Column:
-    """0-based day of the year, the integer day offset the pipeline uses."""
-    return (F.dayofyear(F.col(ts)) - 1).cast("bigint")
+    """Days since ``FIRST_DAY``, the integer day offset the pipeline uses."""
+    return F.date_diff(F.to_date(F.col(ts)), F.lit(FIRST_DAY).cast("date")).cast("bigint")
 
 
-def contest(events: DataFrame, slice_seconds: int = SLICE_SECONDS, sliced: bool | None = None) -> DataFrame:
-    """``sliced``: force the sliced (True) or plain (False) numbering; by
-    default the size of the largest event type decides."""
+def contest(events: DataFrame) -> DataFrame:
     ev = events.select("event_type", "ts", "event_id", "user_id", "value")
-    biggest = largest_group(ev, ["event_type"])
-    bound = None if sliced else (0 if sliced is False else biggest)
     ntz = dict(ev.dtypes)["ts"] == "timestamp_ntz"
-    width = adaptive_slice_seconds(ev, "ts", biggest, slice_seconds)
-    pairs = pair_consecutive(ev, ["event_type"], ["ts", "event_id"], time_slice("ts", width, ntz),
-                             ["user_id", "value", "event_id", "ts"], bound)
+    pairs = pair_consecutive(ev, ["event_type"], ["ts", "event_id"], time_axis("ts", ntz),
+                             ["user_id", "value", "event_id", "ts"])
     a_wins = F.col("a_value") > F.col("b_value")
     key = F.col("b_event_id")
     loc = (F.when(key % 5 == 0, F.lit(LOCATION_BY_KEY_MOD5[0]))
@@ -77,32 +70,39 @@ def tenure(events: DataFrame) -> DataFrame:
     first = teams.select("team_id",
                          F.concat(F.lit("M"), (F.col("team_id") % 20).cast("string")).alias("manager"),
                          F.lit(0).alias("first_day"),
-                         F.when(third, F.lit(14)).otherwise(F.lit(400)).alias("last_day"))
+                         F.when(third, F.lit(14)).otherwise(F.lit(OPEN_DAY)).alias("last_day"))
     second = teams.where(third).select(
         "team_id", F.concat(F.lit("M"), ((F.col("team_id") + 7) % 20).cast("string")).alias("manager"),
-        F.lit(16).alias("first_day"), F.lit(400).alias("last_day"))
+        F.lit(16).alias("first_day"), F.lit(OPEN_DAY).alias("last_day"))
     return first.unionByName(second)
 
 
 def publication(events: DataFrame) -> DataFrame:
-    """Top-40 list per league on each publication day, ranked by the value
-    accumulated before that day.
-
-    Values are pre-aggregated per (league, team, day) before anything
-    else; each daily total is then sent to the publication days after it
-    with a generator (no join against the day list), summed, and ranked.
-    The top-40 filter becomes a partial ``WindowGroupLimit`` ahead of the
-    shuffle, so a hot league does not move its whole team list.
+    """The ranking lists: every ``WEEK`` days up to a league's last event, all teams
+    with an event before that day, ranked by the value accumulated before it.
+
+    Values are pre-aggregated per (league, team, week); a team's running total is
+    then repeated on the publications up to its next active week, so a list costs
+    one row per team and no join against the calendar. Positions in a list come
+    from ``ordinal_within``, as a league's list may be long.
     """
-    days = F.array(*[F.lit(d) for d in PUBLICATION_DAYS])
-    daily = (events.groupBy(F.col("event_type").alias("league"), F.col("user_id").alias("team_id"),
-                            day_index("ts").alias("day"))
-             .agg(F.sum("value").alias("v")))
-    per_pub = (daily.withColumn("pub_day", F.explode(F.filter(days, lambda p: p > F.col("day"))))
-               .groupBy("league", "pub_day", "team_id")
-               .agg(F.round(F.sum("v"), 2).alias("total")))
-    from pyspark.sql import Window
-    w = Window.partitionBy("league", "pub_day").orderBy(F.col("total").desc(), F.col("team_id"))
-    return (per_pub.withColumn("ordinal", F.row_number().over(w))
-            .where(F.col("ordinal") <= PUBLICATION_DEPTH)
-            .select("league", "pub_day", "team_id", F.col("ordinal").cast("bigint").alias("ordinal")))
+    day = day_index("ts")
+    weekly = (events.groupBy(F.col("event_type").alias("league"), F.col("user_id").alias("team_id"),
+                             F.floor(day / WEEK).alias("week")).agg(F.sum("value").alias("v")))
+    last = events.groupBy(F.col("event_type").alias("league")).agg(F.floor(F.max(day) / WEEK).alias("last"))
+    w = Window.partitionBy("league", "team_id").orderBy("week")
+    run = weekly.select("league", "team_id", "week", F.lead("week").over(w).alias("next"),
+                        F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    upto = F.least(F.coalesce("next", "last"), F.col("last"))
+    lists = run.join(last, "league").where(F.col("week") < upto).select(
+        "league", "team_id", (-F.round("total", 2)).alias("_down"),
+        F.explode(F.sequence(F.col("week") + 1, upto)).alias("_no"))
+    lists = lists.withColumn("pub_day", (F.col("_no") * WEEK).cast("bigint"))
+    ranked = ordinal_within(lists, ["league", "pub_day"], ["_down", "team_id"], F.col("_down"), "ordinal")
+    return ranked.select("league", "pub_day", "team_id", (F.col("ordinal") + 1).alias("ordinal"))
+
+
+def open_end(start: str = "period_start") -> F.Column:
+    """End of a list without a successor: the day before the next one is due, which no
+    event of the league reaches."""
+    return F.col(start) + (WEEK - 1)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.scalar import fill_numeric, rounded
 from duelframe.operators.pairing import pair_sides
-from duelframe.operators.sliced import Feat, largest_group, sliced_window
+from duelframe.operators.sliced import Feat, sliced_window
+from duelframe.plans.contest import day_index
 
 WARMUP_GAMES = 5
 LAST_N = 5
@@ -25,24 +26,22 @@ ORDER = ("day_num", "game_key")
 GAME = ("league", "game_key", "day_num")
 
 
-def team_slices() -> list[Column]:
-    """Slices of a team's ordered games: the day, split further by blocks
-    of game keys (monotone in the ``(day_num, game_key)`` order)."""
-    return [F.col("day_num"), F.floor(F.col("game_key") / 65536).cast("bigint")]
+def team_axis() -> Column:
+    """A number that runs along a team's games: the day, then the game key."""
+    return F.col("day_num") * 1e12 + F.col("game_key")
 
 
-def team_window(tg: DataFrame, feats: Sequence[Feat], bound: int | None = None) -> DataFrame:
-    """Team-sequence features. With no ``bound`` on the games of the
-    busiest team, or a bound above the slicing threshold, rows are sorted
-    per (team, slice) so a team with a huge share of the games is spread
-    over many tasks; under it, one plain window per team."""
-    return sliced_window(tg, list(ENTITY), list(ORDER), team_slices(), feats, bound)
+def team_source(events: DataFrame) -> DataFrame:
+    """Where to look for busy teams: every game takes one of a team's events."""
+    return events.select(F.col("event_type").alias("league"), F.col("user_id").alias("team_id"),
+                         (day_index("ts") * 1e12 + F.col("event_id")).alias("along"))
 
 
-def team_bound(events: DataFrame) -> int:
-    """Upper bound on one team's games in one league: its events of that
-    type (every game consumes one of them). One partial aggregation."""
-    return largest_group(events, ["event_type", "user_id"])
+def team_window(tg: DataFrame, feats: Sequence[Feat], events: DataFrame | None = None) -> DataFrame:
+    """Team-sequence features; a team with a huge share of the games is spread over
+    many tasks. Busy teams are looked for in ``events``, by default in ``tg``."""
+    source = None if events is None else team_source(events)
+    return sliced_window(tg, list(ENTITY), list(ORDER), team_axis(), feats, source)
 
 
 def contest_feats(include_current: bool = False, n: int = LAST_N) -> list[Feat]:
@@ -56,25 +55,21 @@ def contest_feats(include_current: bool = False, n: int = LAST_N) -> list[Feat]:
             Feat("allowed_mean_last5", "mean", "allowed", n, cur)]
 
 
-def team_features(tg: DataFrame, include_current: bool = False, bound: int | None = None) -> DataFrame:
+def team_features(tg: DataFrame, include_current: bool = False, events: DataFrame | None = None) -> DataFrame:
     base = tg.select("league", "game_key", "day_num", "team_id", "loc", "win", "points", "allowed")
     feats = contest_feats(include_current) + [Feat("game_number", "rownum")]
-    return team_window(base, feats, bound).drop("points", "allowed")
+    return team_window(base, feats, events).drop("points", "allowed")
 
 
 def game_features(tg: DataFrame, warmup: int = WARMUP_GAMES, places: int | None = 6,
-                  bound: int | None = None) -> DataFrame:
+                  events: DataFrame | None = None) -> DataFrame:
     """Flagship: pre-game features of both sides of every game in which
     both teams are past their warm-up games; one row per game, side A =
     away team (or first id on a neutral court), label ``win_A``."""
-    feats = team_features(tg, bound=bound).where(F.col("game_number") > warmup)
+    feats = team_features(tg, events=events).where(F.col("game_number") > warmup)
     feats = fill_numeric(feats, 0)
     if places is not None:
         feats = feats.withColumns({c: rounded(c, places) for c in
                                    ("win_pct_prior", "win_pct_last5", "points_mean_prior",
                                     "points_mean_last5", "allowed_mean_prior", "allowed_mean_last5")})
     return pair_sides(feats.drop("game_number"), GAME, "loc", "team_id", drop=["win_B"])
-
-
-def feature_names() -> Sequence[str]:
-    return [f.name for f in contest_feats()]

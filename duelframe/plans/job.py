@@ -43,9 +43,8 @@ def run(spark: SparkSession, paths: dict[str, str], out: str, season: int = 2025
     games_path = f"{out}/team_games"
     write_parquet(tg, games_path, partition_by=["Season"])
     tg = spark.read.parquet(games_path)  # lineage cut at a written table
-    bound = SP.team_season_bound(d["regular"], d["tourney"])
     pairs_path = f"{out}/model_rows"
-    write_parquet(SP.final_pairs(SP.model_features(tg, bound=bound)), pairs_path)
+    write_parquet(SP.final_pairs(SP.model_features(tg)), pairs_path)
     written = {"rankings": split_root, "team_games": games_path, "model_rows": pairs_path}
     if train:
         from duelframe.plans import model as M

@@ -12,7 +12,7 @@ NUMBERED = """numbered AS (
 
 CONTEST = """contest AS (
   SELECT a.event_type AS league, b.event_id AS game_key,
-         CAST(dayofyear(b.ts) - 1 AS BIGINT) AS day_num,
+         CAST(datediff('day', DATE '2024-01-01', CAST(b.ts AS DATE)) AS BIGINT) AS day_num,
          CASE WHEN a.value > b.value THEN a.user_id ELSE b.user_id END AS w_id,
          CASE WHEN a.value > b.value THEN b.user_id ELSE a.user_id END AS l_id,
          GREATEST(a.value, b.value) AS w_score,
@@ -32,10 +32,10 @@ TEAM_GAME = """team_game AS (
 
 TENURE = """tenure AS (
   SELECT DISTINCT user_id AS team_id, CONCAT('M', CAST(user_id % 20 AS VARCHAR)) AS manager,
-         0 AS first_day, CASE WHEN user_id % 3 = 0 THEN 14 ELSE 400 END AS last_day
+         0 AS first_day, CASE WHEN user_id % 3 = 0 THEN 14 ELSE 2147483647 END AS last_day
   FROM events
   UNION ALL
-  SELECT DISTINCT user_id, CONCAT('M', CAST((user_id + 7) % 20 AS VARCHAR)), 16, 400
+  SELECT DISTINCT user_id, CONCAT('M', CAST((user_id + 7) % 20 AS VARCHAR)), 16, 2147483647
   FROM events WHERE user_id % 3 = 0)"""
 
 PUBLICATION = """publication AS (
@@ -43,19 +43,20 @@ PUBLICATION = """publication AS (
     SELECT e.event_type AS league, d.pub_day, e.user_id AS team_id,
            ROW_NUMBER() OVER (PARTITION BY e.event_type, d.pub_day
                               ORDER BY ROUND(SUM(e.value), 2) DESC, e.user_id) AS ordinal
-    FROM events e JOIN (SELECT 7 AS pub_day UNION ALL SELECT 14 UNION ALL SELECT 21) d
-      ON dayofyear(e.ts) - 1 < d.pub_day
-    GROUP BY e.event_type, d.pub_day, e.user_id) t
-  WHERE ordinal <= 40)"""
+    FROM events e JOIN (
+      SELECT event_type, UNNEST(generate_series(7, MAX(datediff('day', DATE '2024-01-01', CAST(ts AS DATE))), 7)) AS pub_day
+      FROM events GROUP BY event_type) d
+      ON e.event_type = d.event_type AND datediff('day', DATE '2024-01-01', CAST(e.ts AS DATE)) < d.pub_day
+    GROUP BY e.event_type, d.pub_day, e.user_id) t)"""
 
 PERIODS_SEASON = """periods AS (
   SELECT league, pub_day AS period_start,
-         COALESCE(LEAD(pub_day) OVER (PARTITION BY league ORDER BY pub_day) - 1, 200) AS period_end
+         COALESCE(LEAD(pub_day) OVER (PARTITION BY league ORDER BY pub_day) - 1, pub_day + 6) AS period_end
   FROM (SELECT DISTINCT league, pub_day FROM publication) p)"""
 
 PERIODS_FILE = """periods AS (
   SELECT league, pub_day AS period_start,
-         COALESCE(LEAD(pub_day) OVER (ORDER BY league, pub_day) - 1, 200) AS period_end
+         COALESCE(LEAD(pub_day) OVER (ORDER BY league, pub_day) - 1, pub_day + 6) AS period_end
   FROM (SELECT DISTINCT league, pub_day FROM publication) p)"""
 
 RANKED = """ranked AS (

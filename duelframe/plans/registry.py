@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions.scalar import (code_number, day_range, fill_constants,
@@ -20,15 +20,14 @@ from duelframe.functions.scalar import (code_number, day_range, fill_constants,
 from duelframe.operators import sequence as seq
 from duelframe.operators.joins import band_lookup, dim_lookup, interval_join, mark_join
 from duelframe.operators.mirror import mirror_compact
-from duelframe.operators.ordinal import ordinal_within, pair_consecutive
+from duelframe.operators.ordinal import ordinal_within, pair_consecutive, time_axis
 from duelframe.operators.pairing import assign_sides, pair_sides_join
 from duelframe.operators.ranks import active_rank, rank_periods, ranked_periods
 from duelframe.operators.split import recency_weight, stratified_split
 from duelframe.operators.stats import brier_score, exact_medians, global_min_max, mean_std
 from duelframe.plans import contest as C
-from duelframe.operators.ordinal import adaptive_slice_seconds, time_slice
-from duelframe.operators.sliced import Feat, fits_one_task, largest_group, sliced_window
-from duelframe.plans.features import game_features, team_bound, team_window
+from duelframe.operators.sliced import Feat, sliced_window
+from duelframe.plans.features import game_features, team_axis, team_window
 from duelframe.plans.oracle_views import (ACTIVE_RANK, CONF, GAME_VIEWS, PERIODS_FILE,
                                           PERIODS_SEASON, PUBLICATION, RANKED, TEAM_VIEWS,
                                           TENURE, with_views)
@@ -54,27 +53,24 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _events(spark, sf) -> DataFrame:
+    return Tables(spark, sf).events
+
+
 def _team_games(spark, sf) -> DataFrame:
     return C.team_game(C.contest(Tables(spark, sf).events))
 
 
 def _pubs(spark, sf) -> DataFrame:
-    """The published ranking lists (top-40 per league and day: small).
-    The period table and the ranking rows both read them, and a pruned
-    plan rebuilds them from the event log for each use. Over a large log
-    they are therefore checkpointed once into the shared folder; over a
-    log small enough for one task, rebuilding is cheaper than the write."""
-    ev = Tables(spark, sf).events
-    pubs = C.publication(ev)
-    if fits_one_task(largest_group(ev, []), spark):
-        return pubs
-    checkpoint_dir(spark)
-    return pubs.checkpoint(eager=True)
+    return C.publication(Tables(spark, sf).events)
+
+
+def _periods(spark, sf, scope: str) -> DataFrame:
+    return rank_periods(_pubs(spark, sf), "league", "pub_day", scope, C.open_end())
 
 
-def _bound(spark, sf) -> int:
-    """Largest possible team sequence, decides plain vs sliced windows."""
-    return team_bound(Tables(spark, sf).events)
+def _ranked(spark, sf, scope: str) -> DataFrame:
+    return ranked_periods(_pubs(spark, sf), "league", "pub_day", scope, C.open_end())
 
 
 # --------------------------------------------------------------------------
@@ -186,8 +182,7 @@ def suffix_rename_pair(spark, sf):
     non-key column suffixed by its side (positions 0-1, 2-3, ...)."""
     s = Tables(spark, sf).supplier.select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
     cols = ["s_suppkey", "s_name", "s_acctbal"]
-    p = pair_consecutive(s, ["s_nationkey"], ["s_suppkey"], F.floor(F.col("s_suppkey") / 4096), cols,
-                         largest_group(s, ["s_nationkey"]))
+    p = pair_consecutive(s, ["s_nationkey"], ["s_suppkey"], F.col("s_suppkey"), cols)
     return p.select("s_nationkey", *[F.col(f"a_{c}").alias(f"{c}_A") for c in cols],
                     *[F.col(f"b_{c}").alias(f"{c}_B") for c in cols])
 
@@ -222,7 +217,7 @@ def mirror_compact_q(spark, sf):
 @register("mark_join_flag", with_views(*GAME_VIEWS, body="""
 SELECT c.league, c.game_key, c.day_num, c.w_id, c.l_id,
        CASE WHEN p.user_id IS NOT NULL THEN 1 ELSE 0 END AS purchase_flag
-FROM contest c LEFT JOIN (SELECT DISTINCT user_id, CAST(dayofyear(ts) - 1 AS BIGINT) AS pday
+FROM contest c LEFT JOIN (SELECT DISTINCT user_id, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS pday
                           FROM events WHERE event_type = 'purchase') p
   ON c.w_id = p.user_id AND c.day_num = p.pday"""))
 def mark_join_flag(spark, sf):
@@ -274,11 +269,11 @@ NEUTRAL_WINS = """tw AS (
   FROM team_game WHERE loc = 'N')"""
 
 
-def _neutral_wins(tg: DataFrame, bound: int | None) -> DataFrame:
+def _neutral_wins(tg: DataFrame, events: DataFrame) -> DataFrame:
     """Sparse fact: wins coming in, counted over neutral-site games only
     (the "tournament" games)."""
     n = tg.where(F.col("loc") == "N").select(*ENTITY, *ORDER, "win")
-    w = team_window(n, [Feat("wins_in", "sum", "win")], bound)
+    w = team_window(n, [Feat("wins_in", "sum", "win")], events)
     return w.select(*ENTITY, *ORDER, F.coalesce("wins_in", F.lit(0)).cast("bigint").alias("wins_in"))
 
 
@@ -288,7 +283,7 @@ FROM team_game t LEFT JOIN tw ON t.league = tw.league AND t.team_id = tw.team_id
  AND t.day_num = tw.day_num AND t.game_key = tw.game_key"""))
 def sparse_fact_left_join(spark, sf):
     tg = _team_games(spark, sf)
-    return (tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg, _bound(spark, sf)), [*ENTITY, *ORDER], "left")
+    return (tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg, _events(spark, sf)), [*ENTITY, *ORDER], "left")
               .select("league", "game_key", "team_id", "day_num", "wins_in"))
 
 
@@ -306,9 +301,9 @@ def wins_coming_in_filled(spark, sf):
     """Sparse wins, forward-filled along the team's games, then
     back-filled from its next neutral game, then 0."""
     tg = _team_games(spark, sf)
-    j = tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg, _bound(spark, sf)), [*ENTITY, *ORDER], "left")
-    f = team_window(j, [Feat("ff", "ffill", "wins_in")], _bound(spark, sf))
-    b = team_window(f, [Feat("bf", "bfill", "ff")], _bound(spark, sf))
+    j = tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg, _events(spark, sf)), [*ENTITY, *ORDER], "left")
+    # a back fill after the forward fill only sees the rows before the first value
+    b = team_window(j, [Feat("ff", "ffill", "wins_in"), Feat("bf", "bfill", "wins_in")], _events(spark, sf))
     return b.select("league", "game_key", "team_id", "day_num",
                     F.coalesce("ff", "bf", F.lit(0).cast("bigint")).alias("wins_in"))
 
@@ -323,25 +318,24 @@ def distinct_periods(spark, sf):
 
 @register("rank_period_season_lead", with_views(PUBLICATION, PERIODS_SEASON, body="SELECT * FROM periods"))
 def rank_period_season_lead(spark, sf):
-    return rank_periods(_pubs(spark, sf), "league", "pub_day", "season")
+    return _periods(spark, sf, "season")
 
 
 @register("rank_period_global_lead", with_views(PUBLICATION, PERIODS_FILE, body="SELECT * FROM periods"))
 def rank_period_global_lead(spark, sf):
-    return rank_periods(_pubs(spark, sf), "league", "pub_day", "file")
+    return _periods(spark, sf, "file")
 
 
 @register("rank_period_table", with_views(PUBLICATION, PERIODS_SEASON, RANKED, body="SELECT * FROM ranked"))
 def rank_period_table(spark, sf):
-    pubs = _pubs(spark, sf)
-    return ranked_periods(pubs, "league", "pub_day", "season").select(
+    return _ranked(spark, sf, "season").select(
         "league", "period_start", "period_end", "team_id", "ordinal")
 
 
 def _active(spark, sf, scope: str) -> DataFrame:
     ev = Tables(spark, sf).events
     tg = C.team_game(C.contest(ev)).select("league", "game_key", "team_id", "day_num")
-    ranked = ranked_periods(_pubs(spark, sf), "league", "pub_day", scope)
+    ranked = _ranked(spark, sf, scope)
     return active_rank(tg, ranked, "league", "team_id", "day_num", "ordinal", "ordinal")
 
 
@@ -365,7 +359,7 @@ FROM periods"""))
 def range_explode(spark, sf):
     """Periods expanded to one row per covered day; an empty period keeps
     one row with a null day (``explode_outer``)."""
-    p = rank_periods(_pubs(spark, sf), "league", "pub_day", "file")
+    p = _periods(spark, sf, "file")
     return p.select("league", "period_start", "period_end",
                     F.explode_outer(day_range("period_start", "period_end")).alias("day_num"))
 
@@ -376,7 +370,7 @@ SELECT league, game_key, team_id, COALESCE(ordinal, 9999) AS active_rank,
          AS season_best
 FROM active"""))
 def season_best_rank(spark, sf):
-    a = team_window(_active(spark, sf, "season"), [Feat("best", "min", "ordinal", None, True)], _bound(spark, sf))
+    a = team_window(_active(spark, sf, "season"), [Feat("best", "min", "ordinal", None, True)], _events(spark, sf))
     return a.select("league", "game_key", "team_id",
                     F.coalesce("ordinal", F.lit(9999).cast("bigint")).alias("active_rank"),
                     F.coalesce("best", F.lit(9999).cast("bigint")).alias("season_best"))
@@ -506,7 +500,7 @@ SELECT league, game_key, team_id,
          AS win_pct_prior
 FROM team_game"""))
 def expanding_win_pct(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win")], _bound(spark, sf))
+    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win")], _events(spark, sf))
     return tg.select("league", "game_key", "team_id", rounded("pct").alias("win_pct_prior"))
 
 
@@ -517,13 +511,14 @@ SELECT league, game_key, team_id,
          AS win_pct_last5
 FROM team_game"""))
 def rolling5_win_pct(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win", 5)], _bound(spark, sf))
+    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win", 5)], _events(spark, sf))
     return tg.select("league", "game_key", "team_id", rounded("pct").alias("win_pct_last5"))
 
 
 def _means(spark, sf, include_current: bool, n: int | None):
     tg = team_window(_team_games(spark, sf), [Feat("p", "mean", "points", n, include_current),
-                                               Feat("a", "mean", "allowed", n, include_current)], _bound(spark, sf))
+                                               Feat("a", "mean", "allowed", n, include_current)],
+                     _events(spark, sf))
     return tg.select("league", "game_key", "team_id", rounded("p").alias("points_mean"),
                      rounded("a").alias("allowed_mean"))
 
@@ -563,15 +558,11 @@ USER_W = "PARTITION BY user_id ORDER BY ts, event_id"
 
 
 def _user_fill(spark, sf, kind: str, name: str) -> DataFrame:
-    """Purchase value carried along a user's events; the user's sequence
-    is sliced by hour so a very active user is not one sort task."""
+    """Purchase value carried along a user's events."""
     ev = Tables(spark, sf).events.select(
         "event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.col("value")).alias("pv"))
-    biggest = largest_group(ev, ["user_id"])
-    width = adaptive_slice_seconds(ev, "ts", biggest, 3600)
-    out = sliced_window(ev, ["user_id"], ["ts", "event_id"],
-                        time_slice("ts", width, dict(ev.dtypes)["ts"] == "timestamp_ntz"), [Feat(name, kind, "pv")],
-                        biggest)
+    out = sliced_window(ev, ["user_id"], ["ts", "event_id"], time_axis("ts", dict(ev.dtypes)["ts"] == "timestamp_ntz"),
+                        [Feat(name, kind, "pv")])
     return out.select("event_id", "user_id", name)
 
 
@@ -595,7 +586,7 @@ def backward_fill(spark, sf):
 SELECT league, game_key, team_id,
        CAST(SUM(win) OVER {INCL} - win AS BIGINT) AS wins_before FROM team_game"""))
 def exclusive_running_wins(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("w", "sum", "win")], _bound(spark, sf))
+    tg = team_window(_team_games(spark, sf), [Feat("w", "sum", "win")], _events(spark, sf))
     return tg.select("league", "game_key", "team_id",
                      F.coalesce("w", F.lit(0)).cast("bigint").alias("wins_before"))
 
@@ -626,32 +617,30 @@ def latest_state(spark, sf):
 SELECT league, game_key, day_num, ROW_NUMBER() OVER (ORDER BY league, day_num, game_key) - 1 AS game_id
 FROM contest"""))
 def surrogate_key(spark, sf):
-    """Dense 0-based game id in (league, day, key) order, numbered per
-    (league, day) slice rather than in one global sort."""
-    ev = Tables(spark, sf).events
-    g = C.contest(ev).select("league", "game_key", "day_num")
-    return ordinal_within(g, [], ["league", "day_num", "game_key"],
-                          [F.col("league"), F.col("day_num")], "game_id",
-                          max_group_rows=largest_group(ev, []))  # games <= events
+    """Dense 0-based game id in (league, day, key) order: the position in the
+    league after the games of the leagues before it (a row for each league)."""
+    g = C.contest(Tables(spark, sf).events).select("league", "game_key", "day_num")
+    sizes = g.groupBy("league").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("league", (F.sum("_n").over(Window.orderBy("league")) - F.col("_n")).alias("_before"))
+    inside = ordinal_within(g, ["league"], ["day_num", "game_key"], team_axis(), "_pos")
+    return inside.join(before, "league").select("league", "game_key", "day_num",
+                                                (F.col("_before") + F.col("_pos")).alias("game_id"))
 
 
 @register("partition_count", """
 SELECT l_orderkey, l_linenumber, l_partkey, COUNT(l_partkey) OVER (PARTITION BY l_orderkey) AS n_lines
 FROM lineitem""")
 def partition_count(spark, sf):
-    """Per-order non-null count attached to every line. Written as a
-    partial aggregation joined back rather than an unordered window, so a
-    very large order is counted map-side and its join is split by AQE."""
-    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
-    counts = li.groupBy("l_orderkey").agg(F.count("l_partkey").alias("n_lines"))
-    return li.join(counts, "l_orderkey")
+    """Per-order non-null count attached to every line: one window over the order."""
+    li = Tables(spark, sf).lineitem
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", seq.partition_count("l_partkey", ["l_orderkey"]).alias("n_lines"))
 
 
 @register("days_since_previous", with_views(*TEAM_VIEWS, body=f"""
 SELECT league, game_key, team_id, CAST(day_num - LAG(day_num) OVER ({W_TEAM}) AS BIGINT) AS rest_days
 FROM team_game"""))
 def days_since_previous(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("prev", "lag", "day_num")], _bound(spark, sf))
+    tg = team_window(_team_games(spark, sf), [Feat("prev", "lag", "day_num")], _events(spark, sf))
     return tg.select("league", "game_key", "team_id", (F.col("day_num") - F.col("prev")).alias("rest_days"))
 
 
@@ -662,18 +651,21 @@ def days_since_previous(spark, sf):
 SELECT league, game_key, team_id, CAST(COALESCE(LAG(s) OVER ({W_TEAM}), 0) AS BIGINT) AS win_streak
 FROM inc"""))
 def streak_length(spark, sf):
-    """Win streak coming into each game: position minus the position of
-    the last loss so far, taken from the previous row. Three sliced passes
-    (row number, carried loss position, lag)."""
-    tg = _team_games(spark, sf).select("league", "game_key", "team_id", "day_num", "win")
-    b = _bound(spark, sf)
-    a = team_window(tg, [Feat("pos", "rownum")], b)
-    a = a.withColumn("loss_pos", F.when(F.col("win") == 0, F.col("pos")))
-    a = team_window(a, [Feat("last_loss", "ffill", "loss_pos")], b)
-    a = a.withColumn("run", F.col("pos") - F.coalesce("last_loss", F.lit(0).cast("bigint")))
-    a = team_window(a, [Feat("prev_run", "lag", "run")], b)
-    return a.select("league", "game_key", "team_id",
-                    F.coalesce("prev_run", F.lit(0).cast("bigint")).cast("bigint").alias("win_streak"))
+    """Win streak coming into each game."""
+    tg = team_window(_team_games(spark, sf), [Feat("win_streak", "run", "win")], _events(spark, sf))
+    return tg.select("league", "game_key", "team_id", "win_streak")
+
+
+@register("lose_streak_length", with_views(*TEAM_VIEWS, body=f"""
+, isl AS (SELECT *, 1 - win AS lose, SUM(win) OVER {INCL} AS island FROM team_game)
+, inc AS (SELECT *, SUM(lose) OVER (PARTITION BY league, team_id, island ORDER BY day_num, game_key
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM isl)
+SELECT league, game_key, team_id, CAST(COALESCE(LAG(s) OVER ({W_TEAM}), 0) AS BIGINT) AS lose_streak
+FROM inc"""))
+def lose_streak_length(spark, sf):
+    """Lose streak coming into each game."""
+    tg = _team_games(spark, sf).withColumn("lose", 1 - F.col("win"))
+    return team_window(tg, [Feat("lose_streak", "run", "lose")], _events(spark, sf)).select("league", "game_key", "team_id", "lose_streak")
 
 
 # --------------------------------------------------------------------------
@@ -779,7 +771,7 @@ def band_lookup_q(spark, sf):
     """Opponent's active rank classified into location-dependent bands."""
     ev = Tables(spark, sf).events
     tg = C.team_game(C.contest(ev)).select("league", "game_key", "team_id", "opp_id", "loc", "day_num")
-    ranked = ranked_periods(_pubs(spark, sf), "league", "pub_day", "season")
+    ranked = _ranked(spark, sf, "season")
     opp = active_rank(tg, ranked, "league", "opp_id", "day_num", "ordinal", "opp_rank")
     bands = spark.createDataFrame(QUAD_BANDS, "quad string, band_loc string, lo int, hi int")
     return band_lookup(opp, bands, "loc", "opp_rank", "band_loc", "lo", "hi", "quad").select(
@@ -820,19 +812,19 @@ FROM s a JOIN s b ON a.league = b.league AND a.game_key = b.game_key AND a.day_n
 
 @register("game_features", _flagship_sql())
 def game_features_q(spark, sf):
-    return game_features(_team_games(spark, sf), bound=_bound(spark, sf))
+    return game_features(_team_games(spark, sf), events=_events(spark, sf))
 
 
 STATE_COLS = ("win_pct", "points_mean", "points_mean_last5", "allowed_mean")
 
 
-def latest_team_state(tg: DataFrame, bound: int | None = None) -> DataFrame:
+def latest_team_state(tg: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """Post-game state of each team after its latest game (serving
     features: inclusive windows, then the last row by day and key)."""
     f = team_window(tg.select(*ENTITY, *ORDER, "win", "points", "allowed"),
                     [Feat("win_pct", "mean", "win", None, True), Feat("points_mean", "mean", "points", None, True),
                      Feat("points_mean_last5", "mean", "points", 5, True),
-                     Feat("allowed_mean", "mean", "allowed", None, True)], bound)
+                     Feat("allowed_mean", "mean", "allowed", None, True)], events)
     s = f.select(*ENTITY, *ORDER, *[rounded(c).alias(c) for c in STATE_COLS])
     return fill_numeric(seq.latest(s, ENTITY, ORDER).drop(*ORDER), 0)
 
@@ -857,7 +849,7 @@ def matchup_features(spark, sf):
     """Bulk scoring input: every requested pairing (here: each contest's
     two teams) joined twice to the latest serving state."""
     games = C.contest(Tables(spark, sf).events)
-    state = latest_team_state(C.team_game(games), _bound(spark, sf))
+    state = latest_team_state(C.team_game(games), _events(spark, sf))
     req = games.select("league", "game_key", F.col("w_id").alias("team_1"), F.col("l_id").alias("team_2")) \
                .dropna()
 
@@ -875,7 +867,7 @@ def _model_rows(spark, sf) -> DataFrame:
     table is checkpointed into the shared checkpoint folder so the many
     passes of fitting do not recompute the feature plan."""
     checkpoint_dir(spark)
-    gf = game_features(_team_games(spark, sf))
+    gf = game_features(_team_games(spark, sf), events=_events(spark, sf))
     return stratified_split(gf, "league", "game_key").checkpoint(eager=True)
 
 
@@ -928,7 +920,7 @@ def matchup_scores(spark, sf):
     fitted = M.fit(train, spec, M.logistic(train, spec, M.DEPLOYED_C, "l2", max_iter=100))
     games = C.contest(Tables(spark, sf).events)
     req = games.select("league", "game_key", F.col("w_id").alias("team_1"), F.col("l_id").alias("team_2"))
-    rows = S.contest_matchup_rows(req, S.contest_state(C.team_game(games), _bound(spark, sf)))
+    rows = S.contest_matchup_rows(req, S.contest_state(C.team_game(games), _events(spark, sf)))
     out = fitted.transform(rows)
     return out.select("league", "game_key", "team_1", "team_2",
                       M.prob1().alias("p_team_1"),
@@ -964,8 +956,7 @@ def win_pct_by_opp_conf(spark, sf):
             .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"))
     tg = dim_lookup(_team_games(spark, sf), conf, ["opp_id"], ["c_custkey"], {"n_name": "opp_conf"})
     out = sliced_window(tg, ["league", "team_id", "opp_conf"], ORDER,
-                        [F.col("day_num"), F.floor(F.col("game_key") / 65536)],
-                        [Feat("pct", "mean", "win")], _bound(spark, sf))
+                        team_axis(), [Feat("pct", "mean", "win")])
     return out.select("league", "game_key", "team_id", "opp_conf", rounded("pct").alias("win_pct_vs_conf"))
 
 

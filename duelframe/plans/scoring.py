@@ -67,12 +67,12 @@ CONTEST_ENTITY = ["league", "team_id"]
 CONTEST_ORDER = ["day_num", "game_key"]
 
 
-def contest_state(tg, bound: int | None = None) -> DataFrame:
+def contest_state(tg, events: DataFrame | None = None) -> DataFrame:
     """Post-game features of each team's latest game, named like the
     pre-game training features so one model serves both."""
     from duelframe.plans.features import contest_feats, team_window
     feats = contest_feats(include_current=True)
-    f = team_window(tg.select(*CONTEST_ENTITY, *CONTEST_ORDER, "win", "points", "allowed"), feats, bound)
+    f = team_window(tg.select(*CONTEST_ENTITY, *CONTEST_ORDER, "win", "points", "allowed"), feats, events)
     s = f.select(*CONTEST_ENTITY, *CONTEST_ORDER, *[rounded(x.name).alias(x.name) for x in feats])
     return fill_numeric(seq.latest(s, CONTEST_ENTITY, CONTEST_ORDER).drop(*CONTEST_ORDER), 0)
 

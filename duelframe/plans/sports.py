@@ -36,7 +36,7 @@ from duelframe.operators.mirror import mirror, mirror_compact
 from duelframe.operators.ordinal import ordinal_within
 from duelframe.operators.pairing import pair_sides
 from duelframe.operators.ranks import active_rank, ranked_periods
-from duelframe.operators.sliced import Feat, largest_group, sliced_window
+from duelframe.operators.sliced import Feat, sliced_window
 from duelframe.sources.schemas import BOX_STEMS
 
 # Output names of the mirrored box-score columns, by stem.
@@ -98,10 +98,8 @@ def game_table(regular: DataFrame, tourney: DataFrame, conf_games: DataFrame,
                        {"ConfAbbrev": "WConf"})
     games = dim_lookup(games, team_confs, ["Season", "LTeamID"], ["Season", "TeamID"],
                        {"ConfAbbrev": "LConf"})
-    # dense game id in (season, day, winner, loser) order, numbered per day
-    # (one plain window when the whole table fits one task)
-    return ordinal_within(games, [], GAME_KEY, [F.col("Season"), F.col("DayNum")], "GameID",
-                          max_group_rows=largest_group(reg.unionByName(post), []))
+    # dense game id in (season, day, winner, loser) order
+    return ordinal_within(games, [], GAME_KEY, season_axis(), "GameID")
 
 
 def winner_id_range(games: DataFrame) -> DataFrame:
@@ -173,47 +171,39 @@ def tourney_history(compact: DataFrame, coaches: DataFrame) -> DataFrame:
     return attach_coach(m, coaches)
 
 
-def career_bound(compact: DataFrame, regular: DataFrame | None = None,
-                 tourney: DataFrame | None = None) -> int:
-    """Upper bound on the rows of one school's career sequence: its
-    appearances in the given result files (one aggregation). Used for the
-    career-long windows below; a coach's sequence is bounded the same way
-    only if coaches do not pool many schools, so pass it knowingly."""
-    parts = [d.select("WTeamID", "LTeamID") for d in (compact, regular, tourney) if d is not None]
-    g = parts[0]
-    for p in parts[1:]:
-        g = g.unionByName(p)
-    return largest_group(g.select(F.explode(F.array("WTeamID", "LTeamID")).alias("TeamID")), ["TeamID"])
+def season_axis() -> F.Column:
+    """A number that runs along seasons and their days."""
+    return F.col("Season") * 1000 + F.col("DayNum")
 
 
-def _carried(df: DataFrame, entity: str, order: list[str], slices: list, col: str, kind: str,
-             bound: int | None) -> DataFrame:
-    """Replace ``col`` by its forward (``ffill``) or backward (``bfill``)
-    fill along ``entity`` - sliced by season unless ``bound`` is small."""
-    out = sliced_window(df, [entity], order, slices, [Feat("_carry", kind, col)], bound)
-    return out.withColumn(col, F.col("_carry")).drop("_carry")
+def _carried(df: DataFrame, entity: str, order: list[str], along: F.Column, col: str, back: bool,
+             source: DataFrame) -> DataFrame:
+    """Replace ``col`` by its forward fill along ``entity`` and, with ``back``, the rows
+    before the first value by that value. ``source``: rows to look for hot entities in."""
+    feats = [Feat("_ff", "ffill", col)] + ([Feat("_bf", "bfill", col)] if back else [])
+    out = sliced_window(df, [entity], order, along, feats, source.select(entity, along.alias("along")))
+    return out.withColumn(col, F.coalesce(*[f.name for f in feats])).drop(*[f.name for f in feats])
 
 
-def school_wins(history: DataFrame, bound: int | None = None) -> DataFrame:
+def school_wins(history: DataFrame) -> DataFrame:
     """Tournament wins of the school before each of its tournament games
     (career-long, across seasons; a team plays once a day)."""
-    out = sliced_window(history, ["TeamID"], ["Season", "DayNum"], [F.col("Season")],
-                        [Feat("_w", "sum", "TourneyWinFlag")], bound)
+    out = sliced_window(history, ["TeamID"], ["Season", "DayNum"], season_axis(),
+                        [Feat("_w", "sum", "TourneyWinFlag")])
     return out.select("Season", "TeamID", "DayNum",
                       F.coalesce("_w", F.lit(0)).cast("bigint").alias("ActiveTourneyWins_School"))
 
 
-def coach_wins(history: DataFrame, bound: int | None = None) -> DataFrame:
-    out = sliced_window(history, ["CoachName"], ["Season", "DayNum", "TeamID"], [F.col("Season")],
-                        [Feat("_w", "sum", "TourneyWinFlag")], bound)
+def coach_wins(history: DataFrame) -> DataFrame:
+    out = sliced_window(history, ["CoachName"], ["Season", "DayNum", "TeamID"], season_axis(),
+                        [Feat("_w", "sum", "TourneyWinFlag")])
     return out.select("Season", "CoachName", "DayNum",
                       F.coalesce("_w", F.lit(0)).cast("bigint").alias("ActiveTourneyWins_Coach"))
 
 
 def attach_tourney_wins(df: DataFrame, school: DataFrame, coach: DataFrame,
                         backfill: str = "next", coach_order: str = "chronological",
-                        history_seasons: tuple[int, int] = (1989, 2003),
-                        bound: int | None = None) -> DataFrame:
+                        history_seasons: tuple[int, int] = (1989, 2003)) -> DataFrame:
     """Sparse wins-coming-in joined on the game day, then carried.
 
     Forward fill along the school's (coach's) games keeps the last known
@@ -222,22 +212,19 @@ def attach_tourney_wins(df: DataFrame, school: DataFrame, coach: DataFrame,
     as the original does); ``"history"`` uses the maximum from the
     ``history_seasons`` half-open range instead (leak-free), then 0.
     ``coach_order="team"`` carries coach values in team order (the
-    original's sort), ``"chronological"`` in time order. The carries are
-    career-long, so they run sliced by season unless ``bound`` (rows of the
-    longest school or coach sequence) fits one task.
+    original's sort), ``"chronological"`` in time order.
     """
     j = (df.join(school, ["Season", "TeamID", "DayNum"], "left")
            .join(coach, ["Season", "CoachName", "DayNum"], "left"))
-    t_order, t_slices = ["Season", "DayNum", "GameID"], [F.col("Season")]
+    t_order = ["Season", "DayNum", "GameID"]
     if coach_order == "team":
-        c_order, c_slices = ["TeamID", "Season", "DayNum", "GameID"], [F.col("TeamID"), F.col("Season")]
+        c_order, c_along = ["TeamID", "Season", "DayNum", "GameID"], F.col("TeamID") * 1e8 + season_axis()
     else:
-        c_order, c_slices = ["Season", "DayNum", "TeamID", "GameID"], [F.col("Season")]
-    kinds = ["ffill", "bfill"] if backfill == "next" else ["ffill"]
-    for kind in kinds:
-        j = _carried(j, "TeamID", t_order, t_slices, "ActiveTourneyWins_School", kind, bound)
-        j = _carried(j, "CoachName", c_order, c_slices, "ActiveTourneyWins_Coach", kind, bound)
-    if backfill == "next":
+        c_order, c_along = ["Season", "DayNum", "TeamID", "GameID"], season_axis()
+    back = backfill == "next"
+    j = _carried(j, "TeamID", t_order, season_axis(), "ActiveTourneyWins_School", back, df)
+    j = _carried(j, "CoachName", c_order, c_along, "ActiveTourneyWins_Coach", back, df)
+    if back:
         return j
     lo, hi = history_seasons
     old_s = (school.where((F.col("Season") >= lo) & (F.col("Season") < hi)).groupBy("TeamID")
@@ -278,32 +265,19 @@ def attach_ranks(df: DataFrame, systems: Mapping[str, DataFrame], scope: str = "
 def team_games(regular, tourney, compact, conf_games, team_confs, coaches, seeds,
                systems: Mapping[str, DataFrame], zero_attempts: str = "skip",
                backfill: str = "next", coach_order: str = "chronological",
-               rank_scope: str = "file", career_rows_known: bool = False) -> DataFrame:
-    """All enrichment stages: the per team-game table before features.
-    ``career_rows_known``: schools' appearance counts bound the career
-    windows (true when each coach stays with few schools); otherwise the
-    career windows are sliced by season."""
+               rank_scope: str = "file") -> DataFrame:
+    """All enrichment stages: the per team-game table before features."""
     g = game_table(regular, tourney, conf_games, team_confs)
     t = derived_columns(mirror_games(g), zero_attempts)
     t = attach_coach(t, coaches)
     hist = tourney_history(compact, coaches)
-    cb = career_bound(compact, regular, tourney) if career_rows_known else None
-    t = attach_tourney_wins(t, school_wins(hist, cb), coach_wins(hist, cb), backfill, coach_order, bound=cb)
+    t = attach_tourney_wins(t, school_wins(hist), coach_wins(hist), backfill, coach_order)
     t = attach_seeds(t, seeds)
     return attach_ranks(t, systems, rank_scope)
 
 
 # ---------------------------------------------------------------- features
 
-def team_season_bound(regular: DataFrame, tourney: DataFrame) -> int:
-    """Upper bound on one team's games in one season, from the raw result
-    files: its appearances as winner plus as loser (one aggregation)."""
-    g = regular.select("Season", "WTeamID", "LTeamID").unionByName(
-        tourney.select("Season", "WTeamID", "LTeamID"))
-    ids = g.select("Season", F.explode(F.array("WTeamID", "LTeamID")).alias("TeamID"))
-    return largest_group(ids, TEAM_SEASON)
-
-
 def _ratio(w: str, l: str, zero_as_nan: bool = True) -> F.Column:
     """W / (W + L) from two window sums; 0/0 -> NaN (filled with 0 later)."""
     tot = F.col(w) + F.col(l)
@@ -311,15 +285,9 @@ def _ratio(w: str, l: str, zero_as_nan: bool = True) -> F.Column:
     return F.when(tot == 0, F.lit(float("nan"))).otherwise(share) if zero_as_nan else share
 
 
-def with_features(df: DataFrame, include_current: bool = False, bound: int | None = None,
-                  last_n: int = 5) -> DataFrame:
-    """Input columns plus all 50 features of a team-season.
-
-    The window features run through ``sliced_window``: with ``bound`` (see
-    ``team_season_bound``) under the slicing threshold they are one plain
-    window over (Season, TeamID); otherwise per (team-season, day), so a
-    team with a huge schedule still spreads over many tasks. Season bests
-    and fills read the raw (unfilled) rank columns.
+def with_features(df: DataFrame, include_current: bool = False, last_n: int = 5) -> DataFrame:
+    """Input columns plus all 50 features of a team-season, from one window pass.
+    Season bests and fills read the raw (unfilled) rank columns.
     """
     cur = include_current
     feats = [
@@ -333,7 +301,7 @@ def with_features(df: DataFrame, include_current: bool = False, bound: int | Non
     for stem, src in STAT_FEATURES:
         feats += [Feat(f"{stem}_Overall", "mean", src, None, cur),
                   Feat(f"{stem}_Last{last_n}", "mean", src, last_n, cur)]
-    out = sliced_window(df, TEAM_SEASON, TEAM_ORDER, F.col("DayNum"), feats, bound)
+    out = sliced_window(df, TEAM_SEASON, TEAM_ORDER, F.col("DayNum"), feats)
     final = {
         "ActiveAPRank": F.coalesce("ActiveAPRank", F.lit(UNRANKED)),
         "ActivePOMRank": F.coalesce("_pom_ff", F.lit(UNRANKED)),
@@ -352,6 +320,7 @@ def with_features(df: DataFrame, include_current: bool = False, bound: int | Non
     return out.withColumns(final).drop(*helpers)
 
 
+# The columns that the model is trained on.
 MODEL_COLUMNS = (["WinFlag", "Season", "GameID", "DayNum", "TeamID", "RollingWinPct_Overall",
                   "RollingWinPct_Last5", "GameLocation", "TeamConf", "RegSeasonFlag",
                   "ConfTourneyFlag", "NCAATourneyFlag", "RollingP5WinPct_Overall",
@@ -361,11 +330,11 @@ MODEL_COLUMNS = (["WinFlag", "Season", "GameID", "DayNum", "TeamID", "RollingWin
                  + [f"{s}_{k}" for s in KEPT_STATS for k in ("Overall", "Last5")])
 
 
-def model_features(df: DataFrame, warmup: int = WARMUP_GAMES, bound: int | None = None) -> DataFrame:
+def model_features(df: DataFrame, warmup: int = WARMUP_GAMES) -> DataFrame:
     """Pre-game features, kept columns, warm-up cut (dense rank of the day
     > ``warmup``, joined from the distinct days - no row sort), then null
     and NaN -> 0 in numeric columns."""
-    f = with_features(df, bound=bound).select(*MODEL_COLUMNS)
+    f = with_features(df).select(*MODEL_COLUMNS)
     f = seq.dense_rank_of(f, TEAM_SEASON, "DayNum", "GameNumber").select(*MODEL_COLUMNS, "GameNumber")
     return fill_numeric(f.where(F.col("GameNumber") > warmup), 0)
 
@@ -382,10 +351,10 @@ def final_pairs(model_data: DataFrame) -> DataFrame:
                       shared=["Season", "DayNum"], drop=DROP_AFTER_PAIRING)
 
 
-def serving_state(df: DataFrame, bound: int | None = None) -> DataFrame:
+def serving_state(df: DataFrame) -> DataFrame:
     """Post-game features after each team's latest game (one row per team;
     a team with two games on its last day keeps the later GameID)."""
-    f = with_features(df, include_current=True, bound=bound).select(*MODEL_COLUMNS)
+    f = with_features(df, include_current=True).select(*MODEL_COLUMNS)
     return fill_numeric(seq.latest(f, ["TeamID"], ["Season", "DayNum", "GameID"]), 0)
 
 

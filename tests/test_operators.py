@@ -83,11 +83,11 @@ def test_ordinal_within_matches_row_number(spark):
     rng = random.Random(1)
     data = [(rng.choice("ab"), rng.randint(0, 500), i) for i in range(2000)]
     df = spark.createDataFrame(data, "g string, t int, id int")
-    got = ordinal_within(df, ["g"], ["t", "id"], F.floor(F.col("t") / 37), "pos")
+    got = ordinal_within(df, ["g"], ["t", "id"], F.col("t"), "pos")
     ref = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("t", "id")) - 1)
     assert rows(got.select("g", "id", "pos"), "g", "id") == rows(ref.select("g", "id", "pos"), "g", "id")
-    glob = ordinal_within(df, [], ["g", "t", "id"], [F.col("g"), F.col("t")], "pos")
-    ref2 = df.withColumn("pos", F.row_number().over(Window.orderBy("g", "t", "id")) - 1)
+    glob = ordinal_within(df, [], ["t", "id"], F.col("t"), "pos")
+    ref2 = df.withColumn("pos", F.row_number().over(Window.orderBy("t", "id")) - 1)
     assert rows(glob.select("id", "pos"), "id") == rows(ref2.select("id", "pos"), "id")
 
 
@@ -190,26 +190,18 @@ def test_stratified_split_exact(spark):
     assert rows(out, "k") == rows(again.select(out.columns), "k")  # independent of partitioning
 
 
-def test_pair_consecutive_plain_equals_sliced(spark):
+def test_pairs_and_positions_with_hot_groups(spark):
+    from duelframe.operators.hot import CONF
     from duelframe.operators.ordinal import pair_consecutive
     rng = random.Random(5)
     data = [(rng.choice("xyz"), rng.randint(0, 300), i, rng.randint(0, 9)) for i in range(900)]
     df = spark.createDataFrame(data, "g string, t int, id int, u int")
-    sl = F.floor(F.col("t") / 13)
-    a = pair_consecutive(df, ["g"], ["t", "id"], sl, ["id", "u"], None)
-    b = pair_consecutive(df, ["g"], ["t", "id"], sl, ["id", "u"], 0)
-    assert rows(a, "g", "a_id") == rows(b.select(a.columns), "g", "a_id")
-    assert a.count() == sum(n // 2 for n in [sum(1 for r in data if r[0] == g) for g in "xyz"])
-    c = ordinal_within(df, ["g"], ["t", "id"], sl, "pos", max_group_rows=0)
-    d = ordinal_within(df, ["g"], ["t", "id"], sl, "pos")
-    assert rows(c.select("id", "pos"), "id") == rows(d.select("id", "pos"), "id")
-
-
-def test_adaptive_slice_seconds(spark):
-    import datetime as dt
-    from duelframe.operators.ordinal import adaptive_slice_seconds
-    t0 = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(t0 + dt.timedelta(seconds=s),) for s in (0, 40, 100)], "ts timestamp_ntz")
-    assert adaptive_slice_seconds(df, "ts", 500) == 60                   # small group: default width
-    assert adaptive_slice_seconds(df, "ts", 2_000_000) == 50             # 100 s span * 1M / 2M rows
-    assert adaptive_slice_seconds(df, "ts", 10**12) == 1                 # floor of one second
+    a = rows(pair_consecutive(df, ["g"], ["t", "id"], F.col("t"), ["id", "u"]), "g", "a_id")
+    c = rows(ordinal_within(df, ["g"], ["t", "id"], F.col("t"), "pos").select("id", "pos"), "id")
+    spark.conf.set(CONF, "20")
+    try:
+        assert a == rows(pair_consecutive(df, ["g"], ["t", "id"], F.col("t"), ["id", "u"]), "g", "a_id")
+        assert c == rows(ordinal_within(df, ["g"], ["t", "id"], F.col("t"), "pos").select("id", "pos"), "id")
+    finally:
+        spark.conf.unset(CONF)
+    assert len(a) == sum(n // 2 for n in [sum(1 for r in data if r[0] == g) for g in "xyz"])

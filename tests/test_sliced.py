@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from duelframe.operators import sequence as seq
-from duelframe.operators.sliced import Feat, largest_group, sliced_window
+from duelframe.operators.hot import CONF
+from duelframe.operators.sliced import Feat, sliced_window
 
 FEATS = [
     Feat("sum_pre", "sum", "v"), Feat("mean_pre", "mean", "v"), Feat("mean_post", "mean", "v", None, True),
@@ -37,8 +38,15 @@ def same(a, b):
     return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
 
 
-@pytest.mark.parametrize("seed,width", [(1, 5), (2, 1), (3, 40)])
-def test_sliced_equals_plain(spark, seed, width):
+@pytest.fixture(params=["10", "200", "2000000"])  # every entity, one entity, none is hot
+def hot_rows(request, spark):
+    spark.conf.set(CONF, request.param)
+    yield int(request.param)
+    spark.conf.unset(CONF)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_sliced_equals_plain(spark, seed, hot_rows):
     rng = random.Random(seed)
     rows = []
     for i in range(600):
@@ -47,7 +55,7 @@ def test_sliced_equals_plain(spark, seed, width):
         r = None if rng.random() < 0.5 else rng.randint(1, 99)
         rows.append((i, e, rng.randint(0, 120), v, r, rng.randint(0, 3)))
     df = spark.createDataFrame(rows, "id int, e string, t int, v double, r int, w int")
-    got = sliced_window(df, ["e"], ["t", "id"], F.floor(F.col("t") / width), FEATS)
+    got = sliced_window(df, ["e"], ["t", "id"], F.col("t") * 1000 + F.col("id"), FEATS)
     ref = {r["id"]: r for r in plain(df).collect()}
     n = 0
     for r in got.collect():
@@ -57,31 +65,39 @@ def test_sliced_equals_plain(spark, seed, width):
     assert n == 600
 
 
-def test_plain_path_under_threshold(spark):
-    rng = random.Random(9)
-    rows = [(i, rng.choice("ab"), rng.randint(0, 50), float(rng.randint(0, 9)), rng.randint(1, 9), 1)
-            for i in range(200)]
-    df = spark.createDataFrame(rows, "id int, e string, t int, v double, r int, w int")
-    bound = largest_group(df, ["e"])
-    got = sliced_window(df, ["e"], ["t", "id"], F.floor(F.col("t") / 5), FEATS, max_entity_rows=bound)
-    assert "_sl0" not in got._jdf.queryExecution().executedPlan().toString()  # plain plan chosen
-    ref = {r["id"]: r for r in plain(df).collect()}
-    for r in got.collect():
-        for f in FEATS:
-            assert same(r[f.name], ref[r["id"]][f.name]), f.name
+def test_runs_against_a_loop(spark, hot_rows):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["hot"] * 6 + ["a"]), i % 97, rng.choice([0, 1, 1, 1, None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, e string, t int, f int")
+    got = {r["id"]: (r["before"], r["upto"]) for r in sliced_window(
+        df, ["e"], ["t", "id"], F.col("t"), [Feat("before", "run", "f"), Feat("upto", "run", "f", None, True)]).collect()}
+    run: dict = {}
+    for i, e, _, f in sorted(rows, key=lambda r: (r[2], r[0])):
+        before = run.get(e, 0)
+        run[e] = before + 1 if f == 1 else 0
+        assert got[i] == (before, run[e])
+
+
+def test_no_job_while_the_plan_is_built(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("e"), F.col("id").alias("t"), F.lit(1.0).alias("v"))
+    spark.sparkContext.setJobGroup("plan", "plan")
+    sliced_window(df, ["e"], ["t"], F.col("t"), [Feat("m", "mean", "v", 5)])
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    assert not list(jobs)
 
 
-def test_null_entity_rows_are_kept(spark):
+def test_null_entity_rows_are_kept(spark, hot_rows):
     from duelframe.operators.ordinal import ordinal_within, pair_consecutive
     from duelframe.operators.sequence import dense_rank_of
     rows = [(None if i % 4 == 0 else "a", i % 37, i, float(i % 5), i % 3, 1) for i in range(160)]
     df = spark.createDataFrame(rows, "e string, t int, id int, v double, r int, w int")
-    got = sliced_window(df, ["e"], ["t", "id"], F.floor(F.col("t") / 4), FEATS)
+    got = sliced_window(df, ["e"], ["t", "id"], F.col("t"), FEATS)
     assert got.count() == 160
     ref = {r["id"]: r for r in plain(df).collect()}
     for r in got.collect():
         for f in FEATS:
             assert same(r[f.name], ref[r["id"]][f.name]), f.name
-    assert ordinal_within(df, ["e"], ["t", "id"], F.floor(F.col("t") / 4), "pos").count() == 160
-    assert pair_consecutive(df, ["e"], ["t", "id"], F.floor(F.col("t") / 4), ["id"]).count() == 80
+    assert ordinal_within(df, ["e"], ["t", "id"], F.col("t"), "pos").count() == 160
+    assert pair_consecutive(df, ["e"], ["t", "id"], F.col("t"), ["id"]).count() == 80
     assert dense_rank_of(df.withColumn("e", F.lit(None).cast("string")), ["e"], "t", "dr").count() == 160

@@ -133,23 +133,29 @@ def test_split_rankings(spark, fx, tmp_path):
     assert set(ap.columns) >= {"Season", "RankingDayNum", "SystemName", "TeamID", "OrdinalRank"}
 
 
-def test_sliced_and_plain_features_agree(stages, fx):
-    _, tg, md = stages  # md was built without a bound: sliced plan
-    bound = SP.team_season_bound(fx["regular"], fx["tourney"])
-    assert 0 < bound < 100
-    plain = SP.model_features(tg, bound=bound)
+def test_features_agree_with_hot_team_seasons(stages, spark):
+    from duelframe.operators.hot import CONF
+    _, tg, md = stages
+    spark.conf.set(CONF, "8")
+    hot = SP.model_features(tg)
+    spark.conf.unset(CONF)
     cols = SP.MODEL_COLUMNS + ["GameNumber"]
     def norm(r):
         return tuple(round(v, 9) if isinstance(v, float) else v for v in r)
-    a = sorted(norm(r) for r in md.select(cols).collect())
-    b = sorted(norm(r) for r in plain.select(cols).collect())
-    assert a == b
-
-
-def test_career_windows_plain_equals_sliced(stages, fx):
-    _, tg, _ = stages  # built with sliced career windows
-    plain = SP.team_games(fx["regular"], fx["tourney"], fx["compact"], fx["conf_games"], fx["team_confs"],
-                          fx["coaches"], fx["seeds"], fx["systems"], career_rows_known=True)
-    cols = ["GameID", "TeamID", "ActiveTourneyWins_School", "ActiveTourneyWins_Coach"]
-    assert sorted(tg.select(cols).collect()) == sorted(plain.select(cols).collect())
-    assert SP.career_bound(fx["compact"], fx["regular"], fx["tourney"]) > 0
+    assert sorted(norm(r) for r in md.select(cols).collect()) == sorted(norm(r) for r in hot.select(cols).collect())
+
+
+def test_pairs_of_a_team_with_two_coaches(stages):
+    """Overlapping tenures repeat a participant row: both copies meet the opponent,
+    never each other, exactly as in the join of side 1 with side 2."""
+    from duelframe.operators.pairing import assign_sides, pair_sides, pair_sides_join
+    _, tg, _ = stages
+    rows = tg.select("GameID", "Season", "DayNum", "GameLocation", "TeamID", "CoachName", "WinFlag")
+    twice = rows.where("TeamID = 1101").withColumn("CoachName", F.lit("second"))
+    lone = rows.where("TeamID = 1102").limit(1).withColumns({"GameID": F.lit(10 ** 9).cast("bigint")})
+    df = rows.union(twice).union(lone).union(lone)
+    got = pair_sides(df, ["GameID"], "GameLocation", "TeamID", shared=["Season", "DayNum"])
+    ref = pair_sides_join(assign_sides(df, ["GameID"], "GameLocation", "TeamID"), ["GameID"], shared=["Season", "DayNum"])
+    assert got.where("TeamID_A = TeamID_B").count() == 0
+    assert sorted(map(str, got.select(ref.columns).collect())) == sorted(map(str, ref.collect()))
+    assert got.where(f"GameID = {10 ** 9}").count() == 0
