@@ -18,11 +18,11 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from duelframe.plans import sports as SP
 from duelframe.sources import schemas as S
-from duelframe.sources.files import read_csv, read_partition, write_parquet
+from duelframe.operators.joins import assert_unique
+from duelframe.sources.files import read_csv, read_partition, season_slice as slice_rows, write_parquet
 
 INPUTS = {
     "regular": S.DETAILED_RESULTS, "tourney": S.DETAILED_RESULTS, "compact": S.COMPACT_RESULTS,
@@ -30,11 +30,16 @@ INPUTS = {
     "coaches": S.TEAM_COACHES, "seeds": S.TOURNEY_SEEDS, "ordinals": S.ORDINALS,
 }
 SYSTEMS = ("AP", "POM", "NET")
+UNIQUE = {"team_confs": ["Season", "TeamID"], "seeds": ["Season", "TeamID"]}
 
 
 def run(spark: SparkSession, paths: dict[str, str], out: str, season: int = 2025,
         train: bool = False, rank_scope: str = "file") -> dict[str, str]:
     d = {k: read_csv(spark, paths[k], INPUTS[k]) for k in INPUTS}
+    for name, keys in UNIQUE.items():  # a repeated dimension key would repeat games
+        again = assert_unique(d[name], keys)
+        if not again.isEmpty():
+            raise ValueError(f"{name} repeats a key: {again.first().asDict()}")
     split_root = f"{out}/rankings"
     SP.split_rankings(d["ordinals"], split_root, fmt="parquet")
     systems = {s: read_partition(spark, split_root, "System", s).drop("System") for s in SYSTEMS}
@@ -77,7 +82,7 @@ def score(spark: SparkSession, out: str, requests_path: str, teams_path: str, se
 
 def season_slice(spark: SparkSession, out: str, season: int):
     """The per team-game rows of one season (partition-pruned read)."""
-    return spark.read.parquet(f"{out}/team_games").where(F.col("Season") == season)
+    return slice_rows(spark.read.parquet(f"{out}/team_games"), "Season", season)
 
 
 def main(argv=None) -> None:

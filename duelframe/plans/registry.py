@@ -32,7 +32,8 @@ from duelframe.plans.oracle_views import (ACTIVE_RANK, CONF, GAME_VIEWS, PERIODS
                                           PERIODS_SEASON, PUBLICATION, RANKED, TEAM_VIEWS,
                                           TENURE, with_views)
 from duelframe.session import checkpoint_dir
-from duelframe.sources.files import read_partition, write_partitioned
+from duelframe.sources.files import (read_csv, read_partition, season_slice, write_csv, write_parquet,
+                                     write_partitioned)
 from duelframe.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -883,29 +884,30 @@ def train_logistic_score(spark, sf):
     from duelframe.plans import model as M
     train, test = _train_test(spark, sf)
     spec = M.contest_spec(train)
-    fitted = M.fit(train, spec, M.logistic(train, spec, M.DEPLOYED_C, "l2", max_iter=100))
+    fitted = M.fit(train, spec, M.logistic(train, spec, M.DEPLOYED_C, "l2"))
     return M.scored(fitted, test, ["league", "game_key"], spec)
 
 
 @register("soft_vote")
 def soft_vote(spark, sf):
-    """Random forest + logistic regression, soft-voted probabilities."""
+    """Random forest + logistic regression, soft-voted probabilities. The trees' number
+    and depth are this query's own parameters."""
     from duelframe.plans import model as M
     train, test = _train_test(spark, sf)
     spec = M.contest_spec(train)
-    rf = M.fit(train, spec, M.forest(spec, n_trees=40, min_split=4))
-    lr = M.fit(train, spec, M.logistic(train, spec, 0.05, "l2", max_iter=100))
+    rf = M.fit(train, spec, M.forest(spec, n_trees=40, min_split=4, max_depth=12))
+    lr = M.fit(train, spec, M.logistic(train, spec, 0.05, "l2"))
     return M.soft_vote([rf, lr], test, ["league", "game_key"], spec)
 
 
 @register("search_trials")
 def search_trials(spark, sf):
     """Seeded random search over the L2 logistic strength, one row per
-    trial with its held-out Brier score."""
+    trial with its held-out Brier score; six trials by this query's own choice."""
     from duelframe.plans import model as M
     train, test = _train_test(spark, sf)
     spec = M.contest_spec(train)
-    return M.search(train, test, spec, "logistic_l2", n_trials=6, parallelism=3, max_iter=50)
+    return M.search(train, test, spec, "logistic_l2", n_trials=6, parallelism=3)
 
 
 @register("matchup_scores")
@@ -917,7 +919,7 @@ def matchup_scores(spark, sf):
     from duelframe.plans import scoring as S
     train, _ = _train_test(spark, sf)
     spec = M.contest_spec(train)
-    fitted = M.fit(train, spec, M.logistic(train, spec, M.DEPLOYED_C, "l2", max_iter=100))
+    fitted = M.fit(train, spec, M.logistic(train, spec, M.DEPLOYED_C, "l2"))
     games = C.contest(Tables(spark, sf).events)
     req = games.select("league", "game_key", F.col("w_id").alias("team_1"), F.col("l_id").alias("team_2"))
     rows = S.contest_matchup_rows(req, S.contest_state(C.team_game(games), _events(spark, sf)))
@@ -928,6 +930,213 @@ def matchup_scores(spark, sf):
                       .alias("winner"))
 
 
+# --------------------------------------------------------------------------
+# Model preparation as data (M1, M3-M6, M13, M15), with SQL
+
+SCALED = ("points_mean_prior_A", "points_mean_prior_B", "allowed_mean_prior_A", "allowed_mean_prior_B")
+
+
+@register("one_hot_long", _flagship_sql().replace("SELECT a.league", ", g AS (SELECT a.league", 1) + """)
+, train AS (SELECT DISTINCT loc_A FROM g WHERE game_key % 10 < 7)
+SELECT g.league, g.game_key, t.loc_A AS category, CASE WHEN g.loc_A = t.loc_A THEN 1 ELSE 0 END AS hot
+FROM g CROSS JOIN train t""")
+def one_hot_long(spark, sf):
+    """One-hot rows of side A's location: one row per game and category seen in training
+    (keys ending in 0-6); an unseen category is 0 everywhere."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.functions import vector_to_array
+    g = game_features(_team_games(spark, sf), events=_events(spark, sf)).select("league", "game_key", "loc_A")
+    index = StringIndexer(inputCol="loc_A", outputCol="i", handleInvalid="keep", stringOrderType="alphabetAsc").fit(
+        g.where(F.col("game_key") % 10 < 7))
+    coded = index.transform(g)
+    vectors = OneHotEncoder(inputCols=["i"], outputCols=["v"], dropLast=True).fit(coded).transform(coded)
+    labels = F.array(*[F.lit(x) for x in index.labels])  # three locations
+    return vectors.select("league", "game_key", F.explode(F.arrays_zip(
+        labels.alias("category"), vector_to_array("v").alias("hot"))).alias("x")).select(
+        "league", "game_key", "x.category", F.col("x.hot").cast("int").alias("hot"))
+
+
+@register("scaled_features", _flagship_sql().replace("SELECT a.league", ", g AS (SELECT a.league", 1) + ")\n"
+          + "SELECT league, game_key, " + ", ".join(
+              f"ROUND(({c} - (SELECT AVG({c}) FROM g)) / (SELECT STDDEV_POP({c}) FROM g), 6) AS {c}" for c in SCALED)
+          + " FROM g")
+def scaled_features(spark, sf):
+    """Features scaled by their mean and population deviation over all rows."""
+    from duelframe.plans import model as M
+    g = game_features(_team_games(spark, sf), events=_events(spark, sf))
+    z = M.population_scaler(g, SCALED).transform(g)
+    return z.select("league", "game_key", *[rounded(f"{c}__z").alias(c) for c in SCALED])
+
+
+VOTE = {"win_pct_prior_A": 1.7, "win_pct_prior_B": -1.3}
+
+
+@register("voted_probability", _flagship_sql().replace("SELECT a.league", ", g AS (SELECT a.league", 1) + """)
+, p AS (SELECT league, game_key, 1 / (1 + EXP(-(0.1 + 1.7 * win_pct_prior_A - 1.3 * win_pct_prior_B))) AS p1,
+               CASE WHEN points_mean_prior_A > points_mean_prior_B THEN 0.75 ELSE 0.25 END AS p2 FROM g)
+SELECT league, game_key, ROUND((2 * p1 + p2) / 3, 6) AS p1, CASE WHEN (2 * p1 + p2) / 3 > 0.5 THEN 1 ELSE 0 END AS prediction
+FROM p""")
+def voted_probability(spark, sf):
+    """Weighted soft vote of two fixed scorers: given logistic coefficients, and a rule on
+    the scoring means."""
+    from duelframe.plans import model as M
+    g = game_features(_team_games(spark, sf), events=_events(spark, sf))
+    rule = F.when(F.col("points_mean_prior_A") > F.col("points_mean_prior_B"), 0.75).otherwise(0.25)
+    scored = M.fixed_logistic(VOTE, 0.1, g).withColumn("p2", rule)
+    p = (2 * F.col("p1") + F.col("p2")) / 3
+    return scored.select("league", "game_key", rounded(p).alias("p1"), (p > 0.5).cast("int").alias("prediction"))
+
+
+# --------------------------------------------------------------------------
+# The full feature set on the two-sided table
+
+STATS = {"points": "points", "allowed": "allowed", "margin": "points - allowed", "total": "points + allowed",
+         "share": "points / (points + allowed)", "points_third": "points / 3", "allowed_third": "allowed / 3",
+         "home_points": "CASE WHEN loc = 'H' THEN points END", "away_points": "CASE WHEN loc = 'A' THEN points END",
+         "neutral_points": "CASE WHEN loc = 'N' THEN points END", "home_allowed": "CASE WHEN loc = 'H' THEN allowed END",
+         "away_allowed": "CASE WHEN loc = 'A' THEN allowed END",
+         "neutral_allowed": "CASE WHEN loc = 'N' THEN allowed END",
+         "win_points": "CASE WHEN win = 1 THEN points END", "loss_points": "CASE WHEN win = 0 THEN points END",
+         "win_margin": "CASE WHEN win = 1 THEN points - allowed END",
+         "loss_margin": "CASE WHEN win = 0 THEN points - allowed END", "high": "CASE WHEN points > 50 THEN 1 ELSE 0 END",
+         "low": "CASE WHEN allowed < 50 THEN 1 ELSE 0 END", "close": "CASE WHEN abs(points - allowed) < 10 THEN 1 ELSE 0 END",
+         "home": "CASE WHEN loc = 'H' THEN 1 ELSE 0 END", "away": "CASE WHEN loc = 'A' THEN 1 ELSE 0 END"}
+
+
+@register("statistics_means", with_views(*TEAM_VIEWS, body=", x AS (SELECT league, game_key, team_id, day_num, "
+          + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in STATS.items()) + " FROM team_game)\n"
+          + "SELECT league, game_key, team_id, " + ", ".join(
+              f"ROUND(AVG({n}) OVER {PRIOR}, 9) AS {n}_overall, "
+              f"ROUND(CASE WHEN COUNT({n}) OVER {LAST5} = 5 THEN AVG({n}) OVER {LAST5} END, 9) AS {n}_last5" for n in STATS)
+          + " FROM x"))
+def statistics_means(spark, sf):
+    """22 statistics, each as an expanding and a last-5 pre-game mean, in one window pass."""
+    tg = _team_games(spark, sf).select("league", "game_key", "team_id", "day_num",
+                                       *[F.expr(e).cast("double").alias(n) for n, e in STATS.items()])
+    feats = [f for n in STATS for f in (Feat(f"{n}_overall", "mean", n), Feat(f"{n}_last5", "mean", n, 5))]
+    out = team_window(tg, feats, _events(spark, sf))
+    return out.select("league", "game_key", "team_id", *[rounded(f.name, 9).alias(f.name) for f in feats])
+
+
+@register("power_win_shares", with_views(*TEAM_VIEWS, body=f"""
+, x AS (SELECT *, opp_id % 5 = 0 AS power FROM team_game)
+, s AS (SELECT league, game_key, team_id,
+  SUM(CASE WHEN power AND win = 1 THEN 1 ELSE 0 END) OVER {PRIOR} AS pw,
+  SUM(CASE WHEN power AND win = 0 THEN 1 ELSE 0 END) OVER {PRIOR} AS pl,
+  SUM(CASE WHEN NOT power AND win = 1 THEN 1 ELSE 0 END) OVER {PRIOR} AS nw,
+  SUM(CASE WHEN NOT power AND win = 0 THEN 1 ELSE 0 END) OVER {PRIOR} AS nl FROM x)
+SELECT league, game_key, team_id,
+  CASE WHEN pw + pl = 0 THEN CAST('NaN' AS DOUBLE) ELSE ROUND(CAST(pw AS DOUBLE) / (pw + pl), 6) END AS power_share,
+  CASE WHEN nw + nl = 0 THEN CAST('NaN' AS DOUBLE) ELSE ROUND(CAST(nw AS DOUBLE) / (nw + nl), 6) END AS other_share
+FROM s"""))
+def power_win_shares(spark, sf):
+    """Win shares against power and other opponents as ratios of two sums: 0 / 0 is NaN
+    before any such game, null on a team's first game."""
+    power = (F.col("opp_id") % 5) == 0
+    tg = _team_games(spark, sf).withColumns({
+        "pw": flag(power & (F.col("win") == 1)), "pl": flag(power & (F.col("win") == 0)),
+        "nw": flag(~power & (F.col("win") == 1)), "nl": flag(~power & (F.col("win") == 0))})
+    out = team_window(tg, [Feat(f"s_{c}", "sum", c) for c in ("pw", "pl", "nw", "nl")], _events(spark, sf))
+
+    def share(w: str, l: str):
+        total = F.col(f"s_{w}") + F.col(f"s_{l}")
+        return F.when(total == 0, F.lit(float("nan"))).otherwise(
+            F.round(F.try_divide(F.col(f"s_{w}").cast("double"), total), 6))
+    return out.select("league", "game_key", "team_id", share("pw", "pl").alias("power_share"),
+                      share("nw", "nl").alias("other_share"))
+
+
+@register("manager_wins_filled", with_views(*TEAM_VIEWS, TENURE, body="""
+, g AS (SELECT t.league, t.game_key, t.team_id, t.day_num, t.win, t.loc, u.manager
+        FROM team_game t JOIN tenure u ON t.team_id = u.team_id AND u.first_day <= t.day_num AND t.day_num <= u.last_day)
+, tw AS (SELECT game_key, team_id, manager,
+           SUM(win) OVER (PARTITION BY manager ORDER BY day_num, game_key, team_id
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - win AS wins_in
+         FROM g WHERE loc = 'N')
+, j AS (SELECT g.*, tw.wins_in FROM g LEFT JOIN tw ON g.game_key = tw.game_key AND g.team_id = tw.team_id
+                                               AND g.manager = tw.manager)
+SELECT league, game_key, team_id, manager, CAST(COALESCE(
+  LAST_VALUE(wins_in IGNORE NULLS) OVER (PARTITION BY manager ORDER BY day_num, game_key, team_id
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  FIRST_VALUE(wins_in IGNORE NULLS) OVER (PARTITION BY manager ORDER BY day_num, game_key, team_id
+                                          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS wins_in
+FROM j"""))
+def manager_wins_filled(spark, sf):
+    """Neutral-site wins coming in by manager, across teams and leagues: forward filled
+    along the manager's career, then back filled, then 0."""
+    ev = _events(spark, sf)
+    tg = _team_games(spark, sf).select("league", "game_key", "team_id", "day_num", "win", "loc")
+    g = interval_join(tg, C.tenure(ev), ["team_id"], "day_num", "first_day", "last_day", "inner").select(
+        "league", "game_key", "team_id", "day_num", "win", "loc", "manager")
+    order = ["day_num", "game_key", "team_id"]
+    n = g.where(F.col("loc") == "N").select("manager", *order, "win")
+    wins = sliced_window(n, ["manager"], order, team_axis(), [Feat("w", "sum", "win")]).select(
+        "manager", "game_key", "team_id", F.coalesce("w", F.lit(0)).cast("bigint").alias("wins_in"))
+    j = g.join(wins, ["manager", "game_key", "team_id"], "left")
+    out = sliced_window(j, ["manager"], order, team_axis(), [Feat("ff", "ffill", "wins_in"), Feat("bf", "bfill", "wins_in")],
+                        g.select("manager", team_axis().alias("along")))
+    return out.select("league", "game_key", "team_id", "manager",
+                      F.coalesce("ff", "bf", F.lit(0).cast("bigint")).alias("wins_in"))
+
+
+@register("carried_rank", with_views(*TEAM_VIEWS, PUBLICATION, PERIODS_FILE, RANKED, ACTIVE_RANK, body=f"""
+SELECT league, game_key, team_id, COALESCE(ordinal, 9999) AS active_rank,
+       COALESCE(LAST_VALUE(ordinal IGNORE NULLS) OVER ({W_TEAM} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9999)
+         AS carried_rank
+FROM active"""))
+def carried_rank(spark, sf):
+    """The active rank as published, and carried over expired lists."""
+    a = team_window(_active(spark, sf, "file"), [Feat("ff", "ffill", "ordinal")], _events(spark, sf))
+    none = F.lit(9999).cast("bigint")
+    return a.select("league", "game_key", "team_id", F.coalesce("ordinal", none).alias("active_rank"),
+                    F.coalesce("ff", none).alias("carried_rank"))
+
+
+@register("seeds_on_neutral_games", with_views(*TEAM_VIEWS, body="""
+, s AS (SELECT c_custkey AS team_id, substring(c_mktsegment, 1, 1) || printf('%02d', c_custkey % 16 + 1) || 'a' AS seed
+        FROM customer)
+SELECT league, game_key, t.team_id, loc,
+       CASE WHEN loc = 'N' THEN CAST(substring(seed, 2, 2) AS INTEGER) END AS seed
+FROM team_game t LEFT JOIN s ON t.team_id = s.team_id"""))
+def seeds_on_neutral_games(spark, sf):
+    """Seed codes (region, two digits, letter) as numbers, on neutral games only."""
+    seeds = Tables(spark, sf).customer.select(F.col("c_custkey").alias("team_id"), F.concat(
+        F.substring("c_mktsegment", 1, 1), F.lpad((F.col("c_custkey") % 16 + 1).cast("string"), 2, "0"),
+        F.lit("a")).alias("code"))
+    tg = _team_games(spark, sf).select("league", "game_key", "team_id", "loc").join(seeds, "team_id", "left")
+    return tg.select("league", "game_key", "team_id", "loc",
+                     F.when(F.col("loc") == "N", code_number("code", 2, 2)).alias("seed"))
+
+
+# --------------------------------------------------------------------------
+# Files (S1, S4, S7, S8)
+
+@register("csv_round_trip", """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS season, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total
+FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1""")
+def csv_round_trip(spark, sf):
+    """Orders written as CSV, split by season, read back with a declared schema that the
+    header must match, and one season sliced (a pruned read)."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    o = Tables(spark, sf).orders.select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("season"))
+    write_csv(o, f"{root}/flat")
+    back = read_csv(spark, f"{root}/flat", o.schema)
+    write_parquet(back, f"{root}/seasons", partition_by=["season"])
+    one = season_slice(spark.read.parquet(f"{root}/seasons"), "season", 1996)
+    return one.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@register("model_reload")
+def model_reload(spark, sf):
+    """A fitted pipeline saved, loaded and applied."""
+    from duelframe.plans import model as M
+    train, test = _train_test(spark, sf)
+    spec = M.contest_spec(train)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    M.save(M.fit(train, spec, M.logistic(train, spec, M.DEPLOYED_C, "l2")), path)
+    return M.scored(M.load(path), test, ["league", "game_key"], spec)
+
+
 # --------------------------------------------------------------------------
 # Declared-but-unexecuted ideas of the reference
 

@@ -15,8 +15,10 @@ from pyspark.sql.types import StructType
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Header CSV with a declared schema (no inference pass); both LF and
-    CRLF line ends are accepted by Spark's reader."""
-    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+    CRLF line ends are accepted by Spark's reader. Header names are checked
+    against the schema, so a file with its columns in another order fails
+    instead of being read wrongly."""
+    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
             .option("ignoreTrailingWhiteSpace", True).csv(path))
 
 
@@ -32,6 +34,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of temporary tables through Hadoop's file system of that path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_partitioned(df: DataFrame, key: str, path: str, key_copy: str | None = None,
                       fmt: str = "parquet", mode: str = "overwrite", spread: int = 16) -> None:
     """One folder per value of ``key``. ``partitionBy`` removes the

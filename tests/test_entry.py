@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from conftest import SF0001
 from duelframe.sources.tables import TABLES
 
-MODEL_JOBS = {"train_logistic_score", "soft_vote", "search_trials", "matchup_scores"}
+MODEL_JOBS = {"train_logistic_score", "soft_vote", "search_trials", "matchup_scores", "model_reload"}
 
 
 def test_entry_smoke(spark):
