@@ -258,4 +258,4 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id"
     kept = first.select(F.col("_first.name.key").alias(key), F.col("_first.name.th").alias("_th"),
                         F.lit(1).alias("_copies"), F.col("_first.rows").alias("_rows"))
     blank = counted.where("node is null").select(key, "_th", F.lit(1).alias("_copies"), "_rows")
-    return pick(docs, kept.union(blank), key, text).drop("_copies")
+    return pick(docs, kept.union(blank), key, text).drop("__copies")

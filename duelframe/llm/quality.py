@@ -174,15 +174,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     return train([r["_t"] for r in rows], [r["_y"] for r in rows], n.get(1, 0) / total if total else float("nan"))
 
 
-def score_quality(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score`` (double, 0 to 1; higher: class 1 likelier).
+def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``out`` (double, 0 to 1; higher: class 1 likelier).
 
     Scores depend on the text alone. Null and empty texts get the model's bias. A
-    column named ``score`` in ``docs`` is replaced.
+    column of the name ``out`` in ``docs`` is replaced; an empty table gives no rows.
     """
     table = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # a fixed number of buckets
-    kept = [f for f in docs.schema.fields if f.name != "score"]
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
+    kept = [f for f in docs.schema.fields if f.name != out]
+    schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +191,6 @@ def score_quality(docs: DataFrame, model: QualityModel, key: str = "doc_id", tex
         for batch in batches:
             z = np.clip(model.margins(batch.column(names.index(text))), -500, 500)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)))],
-                                             names=[*batch.schema.names, "score"])
+                                             names=[*batch.schema.names, out])
 
     return docs.select(*names).mapInArrow(run, schema)

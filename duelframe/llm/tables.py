@@ -76,19 +76,20 @@ def text_hash(text: str) -> Column:
 
 
 def pick(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of ``docs`` and ``_copies``, for the rows that ``chosen`` names by ``key``
+    """The columns of ``docs`` and ``__copies``, for the rows that ``chosen`` names by ``key``
     and ``_th``, the hash of the text. ``chosen`` has distinct names, ``_copies`` and
     ``_rows``, the number of rows of that name; of rows that repeat a name one is given.
     """
-    chosen, _ = saved(chosen.select(F.col(key).alias("_key"), "_th", "_copies", "_rows"), "chosen")
-    named = docs.withColumn("_hash", text_hash(text))
-    on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_th"))
+    chosen, _ = saved(chosen.select(F.col(key).alias("__key"), F.col("_th").alias("__th"),
+                                    F.col("_copies").alias("__copies"), F.col("_rows").alias("__rows")), "chosen")
+    named = docs.withColumn("__hash", text_hash(text))
+    on = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__th"))
 
     def joined(part: DataFrame) -> DataFrame:
-        return named.join(part, on).select(*docs.columns, "_copies", "_th")
+        return named.join(part, on).select(*docs.columns, "__copies", "__th")
 
-    once, often = chosen.where("_rows = 1"), chosen.where("_rows > 1")
+    once, often = chosen.where("__rows = 1"), chosen.where("__rows > 1")
     out = joined(bounded(once, 1_000_000))
     if not often.isEmpty():
-        out = out.unionByName(joined(bounded(often)).dropDuplicates([key, "_th"]))
-    return out.drop("_th")
+        out = out.unionByName(joined(bounded(often)).dropDuplicates([key, "__th"]))
+    return out.drop("__th")

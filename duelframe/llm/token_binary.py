@@ -21,6 +21,7 @@ the same bytes under the same final names.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -34,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from duelframe.llm.lexer import Lexer, Words, read_definition
 from duelframe.llm.tables import saved
@@ -118,8 +120,9 @@ class Encoder:
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.lexer = Lexer(definition)
-        self.library = self.lexer.tokenizer
-        self.largest = max(self.library.get_vocab().values())
+        self.largest = max(self.lexer.tokenizer.get_vocab().values())
+        # words come normalised, special tokens apart: neither is to be looked for again
+        self.library = Tokenizer.from_str(json.dumps(json.loads(definition) | {"normalizer": None, "added_tokens": []}))
         self._reset()
 
     def _reset(self) -> None:
