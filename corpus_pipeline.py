@@ -17,7 +17,7 @@ from duelframe.llm.decontaminate import find_hits
 from duelframe.llm.mixing import mix_sources
 from duelframe.llm.ngram_join import keep_one
 from duelframe.llm.quality import fit_quality, score_quality
-from duelframe.llm.tables import new_path, pick, saved, text_hash
+from duelframe.llm.tables import bounded, new_path, pick, saved, text_hash
 from duelframe.llm.token_binary import read_token_files, write_token_files
 
 THRESHOLD = 0.5
@@ -28,7 +28,7 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 2
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of at least ``THRESHOLD``; a null text has the model's bias."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    return score_quality(docs, model, out="__score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without any window of the benchmark."""
     named = docs.select("doc_id", "text", text_hash("text").alias("_th"))
     hits = find_hits(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("doc_id", "_th"))
-    found = hits.where("n_hit > 0").select(F.col("doc_id").alias("_key"), "_th").distinct()
+    found = hits.where("n_hit > 0").select(F.col("doc_id").alias("__key"), F.col("_th").alias("__th")).distinct()
     found, _ = saved(found, "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_key")) & (text_hash("text") == F.col("_th")),
+    return docs.join(bounded(found), F.col("doc_id").eqNullSafe(F.col("__key")) & (text_hash("text") == F.col("__th")),
                      "left_anti")
 
 
@@ -54,7 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     chosen = (mixed.groupBy("doc_id", "_th").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
               .where("_copies > 0"))
     rows = pick(docs, chosen)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
