@@ -107,8 +107,11 @@ def brute_lines(rows, least, similarity):
     import numpy as np
     import pyarrow as pa
     from duelframe.llm.words import WHITE, text_bytes, word_hashes
+
+    def size(line):
+        return len(line.replace(" ", "").encode())
     lines = [(k is None, k or 0, i, j, LD.normalise(s)) for i, (k, t) in enumerate(rows)
-             for j, s in enumerate((t or "").split("\n")) if len(LD.normalise(s)) >= least]
+             for j, s in enumerate((t or "").split("\n")) if size(LD.normalise(s)) >= least]
     sims = LD._simhash(*word_hashes(*text_bytes(pa.array([x[4] for x in lines])), WHITE, None))
     linked = []
     for a, b in combinations(range(len(lines)), 2):
@@ -158,6 +161,25 @@ def test_lines_of_odd_rows(odd, none):
     assert LD.dedup_lines(none).count() == 0
 
 
+def test_cutting_into_lines():
+    import numpy as np
+    import pyarrow as pa
+    texts = ["a b\nC", None, "", "\n", "x\n", "\n\ny 12-z\n", "é\n", "end"]
+    owner, number, size, words, counts = LD._cut(pa.array(texts))
+    lines = [(i, j, s) for i, t in enumerate(texts) for j, s in enumerate((t or "").split("\n"))]
+    assert list(zip(owner, number)) == [x[:2] for x in lines]
+    assert size.tolist() == [len(LD.normalise(s).replace(" ", "").encode()) for *_, s in lines]
+    assert counts.tolist() == [len(LD.normalise(s).split()) for *_, s in lines]
+    nodes = dict(zip([LD.normalise(s) for *_, s in lines], LD._nodes(words, counts).tolist()))
+    assert len(set(nodes.values())) == len(nodes) and nodes["a b"] == LD._nodes(*LD._cut(pa.array(["A-B"]))[3:])[0]
+    many = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i % 25)}" for i in range(1000))
+    _, _, _, words, counts = LD._cut(pa.array([many, "p q"]))
+    from duelframe.llm.words import COEFFICIENTS, mix
+    pairs = words[:999] * COEFFICIENTS[5] + words[1:1000]
+    bits = np.unpackbits(mix(np.concatenate([words[:1000], pairs]) + COEFFICIENTS[6]).view(np.uint8).reshape(-1, 8), axis=1)
+    assert np.packbits(2 * bits.sum(axis=0, dtype=int) > 1999).view(np.uint64)[0] == LD._simhash(words, counts)[0, 0]
+
+
 def test_block_tokens_cover_all_bits(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([(-1, -1), (0, 0), (5, -9)], "s0 long, s1 long")
