@@ -45,6 +45,7 @@ NULL_KEY, NARROW = 1, 2
 HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<Bq")
 INDEX = np.dtype([("offset", "<u8"), ("n_tokens", "<u8")])
 MAX_WORDS = 500_000
+ROWS = 200  # texts encoded at once
 
 
 def masked(data: bytes) -> int:
@@ -201,12 +202,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         index, at, tokens = [], 0, 0
         with store.open_output_stream(f"{path}/{own}") as out:
             for batch in batches:
-                for k, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                    record = frame(pack(k, np.append(ids, np.uint32(end_id)), narrow))
-                    out.write(record)
-                    index.append((at, len(ids) + 1))
-                    at += len(record)
-                    tokens += len(ids) + 1
+                for row in range(0, batch.num_rows, ROWS):
+                    some = batch.slice(row, ROWS)
+                    for k, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
+                        record = frame(pack(k, np.append(ids, np.uint32(end_id)), narrow))
+                        out.write(record)
+                        index.append((at, len(ids) + 1))
+                        at += len(record)
+                        tokens += len(ids) + 1
         if not index:
             store.delete_file(f"{path}/{own}")
             return
