@@ -32,13 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
     harm; no edges give no rows. Each round is written to the shared folder.
     """
     spark = edges.sparkSession
-    now, path = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                      .distinct(), "edges")
-    state = _state(now)
+    now, path, state = edges.where("a <> b").select("a", "b"), None, None
     while True:
         new, new_path = saved(_small_star(_large_star(now)), "edges")
         new_state = _state(new)
-        drop(spark, path)
+        if path:
+            drop(spark, path)
         now, path = new, new_path
         if new_state == state:
             break

@@ -21,7 +21,7 @@ from duelframe.llm.components import components
 from duelframe.llm.tables import drop, saved
 
 # Linking rounds: postings before each one that it is paired with, beside the leader.
-ROUNDS = (1, 8, 16)
+ROUNDS = (1, 8)
 
 
 def shared_tokens(postings: DataFrame, column: str = "node") -> DataFrame:
@@ -55,13 +55,14 @@ def linked_components(postings: DataFrame, fits: str, verify: Callable[[DataFram
 
     ``postings``: ``token``, ``node`` (long) and any columns that ``fits`` looks at.
     ``fits``: SQL condition that every linked pair meets, as structs ``x`` and ``y``,
-    under at least one token that they share. ``verify``: (a, b) to the links among them.
+    under at least one token that they share. ``verify``: (a, b) to the links among them,
+    a written table.
     Every pair is verified once at most.
     """
     spark = postings.sparkSession
     extra = [c for c in postings.columns if c != "token"]
     table, table_path = saved(shared_tokens(postings), "postings")
-    links, comps = None, None
+    links, comps, tried = None, None, None
     for turn in range(len(rounds) + 1):
         if comps is None:
             labelled = table.withColumn("comp", F.col("node"))
@@ -71,12 +72,12 @@ def linked_components(postings: DataFrame, fits: str, verify: Callable[[DataFram
         labelled = labelled.select("token", F.struct(*extra, "comp").alias("x"))
         found = (_near_pairs(labelled, turn, rounds[turn], fits) if turn < len(rounds)
                  else _all_pairs(labelled, fits))
-        if links is not None and not tried.isEmpty():
+        if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         pairs, _ = saved(found, "pairs")
-        tried = pairs if turn == 0 else tried.union(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
         if not pairs.isEmpty():
-            new, _ = saved(verify(pairs), "links")
+            new = verify(pairs)
             links = new if links is None else links.union(new)
             comps, _ = saved(components(links), "components")
     drop(spark, table_path)
