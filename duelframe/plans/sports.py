@@ -36,6 +36,7 @@ from duelframe.operators.mirror import mirror, mirror_compact
 from duelframe.operators.ordinal import ordinal_within
 from duelframe.operators.pairing import pair_sides
 from duelframe.operators.ranks import active_rank, ranked_periods
+from duelframe.session import checkpoint_dir
 from duelframe.operators.sliced import Feat, sliced_window
 from duelframe.sources.schemas import BOX_STEMS
 
@@ -262,18 +263,25 @@ def attach_ranks(df: DataFrame, systems: Mapping[str, DataFrame], scope: str = "
     return df
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder and read from there: each stage's window plan
+    refers to its input several times, and chained plans would multiply."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def team_games(regular, tourney, compact, conf_games, team_confs, coaches, seeds,
                systems: Mapping[str, DataFrame], zero_attempts: str = "skip",
                backfill: str = "next", coach_order: str = "chronological",
                rank_scope: str = "file") -> DataFrame:
     """All enrichment stages: the per team-game table before features."""
-    g = game_table(regular, tourney, conf_games, team_confs)
+    g = _cut(game_table(regular, tourney, conf_games, team_confs))
     t = derived_columns(mirror_games(g), zero_attempts)
-    t = attach_coach(t, coaches)
-    hist = tourney_history(compact, coaches)
-    t = attach_tourney_wins(t, school_wins(hist), coach_wins(hist), backfill, coach_order)
+    t = _cut(attach_coach(t, coaches))
+    hist = _cut(tourney_history(compact, coaches))
+    t = _cut(attach_tourney_wins(t, _cut(school_wins(hist)), _cut(coach_wins(hist)), backfill, coach_order))
     t = attach_seeds(t, seeds)
-    return attach_ranks(t, systems, rank_scope)
+    return _cut(attach_ranks(t, systems, rank_scope))
 
 
 # ---------------------------------------------------------------- features
