@@ -195,3 +195,50 @@ def test_block_tokens_cover_all_bits(spark):
 @pytest.mark.parametrize("text", ["", "a", "Ab  C\n", "é" * 3])
 def test_normalise_is_stable(text):
     assert LD.normalise(LD.normalise(text)) == LD.normalise(text)
+
+
+def all_pairs_kept(rows, least, similarity):
+    """Texts without repeats, from the edit similarity of all pairs of lines alone."""
+    lines = [(i, j, LD.normalise(s)) for i, (_, t) in enumerate(rows) for j, s in enumerate(t.split("\n"))]
+    lines = [x for x in lines if len(x[2].replace(" ", "").encode()) >= least]
+    linked = [(a, b) for a, b in combinations(range(len(lines)), 2)
+              if levenshtein(lines[a][2], lines[b][2]) <= int(max(len(lines[a][2]), len(lines[b][2])) * (1 - similarity) + 1e-9)]
+    comp = groups(len(lines), linked)  # the lowest line of the group
+    drop = {lines[i][:2] for i in range(len(lines)) if comp[i] != i}
+    return [(k, "\n".join(s for j, s in enumerate(t.split("\n")) if (i, j) not in drop)) for i, (k, t) in enumerate(rows)]
+
+
+def test_lines_against_all_pairs_by_edit_similarity(spark):
+    """One replaced word moves more SimHash bits than there are blocks, in lines of any length."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randint(3, 9)))
+    rows = []
+    for _ in range(30):
+        words = [word() for _ in range(r.randint(8, 40))]
+        text = []
+        for edits in (0, 1, len(words) // 8, len(words) // 3):
+            now = list(words)
+            for i in r.sample(range(len(words)), edits):
+                now[i] = word()
+            text.append(" ".join(now).capitalize() + r.choice([".", " !", ""]))
+        r.shuffle(text)
+        rows += [(len(rows), text[0] + "\n\n" + text[1]), (len(rows) + 1, text[2] + "\n" + text[3])]
+    exp = all_pairs_kept(rows, 20, 0.8)
+    got = LD.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), candidates="grams").collect()
+    assert sorted((x.doc_id, x.kept_text) for x in got) == exp
+    assert sum(x.n_dropped for x in got) > 40
+
+
+def test_normalised_bytes_and_sampled_runs():
+    import pyarrow as pa
+    from duelframe.llm.words import text_bytes
+    texts = ["", "a b\nC", None, "\n", " x--y \n", "\n\nz é12-z\n", "é\n" + "ab" * 40 + "\n" + "The quick, brown fox jumps"]
+    data, offsets = text_bytes(pa.array(texts))
+    raw, edges = LD._normal(data, LD._edges(data, offsets))
+    lines = [LD.normalise(s) for t in texts for s in (t or "").split("\n")]
+    assert [raw[a:b].tobytes().decode() for a, b in zip(edges, edges[1:])] == lines
+    line, _, place, chars = LD._sampled(raw, edges, 0.8)
+    assert all(chars[i] == len(lines[n]) for i, n in enumerate(line))
+    last, again = len(lines) - 1, len(lines) - 2
+    assert sorted(place[line == last]) == list(range(len(lines[last]) - 11))  # a short line gives all its runs
+    assert set(place[line == again]) <= {-1}  # repeated runs, each once
