@@ -242,3 +242,11 @@ def test_normalised_bytes_and_sampled_runs():
     last, again = len(lines) - 1, len(lines) - 2
     assert sorted(place[line == last]) == list(range(len(lines[last]) - 11))  # a short line gives all its runs
     assert set(place[line == again]) <= {-1}  # repeated runs, each once
+
+
+def test_short_lines_repeat_too(spark):
+    rows = [(0, "All rights reserved.\nok\n\n--\nall rights  reserved"), (1, "OK!\n\n--\nAll rights deserved.\nko")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.kept_text for x in LD.dedup_lines(df, candidates="grams", exact=1).collect()}
+    assert got == {0: "All rights reserved.\nok\n\n--", 1: "\n--\nAll rights deserved.\nko"}  # alike is not equal
+    assert sum(x.n_dropped for x in LD.dedup_lines(df, exact=1).collect()) == 2
