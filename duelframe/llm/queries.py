@@ -49,7 +49,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = dedup_lines(_table(spark, sf_dir, "documents"), candidates="grams", exact=1)
+    cleaned = dedup_lines(_table(spark, sf_dir, "documents"), candidates="grams", exact=1, digits=True)
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.char_length("kept_text").cast("long").alias("kept_chars"),
                           F.sha2("kept_text", 256).alias("kept_sha256"))
 

@@ -250,3 +250,12 @@ def test_short_lines_repeat_too(spark):
     got = {x.doc_id: x.kept_text for x in LD.dedup_lines(df, candidates="grams", exact=1).collect()}
     assert got == {0: "All rights reserved.\nok\n\n--", 1: "\n--\nAll rights deserved.\nko"}  # alike is not equal
     assert sum(x.n_dropped for x in LD.dedup_lines(df, exact=1).collect()) == 2
+
+
+def test_rows_of_other_numbers_stay(spark):
+    rows = [(0, "2021-03-04 1234567890 55.20 77\nTotal 12"), (1, "1987-12-25 9081726354 31.48 96\nTotal 57"),
+            (2, "2021-03-04 1234567890 55.20 78\ntotal: 12")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.kept_text for x in LD.dedup_lines(df, candidates="grams", exact=1, digits=True).collect()}
+    assert got == {0: rows[0][1], 1: rows[1][1], 2: ""}  # one digit of 27 characters is alike
+    assert sum(x.n_dropped for x in LD.dedup_lines(df, candidates="simhash", digits=True).collect()) == 1
