@@ -44,9 +44,21 @@ def _near_pairs(postings: DataFrame, turn: int, before: int, fits: str) -> DataF
     return _pairs(near.select("x", F.explode("near").alias("y")).where("y is not null"), fits)
 
 
+def _meetings(postings: DataFrame) -> DataFrame:
+    """(``x``, ``y``): each pair of postings of a token whose components differ, once. The
+    components of a token are numbered; two numbers meet at the highest bit in which they
+    differ, so pairs inside a component are never formed."""
+    same = Window.partitionBy("token")
+    ranked = (postings.withColumn("_n", F.dense_rank().over(same.orderBy("x.comp")) - 1)
+              .withColumn("_top", F.max("_n").over(same)).where("_top > 0"))
+    rows = (ranked.select("token", "x", "_n", F.explode(F.sequence(F.lit(0), F.length(F.bin("_top")) - 1)).alias("_bit"))
+            .selectExpr("token", "x", "_bit", "shiftright(_n, _bit + 1) as _above", "shiftright(_n, _bit) & 1 as _side"))
+    low, high = rows.where("_side = 0").drop("_side"), rows.where("_side = 1").drop("_side")
+    return low.join(high.withColumnRenamed("x", "y"), ["token", "_bit", "_above"]).select("x", "y")
+
+
 def _all_pairs(postings: DataFrame, fits: str) -> DataFrame:
-    y = postings.select("token", F.col("x").alias("y"))
-    return _pairs(postings.join(y, "token").where("x.node < y.node"), fits)
+    return _pairs(_meetings(postings), fits)
 
 
 def linked_components(postings: DataFrame, fits: str, verify: Callable[[DataFrame], DataFrame],

@@ -259,3 +259,16 @@ def test_rows_of_other_numbers_stay(spark):
     got = {x.doc_id: x.kept_text for x in LD.dedup_lines(df, candidates="grams", exact=1, digits=True).collect()}
     assert got == {0: rows[0][1], 1: rows[1][1], 2: ""}  # one digit of 27 characters is alike
     assert sum(x.n_dropped for x in LD.dedup_lines(df, candidates="simhash", digits=True).collect()) == 1
+
+
+def test_last_round_forms_no_pairs_inside_a_component(spark):
+    """A large component that shares its token with few others."""
+    from pyspark.sql import functions as F
+    from duelframe.llm.linking import _meetings
+    r = random.Random(4)
+    rows = [(1, i, 0) for i in range(400)] + [(1, 900, 900)] + [(2, i, 5) for i in range(50)] + [
+        (3, i, r.choice([3, 70, 800, 801, 9000])) for i in range(60)] + [(4, i, i) for i in range(13)]
+    df = spark.createDataFrame(rows, "token long, node long, comp long").select("token", F.struct("node", "comp", "token").alias("x"))
+    got = [(x.x.token, *sorted((x.x.node, x.y.node))) for x in _meetings(df).collect()]
+    exp = [(a[0], *sorted((a[1], b[1]))) for a, b in combinations(rows, 2) if a[0] == b[0] and a[2] != b[2]]
+    assert sorted(got) == sorted(exp) and sum(x[0] == 1 for x in got) == 400
