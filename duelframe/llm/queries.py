@@ -18,6 +18,7 @@ from duelframe.llm.ngram_join import jaccard_components
 from duelframe.llm.quality import fit_quality, held_out, score_quality
 from duelframe.llm.sharding import shard_documents
 from duelframe.llm.tables import new_path
+from duelframe.llm.target_sampling import resample_to_target
 from duelframe.llm.token_binary import read_token_files, write_token_files
 from duelframe.llm.token_counts import count_tokens
 
@@ -88,6 +89,12 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "grown_shard")
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample_to_target(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), longest=1,
+                               buckets=10_000, min_words=20, percent=10, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_jump_sharding": op10_jump_sharding,
+    "op11_target_resampling": op11_target_resampling,
 }
 
 # Words: runs of digits, letters and everything beyond ASCII, A-Z lower-cased.
@@ -164,13 +172,20 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * co
 FROM doc d JOIN target t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN taken USING (r)
 """
 
-# The jump sequence of a key, and crc32 byte by byte (reflected polynomial 0xEDB88320).
-OP10_SQL = """
-WITH RECURSIVE entry(i, k, c) AS (
+# crc32 byte by byte (reflected polynomial 0xEDB88320): its table, and the sum of a text.
+_CRC_TABLE = """entry(i, k, c) AS (
   SELECT i, 0, CAST(i AS BIGINT) FROM range(256) x(i)
   UNION ALL
   SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM entry WHERE k < 8),
-crc AS (SELECT list(c ORDER BY i) AS t FROM entry WHERE k = 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM entry WHERE k = 8)"""
+_CRC32 = """xor(list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), CAST(list_transform(range(0, strlen({0})),
+             lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT) AS BIGINT[])),
+           lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"""
+
+# The jump sequence of a key.
+OP10_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
 doc AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(CAST(doc_id AS VARCHAR), '') AS k, coalesce(text, '') AS text
   FROM documents),
@@ -183,10 +198,7 @@ jump(r, k, b, j) AS (
 place AS (SELECT r, max(j) FILTER (j < 40) AS shard, max(j) FILTER (j < 41) AS grown FROM jump GROUP BY r),
 sized AS (
   SELECT doc_id, k, r, CAST(strlen(text) + 16 AS BIGINT) AS size, shard, grown,
-         CASE WHEN text = '' THEN 0 ELSE xor(list_reduce(
-           list_prepend(CAST(4294967295 AS BIGINT), CAST(list_transform(range(0, strlen(text)),
-             lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT) AS BIGINT[])),
-           lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) END AS text_crc32
+         CASE WHEN text = '' THEN 0 ELSE {_CRC32.format("text")} END AS text_crc32
   FROM doc JOIN place USING (r), crc)
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
        row_number() OVER (PARTITION BY shard ORDER BY md5(k), doc_id NULLS FIRST, text_crc32, size, r) - 1 AS slot,
@@ -194,8 +206,36 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
 FROM sized
 """
 
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+own AS (SELECT r, unnest(w) AS x FROM doc),
+aim AS (SELECT unnest({_WORDS.format("coalesce(text, '')")}) AS x FROM benchmark),
+bucket AS (SELECT x, {_CRC32.format("x")} % 10000 AS b
+           FROM (SELECT x FROM own UNION SELECT x FROM aim), crc),
+s AS (SELECT b, count(*) AS n FROM own JOIN bucket USING (x) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM aim JOIN bucket USING (x) GROUP BY b),
+total AS (SELECT (SELECT count(*) FROM own) AS s, (SELECT count(*) FROM aim) AS t),
+gain AS (
+  SELECT s.b, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * (total.s + 10000) AS DOUBLE)
+                                   / CAST((s.n + 1) * (total.t + 10000) AS DOUBLE))) AS BIGINT) AS g
+  FROM s LEFT JOIN t USING (b), total),
+weight AS (SELECT r, CAST(sum(g) AS BIGINT) AS weight FROM own JOIN bucket USING (x) JOIN gain USING (b) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((
+           CAST(('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8)) AS BIGINT) + 0.5::DOUBLE)
+           / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM doc LEFT JOIN weight USING (r)),
+place AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS p, count(*) OVER () AS n
+          FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= n * 10 // 100 THEN p END AS rank
+FROM scored LEFT JOIN place USING (r)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op4_source_mixing": OP4_SQL,
     "op10_jump_sharding": OP10_SQL,
+    "op11_target_resampling": OP11_SQL,
 }
