@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelframe.llm.byte_bpe import compile_vocabulary, decode_documents, encode_documents, read_ranks
 from duelframe.llm.chat import format_conversations, read_back
 from duelframe.llm.decontaminate import find_hits
 from duelframe.llm.edits import compare_with_edits
@@ -95,6 +96,15 @@ def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = compile_vocabulary(read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    encoded = encode_documents(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return decode_documents(encoded, vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
@@ -107,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_jump_sharding": op10_jump_sharding,
     "op11_target_resampling": op11_target_resampling,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 # Words: runs of digits, letters and everything beyond ASCII, A-Z lower-cased.
