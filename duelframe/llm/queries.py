@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from duelframe.llm.byte_bpe import compile_vocabulary, decode_documents, encode_documents, read_ranks
 from duelframe.llm.chat import format_conversations, read_back
+from duelframe.llm.conversation_repair import REPORT, damage, digest_turns, repair_conversations
 from duelframe.llm.decontaminate import find_hits
 from duelframe.llm.edits import compare_with_edits
 from duelframe.llm.imatch import build_lexicon
@@ -105,6 +106,19 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    report, repaired = repair_conversations(damage(turns))
+    ids = turns.select("conv_id").distinct()
+    found = report.select(F.col("conv_id").alias("_id"), *REPORT, "audit")
+    digests = digest_turns(repaired).select(F.col("conv_id").alias("_key"), "sha256")
+    return (ids.join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+            .join(digests, F.col("conv_id").eqNullSafe(F.col("_key")), "left")
+            .select("conv_id", *[F.coalesce(F.col(n), F.lit(0).cast("long")).alias(n) for n in REPORT],
+                    F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_token_counts": op2_token_counts,
@@ -118,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jump_sharding": op10_jump_sharding,
     "op11_target_resampling": op11_target_resampling,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 # Words: runs of digits, letters and everything beyond ASCII, A-Z lower-cased.
