@@ -16,9 +16,9 @@ a fixed size and end with the task.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -101,12 +101,15 @@ def compile_vocabulary(ranks: dict[bytes, int]) -> Vocabulary:
 
 class _Store(dict):
     """A memo of at most twice ``most`` entries: when it is full it becomes the older
-    one, of which only what is asked for again is kept."""
+    one, of which only what is asked for again is kept. Keys that ``keep`` refuses are
+    answered and not stored."""
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.older = make, most, {}
+    def __init__(self, make, most: int, keep=None):
+        self.make, self.most, self.keep, self.older = make, most, keep, {}
 
     def __missing__(self, key):
+        if self.keep is not None and not self.keep(key):
+            return self.make(key)
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
@@ -129,37 +132,39 @@ class ByteEncoder:
             if vocabulary.made(n):
                 self.automaton.add_word(token.decode("latin-1"), n)
         self.automaton.make_automaton()
-        self.fits = _Store(lambda pair: vocabulary.compatible(*pair), MAX_PAIRS)
-        self.short = _Store(self.piece_ids, MAX_PIECES)
+        # of two adjacent tokens, by the number first * tokens + second
+        self.fits = _Store(lambda pair: vocabulary.compatible(*divmod(pair, len(vocabulary.tokens))), MAX_PAIRS)
+        self.known = _Store(self.piece_ids, MAX_PIECES, lambda piece: len(piece) <= SHORT)
 
     def merged(self, piece: bytes) -> list[int]:
         """Numbers of the tokens that merging the bytes of ``piece`` leaves."""
-        size, shorter, fits = self.size, self.vocabulary.shorter, self.fits
-        longest = [NONE] * (len(piece) + 1)
+        size, shorter, fits, n = self.size, self.vocabulary.shorter, self.fits, len(piece)
+        longest = [NONE] * (n + 1)
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             longest[end + 1 - size[token]] = token  # ends ascend: the longest match stays
-        alive = bytearray(b"\1") * (len(piece) + 1)
-        out: list[int] = []
-        at, token = 0, longest[0]
-        while at < len(piece):
-            last = out[-1] if out else NONE
-            while token != NONE and not (alive[at + size[token]] and (last == NONE or fits[last, token])):
+        alive = bytearray(b"\1") * (n + 1)
+        tokens, out = len(size), []
+        at, token, last = 0, longest[0], NONE
+        while at < n:
+            while token != NONE and not (alive[at + size[token]] and (last == NONE or fits[last * tokens + token])):
                 token = shorter[token]
             if token != NONE:
                 out.append(token)
                 at += size[token]
-                token = longest[at]
+                token, last = longest[at], token
             else:
                 alive[at] = 0
                 token = out.pop()
                 at -= size[token]
+                last = out[-1] if out else NONE
         return out
 
-    def piece_ids(self, piece: str) -> list[int]:
+    def piece_ids(self, piece: str) -> bytes:
+        """Ids as 32-bit integers."""
         raw, ids = piece.encode(), self.vocabulary.ids
-        if raw in self.whole:  # a token as it stands, whether merges reach it or not
-            return [ids[self.whole[raw]]]
-        return [ids[n] for n in self.merged(raw)]
+        whole = self.whole.get(raw)  # a token as it stands, whether merges reach it or not
+        numbers = self.merged(raw) if whole is None else (whole,)
+        return array("i", [ids[n] for n in numbers]).tobytes()
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The matches of the pattern, in parts. A part is cut out of a long text without
@@ -177,10 +182,8 @@ class ByteEncoder:
         yield self.pattern.findall(text, at)
 
     def encode(self, text: str) -> np.ndarray:
-        short, long = self.short, self.piece_ids
-        parts = [np.fromiter(chain.from_iterable(short[p] if len(p) <= SHORT else long(p) for p in part), np.int32)
-                 for part in self.pieces(text)]
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+        found = self.known.__getitem__
+        return np.frombuffer(b"".join([b"".join(map(found, part)) for part in self.pieces(text)]), np.int32)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:

@@ -41,7 +41,7 @@ def test_parts_and_small_stores_change_nothing(pair, monkeypatch):
     monkeypatch.setattr(B, "CHUNK", 7)
     own, library = pair
     small = B.ByteEncoder(own.vocabulary, P.PATTERN)
-    small.short.most = small.fits.most = 20
+    small.known.most = small.fits.most = 20
     for text in fuzzed(2)[:3000:3]:
         assert small.encode(text).tolist() == library.encode_ordinary(text), text[:80]
 
