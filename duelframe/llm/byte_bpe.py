@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_PIECES, SHORT = 60_000, 32  # pieces of at most SHORT characters whose ids are kept
+MAX_PIECES, SHORT = 150_000, 32  # pieces of at most SHORT characters whose ids are kept
 MAX_PAIRS = 100_000  # answers about adjacent tokens
 CHUNK = 1 << 16  # characters split at once
 ROWS, FLUSH = 100, 1 << 20  # texts taken out of a batch at once; ids (bytes) to a batch
@@ -132,26 +132,36 @@ class ByteEncoder:
             if vocabulary.made(n):
                 self.automaton.add_word(token.decode("latin-1"), n)
         self.automaton.make_automaton()
+        self.number = {t: n for t, n in self.whole.items() if vocabulary.made(n)}
+        self.most = max(self.size)
         # of two adjacent tokens, by the number first * tokens + second
         self.fits = _Store(lambda pair: vocabulary.compatible(*divmod(pair, len(vocabulary.tokens))), MAX_PAIRS)
         self.known = _Store(self.piece_ids, MAX_PIECES, lambda piece: len(piece) <= SHORT)
 
     def merged(self, piece: bytes) -> list[int]:
         """Numbers of the tokens that merging the bytes of ``piece`` leaves."""
-        size, shorter, fits, n = self.size, self.vocabulary.shorter, self.fits, len(piece)
-        longest = [NONE] * (n + 1)
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            longest[end + 1 - size[token]] = token  # ends ascend: the longest match stays
+        size, shorter, fits, n, tokens = self.size, self.vocabulary.shorter, self.fits, len(piece), len(self.size)
+        spelled, reach, number, most = piece.decode("latin-1"), self.automaton.longest_prefix, self.number, self.most
+        out, at, last, token = [], 0, NONE, NONE
+        # the longest matches one after another, as long as they are compatible
+        for end, token in self.automaton.iter_long(spelled):
+            if last != NONE and not fits[last * tokens + token]:
+                break
+            out.append(token)
+            at, last = end + 1, token
+        if at == n:
+            return out
         alive = bytearray(b"\1") * (n + 1)
-        tokens, out = len(size), []
-        at, token, last = 0, longest[0], NONE
         while at < n:
             while token != NONE and not (alive[at + size[token]] and (last == NONE or fits[last * tokens + token])):
                 token = shorter[token]
             if token != NONE:
                 out.append(token)
-                at += size[token]
-                token, last = longest[at], token
+                at, last = at + size[token], token
+                if at < n:  # the longest match here: on the path that the automaton reaches
+                    length = reach(spelled[at:at + most])
+                    while (token := number.get(piece[at:at + length])) is None:
+                        length -= 1
             else:
                 alive[at] = 0
                 token = out.pop()
