@@ -5,8 +5,8 @@ is under ``spark.sql.autoBroadcastJoinThreshold`` is broadcast, anything
 larger goes through a sort-merge join on the equi keys. No join here forces
 a broadcast of data whose size grows with the input.
 
-Validity intervals are joined on their equi keys with the range as a
-residual condition: rows are never exploded into one row per day.
+Validity intervals are joined by union and carry (``asof``): no range condition between
+the sides, no explode of intervals into days.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelframe.operators.asof import asof_join
+from duelframe.operators.hot import Cuts
+
 
 def _on(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
         right_keys: Sequence[str]) -> Column:
@@ -55,22 +58,16 @@ def dim_lookup(df: DataFrame, dim: DataFrame, left_keys: Sequence[str],
 
 def interval_join(df: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str,
                   start: str, end: str, how: str = "inner",
-                  interval_keys: Sequence[str] | None = None) -> DataFrame:
+                  interval_keys: Sequence[str] | None = None, cuts: Cuts | None = None) -> DataFrame:
     """Rows of ``df`` matched with every interval of the same key that
-    contains ``point`` (``start <= point <= end``).
+    contains ``point`` (``start <= point <= end``), by ``asof_join``.
 
     ``inner``: rows without a covering interval drop out and overlapping
     intervals duplicate a row (a left join followed by a range filter
     behaves exactly so). ``left``: uncovered rows are kept with nulls.
     ``left_semi``: keep covered rows once, no interval columns.
     """
-    ik = list(interval_keys or keys)
-    alias = [f"_ik{i}" for i in range(len(ik))]
-    iv = intervals.select(*[F.col(k).alias(a) for k, a in zip(ik, alias)],
-                          *[c for c in intervals.columns if c not in ik])
-    cond = _on(df, iv, keys, alias) & (iv[start] <= df[point]) & (df[point] <= iv[end])
-    out = df.join(iv, cond, how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*alias)
+    return asof_join(df, intervals, keys, point, start, end, how, interval_keys, cuts=cuts)
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:

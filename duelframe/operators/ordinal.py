@@ -3,7 +3,7 @@
 ``ROW_NUMBER() OVER (PARTITION BY g ORDER BY k)`` sorts each group in a
 single task. When a group holds a large share of the data (five event
 types for a whole event log) that task is the job. Here a hot group's order
-is cut into slices at quantiles of the data (``hot``):
+is cut into slices between rows of the data (``hot``):
 
 1. local position: ``row_number`` over ``(g, slice)`` - each sort is one slice;
 2. sizes of hot groups' slices: ``count`` with map-side partial aggregation;
@@ -20,40 +20,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.operators.hot import hot_cuts, sliced
+from duelframe.operators.hot import Cuts, lazy_cuts, sliced
 from duelframe.operators.keys import nonnull_keys
 
 
-def time_axis(ts: str | Column, wall_clock: bool = True) -> Column:
-    """Seconds of a timestamp with their fraction, as a double.
+def _cut_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], cuts: Cuts | None
+              ) -> tuple[DataFrame, list[str], bool]:
+    """Rows with their slices, the columns that tell groups apart, whether any is cut."""
+    cuts = lazy_cuts(df, group, order) if cuts is None else cuts
+    base, keys = nonnull_keys(df, group)
+    return (base, keys, False) if cuts.table is None else (sliced(base, keys, order, cuts), keys, True)
 
-    ``wall_clock=True`` (for ``TIMESTAMP_NTZ``) counts from the date and time
-    fields, independent of the session time zone - a cast to a zoned timestamp
-    would map daylight-saving gaps out of order. ``False`` (for zoned
-    ``TIMESTAMP``) uses the instant itself."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    if wall_clock:
-        return (F.unix_date(F.to_date(c)).cast("double") * 86400 + F.hour(c) * 3600
-                + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double"))
-    return F.unix_micros(c) / 1_000_000
 
-
-def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                   along: Column, name: str = "ordinal") -> DataFrame:
-    """Add ``name``: 0-based position of the row in its group under ``order``.
-
-    ``along`` is a number that never falls along ``order`` within a group. ``group``
-    may be empty (one global order)."""
-    base, ik = nonnull_keys(df, group)
-    cuts = hot_cuts(base, ik, along)
-    d = sliced(base, ik, along, cuts)
-    hot = sliced(base, ik, along, cuts, hot_only=True)
+def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "ordinal",
+                   cuts: Cuts | None = None) -> DataFrame:
+    """Add ``name``: 0-based position of the row in its group under ``order``. ``group`` may
+    be empty (one global order). ``cuts``: what ``find_cuts`` found for this group and
+    order, by default looked for in the plan."""
+    d, ik, cut = _cut_rows(df, group, order, cuts)
+    if not cut:
+        return d.withColumn(name, (F.row_number().over(Window.partitionBy(*ik).orderBy(*order)) - 1).cast("bigint")).select(
+            *df.columns, name)
     w_local = Window.partitionBy(*ik, "_sl").orderBy(*order)
     local = d.withColumn("_local", F.row_number().over(w_local) - 1)
-    sizes = hot.groupBy(*ik, "_sl").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = d.where("_hot").groupBy(*ik, "_sl").agg(F.count(F.lit(1)).alias("_n"))
     # the offset window runs over the slice-size table (one row per slice)
     w_off = Window.partitionBy(*ik).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*ik, "_sl", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
@@ -62,8 +55,8 @@ def ordinal_within(df: DataFrame, group: Sequence[str], order: Sequence[str],
             .select(*df.columns, name))
 
 
-def pair_consecutive(df: DataFrame, group: Sequence[str], order: Sequence[str],
-                     along: Column, cols: Sequence[str]) -> DataFrame:
+def pair_consecutive(df: DataFrame, group: Sequence[str], order: Sequence[str], cols: Sequence[str],
+                     cuts: Cuts | None = None) -> DataFrame:
     """Pair positions (0, 1), (2, 3), ... of each group under ``order``:
     one row per pair with ``a_<c>`` / ``b_<c>`` for every column in
     ``cols``; a trailing unpaired row is dropped.
@@ -75,13 +68,16 @@ def pair_consecutive(df: DataFrame, group: Sequence[str], order: Sequence[str],
     summary (``min_by`` / ``max_by`` with map-side partial aggregation), so
     those pairs are formed from a table with one row per slice.
     """
-    base, ik = nonnull_keys(df, group)
-    cuts = hot_cuts(base, ik, along)
-    d = sliced(base, ik, along, cuts)
-    hot = sliced(base, ik, along, cuts, hot_only=True)
+    d, ik, cut = _cut_rows(df, group, order, cuts)
+    if not cut:
+        w = Window.partitionBy(*ik).orderBy(*order)
+        numbered = d.select(*group, *cols, F.row_number().over(w).alias("_local"),
+                            *[F.lead(c, 1).over(w).alias(f"_b_{c}") for c in cols], F.lead(F.lit(1), 1).over(w).alias("_has_b"))
+        return numbered.where((F.col("_local") % 2 == 1) & F.col("_has_b").isNotNull()).select(
+            *group, *[F.col(c).alias(f"a_{c}") for c in cols], *[F.col(f"_b_{c}").alias(f"b_{c}") for c in cols])
     row = F.struct(*[F.col(c) for c in cols])
     key = F.struct(*[F.col(c) for c in order])
-    sizes = hot.groupBy(*ik, *group, "_sl").agg(F.count(F.lit(1)).alias("_n"),
+    sizes = d.where("_hot").groupBy(*ik, *group, "_sl").agg(F.count(F.lit(1)).alias("_n"),
                                                 F.min_by(row, key).alias("_first"),
                                                 F.max_by(row, key).alias("_last"))
     w_s = Window.partitionBy(*ik).orderBy("_sl")

@@ -19,6 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.operators.asof import asof_join
+from duelframe.operators.hot import Cuts
+
 OPEN_END = 200  # of the sports season; a column of the start for other calendars
 
 
@@ -59,15 +62,14 @@ def ranked_periods(ranks: DataFrame, season: str, day: str, scope: str = "season
 
 
 def active_rank(games: DataFrame, ranked: DataFrame, season: str, team: str, day: str,
-                rank_col: str, out: str, ranked_team: str = "team_id") -> DataFrame:
-    """Left-join the rank whose period covers the game day. Equi keys
-    (season, team) make this a hash / sort-merge join with the day range
-    as residual predicate - no explode of periods into days. A team absent
-    from the active list gets null even if an older list had it.
-    ``team`` names the game-side id (own or opponent), ``ranked_team`` the
-    id column of ``ranked``."""
-    r = ranked.select(F.col(season).alias("_s"), F.col(ranked_team).alias("_t"),
-                      "period_start", "period_end", F.col(rank_col).alias(out))
-    cond = ((games[season] == r["_s"]) & (games[team] == r["_t"])
-            & (r["period_start"] <= games[day]) & (games[day] <= r["period_end"]))
-    return games.join(r, cond, "left").drop("_s", "_t", "period_start", "period_end")
+                rank_col: str, out: str, ranked_team: str = "team_id", cuts: Cuts | None = None) -> DataFrame:
+    """The rank whose period covers the game day, null without one. The periods of a
+    season's lists do not overlap, so the rank is carried along (season, team) from each
+    list to the games (``asof_join``). A team absent from the active list gets null even
+    if an older list had it: its period has ended. ``team`` names the game-side id (own or
+    opponent), ``ranked_team`` the id column of ``ranked``; ``cuts``: ``stream_cuts`` of the
+    games by (season, team) and day."""
+    r = ranked.select(F.col(season).alias("_s0"), F.col(ranked_team).alias("_t0"), F.col("period_start").alias("_from"),
+                      F.col("period_end").alias("_to"), F.col(rank_col).alias(out))
+    return asof_join(games, r, [season, team], day, "_from", "_to", "left", ["_s0", "_t0"], disjoint=True,
+                     cuts=cuts).drop("_from", "_to")

@@ -1,9 +1,9 @@
 """Entity windows that stay parallel when one entity holds most of the rows.
 
-Windows run per ``(entity, slice)``; see ``hot`` for what a slice is. All rows of
-an entity that is not hot are slice 0, so for them this is the plain window with
-one Exchange. What a row of a hot entity needs from other slices comes from two
-tables over hot entities alone:
+Without hot entities this is the plain window, one Exchange. With some, windows run per
+``(entity, slice)``; see ``hot`` for what a slice is. All rows of any other entity are
+slice 0. What a row of a hot entity needs from other slices comes from two tables over
+hot entities alone:
 
 * the **slice summary** (one row per slice: sums, counts, extremes, last and
   first non-null values, row count) accumulated over earlier / later slices with
@@ -12,11 +12,12 @@ tables over hot entities alone:
 * the **carry table**: the last ``n`` rows of every slice, taken with a partial
   ``WindowGroupLimit`` (at most ``n`` rows per slice and map task cross the
   shuffle), positioned inside the entity and matched to the slice they precede -
-  for last-``n`` frames and ``lag``. A hot entity has ``HOT_ROWS / SLICES``
-  thousands of rows to a slice, so the carried rows are a small part of them.
+  for last-``n`` frames and ``lag``. A slice has hundreds of thousands of rows,
+  so the carried rows are a small part of them.
 
-The full data is shuffled once, by ``(entity, slice)``; both helper tables join
-back on that key. No job runs while the plan is built.
+The full data is shuffled once, by ``(entity, slice)``; both helper tables join back on
+that key. With cuts that were found beforehand the rows are written once with their
+slices, and the three readings are of that table.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.operators.hot import hot_cuts, sliced
+from duelframe.operators.hot import Cuts, lazy_cuts, sliced
 from duelframe.operators.keys import nonnull_keys
 
 UP, UF, CUR = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
@@ -59,34 +60,20 @@ def _combine_sum(a: Column, b: Column) -> Column:
         F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
 
 
-def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
-                  along: Column, feats: Sequence[Feat], source: DataFrame | None = None) -> DataFrame:
-    """Add ``feats`` over the rows of ``entity`` in ``order``. ``along`` is a number that
-    never falls along ``order``; hot entities are cut by it. They are looked for in
-    ``source``, a table of ``entity`` and ``along`` columns that is cheaper than ``df`` and
-    has about as many rows of each entity; by default in ``df`` itself."""
-    table, _ = nonnull_keys(df if source is None else source, entity)
-    base, entity = nonnull_keys(df, entity)
-    cuts = hot_cuts(table, entity, along if source is None else F.col("along"))
-    sl = ["_sl"]
-    d = sliced(base, entity, along, cuts)
-    hot = sliced(base, entity, along, cuts, hot_only=True)
-    keys = [*entity, *sl]
+def _helpers(hot: DataFrame, entity: list[str], order: list[str], w, broken, feats: Sequence[Feat]
+             ) -> tuple[DataFrame, DataFrame | None]:
+    """Of every slice of a hot entity: what the slices before and after it add up to, and
+    what the rows just before it do."""
+    keys, sl = [*entity, "_sl"], ["_sl"]
     okey = F.struct(*[F.col(c) for c in order])
-
     expanding = [f for f in feats if f.kind in EXPANDING and f.n is None]
     rolling = [f for f in feats if f.kind in ("sum", "mean", "count") and f.n is not None]
     lags = [f for f in feats if f.kind == "lag"]
     ffills = [f for f in feats if f.kind == "ffill"]
     bfills = [f for f in feats if f.kind == "bfill"]
     runs = [f for f in feats if f.kind == "run"]
-    w = Window.partitionBy(*keys).orderBy(*order)
-
-    def broken(c: str) -> Column:
-        """Position of the row in its slice if it ends a run of ``c``."""
-        return F.when(F.coalesce(F.col(c) != 1, F.lit(True)), F.col("_k") + 1)
 
-    # ---- slice summary and its accumulation over earlier / later slices
+    # slice summary and its accumulation over earlier / later slices
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in sorted({f.col for f in expanding if f.kind in ("sum", "mean", "count")}):
         aggs += [F.sum(c).alias(f"_sum_{c}"), F.count(c).alias(f"_cnt_{c}")]
@@ -119,13 +106,13 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
             acc.append(F.last(name, ignorenulls=True).over(before).alias("_o" + name))
         elif name.startswith("_first_"):
             acc.append(F.first(name, ignorenulls=True).over(after).alias("_o" + name))
-    cut = [f"_brk_{f.col}" for f in runs]
-    if cut:  # positions in the entity: of the rows before a slice, and of the last break before it
+    breaks = [f"_brk_{f.col}" for f in runs]
+    if breaks:  # positions in the entity: of the rows before a slice, and of the last break before it
         summary = summary.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        acc += [F.max(F.col("_base") + F.col(c)).over(before).alias("_o" + c) for c in set(cut)]
+        acc += [F.max(F.col("_base") + F.col(c)).over(before).alias("_o" + c) for c in set(breaks)]
     offsets = summary.select(*keys, *acc)
 
-    # ---- carry table: the rows just before each slice
+    # carry table: the rows just before each slice
     carry = None
     n_max = max([f.n for f in rolling] + ([1] if lags else []), default=0)
     carry_cols = sorted({f.col for f in rolling + lags})
@@ -148,6 +135,30 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
         for c in sorted({f.col for f in lags}):
             caggs.append(F.max_by(F.col(c), F.when(F.col("_dist") == 1, F.lit(1))).alias(f"_clag_{c}"))
         carry = matched.groupBy(*keys).agg(*caggs)
+    return offsets, carry
+
+
+def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str], feats: Sequence[Feat],
+                  cuts: Cuts | None = None) -> DataFrame:
+    """Add ``feats`` over the rows of ``entity`` in ``order``. ``cuts``: what ``find_cuts``
+    found for this entity and order, by default looked for in the plan."""
+    entity, order = list(entity), list(order)
+    cuts = lazy_cuts(df, entity, order) if cuts is None else cuts
+    cut = cuts.table is not None
+    if cut:
+        base, entity = nonnull_keys(df, entity)
+        d = sliced(base, entity, order, cuts)
+        hot, sl = d.where("_hot"), ["_sl"]
+    else:
+        d, hot, sl = df, None, []
+    keys = [*entity, *sl]
+    w = Window.partitionBy(*keys).orderBy(*order)
+
+    def broken(c: str) -> Column:
+        """Position of the row in its slice if it ends a run of ``c``."""
+        return F.when(F.coalesce(F.col(c) != 1, F.lit(True)), F.col("_k") + 1)
+
+    offsets, carry = _helpers(hot, entity, order, w, broken, feats) if cut else (None, None)
 
     # ---- one window pass per (entity, slice)
     d = d.withColumn("_k", F.row_number().over(w) - 1)
@@ -173,9 +184,16 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
             loc[f"_lf_{f.name}"] = F.lag(c, 1).over(w)
         elif f.kind == "run":
             loc[f"_lb_{f.name}"] = F.max(broken(c)).over(w.rowsBetween(UP, CUR if cur else -1))
-    out = d.withColumns(loc).join(offsets, keys, "left")
-    if carry is not None:
-        out = out.join(carry, keys, "left")
+    out = d.withColumns(loc)
+    for table in (offsets, carry):
+        if table is not None:
+            out = out.join(table, keys, "left")
+
+    have = set(out.columns)
+
+    def other(name: str) -> Column:
+        """What the other slices of the row's entity add."""
+        return F.col(name) if name in have else F.lit(None)
 
     k = F.col("_k")
     final = {}
@@ -184,35 +202,35 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str],
         if f.kind in EXPANDING and f.n is None:
             if f.kind in ("min", "max"):
                 pick = F.least if f.kind == "min" else F.greatest
-                final[nm] = pick(F.col(f"_lm_{nm}"), F.col(f"_o_{f.kind}_{c}"))
+                final[nm] = pick(F.col(f"_lm_{nm}"), F.col(f"_o_{f.kind}_{c}")) if cut else F.col(f"_lm_{nm}")
                 continue
-            s = _combine_sum(F.col(f"_ls_{nm}"), F.col(f"_o_sum_{c}"))
-            n = F.col(f"_lc_{nm}") + F.coalesce(F.col(f"_o_cnt_{c}"), F.lit(0))
+            s = _combine_sum(F.col(f"_ls_{nm}"), F.col(f"_o_sum_{c}")) if cut else F.col(f"_ls_{nm}")
+            n = F.col(f"_lc_{nm}") + F.coalesce(other(f"_o_cnt_{c}"), F.lit(0))
             final[nm] = {"sum": s, "count": n,
                          "mean": F.when(n > 0, s / n)}[f.kind]
         elif f.n is not None:
             j = F.greatest(F.lit(f.n) - (k + 1 if f.include_current else k), F.lit(0))
             has = j > 0
-            cs = F.when(has, F.element_at(F.col(f"_csum_{c}"), j.cast("int")))
-            cc = F.when(has, F.element_at(F.col(f"_ccnt_{c}"), j.cast("int")))
-            s = _combine_sum(F.col(f"_ls_{nm}"), cs)
-            n = F.col(f"_lc_{nm}") + F.coalesce(cc, F.lit(0))
+            s, n = F.col(f"_ls_{nm}"), F.col(f"_lc_{nm}")
+            if cut:
+                s = _combine_sum(s, F.when(has, F.element_at(F.col(f"_csum_{c}"), j.cast("int"))))
+                n = n + F.coalesce(F.when(has, F.element_at(F.col(f"_ccnt_{c}"), j.cast("int"))), F.lit(0))
             full = n == f.n
             final[nm] = {"sum": F.when(full, s), "count": n,
                          "mean": F.when(full, s / f.n)}[f.kind]
         elif f.kind == "ffill":
-            final[nm] = F.coalesce(F.col(f"_lf_{nm}"), F.col(f"_o_last_{c}"))
+            final[nm] = F.coalesce(F.col(f"_lf_{nm}"), other(f"_o_last_{c}"))
         elif f.kind == "bfill":
-            final[nm] = F.coalesce(F.col(f"_lf_{nm}"), F.col(f"_o_first_{c}"))
+            final[nm] = F.coalesce(F.col(f"_lf_{nm}"), other(f"_o_first_{c}"))
         elif f.kind == "lag":
-            final[nm] = F.when(k > 0, F.col(f"_lf_{nm}")).otherwise(F.col(f"_clag_{c}"))
+            final[nm] = F.when(k > 0, F.col(f"_lf_{nm}")).otherwise(other(f"_clag_{c}"))
         elif f.kind == "run":
-            base = F.coalesce(F.col("_o_rows"), F.lit(0))
-            last = F.coalesce(base + F.col(f"_lb_{nm}"), F.col(f"_o_brk_{c}"), F.lit(0))
+            base = F.coalesce(other("_o_rows"), F.lit(0))
+            last = F.coalesce(base + F.col(f"_lb_{nm}"), other(f"_o_brk_{c}"), F.lit(0))
             final[nm] = (base + k + (1 if f.include_current else 0) - last).cast("bigint")
         elif f.kind == "rownum":
-            final[nm] = (k + 1 + F.coalesce(F.col("_o_rows"), F.lit(0))).cast("bigint")
+            final[nm] = (k + 1 + F.coalesce(other("_o_rows"), F.lit(0))).cast("bigint")
         else:
             raise ValueError(f"unsupported feature {f}")
-    helper = [x for x in out.columns if x.startswith("_") and x not in df.columns]
+    helper = sorted(x for x in have.difference(df.columns) if x.startswith("_"))
     return out.withColumns(final).drop(*helper)

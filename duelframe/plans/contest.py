@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.operators.mirror import mirror
-from duelframe.operators.ordinal import ordinal_within, pair_consecutive, time_axis
+from duelframe.operators.hot import Cuts, find_cuts, hot_rows
+from duelframe.operators.ordinal import ordinal_within, pair_consecutive
 
 # Fixed values of the contest view.
 LOCATION_BY_KEY_MOD5 = {0: "N", 4: "A"}  # any other remainder: "H"
@@ -35,9 +36,8 @@ def day_index(ts: str) -> F.Column:
 
 def contest(events: DataFrame) -> DataFrame:
     ev = events.select("event_type", "ts", "event_id", "user_id", "value")
-    ntz = dict(ev.dtypes)["ts"] == "timestamp_ntz"
-    pairs = pair_consecutive(ev, ["event_type"], ["ts", "event_id"], time_axis("ts", ntz),
-                             ["user_id", "value", "event_id", "ts"])
+    group, order = ["event_type"], ["ts", "event_id"]
+    pairs = pair_consecutive(ev, group, order, ["user_id", "value", "event_id", "ts"], find_cuts(ev, group, order))
     a_wins = F.col("a_value") > F.col("b_value")
     key = F.col("b_event_id")
     loc = (F.when(key % 5 == 0, F.lit(LOCATION_BY_KEY_MOD5[0]))
@@ -98,7 +98,10 @@ def publication(events: DataFrame) -> DataFrame:
         "league", "team_id", (-F.round("total", 2)).alias("_down"),
         F.explode(F.sequence(F.col("week") + 1, upto)).alias("_no"))
     lists = lists.withColumn("pub_day", (F.col("_no") * WEEK).cast("bigint"))
-    ranked = ordinal_within(lists, ["league", "pub_day"], ["_down", "team_id"], F.col("_down"), "ordinal")
+    # a league's last list has all its teams, and no list has more
+    teams = events.select("event_type", "user_id").distinct().groupBy("event_type").count().agg(F.max("count")).first()[0]
+    short = (teams or 0) <= hot_rows(events.sparkSession)
+    ranked = ordinal_within(lists, ["league", "pub_day"], ["_down", "team_id"], "ordinal", Cuts(None) if short else None)
     return ranked.select("league", "pub_day", "team_id", (F.col("ordinal") + 1).alias("ordinal"))
 
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions.scalar import fill_numeric, rounded
 from duelframe.operators.pairing import pair_sides
+from duelframe.operators.hot import Cuts, find_cuts
 from duelframe.operators.sliced import Feat, sliced_window
 from duelframe.plans.contest import day_index
 
@@ -26,22 +27,16 @@ ORDER = ("day_num", "game_key")
 GAME = ("league", "game_key", "day_num")
 
 
-def team_axis() -> Column:
-    """A number that runs along a team's games: the day, then the game key."""
-    return F.col("day_num") * 1e12 + F.col("game_key")
+def team_cuts(events: DataFrame) -> Cuts:
+    """Cuts of busy teams: every game takes one of a team's events."""
+    return find_cuts(events.select(F.col("event_type").alias("league"), F.col("user_id").alias("team_id"),
+                                   day_index("ts").alias("day_num"), F.col("event_id").alias("game_key")), ENTITY, ORDER)
 
 
-def team_source(events: DataFrame) -> DataFrame:
-    """Where to look for busy teams: every game takes one of a team's events."""
-    return events.select(F.col("event_type").alias("league"), F.col("user_id").alias("team_id"),
-                         (day_index("ts") * 1e12 + F.col("event_id")).alias("along"))
-
-
-def team_window(tg: DataFrame, feats: Sequence[Feat], events: DataFrame | None = None) -> DataFrame:
+def team_window(tg: DataFrame, feats: Sequence[Feat], cuts: Cuts | None = None) -> DataFrame:
     """Team-sequence features; a team with a huge share of the games is spread over
-    many tasks. Busy teams are looked for in ``events``, by default in ``tg``."""
-    source = None if events is None else team_source(events)
-    return sliced_window(tg, list(ENTITY), list(ORDER), team_axis(), feats, source)
+    many tasks. ``cuts``: of busy teams (``team_cuts``), by default looked for in ``tg``."""
+    return sliced_window(tg, ENTITY, ORDER, feats, cuts)
 
 
 def contest_feats(include_current: bool = False, n: int = LAST_N) -> list[Feat]:
@@ -55,18 +50,18 @@ def contest_feats(include_current: bool = False, n: int = LAST_N) -> list[Feat]:
             Feat("allowed_mean_last5", "mean", "allowed", n, cur)]
 
 
-def team_features(tg: DataFrame, include_current: bool = False, events: DataFrame | None = None) -> DataFrame:
+def team_features(tg: DataFrame, include_current: bool = False, cuts: Cuts | None = None) -> DataFrame:
     base = tg.select("league", "game_key", "day_num", "team_id", "loc", "win", "points", "allowed")
     feats = contest_feats(include_current) + [Feat("game_number", "rownum")]
-    return team_window(base, feats, events).drop("points", "allowed")
+    return team_window(base, feats, cuts).drop("points", "allowed")
 
 
 def game_features(tg: DataFrame, warmup: int = WARMUP_GAMES, places: int | None = 6,
-                  events: DataFrame | None = None) -> DataFrame:
+                  cuts: Cuts | None = None) -> DataFrame:
     """Flagship: pre-game features of both sides of every game in which
     both teams are past their warm-up games; one row per game, side A =
     away team (or first id on a neutral court), label ``win_A``."""
-    feats = team_features(tg, events=events).where(F.col("game_number") > warmup)
+    feats = team_features(tg, cuts=cuts).where(F.col("game_number") > warmup)
     feats = fill_numeric(feats, 0)
     if places is not None:
         feats = feats.withColumns({c: rounded(c, places) for c in

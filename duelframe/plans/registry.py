@@ -18,16 +18,19 @@ from duelframe.functions.scalar import (code_number, day_range, fill_constants,
                                         fill_numeric, flag, half_open, in_set_flag, nan_ratio,
                                         rounded, safe_ratio)
 from duelframe.operators import sequence as seq
+from duelframe.operators.asof import stream_cuts
 from duelframe.operators.joins import band_lookup, dim_lookup, interval_join, mark_join
 from duelframe.operators.mirror import mirror_compact
-from duelframe.operators.ordinal import ordinal_within, pair_consecutive, time_axis
+from duelframe.operators.hot import Cuts, find_cuts
+from duelframe.operators.ordinal import ordinal_within, pair_consecutive
 from duelframe.operators.pairing import assign_sides, pair_sides_join
 from duelframe.operators.ranks import active_rank, rank_periods, ranked_periods
 from duelframe.operators.split import recency_weight, stratified_split
 from duelframe.operators.stats import brier_score, exact_medians, global_min_max, mean_std
 from duelframe.plans import contest as C
 from duelframe.operators.sliced import Feat, sliced_window
-from duelframe.plans.features import game_features, team_axis, team_window
+from duelframe.operators.written import written
+from duelframe.plans.features import game_features, team_cuts, team_window
 from duelframe.plans.oracle_views import (ACTIVE_RANK, CONF, GAME_VIEWS, PERIODS_FILE,
                                           PERIODS_SEASON, PUBLICATION, RANKED, TEAM_VIEWS,
                                           TENURE, with_views)
@@ -58,6 +61,17 @@ def _events(spark, sf) -> DataFrame:
     return Tables(spark, sf).events
 
 
+def _cuts(spark, sf) -> Cuts:
+    return team_cuts(Tables(spark, sf).events)
+
+
+def _day_cuts(spark, sf, *keys: str) -> Cuts:
+    """Busy teams' cuts for joins of their games by day."""
+    rows = Tables(spark, sf).events.select(F.col("event_type").alias("league"), F.col("user_id").alias("team_id"),
+                                           C.day_index("ts").alias("day_num"), "event_id")
+    return stream_cuts(rows.select(*keys, "day_num", "event_id"), keys, "day_num")
+
+
 def _team_games(spark, sf) -> DataFrame:
     return C.team_game(C.contest(Tables(spark, sf).events))
 
@@ -183,7 +197,7 @@ def suffix_rename_pair(spark, sf):
     non-key column suffixed by its side (positions 0-1, 2-3, ...)."""
     s = Tables(spark, sf).supplier.select("s_nationkey", "s_suppkey", "s_name", "s_acctbal")
     cols = ["s_suppkey", "s_name", "s_acctbal"]
-    p = pair_consecutive(s, ["s_nationkey"], ["s_suppkey"], F.col("s_suppkey"), cols)
+    p = pair_consecutive(s, ["s_nationkey"], ["s_suppkey"], cols, find_cuts(s, ["s_nationkey"], ["s_suppkey"]))
     return p.select("s_nationkey", *[F.col(f"a_{c}").alias(f"{c}_A") for c in cols],
                     *[F.col(f"b_{c}").alias(f"{c}_B") for c in cols])
 
@@ -252,7 +266,7 @@ def interval_join_tenure(spark, sf):
     ev = Tables(spark, sf).events
     tg = C.team_game(C.contest(ev)).select("league", "game_key", "team_id", "day_num")
     return interval_join(tg, C.tenure(ev), ["team_id"], "day_num", "first_day", "last_day",
-                         "inner").select("league", "game_key", "team_id", "day_num", "manager")
+                         "inner", cuts=_day_cuts(spark, sf, "team_id")).select("league", "game_key", "team_id", "day_num", "manager")
 
 
 @register("interval_semi_join", with_views(*TEAM_VIEWS, TENURE, body="""
@@ -261,7 +275,7 @@ SELECT * FROM team_game t WHERE EXISTS (
 def interval_semi_join(spark, sf):
     ev = Tables(spark, sf).events
     return interval_join(C.team_game(C.contest(ev)), C.tenure(ev), ["team_id"], "day_num",
-                         "first_day", "last_day", "left_semi")
+                         "first_day", "last_day", "left_semi", cuts=_day_cuts(spark, sf, "team_id"))
 
 
 NEUTRAL_WINS = """tw AS (
@@ -270,11 +284,11 @@ NEUTRAL_WINS = """tw AS (
   FROM team_game WHERE loc = 'N')"""
 
 
-def _neutral_wins(tg: DataFrame, events: DataFrame) -> DataFrame:
+def _neutral_wins(tg: DataFrame, cuts: Cuts) -> DataFrame:
     """Sparse fact: wins coming in, counted over neutral-site games only
     (the "tournament" games)."""
     n = tg.where(F.col("loc") == "N").select(*ENTITY, *ORDER, "win")
-    w = team_window(n, [Feat("wins_in", "sum", "win")], events)
+    w = team_window(n, [Feat("wins_in", "sum", "win")], cuts)
     return w.select(*ENTITY, *ORDER, F.coalesce("wins_in", F.lit(0)).cast("bigint").alias("wins_in"))
 
 
@@ -284,7 +298,7 @@ FROM team_game t LEFT JOIN tw ON t.league = tw.league AND t.team_id = tw.team_id
  AND t.day_num = tw.day_num AND t.game_key = tw.game_key"""))
 def sparse_fact_left_join(spark, sf):
     tg = _team_games(spark, sf)
-    return (tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg, _events(spark, sf)), [*ENTITY, *ORDER], "left")
+    return (tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg, _cuts(spark, sf)), [*ENTITY, *ORDER], "left")
               .select("league", "game_key", "team_id", "day_num", "wins_in"))
 
 
@@ -301,10 +315,10 @@ FROM f"""))
 def wins_coming_in_filled(spark, sf):
     """Sparse wins, forward-filled along the team's games, then
     back-filled from its next neutral game, then 0."""
-    tg = _team_games(spark, sf)
-    j = tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg, _events(spark, sf)), [*ENTITY, *ORDER], "left")
+    tg, cuts = _team_games(spark, sf), _cuts(spark, sf)
+    j = tg.select(*ENTITY, *ORDER).join(_neutral_wins(tg, cuts), [*ENTITY, *ORDER], "left")
     # a back fill after the forward fill only sees the rows before the first value
-    b = team_window(j, [Feat("ff", "ffill", "wins_in"), Feat("bf", "bfill", "wins_in")], _events(spark, sf))
+    b = team_window(j, [Feat("ff", "ffill", "wins_in"), Feat("bf", "bfill", "wins_in")], cuts)
     return b.select("league", "game_key", "team_id", "day_num",
                     F.coalesce("ff", "bf", F.lit(0).cast("bigint")).alias("wins_in"))
 
@@ -337,7 +351,8 @@ def _active(spark, sf, scope: str) -> DataFrame:
     ev = Tables(spark, sf).events
     tg = C.team_game(C.contest(ev)).select("league", "game_key", "team_id", "day_num")
     ranked = _ranked(spark, sf, scope)
-    return active_rank(tg, ranked, "league", "team_id", "day_num", "ordinal", "ordinal")
+    return active_rank(tg, ranked, "league", "team_id", "day_num", "ordinal", "ordinal",
+                       cuts=_day_cuts(spark, sf, "league", "team_id"))
 
 
 @register("rank_asof_range_join", with_views(*TEAM_VIEWS, PUBLICATION, PERIODS_SEASON, RANKED, ACTIVE_RANK,
@@ -371,7 +386,7 @@ SELECT league, game_key, team_id, COALESCE(ordinal, 9999) AS active_rank,
          AS season_best
 FROM active"""))
 def season_best_rank(spark, sf):
-    a = team_window(_active(spark, sf, "season"), [Feat("best", "min", "ordinal", None, True)], _events(spark, sf))
+    a = team_window(_active(spark, sf, "season"), [Feat("best", "min", "ordinal", None, True)], _cuts(spark, sf))
     return a.select("league", "game_key", "team_id",
                     F.coalesce("ordinal", F.lit(9999).cast("bigint")).alias("active_rank"),
                     F.coalesce("best", F.lit(9999).cast("bigint")).alias("season_best"))
@@ -501,7 +516,7 @@ SELECT league, game_key, team_id,
          AS win_pct_prior
 FROM team_game"""))
 def expanding_win_pct(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win")], _events(spark, sf))
+    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win")], _cuts(spark, sf))
     return tg.select("league", "game_key", "team_id", rounded("pct").alias("win_pct_prior"))
 
 
@@ -512,14 +527,14 @@ SELECT league, game_key, team_id,
          AS win_pct_last5
 FROM team_game"""))
 def rolling5_win_pct(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win", 5)], _events(spark, sf))
+    tg = team_window(_team_games(spark, sf), [Feat("pct", "mean", "win", 5)], _cuts(spark, sf))
     return tg.select("league", "game_key", "team_id", rounded("pct").alias("win_pct_last5"))
 
 
 def _means(spark, sf, include_current: bool, n: int | None):
     tg = team_window(_team_games(spark, sf), [Feat("p", "mean", "points", n, include_current),
                                                Feat("a", "mean", "allowed", n, include_current)],
-                     _events(spark, sf))
+                     _cuts(spark, sf))
     return tg.select("league", "game_key", "team_id", rounded("p").alias("points_mean"),
                      rounded("a").alias("allowed_mean"))
 
@@ -562,8 +577,8 @@ def _user_fill(spark, sf, kind: str, name: str) -> DataFrame:
     """Purchase value carried along a user's events."""
     ev = Tables(spark, sf).events.select(
         "event_id", "user_id", "ts", F.when(F.col("event_type") == "purchase", F.col("value")).alias("pv"))
-    out = sliced_window(ev, ["user_id"], ["ts", "event_id"], time_axis("ts", dict(ev.dtypes)["ts"] == "timestamp_ntz"),
-                        [Feat(name, kind, "pv")])
+    entity, order = ["user_id"], ["ts", "event_id"]
+    out = sliced_window(ev, entity, order, [Feat(name, kind, "pv")], find_cuts(ev, entity, order))
     return out.select("event_id", "user_id", name)
 
 
@@ -587,7 +602,7 @@ def backward_fill(spark, sf):
 SELECT league, game_key, team_id,
        CAST(SUM(win) OVER {INCL} - win AS BIGINT) AS wins_before FROM team_game"""))
 def exclusive_running_wins(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("w", "sum", "win")], _events(spark, sf))
+    tg = team_window(_team_games(spark, sf), [Feat("w", "sum", "win")], _cuts(spark, sf))
     return tg.select("league", "game_key", "team_id",
                      F.coalesce("w", F.lit(0)).cast("bigint").alias("wins_before"))
 
@@ -623,7 +638,10 @@ def surrogate_key(spark, sf):
     g = C.contest(Tables(spark, sf).events).select("league", "game_key", "day_num")
     sizes = g.groupBy("league").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("league", (F.sum("_n").over(Window.orderBy("league")) - F.col("_n")).alias("_before"))
-    inside = ordinal_within(g, ["league"], ["day_num", "game_key"], team_axis(), "_pos")
+    events = Tables(spark, sf).events
+    cuts = find_cuts(events.select(F.col("event_type").alias("league"), C.day_index("ts").alias("day_num"),
+                                   F.col("event_id").alias("game_key")), ["league"], ORDER)
+    inside = ordinal_within(g, ["league"], ORDER, "_pos", cuts)
     return inside.join(before, "league").select("league", "game_key", "day_num",
                                                 (F.col("_before") + F.col("_pos")).alias("game_id"))
 
@@ -641,7 +659,7 @@ def partition_count(spark, sf):
 SELECT league, game_key, team_id, CAST(day_num - LAG(day_num) OVER ({W_TEAM}) AS BIGINT) AS rest_days
 FROM team_game"""))
 def days_since_previous(spark, sf):
-    tg = team_window(_team_games(spark, sf), [Feat("prev", "lag", "day_num")], _events(spark, sf))
+    tg = team_window(_team_games(spark, sf), [Feat("prev", "lag", "day_num")], _cuts(spark, sf))
     return tg.select("league", "game_key", "team_id", (F.col("day_num") - F.col("prev")).alias("rest_days"))
 
 
@@ -653,7 +671,7 @@ SELECT league, game_key, team_id, CAST(COALESCE(LAG(s) OVER ({W_TEAM}), 0) AS BI
 FROM inc"""))
 def streak_length(spark, sf):
     """Win streak coming into each game."""
-    tg = team_window(_team_games(spark, sf), [Feat("win_streak", "run", "win")], _events(spark, sf))
+    tg = team_window(_team_games(spark, sf), [Feat("win_streak", "run", "win")], _cuts(spark, sf))
     return tg.select("league", "game_key", "team_id", "win_streak")
 
 
@@ -666,7 +684,7 @@ FROM inc"""))
 def lose_streak_length(spark, sf):
     """Lose streak coming into each game."""
     tg = _team_games(spark, sf).withColumn("lose", 1 - F.col("win"))
-    return team_window(tg, [Feat("lose_streak", "run", "lose")], _events(spark, sf)).select("league", "game_key", "team_id", "lose_streak")
+    return team_window(tg, [Feat("lose_streak", "run", "lose")], _cuts(spark, sf)).select("league", "game_key", "team_id", "lose_streak")
 
 
 # --------------------------------------------------------------------------
@@ -773,7 +791,8 @@ def band_lookup_q(spark, sf):
     ev = Tables(spark, sf).events
     tg = C.team_game(C.contest(ev)).select("league", "game_key", "team_id", "opp_id", "loc", "day_num")
     ranked = _ranked(spark, sf, "season")
-    opp = active_rank(tg, ranked, "league", "opp_id", "day_num", "ordinal", "opp_rank")
+    opp = active_rank(tg, ranked, "league", "opp_id", "day_num", "ordinal", "opp_rank",
+                      cuts=_day_cuts(spark, sf, "league", "team_id"))
     bands = spark.createDataFrame(QUAD_BANDS, "quad string, band_loc string, lo int, hi int")
     return band_lookup(opp, bands, "loc", "opp_rank", "band_loc", "lo", "hi", "quad").select(
         "league", "game_key", "team_id", "loc", "opp_rank", "quad")
@@ -813,19 +832,19 @@ FROM s a JOIN s b ON a.league = b.league AND a.game_key = b.game_key AND a.day_n
 
 @register("game_features", _flagship_sql())
 def game_features_q(spark, sf):
-    return game_features(_team_games(spark, sf), events=_events(spark, sf))
+    return game_features(_team_games(spark, sf), cuts=_cuts(spark, sf))
 
 
 STATE_COLS = ("win_pct", "points_mean", "points_mean_last5", "allowed_mean")
 
 
-def latest_team_state(tg: DataFrame, events: DataFrame | None = None) -> DataFrame:
+def latest_team_state(tg: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """Post-game state of each team after its latest game (serving
     features: inclusive windows, then the last row by day and key)."""
     f = team_window(tg.select(*ENTITY, *ORDER, "win", "points", "allowed"),
                     [Feat("win_pct", "mean", "win", None, True), Feat("points_mean", "mean", "points", None, True),
                      Feat("points_mean_last5", "mean", "points", 5, True),
-                     Feat("allowed_mean", "mean", "allowed", None, True)], events)
+                     Feat("allowed_mean", "mean", "allowed", None, True)], cuts)
     s = f.select(*ENTITY, *ORDER, *[rounded(c).alias(c) for c in STATE_COLS])
     return fill_numeric(seq.latest(s, ENTITY, ORDER).drop(*ORDER), 0)
 
@@ -850,7 +869,7 @@ def matchup_features(spark, sf):
     """Bulk scoring input: every requested pairing (here: each contest's
     two teams) joined twice to the latest serving state."""
     games = C.contest(Tables(spark, sf).events)
-    state = latest_team_state(C.team_game(games), _events(spark, sf))
+    state = latest_team_state(C.team_game(games), _cuts(spark, sf))
     req = games.select("league", "game_key", F.col("w_id").alias("team_1"), F.col("l_id").alias("team_2")) \
                .dropna()
 
@@ -868,7 +887,7 @@ def _model_rows(spark, sf) -> DataFrame:
     table is checkpointed into the shared checkpoint folder so the many
     passes of fitting do not recompute the feature plan."""
     checkpoint_dir(spark)
-    gf = game_features(_team_games(spark, sf), events=_events(spark, sf))
+    gf = game_features(_team_games(spark, sf), cuts=_cuts(spark, sf))
     return stratified_split(gf, "league", "game_key").checkpoint(eager=True)
 
 
@@ -922,7 +941,7 @@ def matchup_scores(spark, sf):
     fitted = M.fit(train, spec, M.logistic(train, spec, M.DEPLOYED_C, "l2"))
     games = C.contest(Tables(spark, sf).events)
     req = games.select("league", "game_key", F.col("w_id").alias("team_1"), F.col("l_id").alias("team_2"))
-    rows = S.contest_matchup_rows(req, S.contest_state(C.team_game(games), _events(spark, sf)))
+    rows = S.contest_matchup_rows(req, S.contest_state(C.team_game(games), _cuts(spark, sf)))
     out = fitted.transform(rows)
     return out.select("league", "game_key", "team_1", "team_2",
                       M.prob1().alias("p_team_1"),
@@ -945,7 +964,7 @@ def one_hot_long(spark, sf):
     (keys ending in 0-6); an unseen category is 0 everywhere."""
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
     from pyspark.ml.functions import vector_to_array
-    g = game_features(_team_games(spark, sf), events=_events(spark, sf)).select("league", "game_key", "loc_A")
+    g = game_features(_team_games(spark, sf), cuts=_cuts(spark, sf)).select("league", "game_key", "loc_A")
     index = StringIndexer(inputCol="loc_A", outputCol="i", handleInvalid="keep", stringOrderType="alphabetAsc").fit(
         g.where(F.col("game_key") % 10 < 7))
     coded = index.transform(g)
@@ -963,7 +982,7 @@ def one_hot_long(spark, sf):
 def scaled_features(spark, sf):
     """Features scaled by their mean and population deviation over all rows."""
     from duelframe.plans import model as M
-    g = game_features(_team_games(spark, sf), events=_events(spark, sf))
+    g = game_features(_team_games(spark, sf), cuts=_cuts(spark, sf))
     z = M.population_scaler(g, SCALED).transform(g)
     return z.select("league", "game_key", *[rounded(f"{c}__z").alias(c) for c in SCALED])
 
@@ -980,7 +999,7 @@ def voted_probability(spark, sf):
     """Weighted soft vote of two fixed scorers: given logistic coefficients, and a rule on
     the scoring means."""
     from duelframe.plans import model as M
-    g = game_features(_team_games(spark, sf), events=_events(spark, sf))
+    g = game_features(_team_games(spark, sf), cuts=_cuts(spark, sf))
     rule = F.when(F.col("points_mean_prior_A") > F.col("points_mean_prior_B"), 0.75).otherwise(0.25)
     scored = M.fixed_logistic(VOTE, 0.1, g).withColumn("p2", rule)
     p = (2 * F.col("p1") + F.col("p2")) / 3
@@ -1014,7 +1033,7 @@ def statistics_means(spark, sf):
     tg = _team_games(spark, sf).select("league", "game_key", "team_id", "day_num",
                                        *[F.expr(e).cast("double").alias(n) for n, e in STATS.items()])
     feats = [f for n in STATS for f in (Feat(f"{n}_overall", "mean", n), Feat(f"{n}_last5", "mean", n, 5))]
-    out = team_window(tg, feats, _events(spark, sf))
+    out = team_window(tg, feats, _cuts(spark, sf))
     return out.select("league", "game_key", "team_id", *[rounded(f.name, 9).alias(f.name) for f in feats])
 
 
@@ -1036,7 +1055,7 @@ def power_win_shares(spark, sf):
     tg = _team_games(spark, sf).withColumns({
         "pw": flag(power & (F.col("win") == 1)), "pl": flag(power & (F.col("win") == 0)),
         "nw": flag(~power & (F.col("win") == 1)), "nl": flag(~power & (F.col("win") == 0))})
-    out = team_window(tg, [Feat(f"s_{c}", "sum", c) for c in ("pw", "pl", "nw", "nl")], _events(spark, sf))
+    out = team_window(tg, [Feat(f"s_{c}", "sum", c) for c in ("pw", "pl", "nw", "nl")], _cuts(spark, sf))
 
     def share(w: str, l: str):
         total = F.col(f"s_{w}") + F.col(f"s_{l}")
@@ -1066,15 +1085,17 @@ def manager_wins_filled(spark, sf):
     along the manager's career, then back filled, then 0."""
     ev = _events(spark, sf)
     tg = _team_games(spark, sf).select("league", "game_key", "team_id", "day_num", "win", "loc")
-    g = interval_join(tg, C.tenure(ev), ["team_id"], "day_num", "first_day", "last_day", "inner").select(
+    g = interval_join(tg, C.tenure(ev), ["team_id"], "day_num", "first_day", "last_day", "inner",
+                      cuts=_day_cuts(spark, sf, "team_id")).select(
         "league", "game_key", "team_id", "day_num", "win", "loc", "manager")
+    g = written(g, "games")  # read three times
     order = ["day_num", "game_key", "team_id"]
+    cuts = find_cuts(g, ["manager"], order)
     n = g.where(F.col("loc") == "N").select("manager", *order, "win")
-    wins = sliced_window(n, ["manager"], order, team_axis(), [Feat("w", "sum", "win")]).select(
+    wins = sliced_window(n, ["manager"], order, [Feat("w", "sum", "win")], cuts).select(
         "manager", "game_key", "team_id", F.coalesce("w", F.lit(0)).cast("bigint").alias("wins_in"))
     j = g.join(wins, ["manager", "game_key", "team_id"], "left")
-    out = sliced_window(j, ["manager"], order, team_axis(), [Feat("ff", "ffill", "wins_in"), Feat("bf", "bfill", "wins_in")],
-                        g.select("manager", team_axis().alias("along")))
+    out = sliced_window(j, ["manager"], order, [Feat("ff", "ffill", "wins_in"), Feat("bf", "bfill", "wins_in")], cuts)
     return out.select("league", "game_key", "team_id", "manager",
                       F.coalesce("ff", "bf", F.lit(0).cast("bigint")).alias("wins_in"))
 
@@ -1086,7 +1107,7 @@ SELECT league, game_key, team_id, COALESCE(ordinal, 9999) AS active_rank,
 FROM active"""))
 def carried_rank(spark, sf):
     """The active rank as published, and carried over expired lists."""
-    a = team_window(_active(spark, sf, "file"), [Feat("ff", "ffill", "ordinal")], _events(spark, sf))
+    a = team_window(_active(spark, sf, "file"), [Feat("ff", "ffill", "ordinal")], _cuts(spark, sf))
     none = F.lit(9999).cast("bigint")
     return a.select("league", "game_key", "team_id", F.coalesce("ordinal", none).alias("active_rank"),
                     F.coalesce("ff", none).alias("carried_rank"))
@@ -1164,8 +1185,9 @@ def win_pct_by_opp_conf(spark, sf):
     conf = (t.customer.select("c_custkey", "c_nationkey")
             .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"))
     tg = dim_lookup(_team_games(spark, sf), conf, ["opp_id"], ["c_custkey"], {"n_name": "opp_conf"})
-    out = sliced_window(tg, ["league", "team_id", "opp_conf"], ORDER,
-                        team_axis(), [Feat("pct", "mean", "win")])
+    # a team's games against one conference are no more than its games
+    cuts = Cuts(None) if _cuts(spark, sf).table is None else None
+    out = sliced_window(tg, ["league", "team_id", "opp_conf"], ORDER, [Feat("pct", "mean", "win")], cuts)
     return out.select("league", "game_key", "team_id", "opp_conf", rounded("pct").alias("win_pct_vs_conf"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from duelframe.functions.scalar import fill_numeric, rounded
 from duelframe.operators import sequence as seq
+from duelframe.operators.hot import Cuts
 from duelframe.plans.sports import MODEL_COLUMNS
 
 # Fixed values of a hypothetical tournament game on a neutral court.
@@ -67,12 +68,12 @@ CONTEST_ENTITY = ["league", "team_id"]
 CONTEST_ORDER = ["day_num", "game_key"]
 
 
-def contest_state(tg, events: DataFrame | None = None) -> DataFrame:
+def contest_state(tg, cuts: Cuts | None = None) -> DataFrame:
     """Post-game features of each team's latest game, named like the
     pre-game training features so one model serves both."""
     from duelframe.plans.features import contest_feats, team_window
     feats = contest_feats(include_current=True)
-    f = team_window(tg.select(*CONTEST_ENTITY, *CONTEST_ORDER, "win", "points", "allowed"), feats, events)
+    f = team_window(tg.select(*CONTEST_ENTITY, *CONTEST_ORDER, "win", "points", "allowed"), feats, cuts)
     s = f.select(*CONTEST_ENTITY, *CONTEST_ORDER, *[rounded(x.name).alias(x.name) for x in feats])
     return fill_numeric(seq.latest(s, CONTEST_ENTITY, CONTEST_ORDER).drop(*CONTEST_ORDER), 0)
 

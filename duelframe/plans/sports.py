@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 from duelframe.functions.scalar import (code_number, fill_numeric, in_set_flag, nan_ratio,
                                         safe_ratio)
 from duelframe.operators import sequence as seq
+from duelframe.operators.asof import stream_cuts
+from duelframe.operators.hot import Cuts, find_cuts
 from duelframe.operators.joins import dim_lookup, interval_join, mark_join
 from duelframe.operators.mirror import mirror, mirror_compact
 from duelframe.operators.ordinal import ordinal_within
 from duelframe.operators.pairing import pair_sides
 from duelframe.operators.ranks import active_rank, ranked_periods
-from duelframe.session import checkpoint_dir
 from duelframe.operators.sliced import Feat, sliced_window
+from duelframe.operators.written import written
 from duelframe.sources.schemas import BOX_STEMS
 
 # Output names of the mirrored box-score columns, by stem.
@@ -100,7 +102,7 @@ def game_table(regular: DataFrame, tourney: DataFrame, conf_games: DataFrame,
     games = dim_lookup(games, team_confs, ["Season", "LTeamID"], ["Season", "TeamID"],
                        {"ConfAbbrev": "LConf"})
     # dense game id in (season, day, winner, loser) order
-    return ordinal_within(games, [], GAME_KEY, season_axis(), "GameID")
+    return ordinal_within(games, [], GAME_KEY, "GameID", find_cuts(reg.unionByName(post), [], GAME_KEY))
 
 
 def winner_id_range(games: DataFrame) -> DataFrame:
@@ -172,32 +174,27 @@ def tourney_history(compact: DataFrame, coaches: DataFrame) -> DataFrame:
     return attach_coach(m, coaches)
 
 
-def season_axis() -> F.Column:
-    """A number that runs along seasons and their days."""
-    return F.col("Season") * 1000 + F.col("DayNum")
-
-
-def _carried(df: DataFrame, entity: str, order: list[str], along: F.Column, col: str, back: bool,
-             source: DataFrame) -> DataFrame:
+def _carried(df: DataFrame, entity: str, order: list[str], col: str, back: bool, cuts: Cuts) -> DataFrame:
     """Replace ``col`` by its forward fill along ``entity`` and, with ``back``, the rows
-    before the first value by that value. ``source``: rows to look for hot entities in."""
+    before the first value by that value."""
     feats = [Feat("_ff", "ffill", col)] + ([Feat("_bf", "bfill", col)] if back else [])
-    out = sliced_window(df, [entity], order, along, feats, source.select(entity, along.alias("along")))
+    out = sliced_window(df, [entity], order, feats, cuts)
     return out.withColumn(col, F.coalesce(*[f.name for f in feats])).drop(*[f.name for f in feats])
 
 
 def school_wins(history: DataFrame) -> DataFrame:
     """Tournament wins of the school before each of its tournament games
     (career-long, across seasons; a team plays once a day)."""
-    out = sliced_window(history, ["TeamID"], ["Season", "DayNum"], season_axis(),
-                        [Feat("_w", "sum", "TourneyWinFlag")])
+    out = sliced_window(history, ["TeamID"], ["Season", "DayNum"], [Feat("_w", "sum", "TourneyWinFlag")],
+                        find_cuts(history, ["TeamID"], ["Season", "DayNum"]))
     return out.select("Season", "TeamID", "DayNum",
                       F.coalesce("_w", F.lit(0)).cast("bigint").alias("ActiveTourneyWins_School"))
 
 
 def coach_wins(history: DataFrame) -> DataFrame:
-    out = sliced_window(history, ["CoachName"], ["Season", "DayNum", "TeamID"], season_axis(),
-                        [Feat("_w", "sum", "TourneyWinFlag")])
+    order = ["Season", "DayNum", "TeamID"]
+    out = sliced_window(history, ["CoachName"], order, [Feat("_w", "sum", "TourneyWinFlag")],
+                        find_cuts(history, ["CoachName"], order))
     return out.select("Season", "CoachName", "DayNum",
                       F.coalesce("_w", F.lit(0)).cast("bigint").alias("ActiveTourneyWins_Coach"))
 
@@ -218,13 +215,11 @@ def attach_tourney_wins(df: DataFrame, school: DataFrame, coach: DataFrame,
     j = (df.join(school, ["Season", "TeamID", "DayNum"], "left")
            .join(coach, ["Season", "CoachName", "DayNum"], "left"))
     t_order = ["Season", "DayNum", "GameID"]
-    if coach_order == "team":
-        c_order, c_along = ["TeamID", "Season", "DayNum", "GameID"], F.col("TeamID") * 1e8 + season_axis()
-    else:
-        c_order, c_along = ["Season", "DayNum", "TeamID", "GameID"], season_axis()
+    c_order = (["TeamID", "Season", "DayNum", "GameID"] if coach_order == "team"
+               else ["Season", "DayNum", "TeamID", "GameID"])
     back = backfill == "next"
-    j = _carried(j, "TeamID", t_order, season_axis(), "ActiveTourneyWins_School", back, df)
-    j = _carried(j, "CoachName", c_order, c_along, "ActiveTourneyWins_Coach", back, df)
+    j = _carried(j, "TeamID", t_order, "ActiveTourneyWins_School", back, find_cuts(df, ["TeamID"], t_order))
+    j = _carried(j, "CoachName", c_order, "ActiveTourneyWins_Coach", back, find_cuts(df, ["CoachName"], c_order))
     if back:
         return j
     lo, hi = history_seasons
@@ -255,33 +250,26 @@ def attach_ranks(df: DataFrame, systems: Mapping[str, DataFrame], scope: str = "
     (e.g. ``{"AP": ap, "POM": pom, "NET": net}``). ``scope="file"``
     reproduces the original expiry across seasons; ``"season"`` keeps a
     season's last list active to day 200."""
+    cuts = stream_cuts(df.select("Season", "TeamID", "DayNum", "GameID"), TEAM_SEASON, "DayNum")
     for name, ranks in systems.items():
         ranked = ranked_periods(ranks.select("Season", "RankingDayNum", "TeamID", "OrdinalRank"),
                                 "Season", "RankingDayNum", scope)
         df = active_rank(df, ranked, "Season", "TeamID", "DayNum", "OrdinalRank",
-                         f"Active{name}Rank", ranked_team="TeamID")
+                         f"Active{name}Rank", ranked_team="TeamID", cuts=cuts)
     return df
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder and read from there: each stage's window plan
-    refers to its input several times, and chained plans would multiply."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def team_games(regular, tourney, compact, conf_games, team_confs, coaches, seeds,
                systems: Mapping[str, DataFrame], zero_attempts: str = "skip",
                backfill: str = "next", coach_order: str = "chronological",
                rank_scope: str = "file") -> DataFrame:
     """All enrichment stages: the per team-game table before features."""
-    g = _cut(game_table(regular, tourney, conf_games, team_confs))
-    t = derived_columns(mirror_games(g), zero_attempts)
-    t = _cut(attach_coach(t, coaches))
-    hist = _cut(tourney_history(compact, coaches))
-    t = _cut(attach_tourney_wins(t, _cut(school_wins(hist)), _cut(coach_wins(hist)), backfill, coach_order))
-    t = attach_seeds(t, seeds)
-    return _cut(attach_ranks(t, systems, rank_scope))
+    g = game_table(regular, tourney, conf_games, team_confs)
+    # written, as they are read for the cuts of their windows and for the windows
+    t = written(attach_coach(derived_columns(mirror_games(g), zero_attempts), coaches), "games")
+    hist = written(tourney_history(compact, coaches), "history")
+    t = attach_tourney_wins(t, school_wins(hist), coach_wins(hist), backfill, coach_order)
+    return written(attach_ranks(attach_seeds(t, seeds), systems, rank_scope), "team-games")
 
 
 # ---------------------------------------------------------------- features
@@ -309,7 +297,7 @@ def with_features(df: DataFrame, include_current: bool = False, last_n: int = 5)
     for stem, src in STAT_FEATURES:
         feats += [Feat(f"{stem}_Overall", "mean", src, None, cur),
                   Feat(f"{stem}_Last{last_n}", "mean", src, last_n, cur)]
-    out = sliced_window(df, TEAM_SEASON, TEAM_ORDER, F.col("DayNum"), feats)
+    out = sliced_window(df, TEAM_SEASON, TEAM_ORDER, feats, find_cuts(df, TEAM_SEASON, TEAM_ORDER))
     final = {
         "ActiveAPRank": F.coalesce("ActiveAPRank", F.lit(UNRANKED)),
         "ActivePOMRank": F.coalesce("_pom_ff", F.lit(UNRANKED)),

@@ -83,10 +83,10 @@ def test_ordinal_within_matches_row_number(spark):
     rng = random.Random(1)
     data = [(rng.choice("ab"), rng.randint(0, 500), i) for i in range(2000)]
     df = spark.createDataFrame(data, "g string, t int, id int")
-    got = ordinal_within(df, ["g"], ["t", "id"], F.col("t"), "pos")
+    got = ordinal_within(df, ["g"], ["t", "id"], "pos")
     ref = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("t", "id")) - 1)
     assert rows(got.select("g", "id", "pos"), "g", "id") == rows(ref.select("g", "id", "pos"), "g", "id")
-    glob = ordinal_within(df, [], ["t", "id"], F.col("t"), "pos")
+    glob = ordinal_within(df, [], ["t", "id"], "pos")
     ref2 = df.withColumn("pos", F.row_number().over(Window.orderBy("t", "id")) - 1)
     assert rows(glob.select("id", "pos"), "id") == rows(ref2.select("id", "pos"), "id")
 
@@ -196,12 +196,12 @@ def test_pairs_and_positions_with_hot_groups(spark):
     rng = random.Random(5)
     data = [(rng.choice("xyz"), rng.randint(0, 300), i, rng.randint(0, 9)) for i in range(900)]
     df = spark.createDataFrame(data, "g string, t int, id int, u int")
-    a = rows(pair_consecutive(df, ["g"], ["t", "id"], F.col("t"), ["id", "u"]), "g", "a_id")
-    c = rows(ordinal_within(df, ["g"], ["t", "id"], F.col("t"), "pos").select("id", "pos"), "id")
+    a = rows(pair_consecutive(df, ["g"], ["t", "id"], ["id", "u"]), "g", "a_id")
+    c = rows(ordinal_within(df, ["g"], ["t", "id"], "pos").select("id", "pos"), "id")
     spark.conf.set(CONF, "20")
     try:
-        assert a == rows(pair_consecutive(df, ["g"], ["t", "id"], F.col("t"), ["id", "u"]), "g", "a_id")
-        assert c == rows(ordinal_within(df, ["g"], ["t", "id"], F.col("t"), "pos").select("id", "pos"), "id")
+        assert a == rows(pair_consecutive(df, ["g"], ["t", "id"], ["id", "u"]), "g", "a_id")
+        assert c == rows(ordinal_within(df, ["g"], ["t", "id"], "pos").select("id", "pos"), "id")
     finally:
         spark.conf.unset(CONF)
     assert len(a) == sum(n // 2 for n in [sum(1 for r in data if r[0] == g) for g in "xyz"])

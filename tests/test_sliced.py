@@ -55,7 +55,7 @@ def test_sliced_equals_plain(spark, seed, hot_rows):
         r = None if rng.random() < 0.5 else rng.randint(1, 99)
         rows.append((i, e, rng.randint(0, 120), v, r, rng.randint(0, 3)))
     df = spark.createDataFrame(rows, "id int, e string, t int, v double, r int, w int")
-    got = sliced_window(df, ["e"], ["t", "id"], F.col("t") * 1000 + F.col("id"), FEATS)
+    got = sliced_window(df, ["e"], ["t", "id"], FEATS)
     ref = {r["id"]: r for r in plain(df).collect()}
     n = 0
     for r in got.collect():
@@ -70,7 +70,7 @@ def test_runs_against_a_loop(spark, hot_rows):
     rows = [(i, rng.choice(["hot"] * 6 + ["a"]), i % 97, rng.choice([0, 1, 1, 1, None])) for i in range(500)]
     df = spark.createDataFrame(rows, "id int, e string, t int, f int")
     got = {r["id"]: (r["before"], r["upto"]) for r in sliced_window(
-        df, ["e"], ["t", "id"], F.col("t"), [Feat("before", "run", "f"), Feat("upto", "run", "f", None, True)]).collect()}
+        df, ["e"], ["t", "id"], [Feat("before", "run", "f"), Feat("upto", "run", "f", None, True)]).collect()}
     run: dict = {}
     for i, e, _, f in sorted(rows, key=lambda r: (r[2], r[0])):
         before = run.get(e, 0)
@@ -81,7 +81,7 @@ def test_runs_against_a_loop(spark, hot_rows):
 def test_no_job_while_the_plan_is_built(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("e"), F.col("id").alias("t"), F.lit(1.0).alias("v"))
     spark.sparkContext.setJobGroup("plan", "plan")
-    sliced_window(df, ["e"], ["t"], F.col("t"), [Feat("m", "mean", "v", 5)])
+    sliced_window(df, ["e"], ["t"], [Feat("m", "mean", "v", 5)])
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
     spark.sparkContext._jsc.sc().clearJobGroup()
     assert not list(jobs)
@@ -92,12 +92,47 @@ def test_null_entity_rows_are_kept(spark, hot_rows):
     from duelframe.operators.sequence import dense_rank_of
     rows = [(None if i % 4 == 0 else "a", i % 37, i, float(i % 5), i % 3, 1) for i in range(160)]
     df = spark.createDataFrame(rows, "e string, t int, id int, v double, r int, w int")
-    got = sliced_window(df, ["e"], ["t", "id"], F.col("t"), FEATS)
+    got = sliced_window(df, ["e"], ["t", "id"], FEATS)
     assert got.count() == 160
     ref = {r["id"]: r for r in plain(df).collect()}
     for r in got.collect():
         for f in FEATS:
             assert same(r[f.name], ref[r["id"]][f.name]), f.name
-    assert ordinal_within(df, ["e"], ["t", "id"], F.col("t"), "pos").count() == 160
-    assert pair_consecutive(df, ["e"], ["t", "id"], F.col("t"), ["id"]).count() == 80
+    assert ordinal_within(df, ["e"], ["t", "id"], "pos").count() == 160
+    assert pair_consecutive(df, ["e"], ["t", "id"], ["id"]).count() == 80
     assert dense_rank_of(df.withColumn("e", F.lit(None).cast("string")), ["e"], "t", "dr").count() == 160
+
+
+def test_keys_far_apart_keep_their_order(spark, hot_rows):
+    """Keys of 1 to 5 x 10^12 that alternate by day; cuts found beforehand and in the plan."""
+    from duelframe.operators.hot import find_cuts
+    from duelframe.operators.ordinal import ordinal_within
+    rng = random.Random(6)
+    rows = [("t", d, rng.choice([1, 2, 3, 4, 5]) * 10 ** 12 + rng.randint(0, 99), float(rng.randint(0, 1))) for d in range(120)]
+    rows += [("u", d, 5 * 10 ** 12 - d, 1.0) for d in range(8)]
+    df = spark.createDataFrame(rows, "e string, t bigint, id bigint, v double")
+    feats = [Feat("before", "sum", "v"), Feat("last3", "mean", "v", 3), Feat("no", "rownum"), Feat("run", "run", "v")]
+    exp, seen = {}, {}
+    for e, t, i, v in sorted(rows):
+        past = seen.setdefault(e, [])
+        run = next((n for n, x in enumerate(reversed(past)) if x != 1), len(past))
+        exp[e, t] = (sum(past) if past else None, sum(past[-3:]) / 3 if len(past) >= 3 else None, len(past) + 1, run)
+        past.append(v)
+    for cuts in (None, find_cuts(df, ["e"], ["t", "id"])):
+        got = sliced_window(df, ["e"], ["t", "id"], feats, cuts).collect()
+        assert {(r["e"], r["t"]): (r["before"], r["last3"], r["no"], r["run"]) for r in got} == exp
+        pos = ordinal_within(df, ["e"], ["t", "id"], "pos", cuts).collect()
+        assert all(r["pos"] == exp[r["e"], r["t"]][2] - 1 for r in pos)
+
+
+def test_slices_follow_the_rows(spark):
+    from duelframe.operators.hot import find_cuts
+    df = spark.range(4000).select(F.lit("a").alias("e"), F.col("id").alias("t"))
+    spark.conf.set(CONF, "40")
+    try:
+        few = find_cuts(df, ["e"], ["t"]).table.first()["_cuts"]
+        spark.conf.set(CONF, "400")
+        fewer = find_cuts(df, ["e"], ["t"]).table.first()["_cuts"]
+    finally:
+        spark.conf.unset(CONF)
+    assert len(few) == 400 and 20 <= len(fewer) <= 80 and find_cuts(df, ["e"], ["t"]).table is None
