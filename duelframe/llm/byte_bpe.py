@@ -23,15 +23,17 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_PIECES, SHORT = 150_000, 32  # pieces of at most SHORT characters whose ids are kept
+MAX_PIECES, SHORT = 250_000, 32  # pieces of at most SHORT characters whose ids are kept
 MAX_PAIRS = 100_000  # answers about adjacent tokens
 CHUNK = 1 << 16  # characters split at once
-ROWS, FLUSH = 100, 1 << 20  # texts taken out of a batch at once; ids (bytes) to a batch
+ROWS, GROUP = 300, 200_000  # texts taken out of a batch at once, pieces looked up at once
+FLUSH = 1 << 20  # ids to a batch
 NONE = -1
 
 
@@ -132,42 +134,41 @@ class ByteEncoder:
             if vocabulary.made(n):
                 self.automaton.add_word(token.decode("latin-1"), n)
         self.automaton.make_automaton()
-        self.number = {t: n for t, n in self.whole.items() if vocabulary.made(n)}
         self.most = max(self.size)
-        # of two adjacent tokens, by the number first * tokens + second
-        self.fits = _Store(lambda pair: vocabulary.compatible(*divmod(pair, len(vocabulary.tokens))), MAX_PAIRS)
+        # of two adjacent tokens, by the number first * tokens + second; none comes first: tokens
+        tokens = len(vocabulary.tokens)
+        self.fits = _Store(lambda pair: pair >= tokens * tokens or vocabulary.compatible(*divmod(pair, tokens)), MAX_PAIRS)
         self.known = _Store(self.piece_ids, MAX_PIECES, lambda piece: len(piece) <= SHORT)
 
     def merged(self, piece: bytes) -> list[int]:
         """Numbers of the tokens that merging the bytes of ``piece`` leaves."""
         size, shorter, fits, n, tokens = self.size, self.vocabulary.shorter, self.fits, len(piece), len(self.size)
-        spelled, reach, number, most = piece.decode("latin-1"), self.automaton.longest_prefix, self.number, self.most
-        out, at, last, token = [], 0, NONE, NONE
+        spelled, longest, most = piece.decode("latin-1"), self.automaton.iter_long, self.most
+        out, at, start = [], 0, tokens * tokens
+        before = start  # what the token before adds to a pair's number
         # the longest matches one after another, as long as they are compatible
-        for end, token in self.automaton.iter_long(spelled):
-            if last != NONE and not fits[last * tokens + token]:
+        for end, token in longest(spelled):
+            if not fits[before + token]:
                 break
             out.append(token)
-            at, last = end + 1, token
+            at, before = end + 1, token * tokens
         if at == n:
             return out
         alive = bytearray(b"\1") * (n + 1)
-        while at < n:
-            while token != NONE and not (alive[at + size[token]] and (last == NONE or fits[last * tokens + token])):
-                token = shorter[token]
-            if token != NONE:
+        while True:
+            if alive[at + size[token]] and fits[before + token]:
                 out.append(token)
-                at, last = at + size[token], token
-                if at < n:  # the longest match here: on the path that the automaton reaches
-                    length = reach(spelled[at:at + most])
-                    while (token := number.get(piece[at:at + length])) is None:
-                        length -= 1
-            else:
+                at, before = at + size[token], token * tokens
+                if at == n:
+                    return out
+                token = next(longest(spelled[at:at + most]))[1]
+                continue
+            token = shorter[token]
+            if token == NONE:  # no match fits here: take the last token back
                 alive[at] = 0
                 token = out.pop()
                 at -= size[token]
-                last = out[-1] if out else NONE
-        return out
+                before = out[-1] * tokens if out else start
 
     def piece_ids(self, piece: str) -> bytes:
         """Ids as 32-bit integers."""
@@ -191,9 +192,46 @@ class ByteEncoder:
             at = found[-2].start()
         yield self.pattern.findall(text, at)
 
+    def _ids(self, pieces: list[str], counts: list[int]) -> list[np.ndarray]:
+        """Ids of runs of ``counts`` pieces; each distinct piece is asked for once."""
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        found = [self.known[p] for p in coded.dictionary.to_pylist()]
+        pool, size = np.frombuffer(b"".join(found), np.int32), np.array([len(f) // 4 for f in found])
+        which = coded.indices.to_numpy()
+        ids = pool[_runs((np.cumsum(size) - size)[which], size[which])]
+        ends = np.append(0, np.cumsum(size[which]))[np.cumsum(counts)].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        pieces, counts, owners = [], [], []
+
+        def flush() -> None:
+            if pieces:
+                for owner, ids in zip(owners, self._ids(pieces, counts)):
+                    parts[owner].append(ids)
+            for x in (pieces, counts, owners):
+                x.clear()
+
+        for i, text in enumerate(texts):
+            for part in self.pieces(text or ""):
+                pieces.extend(part)
+                counts.append(len(part))
+                owners.append(i)
+                if len(pieces) >= GROUP:
+                    flush()
+        flush()
+        empty = np.zeros(0, np.int32)
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else empty for p in parts]
+
     def encode(self, text: str) -> np.ndarray:
-        found = self.known.__getitem__
-        return np.frombuffer(b"".join([b"".join(map(found, part)) for part in self.pieces(text)]), np.int32)
+        return self.encode_many([text])[0]
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions begin, begin + 1, ... of every run, one run after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -219,9 +257,9 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, pattern: str, key:
         for batch in batches:
             at, rows, size = 0, [], 0
             for row in range(0, batch.num_rows, ROWS):
-                for i, t in enumerate(batch.column(1).slice(row, ROWS).to_pylist(), row):
-                    rows.append(encoder.encode(t or ""))
-                    size += len(rows[-1])
+                for i, ids in enumerate(encoder.encode_many(batch.column(1).slice(row, ROWS).to_pylist()), row):
+                    rows.append(ids)
+                    size += len(ids)
                     if size >= FLUSH or i + 1 == batch.num_rows:
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, i + 1 - at), _lists(rows)], names=schema.names)
                         at, rows, size = i + 1, [], 0
@@ -232,20 +270,29 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, pattern: str, key:
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key``, ``ids`` and ``decoded``, the bytes of the ids. A null list is empty; an id
     that the vocabulary lacks raises."""
-    shared = encoded.sparkSession.sparkContext.broadcast(dict(zip(vocabulary.ids, vocabulary.tokens)))
+    last = max(vocabulary.ids) + 1
+    size = np.zeros(last, np.int64)
+    size[vocabulary.ids] = [len(t) for t in vocabulary.tokens]
+    begin = np.zeros(last, np.int64)
+    begin[vocabulary.ids] = np.cumsum([len(t) for t in vocabulary.tokens]) - size[vocabulary.ids]
+    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(vocabulary.tokens), np.uint8), begin, size))
     schema = T.StructType([encoded.schema[key], encoded.schema[ids], T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = shared.value.__getitem__
+        pool, begin, size = shared.value
         for batch in batches:
-            at, rows, size = 0, [], 0
-            for i, found in enumerate(batch.column(1)):
-                rows.append(b"".join(map(spelled, found.values.to_numpy().tolist() if found.is_valid else ())))
-                size += len(rows[-1])
-                if size >= FLUSH or i + 1 == batch.num_rows:
-                    some = batch.slice(at, i + 1 - at)
-                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(rows, pa.binary())],
-                                                     names=schema.names)
-                    at, rows, size = i + 1, [], 0
+            ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + FLUSH, "right")) - 1)
+                some = batch.slice(at, to - at)
+                numbers = some.column(1).flatten().to_numpy()
+                if len(numbers) and not size[numbers].all():
+                    raise ValueError("an id that the vocabulary lacks")
+                spelled = pool[_runs(begin[numbers], size[numbers])]
+                offsets = np.append(0, np.cumsum(size[numbers]))[ends[at:to + 1] - ends[at]]
+                decoded = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(offsets), pa.py_buffer(spelled)])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), decoded.cast(pa.binary())], names=schema.names)
+                at = to
 
     return encoded.select(key, ids).mapInArrow(run, schema)
