@@ -12,8 +12,10 @@
   penalty``, so ``regParam = 1 / (C * n)`` with ``n`` the (weighted)
   training size and ``standardization=False``.
 - Search: seeded random draws from the given ranges (log-uniform where
-  asked), each trial a distributed fit, trials run concurrently on a small
-  driver thread pool; the result is a DataFrame of (trial, params, score).
+  asked). All trials of a logistic study are fitted in the same scans
+  (``operators.logistic``); forests and networks are a distributed fit each,
+  on a small driver thread pool. The result is a DataFrame of (trial, params,
+  score).
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duelframe.operators.logistic import brier_scores, fit_all, inverse_strength
 from duelframe.operators.stats import mean_std
+from duelframe.operators.written import written
 
 DEPLOYED_C = 0.0216474637891819
 
@@ -173,6 +177,7 @@ def fixed_logistic(weights: dict[str, float], intercept: float, df: DataFrame) -
 
 
 # Search spaces: (name, low, high, kind) with kind in {"log", "uniform", "int"}.
+# The ranges of the six studies.
 SPACES = {
     "logistic_l2": [("C", 1e-5, 1e2, "log")],
     "logistic_l1": [("C", 1e-5, 1e2, "log")],
@@ -215,8 +220,10 @@ def search(train: DataFrame, test: DataFrame, spec: ModelSpec, family: str, n_tr
     rng = random.Random(seed)
     trials = [draw(SPACES[family], rng) for _ in range(n_trials)]
     prep = Pipeline(stages=feature_stages(train, spec)).fit(train)
-    tr, te = prep.transform(train).cache(), prep.transform(test).cache()
-    n_features = len(tr.select("features").first()[0]) if family == "network" else 0
+    tr, te = (written(prep.transform(d).select("features", spec.label, *([spec.weight] if spec.weight else [])), "rows")
+              for d in (train, test))
+    first = tr.select("features").first()
+    n_features = len(first[0]) if first else 0
 
     def run(i_params):
         i, params = i_params
@@ -224,20 +231,36 @@ def search(train: DataFrame, test: DataFrame, spec: ModelSpec, family: str, n_tr
             parts = [forest(spec, params["n_trees"], params["min_split"]).fit(tr),
                      logistic(train, spec, params["C"], max_iter=max_iter).fit(tr)]
             out = soft_vote(parts, te.select("features", spec.label), [], spec)
-            return (i, family, json.dumps(params, sort_keys=True), brier(out))
+            return brier(out)
         model = _estimator(family, params, train, spec, n_features, max_iter).fit(tr)
-        out = model.transform(te).select(F.col(spec.label).alias("label"), prob1().alias("p1"))
-        return (i, family, json.dumps(params, sort_keys=True), brier(out))
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(run, enumerate(trials)))
-    tr.unpersist()
-    te.unpersist()
-    spark = train.sparkSession
-    return (spark.createDataFrame(rows, "trial int, family string, params string, brier double")
+        return brier(model.transform(te).select(F.col(spec.label).alias("label"), prob1().alias("p1")))
+
+    if family.startswith("logistic"):
+        scores = logistic_study(tr, te, spec, family, trials, n_features, max_iter)
+    else:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            scores = list(pool.map(run, enumerate(trials)))
+    rows = [(i, family, json.dumps(p, sort_keys=True), b) for i, (p, b) in enumerate(zip(trials, scores))]
+    return (train.sparkSession.createDataFrame(rows, "trial int, family string, params string, brier double")
             .orderBy("brier", "trial"))
 
 
+def logistic_study(train: DataFrame, test: DataFrame, spec: ModelSpec, family: str, trials: Sequence[dict],
+                   n_features: int, max_iter: int = 1000) -> list[float]:
+    """Brier score on ``test`` of every trial, all fitted together; both tables have ``features``."""
+    inputs = [f"f{i}" for i in range(n_features)]
+
+    def wide(df: DataFrame) -> DataFrame:
+        values = vector_to_array("features")
+        return df.select(spec.label, *([spec.weight] if spec.weight else []), *[values[i].alias(c) for i, c in enumerate(inputs)])
+
+    total = _n(train, spec)
+    ratio = {"logistic_l2": lambda t: 0.0, "logistic_l1": lambda t: 1.0, "logistic_elasticnet": lambda t: t["l1_ratio"]}[family]
+    fits = fit_all(wide(train), spec.label, inputs, [inverse_strength(t["C"], total, ratio(t)) for t in trials], spec.weight,
+                   min(max_iter, 50), 1e-6)
+    return brier_scores(wide(test), spec.label, inputs, fits)
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

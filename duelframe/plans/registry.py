@@ -922,11 +922,102 @@ def soft_vote(spark, sf):
 @register("search_trials")
 def search_trials(spark, sf):
     """Seeded random search over the L2 logistic strength, one row per
-    trial with its held-out Brier score; six trials by this query's own choice."""
+    trial with its held-out Brier score; all 100 trials in the same scans."""
     from duelframe.plans import model as M
     train, test = _train_test(spark, sf)
-    spec = M.contest_spec(train)
-    return M.search(train, test, spec, "logistic_l2", n_trials=6, parallelism=3)
+    return M.search(train, test, M.contest_spec(train), "logistic_l2")
+
+
+# Logistic fits with two inputs, in SQL by recursion.
+DIFFERENCES = {"pct_diff": "win_pct_prior_A - win_pct_prior_B",
+               "points_diff": "(points_mean_prior_A - points_mean_prior_B) / 10"}
+_LOGIT_DATA = _flagship_sql().replace("WITH ", "WITH RECURSIVE ", 1).replace("SELECT a.league", ", g AS (SELECT a.league", 1) + """)
+, d AS MATERIALIZED (SELECT CAST(win_A AS DOUBLE) AS y, game_key % 10 < 7 AS train, """ + ", ".join(
+    f"CAST({e} AS DOUBLE) AS x{i}" for i, e in enumerate(DIFFERENCES.values(), 1)) + " FROM g)"
+
+# Newton steps on the mean loss plus lam / 2 (b1^2 + b2^2), the 3 x 3 system by Cramer's rule.
+_NEWTON = """
+, it AS (
+  SELECT 0 AS k, t, lam, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2 FROM setting
+  UNION ALL
+  SELECT k + 1, t, lam,
+    b0 - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+    b1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+    b2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det
+        FROM (SELECT k, t, lam, b0, b1, b2, avg(p - y) AS g0, avg((p - y) * x1) + lam * b1 AS g1,
+                     avg((p - y) * x2) + lam * b2 AS g2, avg(v) AS h00, avg(v * x1) AS h01, avg(v * x2) AS h02,
+                     avg(v * x1 * x1) + lam AS h11, avg(v * x1 * x2) AS h12, avg(v * x2 * x2) + lam AS h22
+              FROM (SELECT *, p * (1 - p) AS v
+                    FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM it, d WHERE k < 9 AND {rows}))
+              GROUP BY k, t, lam, b0, b1, b2)))
+"""
+
+
+def _differences(spark, sf) -> DataFrame:
+    gf = game_features(_team_games(spark, sf), cuts=_cuts(spark, sf))
+    return written(gf.select(F.col("win_A").alias("y"), (F.col("game_key") % 10 < 7).alias("train"),
+                             *[F.expr(e).alias(n) for n, e in DIFFERENCES.items()]), "differences")
+
+
+@register("logistic_newton", _LOGIT_DATA + ", setting AS (SELECT 0 AS t, 0.01::DOUBLE AS lam)" + _NEWTON.format(rows="true") + """
+SELECT x.name, ROUND(x.v, 6) AS coefficient FROM it,
+  (VALUES ('constant', 0), ('pct_diff', 1), ('points_diff', 2)) n(name, i),
+  LATERAL (SELECT n.name, CASE n.i WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END AS v) x WHERE k = 9""")
+def logistic_newton(spark, sf):
+    """Coefficients of the ridge fit of a win on two differences of the sides' features."""
+    from duelframe.operators.logistic import Penalty, fit_all
+    fit, = fit_all(_differences(spark, sf), "y", list(DIFFERENCES), [Penalty(0.01)])
+    rows = [("constant", fit.constant), *zip(DIFFERENCES, fit.coefficients.tolist())]
+    return spark.createDataFrame(rows, "name string, v double").select("name", rounded("v").alias("coefficient"))
+
+
+STRENGTHS = [10 ** (-5 + 7 * i / 99) for i in range(100)]
+
+
+@register("strength_search", _LOGIT_DATA + """, setting AS (
+  SELECT i AS t, 1 / (pow(10::DOUBLE, -5 + 7 * i / 99::DOUBLE) * (SELECT count(*) FROM d WHERE train)) AS lam FROM range(100) r(i))"""
+          + _NEWTON.format(rows="train") + """
+SELECT CAST(t AS INTEGER) AS trial, ROUND(avg(pow(1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) - y, 2)), 6) AS brier
+FROM it, d WHERE k = 9 AND NOT train GROUP BY t""")
+def strength_search(spark, sf):
+    """100 strengths of one study fitted together, their held-out Brier scores."""
+    from duelframe.operators.logistic import brier_scores, fit_all, inverse_strength
+    d = _differences(spark, sf)
+    train, test = d.where("train"), d.where("not train")
+    n = train.count()
+    fits = fit_all(train, "y", list(DIFFERENCES), [inverse_strength(c, n) for c in STRENGTHS])
+    scores = list(enumerate(brier_scores(test, "y", list(DIFFERENCES), fits)))
+    return spark.createDataFrame(scores, "trial int, v double").select("trial", rounded("v").alias("brier"))
+
+
+PATH = [(s, r) for s in (0.1, 0.03, 0.01, 0.003, 0.001) for r in (0.25, 0.5, 1.0)]
+
+
+# One coordinate a step: b <- soft(h b - g, lam ratio) / (h + lam (1 - ratio)), slopes anew each time.
+@register("penalty_path", _LOGIT_DATA + ", setting AS (SELECT * FROM (VALUES "
+          + ", ".join(f"({s}::DOUBLE, {r}::DOUBLE)" for s, r in PATH) + """) s(lam, ratio))
+, it AS (
+  SELECT 0 AS k, lam, ratio, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2 FROM setting
+  UNION ALL
+  SELECT k + 1, lam, ratio, CASE WHEN k % 3 = 0 THEN b0 - g / h ELSE b0 END,
+    CASE WHEN k % 3 = 1 THEN sign(h * b1 - g) * greatest(abs(h * b1 - g) - lam * ratio, 0) / (h + lam * (1 - ratio)) ELSE b1 END,
+    CASE WHEN k % 3 = 2 THEN sign(h * b2 - g) * greatest(abs(h * b2 - g) - lam * ratio, 0) / (h + lam * (1 - ratio)) ELSE b2 END
+  FROM (SELECT k, lam, ratio, b0, b1, b2, avg((p - y) * x) AS g, avg(p * (1 - p) * x * x) AS h
+        FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p, CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN x1 ELSE x2 END AS x
+              FROM it, d WHERE k < 180)
+        GROUP BY k, lam, ratio, b0, b1, b2))
+SELECT lam AS strength, ratio, x.name, ROUND(x.v, 6) AS coefficient FROM it,
+  (VALUES ('constant', 0), ('pct_diff', 1), ('points_diff', 2)) n(name, i),
+  LATERAL (SELECT n.name, CASE n.i WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END AS v) x WHERE k = 180""")
+def penalty_path(spark, sf):
+    """Coefficients along a path of strengths for three shares of the absolute-value penalty."""
+    from duelframe.operators.logistic import Penalty, fit_all
+    fits = fit_all(_differences(spark, sf), "y", list(DIFFERENCES), [Penalty(*x) for x in PATH])
+    rows = [(f.penalty.strength, f.penalty.ratio, n, v) for f in fits
+            for n, v in [("constant", f.constant), *zip(DIFFERENCES, f.coefficients.tolist())]]
+    return spark.createDataFrame(rows, "strength double, ratio double, name string, v double").select(
+        "strength", "ratio", "name", rounded("v").alias("coefficient"))
 
 
 @register("matchup_scores")
