@@ -8,8 +8,11 @@ every reader sees the same rows.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,17 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def release() -> None:
+    """Give memory that a task has let go back to the system. Workers are used again, and what
+    their allocators hold counts with the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def running_totals(df: DataFrame, order: list[Column], values: dict[str, Column],
                    carry: list[str]) -> DataFrame:
     """``carry`` and, under each name of ``values``, the running total of that long

@@ -30,6 +30,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,14 +39,15 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from duelframe.llm.lexer import Lexer, Words, read_definition
-from duelframe.llm.tables import saved
+from duelframe.llm.tables import release, saved
 
 MASK_ADD = 0xA282EAD8
 NULL_KEY, NARROW = 1, 2
 HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<Bq")
 INDEX = np.dtype([("offset", "<u8"), ("n_tokens", "<u8")])
 MAX_WORDS = 500_000
-ROWS = 200  # texts encoded at once
+ROWS, BYTES = 500, 1 << 20  # texts encoded at once, at most so many or so long
+JOINED = 2_000  # words encoded as one text
 
 
 def masked(data: bytes) -> int:
@@ -108,54 +110,66 @@ def read_at(uri: str, positions: list[int]) -> list[tuple[int | None, np.ndarray
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which encodes each distinct word once."""
-
-    _made: dict[str, "Encoder"] = {}
-
-    @classmethod
-    def of(cls, definition: str) -> "Encoder":
-        if definition not in cls._made:
-            cls._made = {definition: cls(definition)}
-        return cls._made[definition]
+    """Ids of texts by the tokenizers library, which encodes each distinct word once. The
+    store of words is a table sorted by hash, emptied at ``MAX_WORDS``; it ends with the task."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.lexer = Lexer(definition)
-        self.largest = max(self.lexer.tokenizer.get_vocab().values())
+        whole = json.loads(definition)
+        # the lexer asks for classes and lower case alone, so its tokenizer needs no vocabulary
+        self.lexer = Lexer(json.dumps(whole | {"model": whole["model"] | {"vocab": {}, "merges": []}}))
+        self.largest = max([*whole["model"]["vocab"].values(), *(t["id"] for t in whole["added_tokens"])])
         # words come normalised, special tokens apart: neither is to be looked for again
-        self.library = Tokenizer.from_str(json.dumps(json.loads(definition) | {"normalizer": None, "added_tokens": []}))
+        self.library = Tokenizer.from_str(json.dumps(whole | {"normalizer": None, "added_tokens": []}))
         self._reset()
 
     def _reset(self) -> None:
-        self.place: dict[int, int] = {}  # word to its number
-        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _learn(self, words: Words, hashes: list[int], first: list[int]) -> None:
-        if len(self.place) + len(hashes) > MAX_WORDS:
-            self._reset()
-        plain = [i for h, i in zip(hashes, first) if h >> 63]
-        spelled = iter(self.library.encode_batch([words.spelled(i) for i in plain], add_special_tokens=False))
-        ids = [next(spelled).ids if h >> 63 else [h] for h in hashes]
-        length = np.array([len(x) for x in ids], np.int64)
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.pool = np.concatenate([self.pool, np.array([t for x in ids for t in x], np.uint32)])
-        self.place.update(zip(hashes, range(len(self.place), len(self.place) + len(hashes))))
+        self.hashes = np.zeros(0, np.uint64)
+        self.begin, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def _spell(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after another, and how many each has. Words are encoded joined by
+        blanks, at which the tokenizer cuts anyway."""
+        parts = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        ids, lengths = [], []
+        for part, found in zip(parts, self.library.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
+            which = np.array(found.word_ids, np.int64)
+            count = np.bincount(which, minlength=len(part))
+            if len(count) != len(part) or not count.all():  # a word that the tokenizer cuts further
+                apart = [e.ids for e in self.library.encode_batch(part, add_special_tokens=False)]
+                count = np.array([len(x) for x in apart])
+                ids.append(np.array([t for x in apart for t in x], np.uint32))
+            else:
+                ids.append(np.array(found.ids, np.uint32))
+            lengths.append(count)
+        return np.concatenate(ids), np.concatenate(lengths).astype(np.int32)
+
+    def _learn(self, words: Words, hashes: np.ndarray, first: np.ndarray) -> None:
+        """``hashes`` of words not yet known, sorted, and where each is in ``words``."""
+        special = (hashes >> np.uint64(63)) == 0  # an added token's hash is its id
+        ids, length = np.zeros(0, np.uint32), np.ones(len(hashes), np.int32)
+        if not special.all():
+            ids, length[~special] = self._spell([words.spelled(i) for i in first[~special].tolist()])
+        begin = np.zeros(len(hashes), np.int64)
+        begin[~special] = np.cumsum(length[~special]) - length[~special]
+        begin[special] = len(ids) + np.arange(special.sum())
+        where = np.searchsorted(self.hashes, hashes)
+        self.begin = np.insert(self.begin, where, begin + len(self.pool))
+        self.length = np.insert(self.length, where, length)
+        self.hashes = np.insert(self.hashes, where, hashes)
+        self.pool = np.concatenate([self.pool, ids, hashes[special].astype(np.uint32)])
 
     def _ids(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a piece, and the number of ids of each word."""
         distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        distinct, first = distinct.tolist(), first.tolist()
-        new = [(h, i) for h, i in zip(distinct, first) if h not in self.place]
-        if new:
-            before = self.place
-            self._learn(words, [h for h, _ in new], [i for _, i in new])
-            if self.place is not before:  # the store was emptied: all of this piece anew
+        new = ~np.isin(distinct, self.hashes, assume_unique=True)
+        if new.any():
+            if len(self.hashes) + new.sum() > MAX_WORDS:
                 self._reset()
-                self._learn(words, distinct, first)
-        number = np.fromiter((self.place[h] for h in distinct), np.int64, len(distinct))[which]
-        length = self.length[number]
+                new[:] = True
+            self._learn(words, distinct[new], first[new])
+        number = np.searchsorted(self.hashes, distinct)[which]
+        length = self.length[number].astype(np.int64)
         ends = np.cumsum(length)
         at = np.arange(ends[-1]) + np.repeat(self.begin[number] - (ends - length), length)
         return self.pool[at], length
@@ -175,6 +189,16 @@ class Encoder:
         return [p[0] if len(p) == 1 else np.concatenate(p) if p else empty for p in parts]
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in groups of about ``BYTES`` of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:at + ROWS]), BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id",
                       text: str = "text") -> DataFrame:
     """Encode and write; return the manifest, a row for each file in key order: ``file``,
@@ -193,7 +217,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     ranged = rows.repartitionByRange("_k", "_h").sortWithinPartitions("_k", "_h", "_t").select("_k", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(definition.value)
+        encoder = Encoder(definition.value)
         narrow = max(encoder.largest, end_id) < 1 << 16
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}.rec"
@@ -202,14 +226,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         index, at, tokens = [], 0, 0
         with store.open_output_stream(f"{path}/{own}") as out:
             for batch in batches:
-                for row in range(0, batch.num_rows, ROWS):
-                    some = batch.slice(row, ROWS)
+                for some in _groups(batch):
                     for k, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
                         record = frame(pack(k, np.append(ids, np.uint32(end_id)), narrow))
                         out.write(record)
                         index.append((at, len(ids) + 1))
                         at += len(record)
                         tokens += len(ids) + 1
+        del encoder
+        release()  # the next stage's tasks run in the same worker
         if not index:
             store.delete_file(f"{path}/{own}")
             return
