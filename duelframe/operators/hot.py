@@ -50,33 +50,34 @@ class Cuts:
     fixed: bool = True
 
 
-def _sizes(base: DataFrame, keys: list[str]) -> DataFrame:
-    return (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-            .where(F.col("_rows") > hot_rows(base.sparkSession)).select(*keys))
+def _sizes(base: DataFrame, keys: list[str], most: int) -> DataFrame:
+    return base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select(*keys)
 
 
-def _cut_table(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _cut_table(df: DataFrame, group: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
     base, keys = nonnull_keys(df.select(*dict.fromkeys([*group, *order])), group)
-    rows = max(1, hot_rows(df.sparkSession) // SLICES_A_HOT_GROUP)
+    rows = max(1, most // SLICES_A_HOT_GROUP)
     every = min(SAMPLED, rows)
     sample = (base.where(F.pmod(F.xxhash64(*order), F.lit(rows // every)) == 0)
-              .join(_sizes(base, keys), keys, "left_semi"))
+              .join(_sizes(base, keys, most), keys, "left_semi"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (sample.select(*keys, F.struct(*order).alias("_at"), place.alias("_r")).where(F.col("_r") % every == 0)
             .groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_cuts")))
 
 
 def lazy_cuts(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Cuts:
-    return Cuts(_cut_table(df, group, order), fixed=False)
+    return Cuts(_cut_table(df, group, order, hot_rows(df.sparkSession)), fixed=False)
 
 
-def find_cuts(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> Cuts:
+def find_cuts(df: DataFrame, group: Sequence[str], order: Sequence[str], most: int | None = None) -> Cuts:
     """Cuts of the groups of ``df``: the rows of a window, or a cheaper table with as many
-    rows of each group or more and the same order columns."""
+    rows of each group or more and the same order columns. ``most``: rows of a group that
+    need no cut, by default those of the session."""
+    most = hot_rows(df.sparkSession) if most is None else most
     base, keys = nonnull_keys(df.select(*group), group)
-    if _sizes(base, keys).isEmpty():
+    if _sizes(base, keys, most).isEmpty():
         return Cuts(None)
-    table = written(_cut_table(df, group, order), "cuts")
+    table = written(_cut_table(df, group, order, most), "cuts")
     return Cuts(table, (table.agg(F.sum(F.size("_cuts"))).first()[0] or 0) <= MAX_BROADCAST_CUTS)
 
 

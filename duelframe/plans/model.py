@@ -153,27 +153,28 @@ def brier(df: DataFrame, label: str = "label", prob: str = "p1") -> float:
     return float(df.agg(F.avg(F.pow(F.col(label).cast("double") - F.col(prob), 2))).first()[0])
 
 
-def soft_vote(models: Sequence[Transformer], df: DataFrame, keep: Sequence[str], spec: ModelSpec,
+def soft_vote(models: Sequence[Transformer | F.Column], df: DataFrame, keep: Sequence[str], spec: ModelSpec,
               weights: Sequence[float] | None = None) -> DataFrame:
-    """Weighted mean of the class-1 probabilities of several fitted
-    pipelines; prediction = mean > 0.5 (ties go to class 0). The models
+    """Weighted mean of the class-1 probabilities of several fitted pipelines, or of
+    columns that give one; prediction = mean > 0.5 (ties go to class 0). The models
     are applied one after the other to the same rows (each keeps only its
     probability), so scoring is one pass with no join."""
     weights = list(weights or [1.0] * len(models))
     cur = df
     for i, m in enumerate(models):
-        cur = m.transform(cur).select(*cur.columns, prob1().alias(f"_p{i}"))
+        cur = (cur.withColumn(f"_p{i}", m) if isinstance(m, F.Column)
+               else m.transform(cur).select(*cur.columns, prob1().alias(f"_p{i}")))
     p = sum(F.col(f"_p{i}") * w for i, w in enumerate(weights)) / sum(weights)
     return cur.select(*keep, F.col(spec.label).alias("label"), p.alias("p1"),
                       (p > 0.5).cast("int").alias("prediction"))
 
 
-def fixed_logistic(weights: dict[str, float], intercept: float, df: DataFrame) -> DataFrame:
-    """``df`` with ``p1`` of a logistic model with given coefficients."""
+def fixed_logistic(weights: dict[str, float], intercept: float) -> F.Column:
+    """Probability of a logistic model with given coefficients."""
     z = F.lit(intercept)
     for c, w in weights.items():
         z = z + F.col(c) * w
-    return df.withColumn("p1", 1 / (1 + F.exp(-z)))
+    return 1 / (1 + F.exp(-z))
 
 
 # Search spaces: (name, low, high, kind) with kind in {"log", "uniform", "int"}.

@@ -879,6 +879,31 @@ def matchup_features(spark, sf):
     return req.join(side("1"), ["league", "team_1"]).join(side("2"), ["league", "team_2"])
 
 
+@register("merged_state", with_views(*TEAM_VIEWS, body=f"""
+, x AS (SELECT *, SUM(1 - win) OVER {INCL} AS island, ROW_NUMBER() OVER ({W_TEAM}) AS rn,
+               AVG(points) OVER {INCL} AS mean_points, MIN(points) OVER {INCL} AS min_points, MAX(points) OVER {INCL} AS max_points,
+               CASE WHEN COUNT(points) OVER {INCL5} = 5 THEN AVG(points) OVER {INCL5} END AS last_points,
+               AVG(allowed) OVER {INCL} AS mean_allowed,
+               ROW_NUMBER() OVER (PARTITION BY league, team_id ORDER BY day_num DESC, game_key DESC) AS rk FROM team_game)
+SELECT league, team_id, rn AS games, (SELECT CAST(COALESCE(SUM(y.win), 0) AS BIGINT) FROM x y
+         WHERE y.league = x.league AND y.team_id = x.team_id AND y.island = x.island) AS win_run,
+       ROUND(mean_points, 6) AS mean_points, ROUND(last_points, 6) AS last_points, min_points, max_points,
+       ROUND(mean_allowed, 6) AS mean_allowed
+FROM x WHERE rk = 1"""))
+def merged_state(spark, sf):
+    """Serving state by merging: the games before a day and those since it are summarised
+    apart, and the two states of a team merged."""
+    from duelframe.operators.state import merge_states, row_states, state_features
+    tg = written(_team_games(spark, sf), "team-games")
+    values, middle = ["points", "allowed"], tg.agg(F.floor(F.avg("day_num"))).first()[0]
+    rows = row_states(tg, ENTITY, ORDER, values, "win")
+    old = written(merge_states(rows.where(F.col("first.day_num") < middle), ENTITY, values, 5), "state")
+    new = merge_states(rows.where(F.col("first.day_num") >= middle), ENTITY, values, 5)
+    s = state_features(merge_states(old.unionByName(new), ENTITY, values, 5), ENTITY, values, 5)
+    return s.select(*ENTITY, F.col("rows").alias("games"), F.col("run").alias("win_run"), rounded("mean_points").alias("mean_points"),
+                    rounded("last_points").alias("last_points"), "min_points", "max_points", rounded("mean_allowed").alias("mean_allowed"))
+
+
 # --------------------------------------------------------------------------
 # Model jobs (M1-M17). Iterative, so no SQL oracle: the driver checks rows.
 
@@ -1053,19 +1078,35 @@ FROM g CROSS JOIN train t""")
 def one_hot_long(spark, sf):
     """One-hot rows of side A's location: one row per game and category seen in training
     (keys ending in 0-6); an unseen category is 0 everywhere."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
+    from duelframe.plans import model as M
     g = game_features(_team_games(spark, sf), cuts=_cuts(spark, sf)).select("league", "game_key", "loc_A")
-    index = StringIndexer(inputCol="loc_A", outputCol="i", handleInvalid="keep", stringOrderType="alphabetAsc").fit(
-        g.where(F.col("game_key") % 10 < 7))
-    coded = index.transform(g)
-    vectors = OneHotEncoder(inputCols=["i"], outputCols=["v"], dropLast=True).fit(coded).transform(coded)
-    labels = F.array(*[F.lit(x) for x in index.labels])  # three locations
-    return vectors.select("league", "game_key", F.explode(F.arrays_zip(
-        labels.alias("category"), vector_to_array("v").alias("hot"))).alias("x")).select(
+    train = g.where(F.col("game_key") % 10 < 7)
+    prep = Pipeline(stages=M.feature_stages(train, M.ModelSpec("win_A", onehot=["loc_A"]))).fit(train)
+    labels = F.array(*[F.lit(x) for x in prep.stages[1].labelsArray[0]])  # three locations
+    return prep.transform(g).select("league", "game_key", F.explode(F.arrays_zip(
+        labels.alias("category"), vector_to_array("features").alias("hot"))).alias("x")).select(
         "league", "game_key", "x.category", F.col("x.hot").cast("int").alias("hot"))
 
 
+CODED = ("o_custkey", "o_orderpriority")
+
+
+@register("category_codes", """
+WITH l AS (""" + " UNION ALL ".join(f"SELECT o_orderkey, '{c}' AS col_name, CAST({c} AS VARCHAR) AS value FROM orders" for c in CODED) + """),
+codes AS (SELECT col_name, value, ROW_NUMBER() OVER (ORDER BY col_name, value) - 1 AS code
+          FROM (SELECT DISTINCT col_name, value FROM l WHERE o_orderkey % 10 < 7))
+SELECT o_orderkey, col_name, code FROM l JOIN codes USING (col_name, value)""")
+def category_codes(spark, sf):
+    """Customers and priorities as sparse codes of the values seen in training (keys ending
+    in 0-6); a customer unseen there has no row."""
+    from duelframe.operators.encode import encode_long, fit_codes
+    o = Tables(spark, sf).orders.select("o_orderkey", *CODED)
+    codes = fit_codes(o.where(F.col("o_orderkey") % 10 < 7), CODED)
+    return encode_long(o, ["o_orderkey"], CODED, codes).withColumnRenamed("column", "col_name")
+
+
 @register("scaled_features", _flagship_sql().replace("SELECT a.league", ", g AS (SELECT a.league", 1) + ")\n"
           + "SELECT league, game_key, " + ", ".join(
               f"ROUND(({c} - (SELECT AVG({c}) FROM g)) / (SELECT STDDEV_POP({c}) FROM g), 6) AS {c}" for c in SCALED)
@@ -1092,9 +1133,8 @@ def voted_probability(spark, sf):
     from duelframe.plans import model as M
     g = game_features(_team_games(spark, sf), cuts=_cuts(spark, sf))
     rule = F.when(F.col("points_mean_prior_A") > F.col("points_mean_prior_B"), 0.75).otherwise(0.25)
-    scored = M.fixed_logistic(VOTE, 0.1, g).withColumn("p2", rule)
-    p = (2 * F.col("p1") + F.col("p2")) / 3
-    return scored.select("league", "game_key", rounded(p).alias("p1"), (p > 0.5).cast("int").alias("prediction"))
+    vote = M.soft_vote([M.fixed_logistic(VOTE, 0.1), rule], g, ["league", "game_key"], M.ModelSpec("win_A"), [2.0, 1.0])
+    return vote.select("league", "game_key", rounded("p1").alias("p1"), "prediction")
 
 
 # --------------------------------------------------------------------------
