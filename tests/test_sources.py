@@ -61,6 +61,23 @@ def test_split_keeps_key_and_spreads_hot_key(spark, tmp_path):
     assert 1 < len(files) <= 4  # the hot key was written by several tasks
 
 
+def test_files_follow_the_sizes(spark, tmp_path):
+    rows = [("big", i, "x" * 20) for i in range(9000)] + [(f"k{i % 40}", i, "y" * 20) for i in range(960)] + [(None, 1, "z")] * 40
+    df = spark.createDataFrame(rows, "sys string, x int, t string")
+    root = str(tmp_path / "split")
+    write_partitioned(df, "sys", root, key_copy="part", file_bytes=31 * 900)
+    files = {f.name: len(list(f.glob("*.parquet"))) for f in (tmp_path / "split").iterdir() if f.is_dir()}
+    assert 9 <= files["part=big"] <= 11 and all(files[f"part=k{i}"] == 1 for i in range(40)) and len(files) == 42
+    back = spark.read.parquet(root)
+    assert sorted(map(repr, back.select("sys", "x", "t").collect())) == sorted(map(repr, df.collect()))
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "split").rglob("*.parquet") if "part=big" not in str(f)}
+    assert len(tasks) <= 4  # small keys share tasks
+    write_partitioned(df, "sys", root + "c", key_copy="part", fmt="csv")
+    one = read_partition(spark, root + "c", "part", "k3", "csv", df.schema)
+    assert one.schema["x"].dataType.typeName() == "integer" and one.count() == 24
+    write_partitioned(df.limit(0), "sys", root + "e", key_copy="part")
+
+
 def test_scale_conf_sizes_partitions():
     from duelframe.session import scale_conf
     big = scale_conf(100 * 2**40, executor_cores=8000)
