@@ -29,14 +29,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.operators.logistic import brier_scores, fit_all, inverse_strength
+from duelframe.operators.network import fit_network, score_network
 from duelframe.operators.stats import mean_std
 from duelframe.operators.written import written
 
@@ -127,14 +127,6 @@ def forest(spec: ModelSpec, n_trees: int = 100, min_split: int = 2, seed: int =
     return rf
 
 
-def network(n_features: int, spec: ModelSpec, neurons: int = 32, layers: int = 2,
-            max_iter: int = 100, seed: int = 42, step: float = 0.03) -> MultilayerPerceptronClassifier:
-    """Trained by gradient descent, the solver that heeds the learning rate ``step``."""
-    return MultilayerPerceptronClassifier(labelCol=spec.label, featuresCol="features",
-                                          layers=[n_features] + [neurons] * layers + [2],
-                                          maxIter=max_iter, seed=seed, stepSize=step, solver="gd")
-
-
 def fit(train: DataFrame, spec: ModelSpec, estimator) -> PipelineModel:
     return Pipeline(stages=feature_stages(train, spec) + [estimator]).fit(train)
 
@@ -202,17 +194,6 @@ def draw(space, rng: random.Random) -> dict:
     return out
 
 
-def _estimator(family: str, params: dict, train: DataFrame, spec: ModelSpec, n_features: int,
-               max_iter: int):
-    if family.startswith("logistic"):
-        pen = family.split("_", 1)[1]
-        return logistic(train, spec, params["C"], pen, params.get("l1_ratio", 0.0), max_iter)
-    if family == "forest":
-        return forest(spec, params["n_trees"], params["min_split"])
-    return network(n_features, spec, params["neurons"], params["layers"], max_iter,
-                   step=params["learning_rate"])
-
-
 def search(train: DataFrame, test: DataFrame, spec: ModelSpec, family: str, n_trials: int = 100,
            seed: int = 42, parallelism: int = 2, max_iter: int = 1000) -> DataFrame:
     """Evaluate ``n_trials`` seeded draws by Brier score on ``test``; one
@@ -226,40 +207,45 @@ def search(train: DataFrame, test: DataFrame, spec: ModelSpec, family: str, n_tr
     first = tr.select("features").first()
     n_features = len(first[0]) if first else 0
 
-    def run(i_params):
-        i, params = i_params
+    inputs = [f"f{i}" for i in range(n_features)]
+
+    def run(params: dict) -> float:
+        if family == "network":
+            net = fit_network(wide(tr, spec, inputs), spec.label, inputs, params["neurons"], params["layers"], params["learning_rate"],
+                              min(max_iter, NETWORK_EPOCHS), weight=spec.weight)
+            return brier(score_network(wide(te, spec, inputs), net), spec.label)
+        parts = [forest(spec, params["n_trees"], params["min_split"]).fit(tr)]
         if family == "ensemble":
-            parts = [forest(spec, params["n_trees"], params["min_split"]).fit(tr),
-                     logistic(train, spec, params["C"], max_iter=max_iter).fit(tr)]
-            out = soft_vote(parts, te.select("features", spec.label), [], spec)
-            return brier(out)
-        model = _estimator(family, params, train, spec, n_features, max_iter).fit(tr)
-        return brier(model.transform(te).select(F.col(spec.label).alias("label"), prob1().alias("p1")))
+            parts.append(logistic(train, spec, params["C"], max_iter=max_iter).fit(tr))
+        return brier(soft_vote(parts, te.select("features", spec.label), [], spec))
 
     if family.startswith("logistic"):
-        scores = logistic_study(tr, te, spec, family, trials, n_features, max_iter)
+        scores = logistic_study(wide(tr, spec, inputs), wide(te, spec, inputs), spec, family, trials, inputs, max_iter)
     else:
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            scores = list(pool.map(run, enumerate(trials)))
+            scores = list(pool.map(run, trials))
     rows = [(i, family, json.dumps(p, sort_keys=True), b) for i, (p, b) in enumerate(zip(trials, scores))]
     return (train.sparkSession.createDataFrame(rows, "trial int, family string, params string, brier double")
             .orderBy("brier", "trial"))
 
 
-def logistic_study(train: DataFrame, test: DataFrame, spec: ModelSpec, family: str, trials: Sequence[dict],
-                   n_features: int, max_iter: int = 1000) -> list[float]:
-    """Brier score on ``test`` of every trial, all fitted together; both tables have ``features``."""
-    inputs = [f"f{i}" for i in range(n_features)]
+NETWORK_EPOCHS = 10
 
-    def wide(df: DataFrame) -> DataFrame:
-        values = vector_to_array("features")
-        return df.select(spec.label, *([spec.weight] if spec.weight else []), *[values[i].alias(c) for i, c in enumerate(inputs)])
 
+def wide(df: DataFrame, spec: ModelSpec, inputs: Sequence[str]) -> DataFrame:
+    """The entries of ``features`` as columns ``inputs``, with the label and the weight."""
+    values = vector_to_array("features")
+    return df.select(spec.label, *([spec.weight] if spec.weight else []), *[values[i].alias(c) for i, c in enumerate(inputs)])
+
+
+def logistic_study(train: DataFrame, test: DataFrame, spec: ModelSpec, family: str, trials: Sequence[dict],
+                   inputs: Sequence[str], max_iter: int = 1000) -> list[float]:
+    """Brier score on ``test`` of every trial, all fitted together; both tables are ``wide``."""
     total = _n(train, spec)
     ratio = {"logistic_l2": lambda t: 0.0, "logistic_l1": lambda t: 1.0, "logistic_elasticnet": lambda t: t["l1_ratio"]}[family]
-    fits = fit_all(wide(train), spec.label, inputs, [inverse_strength(t["C"], total, ratio(t)) for t in trials], spec.weight,
+    fits = fit_all(train, spec.label, inputs, [inverse_strength(t["C"], total, ratio(t)) for t in trials], spec.weight,
                    min(max_iter, 50), 1e-6)
-    return brier_scores(wide(test), spec.label, inputs, fits)
+    return brier_scores(test, spec.label, inputs, fits)
 
 
 def save(model: PipelineModel, path: str) -> None:

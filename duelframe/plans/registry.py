@@ -997,6 +997,39 @@ def logistic_newton(spark, sf):
     return spark.createDataFrame(rows, "name string, v double").select("name", rounded("v").alias("coefficient"))
 
 
+# One step by hand: the mean gradient of a network of one rectified unit at fixed weights.
+@register("network_gradient", _LOGIT_DATA.replace("WITH RECURSIVE", "WITH", 1) + """
+, unit AS (SELECT *, greatest(0.3 + 0.8 * x1 - 0.5 * x2, 0) AS h, 0.3 + 0.8 * x1 - 0.5 * x2 > 0 AS act FROM d)
+, err AS (SELECT *, 1 / (1 + exp(-(0.1 + 1.5 * h))) - y AS r FROM unit)
+, m AS (SELECT avg(CASE WHEN act THEN r * 1.5 * x1 ELSE 0 END) AS w0, avg(CASE WHEN act THEN r * 1.5 * x2 ELSE 0 END) AS w1,
+               avg(r * h) AS w2, avg(CASE WHEN act THEN r * 1.5 ELSE 0 END) AS b0, avg(r) AS b1 FROM err)
+SELECT n.name, ROUND(CASE n.name WHEN 'w0' THEN w0 WHEN 'w1' THEN w1 WHEN 'w2' THEN w2 WHEN 'b0' THEN b0 ELSE b1 END, 6) AS slope
+FROM m, (VALUES ('w0'), ('w1'), ('w2'), ('b0'), ('b1')) n(name)""")
+def network_gradient(spark, sf):
+    """The gradient that one synchronous step of the network adds up, at given weights."""
+    import numpy as np
+    from duelframe.operators.network import Network, summed_gradient
+    net = Network(list(DIFFERENCES), [np.array([[0.8], [-0.5]]), np.array([[1.5]])], [np.array([0.3]), np.array([0.1])])
+    rows = _differences(spark, sf).select(F.col("y").cast("double").alias("y"), F.lit(1.0).alias("w"), *DIFFERENCES)
+    g, _, n = summed_gradient(rows, net)
+    return spark.createDataFrame(list(zip(("w0", "w1", "w2", "b0", "b1"), (g / n).tolist())), "name string, v double").select(
+        "name", rounded("v").alias("slope"))
+
+
+@register("network_scores")
+def network_scores(spark, sf):
+    """Held-out probabilities of a network trained in synchronous mini-batches for 10 epochs."""
+    from duelframe.operators.network import fit_network, score_network
+    train, test = _train_test(spark, sf)
+    scale = {c: (r.mean or 0.0, r.std or 1.0) for r in mean_std(train, SCALED).collect() for c in [r.column]}
+
+    def scaled(d):
+        return d.withColumns({f"{c}_z": (F.col(c) - m) / s for c, (m, s) in scale.items()})
+    inputs = ["win_pct_prior_A", "win_pct_prior_B", "win_pct_last5_A", "win_pct_last5_B", *[f"{c}_z" for c in SCALED]]
+    net = fit_network(scaled(train), "win_A", inputs, neurons=32, layers=2, batches=5)
+    return score_network(scaled(test), net).select("league", "game_key", "p1", (F.col("p1") > 0.5).cast("int").alias("prediction"))
+
+
 STRENGTHS = [10 ** (-5 + 7 * i / 99) for i in range(100)]
 
 
