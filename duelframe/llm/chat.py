@@ -7,8 +7,9 @@ that does not begin with the one before shows a template that rewrites history.
 Where a turn's text lies inside its span is found by rendering two probe texts in
 its place and comparing them from both ends.
 
-Turns stream in order through a task, a conversation's blocks one after another, so
-no conversation is ever held whole.
+Turns are numbered in their conversation and dealt to tasks by block, each block with the
+turn before it, so a conversation of any length is rendered by many tasks. Digests of
+whole conversations stream: a block is held at a time.
 """
 
 from __future__ import annotations
@@ -18,10 +19,15 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duelframe.operators.hot import find_cuts
+from duelframe.operators.ordinal import ordinal_within
+
+ROWS, CHARS = 1_000, 4_000_000  # rows, or characters of text, handed on at once
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
@@ -106,54 +112,71 @@ def format_conversations(turns: DataFrame, template: Template = marked_turns, co
     before it at most: prefixes then restart with that turn, time is in proportion to the
     length, and rewriting is seen inside a block.
 
-    Rows of one conversation are in order of ``turn`` (null first), role and text; its
-    blocks are consecutive rows of one partition. Null roles and texts are empty strings;
+    Rows of one conversation are in order of ``turn`` (null first), role and a digest of the
+    text; its blocks are rows in any partition. Null roles and texts are empty strings;
     rows with a null ``conv`` form one conversation; repeated rows are turns each; an
-    empty table gives no rows. Other columns are left out.
+    empty table gives no rows. Texts of any length are whole; what is handed on at once
+    is counted in characters. Other columns are left out, whatever their names.
     """
     key = T.StructField(conv, turns.schema[conv].dataType)
-    schema = T.StructType([key, T.StructField("block", T.IntegerType()), T.StructField("formatted", T.StringType()),
+    schema = T.StructType([key, T.StructField("block", T.LongType()), T.StructField("formatted", T.StringType()),
                            T.StructField("spans", T._parse_datatype_string(SPANS)),
                            T.StructField("rewrites", T.BooleanType())])
-    ordered = (turns.select(F.col(conv).alias("_c"), F.col(turn).alias("_n"),
-                            F.coalesce(F.col(role).cast("string"), F.lit("")).alias("_r"),
-                            F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-               .repartition("_c").sortWithinPartitions("_c", "_n", "_r", "_t").select("_c", "_r", "_t"))
+    rows = turns.select(F.col(conv).alias("_c"), F.col(turn).alias("_n"),
+                        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("_r"),
+                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).withColumn("_d", F.md5("_t"))
+    order = ["_n", "_r", "_d"]
+    if block:
+        placed = ordinal_within(rows, ["_c"], order, "_p", find_cuts(rows, ["_c"], order))
+        b, i = F.floor(F.col("_p") / block), F.col("_p") % block
+
+        def place(number: Column, at: Column) -> Column:
+            return F.struct(number.cast("long").alias("b"), at.cast("int").alias("i"))
+
+        # a block's last turn also comes before the next block, as its turn 0
+        here, also = place(b, i + 1), place(b + 1, F.lit(0))
+        dealt = placed.select("_c", "_r", "_t", F.explode(
+            F.when(i == block - 1, F.array(here, also)).otherwise(F.array(here))).alias("_at"))
+        ordered = (dealt.select("_c", F.col("_at.b").alias("_b"), F.col("_at.i").alias("_i"), "_r", "_t")
+                   .repartition("_c", "_b").sortWithinPartitions("_c", "_b", "_i"))
+    else:
+        ordered = (rows.withColumns({"_b": F.lit(0).cast("long"), "_i": F.lit(1)}).repartition("_c")
+                   .sortWithinPartitions("_c", *order).select("_c", "_b", "_i", "_r", "_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         pending: list[Turn] = []
         before: list[Turn] = []
-        current, number, key_type = None, 0, None
+        current, chars = None, 0
 
         def close() -> None:
-            nonlocal pending, before, number
+            nonlocal chars
             if pending:
                 formatted, spans, rewrites = render_turns(before, pending, template)
-                rows.append((current[0], number, formatted, [
+                rows.append((*current, formatted, [
                     dict(zip(("role", "start", "end", "text_start", "text_end", "loss"), (r, *s, r in loss_roles)))
                     for (r, _), s in zip(pending, spans)], rewrites))
-                before, pending, number = pending[-1:], [], number + 1
+                chars += len(formatted)
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*rows))
+            nonlocal chars
+            columns, chars = list(zip(*rows)), 0
             rows.clear()
-            types = (key_type, pa.int32(), pa.string(), spans_type, pa.bool_())
+            types = (key_type, pa.int64(), pa.string(), spans_type, pa.bool_())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
 
         spans_type = pa.list_(pa.struct([("role", pa.string()), *[(n, pa.int32()) for n in (
             "start", "end", "text_start", "text_end")], ("loss", pa.bool_())]))
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for c, r, t in zip(*(col.to_pylist() for col in batch.columns)):
-                if current is None or current[0] != c:
+            for at in range(batch.num_rows):
+                c, b, i, r, t = (col[at].as_py() for col in batch.columns)
+                if current != (c, b):
                     close()
-                    current, before, number = (c,), [], 0
-                elif block and len(pending) >= block:
-                    close()
-                pending.append((r, t))
-                if len(rows) >= 1000:
-                    yield flush()
+                    if len(rows) >= ROWS or chars >= CHARS:
+                        yield flush()
+                    current, pending, before = (c, b), [], []
+                (pending if i else before).append((r, t))
         close()
         if rows:
             yield flush()
@@ -164,32 +187,34 @@ def format_conversations(turns: DataFrame, template: Template = marked_turns, co
 def read_back(blocks: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Digests of conversations, read from the output of ``format_conversations`` with the
     template ``marked_turns``: the turns from the formatted text alone, the loss text from
-    the loss mask. ``blocks`` must be in that operator's order."""
+    the loss mask, and ``rewrites``, the blocks in which the template rewrote history. A
+    conversation's blocks stream in order, as a digest is of the whole."""
     schema = T.StructType([blocks.schema[conv], *[T.StructField(n, t) for n, t in (
         ("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()),
-        ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()))]])
+        ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()), ("rewrites", T.LongType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, rows, key_type = None, [], None
 
         def result() -> tuple:
-            c, n, turns, loss, digest, chars = state
-            return c, n, turns.hexdigest(), loss, digest.hexdigest(), chars
+            c, n, turns, loss, digest, chars, rewrites = state
+            return c, n, turns.hexdigest(), loss, digest.hexdigest(), chars, rewrites
 
         def flush() -> pa.RecordBatch:
-            types = (key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            types = (key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             columns = list(zip(*rows))
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            for c, number, formatted, spans in zip(*(col.to_pylist() for col in batch.columns)):
+            for at in range(batch.num_rows):
+                c, number, formatted, spans, rewrites = (col[at].as_py() for col in batch.columns)
                 if state is None or number == 0:
                     if state is not None:
                         rows.append(result())
-                    state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                    if len(rows) >= 1000:
+                    state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                    if len(rows) >= ROWS:
                         yield flush()
                 for role, a, b in parse_marked(formatted):
                     state[1] += 1
@@ -200,9 +225,11 @@ def read_back(blocks: DataFrame, conv: str = "conv_id") -> DataFrame:
                         state[3] += len(text)
                         state[4].update(text.encode())
                 state[5] += len(formatted)
+                state[6] += bool(rewrites)
         if state is not None:
             rows.append(result())
         if rows:
             yield flush()
 
-    return blocks.select(conv, "block", "formatted", "spans").mapInArrow(run, schema)
+    ordered = blocks.select(conv, "block", "formatted", "spans", "rewrites").repartition(conv)
+    return ordered.sortWithinPartitions(conv, "block").mapInArrow(run, schema)

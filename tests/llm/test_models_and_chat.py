@@ -138,6 +138,26 @@ def test_conversations_read_back(spark, block):
     assert read_back(format_conversations(df.limit(0))).count() == 0
 
 
+def test_a_long_conversation_is_dealt_over_tasks(spark):
+    from duelframe.operators.hot import CONF
+    df = spark.range(4000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                  F.concat(F.lit("turn # "), "id").alias("text")).repartition(5)
+    spark.conf.set(CONF, "300")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is tiny
+    try:
+        made = format_conversations(df, block=16)
+        parts = made.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        one, = read_back(made).collect()
+    finally:
+        spark.conf.unset(CONF)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 4 and max(r["count"] for r in parts) < 100  # of 250 blocks
+    turns = [("user" if i % 2 == 0 else "assistant", f"turn # {i}") for i in range(4000)]
+    assert (one.n_turns, one.formatted_chars, one.rewrites) == (4000, len(marked_turns(turns)), 0)
+    assert one.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+
+
 def test_rewriting_templates_are_detected():
     def last_only(turns):
         return "".join(f"[{r}]{t if i == len(turns) - 1 else '...'}" for i, (r, t) in enumerate(turns))
