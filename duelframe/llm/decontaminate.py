@@ -7,9 +7,10 @@ set that travels with the plan. One scan of the documents hashes the windows of
 each text inside its row and looks them up; the few that are found are joined
 with the windows themselves, word by word, so a hash collision does no harm.
 
-The set is broadcast only while it holds at most ``MAX_BROADCAST`` windows. A
-larger benchmark is dealt into blocks of that size and the documents are scanned
-once for each block; the spans are united at the end.
+A set holds at most ``MAX_BROADCAST`` windows. A larger benchmark is dealt into blocks of
+that size; the documents are scanned once for each block and its hits written before the
+next. Which items have a window is a table of its own, joined to the distinct windows of
+each document, so a window of very many items makes no large row in the broadcast.
 
 DataFrame functions only.
 """
@@ -56,15 +57,18 @@ def windows_found(words: str, length: int, hashes: list[int]) -> Column:
           i -> struct(i AS at, slice({words}, i + 1, {length}) AS gram))""")
 
 
-def benchmark_windows(benchmark: DataFrame, window: int, item: str, text: str) -> DataFrame:
-    """``h``, ``gram`` (its words) and ``items`` (ids with that window), one row for each window."""
+def benchmark_windows(benchmark: DataFrame, window: int, item: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Windows ``h``, ``h2`` (128 bits of hash), ``len``, ``gram`` (its words), one row for each; and
+    (``h``, ``h2``, ``item``), the items that have it. Both are written."""
     w = lowered(raw_words(F.col(text)))
     items = benchmark.select(F.col(item).cast("string").alias("item"), w.alias("w")).where(F.size("w") > 0)
     n = F.least(F.lit(window), F.size("w"))
     grams = items.select("item", F.explode(F.transform(
         F.sequence(F.lit(0), F.size("w") - n), lambda i: F.slice("w", i + 1, n))).alias("gram"))
-    return grams.groupBy("gram").agg(F.collect_set("item").alias("items")).select(
-        F.xxhash64("gram").alias("h"), F.size("gram").alias("len"), "gram", "items")
+    name = [F.xxhash64("gram").alias("h"), F.xxhash64("gram", F.lit(1)).alias("h2")]
+    windows, _ = saved(grams.select("gram").distinct().select(*name, F.size("gram").alias("len"), "gram"), "grams")
+    members, _ = saved(grams.where("item is not null").select(*name, "item").distinct(), "members")
+    return windows, members
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text",
@@ -77,10 +81,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str
 
     A null or empty text has no words and no hit; a null or empty item text has no
     window; an item with a null id marks words but is not listed; repeated items
-    and documents count each on their own. Columns of ``docs`` that are not kept do
-    no harm whatever their names.
+    and documents count each on their own. A text of any length is looked up whole, inside
+    its row; an empty table gives no rows. Columns of ``docs`` that are not kept do
+    no harm whatever their names, and kept ones may have any.
     """
-    grams, _ = saved(benchmark_windows(benchmark, window, item, item_text), "grams")
+    grams, members = benchmark_windows(benchmark, window, item, item_text)
     blocks = max(1, math.ceil(grams.count() / max_broadcast))
     ks = [f"_k{i}" for i in range(len(keep))]
     base = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, ks)], F.monotonically_increasing_id().alias("_row"),
@@ -98,14 +103,18 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str
                              F.concat(none, *lists).alias("_found"))
         # the words stay behind: explode copies every column it hands on
         rows = probes.select("_row", *ks, "_n", F.explode_outer("_found").alias("_f"))
-        hits = (rows.join(F.broadcast(part.select("gram", "items", "len")), F.col("_f.gram") == F.col("gram"), "left")
-                .select("_row", *ks, "_n", F.when(F.col("gram").isNotNull(), F.struct(
-                    F.col("_f.at").alias("start"), (F.col("_f.at") + F.col("len")).alias("end"))).alias("_span"),
-                    "items"))
-        found = hits if found is None else found.unionByName(hits.where("_span is not null"))
-    per = found.groupBy("_row", *ks).agg(
-        F.max("_n").alias("n_words"), F.array_sort(F.collect_set("_span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        hits = (rows.join(F.broadcast(part.withColumnsRenamed({"gram": "_g"})), F.col("_f.gram") == F.col("_g"), "left")
+                .select("_row", *ks, "_n", "h", "h2", F.when(F.col("_g").isNotNull(), F.struct(
+                    F.col("_f.at").alias("start"), (F.col("_f.at") + F.col("len")).alias("end"))).alias("_span")))
+        # written before the next block, so a plan holds the hashes of one block
+        hits, _ = saved(hits if found is None else hits.where("_span is not null"), "hits")
+        found = hits if found is None else found.unionByName(hits)
+    spans = found.groupBy("_row").agg(
+        *[F.first(k).alias(k) for k in ks], F.max("_n").alias("n_words"), F.array_sort(F.collect_set("_span")).alias("spans"))
+    # a document's windows first, then their items: a window of very many items is no wide row
+    listed = (found.where("_span is not null").select("_row", "h", "h2").distinct().join(members, ["h", "h2"])
+              .groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    per = spans.join(listed, "_row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("spans", zero, lambda s, x: F.struct(
         F.greatest(s["upto"], x["end"]).alias("upto"),

@@ -68,6 +68,17 @@ def test_hits_against_brute_force(spark, odd, blocks):
     assert any(r[2] for r in rows)
 
 
+@pytest.mark.parametrize("blocks", [3, 1000])
+def test_a_line_shared_by_a_third_of_the_items(spark, blocks):
+    line = "answer the question below with one word and no more than that please"
+    items = [(i, f"{line} item {i} of many" if i % 3 == 0 else f"own words number {i} and some more of them here now") for i in range(60)]
+    docs = [(i, f"before {line} after {i}" if i % 2 else f"nothing in common with it {i}") for i in range(40)]
+    got = find_hits(spark.createDataFrame(docs, "doc_id long, text string"),
+                    spark.createDataFrame(items, "item_id long, text string"), window=10, max_broadcast=blocks)
+    rows = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got.collect()), key=repr)
+    assert rows == brute_hits(docs, items, 10) and len(rows[1][3]) == 20
+
+
 def test_hits_with_empty_tables(spark, odd, none):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert find_hits(none, bench).count() == 0
