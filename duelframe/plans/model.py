@@ -35,7 +35,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.operators.logistic import brier_scores, fit_all, inverse_strength
+from duelframe.operators.forest import fit_forest, score_forest
+from duelframe.operators.logistic import brier_scores, fit_all, inverse_strength, probability
 from duelframe.operators.network import fit_network, score_network
 from duelframe.operators.stats import mean_std
 from duelframe.operators.written import written
@@ -118,7 +119,8 @@ def forest(spec: ModelSpec, n_trees: int = 100, min_split: int = 2, seed: int =
            max_depth: int = 30) -> RandomForestClassifier:
     """``min_split`` rows needed to split a node ~ at least ``min_split//2``
     rows per child (``minInstancesPerNode``). ``max_depth``: 30 is the deepest
-    that Spark grows; the original has no limit."""
+    that Spark grows. ``operators.forest`` has neither limit; this one is for pipelines
+    that are saved."""
     rf = RandomForestClassifier(labelCol=spec.label, featuresCol="features", numTrees=n_trees,
                                 minInstancesPerNode=max(1, min_split // 2), maxDepth=max_depth,
                                 seed=seed)
@@ -214,10 +216,13 @@ def search(train: DataFrame, test: DataFrame, spec: ModelSpec, family: str, n_tr
             net = fit_network(wide(tr, spec, inputs), spec.label, inputs, params["neurons"], params["layers"], params["learning_rate"],
                               min(max_iter, NETWORK_EPOCHS), weight=spec.weight)
             return brier(score_network(wide(te, spec, inputs), net), spec.label)
-        parts = [forest(spec, params["n_trees"], params["min_split"]).fit(tr)]
-        if family == "ensemble":
-            parts.append(logistic(train, spec, params["C"], max_iter=max_iter).fit(tr))
-        return brier(soft_vote(parts, te.select("features", spec.label), [], spec))
+        trees = fit_forest(wide(tr, spec, inputs), spec.label, inputs, params["n_trees"], params["min_split"], weight=spec.weight)
+        scored_rows = score_forest(wide(te, spec, inputs), trees)
+        if family == "forest":
+            return brier(scored_rows, spec.label)
+        fitted, = fit_all(wide(tr, spec, inputs), spec.label, inputs, [inverse_strength(params["C"], _n(train, spec))], spec.weight,
+                          min(max_iter, 50), 1e-6)
+        return brier(soft_vote([F.col("p1"), probability(fitted, inputs)], scored_rows, [], spec))
 
     if family.startswith("logistic"):
         scores = logistic_study(wide(tr, spec, inputs), wide(te, spec, inputs), spec, family, trials, inputs, max_iter)

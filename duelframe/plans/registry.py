@@ -1030,6 +1030,45 @@ def network_scores(spark, sf):
     return score_network(scaled(test), net).select("league", "game_key", "p1", (F.col("p1") > 0.5).cast("int").alias("prediction"))
 
 
+# A tree in SQL: each round cuts every node at its best place, ties to the lower input and value.
+@register("tree_leaves", _LOGIT_DATA + """
+, t AS MATERIALIZED (SELECT row_number() OVER () AS r, y, x1, x2 FROM d WHERE train)
+, it AS (
+  SELECT '' AS path, r FROM t
+  UNION ALL
+  (WITH cur AS (SELECT path, r, y, f, CASE f WHEN 1 THEN x1 ELSE x2 END AS v
+                FROM it JOIN t USING (r), (VALUES (1), (2)) n(f)),
+   cum AS (SELECT path, f, v, lead(v) OVER w AS nv, CAST(count(*) OVER c AS DOUBLE) AS cw, sum(y) OVER c AS co,
+                  CAST(count(*) OVER (PARTITION BY path, f) AS DOUBLE) AS n, sum(y) OVER (PARTITION BY path, f) AS o
+           FROM cur WINDOW w AS (PARTITION BY path, f ORDER BY v),
+                           c AS (PARTITION BY path, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+   cut AS (SELECT path, f, v, nv, 2 * co * (cw - co) / cw + 2 * (o - co) * ((n - cw) - (o - co)) / (n - cw) AS rest
+           FROM cum WHERE nv > v AND o > 0 AND o < n AND n >= 20),
+   best AS (SELECT path, f, CASE WHEN (v + nv) / 2 >= nv THEN v ELSE (v + nv) / 2 END AS thr
+            FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rest, f, v) AS k FROM cut) WHERE k = 1)
+   SELECT path || CASE WHEN v <= thr THEN 'L' ELSE 'R' END, r FROM cur JOIN best USING (path, f)))
+SELECT path, ROUND(avg(y), 6) AS value, count(*) AS n FROM (
+  SELECT r, arg_max(path, length(path)) AS path FROM it GROUP BY r) JOIN t USING (r) GROUP BY path""")
+def tree_leaves(spark, sf):
+    """Leaves of one exact tree without sampling, no limit of depth, at least 20 rows to a cut."""
+    from duelframe.operators.forest import fit_forest, leaves, score_forest
+    train = _differences(spark, sf).where("train")
+    made = fit_forest(train, "y", list(DIFFERENCES), n_trees=1, min_split=20, sample=False, features=2)
+    # rows of a leaf: by the leaf that each training row falls in
+    rows = score_forest(train, made, leaf="leaf").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    return leaves(made).join(rows, "leaf").select("path", rounded("value").alias("value"), "n")
+
+
+@register("forest_scores")
+def forest_scores(spark, sf):
+    """Held-out probabilities of a forest of 100 trees without a limit of depth."""
+    from duelframe.operators.forest import fit_forest, score_forest
+    train, test = _train_test(spark, sf)
+    inputs = ["win_pct_prior_A", "win_pct_prior_B", "win_pct_last5_A", "win_pct_last5_B", *SCALED]
+    made = fit_forest(train, "win_A", inputs, n_trees=100, min_split=4)
+    return score_forest(test, made).select("league", "game_key", "p1", (F.col("p1") > 0.5).cast("int").alias("prediction"))
+
+
 STRENGTHS = [10 ** (-5 + 7 * i / 99) for i in range(100)]
 
 
