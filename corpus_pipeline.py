@@ -17,7 +17,7 @@ from duelframe.llm.decontaminate import find_hits
 from duelframe.llm.mixing import mix_sources
 from duelframe.llm.ngram_join import keep_one
 from duelframe.llm.quality import fit_quality, score_quality
-from duelframe.llm.tables import bounded, new_path, pick, saved, text_hash
+from duelframe.llm.tables import bounded, new_path, pick, saved, small_batches, text_hash
 from duelframe.llm.token_binary import read_token_files, write_token_files
 
 THRESHOLD = 0.5
@@ -26,18 +26,26 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of at least ``THRESHOLD``; a null text has the model's bias."""
+    """Documents with a score of at least ``THRESHOLD``. A null or empty text has the model's bias;
+    rows that repeat a text have one fate; a text of any length is scored whole; no rows
+    give none."""
+    small_batches(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs, model, out="__score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the lowest id."""
+    """One document of each group of near copies, the one with the lowest id (null last). Null
+    and empty texts have no shingles and stay; of rows that repeat key and text one stays;
+    long texts are cut into all their shingles; no rows give none."""
+    small_batches(spark)
     return keep_one(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of the benchmark."""
+    """Documents without any window of the benchmark. Null and empty texts have none and stay;
+    rows that repeat key and text go or stay together; texts are searched whole; an empty
+    benchmark removes nothing."""
     named = docs.select("doc_id", "text", text_hash("text").alias("_th"))
     hits = find_hits(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("doc_id", "_th"))
     found = hits.where("n_hit > 0").select(F.col("doc_id").alias("__key"), F.col("_th").alias("__th")).distinct()
@@ -58,7 +66,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Records read back from the token files: doc_id, start, n_tokens, ids_crc32."""
+    """Records read back from the token files: doc_id, start, n_tokens, ids_crc32. A null or
+    empty text has the end id alone, null keys come first, rows that repeat a key follow
+    each other, texts are encoded whole, no rows give no files."""
+    small_batches(spark)
     manifest = write_token_files(docs, new_path(spark, "tokens"), public_tokenizers.path(TOKENIZER), END_ID)
     return read_token_files(spark, manifest)
 

@@ -40,6 +40,14 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 8 << 20) -> None:
+    """Let Spark hand rows to Python workers in batches of at most ``rows`` and about ``size``
+    bytes, for stages that pass whole texts through them: a batch is held by the executor
+    and by the worker, coming and going."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def release() -> None:
     """Give memory that a task has let go back to the system. Workers are used again, and what
     their allocators hold counts with the next stage's."""
