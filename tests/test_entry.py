@@ -9,7 +9,8 @@ import __spark_entry__ as E
 from conftest import SF0001
 from duelframe.sources.tables import TABLES
 
-MODEL_JOBS = {"train_logistic_score", "soft_vote", "search_trials", "matchup_scores", "model_reload"}
+MODEL_JOBS = {"train_logistic_score", "soft_vote", "search_trials", "matchup_scores", "model_reload", "network_scores",
+              "forest_scores"}
 
 
 def test_entry_smoke(spark):
