@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from duelframe.operators.hot import Cuts, lazy_cuts, sliced
 from duelframe.operators.keys import nonnull_keys
 
-UP, UF, CUR = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
+UP, CUR = Window.unboundedPreceding, Window.currentRow
 
 EXPANDING = ("sum", "count", "mean", "min", "max")
 
@@ -91,7 +91,9 @@ def _helpers(hot: DataFrame, entity: list[str], order: list[str], w, broken, fea
         aggs.append(F.max(broken(c)).alias(f"_brk_{c}"))
     summary = hot.groupBy(*keys).agg(*aggs)
     ws = Window.partitionBy(*entity).orderBy(*sl)
-    before, after = ws.rowsBetween(UP, -1), ws.rowsBetween(1, UF)
+    # what comes after a slice is seen from the end: a frame that only grows is added up as it goes
+    before = ws.rowsBetween(UP, -1)
+    after = Window.partitionBy(*entity).orderBy(*[F.col(c).desc() for c in sl]).rowsBetween(UP, -1)
     acc = [F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_o_rows")]
     for name in summary.columns:
         if name.startswith("_sum_"):
@@ -105,7 +107,7 @@ def _helpers(hot: DataFrame, entity: list[str], order: list[str], w, broken, fea
         elif name.startswith("_last_"):
             acc.append(F.last(name, ignorenulls=True).over(before).alias("_o" + name))
         elif name.startswith("_first_"):
-            acc.append(F.first(name, ignorenulls=True).over(after).alias("_o" + name))
+            acc.append(F.last(name, ignorenulls=True).over(after).alias("_o" + name))
     breaks = [f"_brk_{f.col}" for f in runs]
     if breaks:  # positions in the entity: of the rows before a slice, and of the last break before it
         summary = summary.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
@@ -162,7 +164,9 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str], fe
 
     # ---- one window pass per (entity, slice)
     d = d.withColumn("_k", F.row_number().over(w) - 1)
-    loc = {}
+    loc, back = {}, {}
+    # a frame up to the last row would be read to its end for every row; backwards it only grows
+    backwards = Window.partitionBy(*keys).orderBy(F.col("_k").desc()).rowsBetween(UP, CUR)
     for f in feats:
         c, cur = f.col, f.include_current
         if f.kind in EXPANDING and f.n is None:
@@ -179,12 +183,12 @@ def sliced_window(df: DataFrame, entity: Sequence[str], order: Sequence[str], fe
         elif f.kind == "ffill":
             loc[f"_lf_{f.name}"] = F.last(c, ignorenulls=True).over(w.rowsBetween(UP, CUR))
         elif f.kind == "bfill":
-            loc[f"_lf_{f.name}"] = F.first(c, ignorenulls=True).over(w.rowsBetween(CUR, UF))
+            back[f"_lf_{f.name}"] = F.last(c, ignorenulls=True).over(backwards)
         elif f.kind == "lag":
             loc[f"_lf_{f.name}"] = F.lag(c, 1).over(w)
         elif f.kind == "run":
             loc[f"_lb_{f.name}"] = F.max(broken(c)).over(w.rowsBetween(UP, CUR if cur else -1))
-    out = d.withColumns(loc)
+    out = d.withColumns(loc).withColumns(back)
     for table in (offsets, carry):
         if table is not None:
             out = out.join(table, keys, "left")

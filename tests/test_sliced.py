@@ -136,3 +136,18 @@ def test_slices_follow_the_rows(spark):
     finally:
         spark.conf.unset(CONF)
     assert len(few) == 400 and 20 <= len(fewer) <= 80 and find_cuts(df, ["e"], ["t"]).table is None
+
+
+@pytest.mark.parametrize("hot", ["700", "2000000"])
+def test_backward_fill_reads_no_frame_to_its_end_for_every_row(spark, hot):
+    """Such a frame is quadratic in the rows of an entity."""
+    rows = spark.range(6000).selectExpr("id % 2 as e", "cast(id as int) as t", "if(id % 1000 >= 998, cast(id as int), null) as v")
+    spark.conf.set(CONF, hot)
+    try:
+        got = sliced_window(rows, ["e"], ["t"], [Feat("bf", "bfill", "v"), Feat("ff", "ffill", "v")])
+        assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+        for r in got.collect():
+            last = r.t - (r.t - r.e - 998) % 1000  # rows 998 and 999 of each thousand have a value
+            assert r.bf == (r.t if last == r.t else last + 1000) and r.ff == (last if last >= 0 else None)
+    finally:
+        spark.conf.unset(CONF)
