@@ -3,8 +3,8 @@
 Texts are cut into normalised words (ASCII letters lower-cased; letters, digits
 and everything beyond ASCII are word characters). Every window of ``window``
 consecutive item words, and every shorter item as one window, is hashed into a
-set that travels with the plan. One scan of the documents hashes the windows of
-each text inside its row and looks them up; the few that are found are joined
+set of bits, one broadcast row. One scan of the documents hashes the windows of
+each text inside its row and looks them up; those that are found are joined
 with the windows themselves, word by word, so a hash collision does no harm.
 
 A set holds at most ``MAX_BROADCAST`` windows. A larger benchmark is dealt into blocks of
@@ -44,17 +44,33 @@ def lowered(words: Column) -> Column:
     return F.transform(words, lower_ascii)
 
 
-def windows_found(words: str, length: int, hashes: list[int]) -> Column:
-    """Windows of ``length`` words of the array column ``words`` whose hash is in the
-    set (Spark looks up a literal IN list of more than a few numbers by hash): array
-    of (at, gram)."""
-    hash_set = ", ".join(f"{h}L" for h in hashes)
+def hash_bits(grams: DataFrame, slots: int) -> DataFrame:
+    """One row ``_bits``: an array of ``slots`` longs (a power of two) with a bit set for each ``h`` and
+    ``h2``, in the slot of its first bits, at the place of its last six."""
+    marks = grams.select(F.explode(F.array("h", "h2")).alias("h"))
+    words = marks.select(F.expr(f"shiftrightunsigned(h, {65 - slots.bit_length()})").alias("_slot"),
+                         F.expr("shiftleft(1L, cast(h & 63 as int))").alias("_word"))
+    words = words.groupBy("_slot").agg(F.expr("bit_or(_word)").alias("_word"))
+    every = grams.sparkSession.range(slots).withColumnRenamed("id", "_slot").join(words, "_slot", "left")
+    at = F.array_sort(F.collect_list(F.struct("_slot", F.coalesce("_word", F.lit(0).cast("long")).alias("_word"))))
+    return every.agg(F.transform(at, lambda x: x["_word"]).alias("_bits"))
+
+
+def windows_found(words: str, length: int, slots: int) -> Column:
+    """Windows of ``length`` words of the array column ``words`` of which both hashes have their bits
+    set in ``_bits``, all that are in the set and very few others: array of (at, gram)."""
+    def marked(h: str) -> str:
+        return (f"shiftrightunsigned(get(_bits, cast(shiftrightunsigned({h}, {65 - slots.bit_length()}) as int)), "
+                f"cast({h} & 63 as int)) & 1L = 1L")
+
     return F.expr(f"""
-        transform(filter(
+        filter(transform(filter(transform(
             CASE WHEN size({words}) >= {length} THEN sequence(0, size({words}) - {length})
                  ELSE cast(array() AS array<int>) END,
-            i -> xxhash64(slice({words}, i + 1, {length})) IN ({hash_set})),
-          i -> struct(i AS at, slice({words}, i + 1, {length}) AS gram))""")
+            i -> struct(i AS at, xxhash64(slice({words}, i + 1, {length})) AS h)),
+          x -> {marked("x.h")}),
+          x -> struct(x.at AS at, slice({words}, x.at + 1, {length}) AS gram)),
+          x -> {marked("xxhash64(x.gram, 1)")})""")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, item: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +102,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str
     no harm whatever their names, and kept ones may have any.
     """
     grams, members = benchmark_windows(benchmark, window, item, item_text)
-    blocks = max(1, math.ceil(grams.count() / max_broadcast))
+    windows = grams.count()
+    blocks = max(1, math.ceil(windows / max_broadcast))
     ks = [f"_k{i}" for i in range(len(keep))]
     base = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, ks)], F.monotonically_increasing_id().alias("_row"),
                        F.coalesce(raw_words(F.col(text)), F.array().cast("array<string>")).alias("_raw"))
@@ -94,19 +111,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str
     found = None
     for block in range(blocks):
         part = grams if blocks == 1 else grams.where(F.pmod(F.xxhash64(F.col("h")), F.lit(blocks)) == block)
-        by_length: dict[int, list[int]] = {}
-        for h, n in part.select("h", "len").collect():  # about ``max_broadcast`` numbers
-            by_length.setdefault(n, []).append(h)
-        lists = [windows_found("_w", n, hashes) for n, hashes in sorted(by_length.items())]
+        # the plan holds no hash: lists of literals are copied and printed by the driver over and over
+        lengths = sorted(r.len for r in part.select("len").distinct().collect())
+        slots = 1 << max(4, max_broadcast if blocks > 1 else windows).bit_length()
+        lists = [windows_found("_w", n, slots) for n in lengths]
+        probed = base.crossJoin(F.broadcast(hash_bits(part, slots))) if lengths else base  # one row
         none = F.array().cast("array<struct<at:int,gram:array<string>>>")
-        probes = base.select("_row", *ks, F.size("_w").cast("long").alias("_n"),
+        probes = probed.select("_row", *ks, F.size("_w").cast("long").alias("_n"),
                              F.concat(none, *lists).alias("_found"))
         # the words stay behind: explode copies every column it hands on
         rows = probes.select("_row", *ks, "_n", F.explode_outer("_found").alias("_f"))
         hits = (rows.join(F.broadcast(part.withColumnsRenamed({"gram": "_g"})), F.col("_f.gram") == F.col("_g"), "left")
                 .select("_row", *ks, "_n", "h", "h2", F.when(F.col("_g").isNotNull(), F.struct(
                     F.col("_f.at").alias("start"), (F.col("_f.at") + F.col("len")).alias("end"))).alias("_span")))
-        # written before the next block, so a plan holds the hashes of one block
+        # written before the next block, so a plan holds the bits of one block
         hits, _ = saved(hits if found is None else hits.where("_span is not null"), "hits")
         found = hits if found is None else found.unionByName(hits)
     spans = found.groupBy("_row").agg(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from odd_tables import SF0001, none, odd  # noqa: F401
 from duelframe.llm import queries as Q
 from duelframe.llm.decontaminate import find_hits
+from duelframe.llm.tables import saved
 from duelframe.llm.mixing import fill_targets, mix_sources
 from duelframe.llm.sharding import shard_documents
 
@@ -79,6 +80,24 @@ def test_a_line_shared_by_a_third_of_the_items(spark, blocks):
     assert rows == brute_hits(docs, items, 10) and len(rows[1][3]) == 20
 
 
+@pytest.mark.parametrize("blocks", [8, 1000])
+def test_plans_hold_no_hashes(spark, monkeypatch, blocks):
+    """Lists of literals in a plan grow the driver's memory with every run."""
+    from duelframe.llm import decontaminate
+    plans = []
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return saved(df, name)
+
+    monkeypatch.setattr(decontaminate, "saved", spied)
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(5, 30)))], "doc_id long, text string")
+    assert [r.n_hit for r in find_hits(docs, bench, max_broadcast=blocks).collect()] == [25]
+    windows, _ = decontaminate.benchmark_windows(bench, 10, "item_id", "text")
+    assert len(plans) > 2 and not any(str(r.h) in plan for r in windows.collect() for plan in plans)
+
+
 def test_hits_with_empty_tables(spark, odd, none):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert find_hits(none, bench).count() == 0
