@@ -272,3 +272,24 @@ def test_last_round_forms_no_pairs_inside_a_component(spark):
     got = [(x.x.token, *sorted((x.x.node, x.y.node))) for x in _meetings(df).collect()]
     exp = [(a[0], *sorted((a[1], b[1]))) for a, b in combinations(rows, 2) if a[0] == b[0] and a[2] != b[2]]
     assert sorted(got) == sorted(exp) and sum(x[0] == 1 for x in got) == 400
+
+
+def test_pairs_of_a_large_group_grow_with_its_items(spark):
+    """Items far from the middle of a group are linked to the few in its middle alone."""
+    from duelframe.llm.linking import linked_components
+    from duelframe.llm.tables import saved
+    verified = []
+
+    def verify(pairs):
+        verified.extend((x.a, x.b) for x in pairs.collect())
+        return saved(pairs.where("least(a % 50, b % 50) = 0 or greatest(a % 50, b % 50) <= 30"), "links")[0]
+    n = 1500  # remainder 0: linked to all; up to 30: to each other; above: to those of remainder 0 alone
+    nodes = spark.range(n).selectExpr("id as node", "1 as size", "explode(array(1L, 2L)) as token").repartition(4)
+    comps = linked_components(nodes.union(nodes), "x.size = y.size", verify).collect()
+    assert sorted(x.node for x in comps) == list(range(n)) and {x.comp for x in comps} == {0}
+    assert len(verified) == len(set(verified)) < 30 * n
+    apart = nodes.where("node % 50 > 30")  # none is linked: every pair is looked at
+    verified.clear()
+    assert linked_components(apart, "x.size = y.size", verify).isEmpty()
+    m = n // 50 * 19
+    assert len(set(verified)) == m * (m - 1) // 2 == len(verified)
